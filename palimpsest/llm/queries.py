@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, substring
+from . import packing, simhash, substring
 
 
 def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -16,6 +16,7 @@ def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[Spar
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": _over("documents", substring.query),
     "op7_simhash": _over("documents", simhash.query),
+    "op9_packing": _over("documents", packing.query),
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": substring.ORACLE}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, simhash, substring
+from . import packing, pii, quality, simhash, substring
 
 
 def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -15,6 +15,7 @@ def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[Spar
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": _over("documents", substring.query),
+    "op5_pii": _over("documents", pii.query),
     "op7_simhash": _over("documents", simhash.query),
     "op9_packing": _over("documents", packing.query),
     "op10_quality": lambda spark, sf_dir: quality.query(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")),

@@ -73,6 +73,17 @@ def doc_id(column: str = "id"):
     return F.nullif(F.col(column), F.lit(NULL_ID)).alias("doc_id")
 
 
+#: Texts may be long, so Python workers get them in batches of so many rows at most.
+ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a worker holds of a batch; a smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS:
+        spark.conf.set(name, str(ROWS))
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

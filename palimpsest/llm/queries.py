@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii, quality, simhash, substring
+from . import chat, digest, langid, packing, pii, quality, simhash, streaming_viterbi, substring, tokenstore
 
 
 def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -15,10 +15,15 @@ def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[Spar
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": _over("documents", substring.query),
+    "op2_chat": _over("conversations", chat.query),
+    "op3_tokenstore": _over("documents", tokenstore.query),
+    "op4_langid": _over("documents", langid.query),
     "op5_pii": _over("documents", pii.query),
+    "op6_sentencepiece": _over("documents", streaming_viterbi.query),
     "op7_simhash": _over("documents", simhash.query),
+    "op8_digest": _over("documents", digest.query),
     "op9_packing": _over("documents", packing.query),
     "op10_quality": lambda spark, sf_dir: quality.query(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")),
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": substring.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": substring.ORACLE, "op2_chat": chat.ORACLE}

@@ -5,6 +5,233 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .functions import exprs as E
+from .operators import annotations, attachments, layout, metadata, report, revisions, stream
+from .plans import engine
+from .schema import DESCRIPTIONS, VECTORS
+from .sources import synthetic
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def covered_text(spark: SparkSession, d: str) -> DataFrame:
+    rows = layout.covered_spans(synthetic.placed(_t(spark, d, "documents")))
+    c = F.col("c")
+    return rows.select("doc_id", "page", c["cover_id"].alias("cover_id"), E.cover_severity(c["kind"], c["brightness"]).alias("severity"), c["x0"].alias("x0"), c["y0"].alias("y0"), "n_glyphs", "evidence")
+
+
+def cover_severity_counts(spark: SparkSession, d: str) -> DataFrame:
+    return report.counts_by_severity(layout.covered_text(synthetic.placed(_t(spark, d, "documents"))))
+
+
+def hidden_geometry(spark: SparkSession, d: str) -> DataFrame:
+    return layout.hidden_pages(synthetic.placed(_t(spark, d, "documents"))).select("doc_id", "page", "n_white", "n_tiny", "n_offpage", F.substring("text", 1, 400).alias("evidence"))
+
+
+def invisible_ops(spark: SparkSession, d: str) -> DataFrame:
+    return stream.invisible_shows(synthetic.stream_ops(_t(spark, d, "events"))).select("doc_id", F.col("n").alias("n_shows"), F.decode("shown", "UTF-8").alias("evidence"))
+
+
+def revision_diff(spark: SparkSession, d: str) -> DataFrame:
+    return revisions.recovered(synthetic.revisions(_t(spark, d, "conversations")))
+
+
+def revision_status(spark: SparkSession, d: str) -> DataFrame:
+    return revisions.status(synthetic.revisions(_t(spark, d, "conversations")))
+
+
+def revision_tokens_except_all(spark: SparkSession, d: str) -> DataFrame:
+    rows = revisions.numbered(synthetic.revisions(_t(spark, d, "conversations"))).where("n_revisions > 1")
+    first, last = (revisions.token_rows(rows.where(x)).select("doc_id", "token") for x in ("rev_index = 1", "rev_index = last_index"))
+    return first.exceptAll(last)
+
+
+def attachment_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    return attachments.distinct_files(synthetic.filespecs(_t(spark, d, "pages"), _t(spark, d, "part")))
+
+
+def metadata_info(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.info_entries(synthetic.info(_t(spark, d, "pages"))).select("doc_id", "key", "value", "severity")
+
+
+def metadata_xmp_antijoin(spark: SparkSession, d: str) -> DataFrame:
+    pages = _t(spark, d, "pages")
+    return metadata.xmp_entries(synthetic.xmp_fields(pages), synthetic.info(pages)).select("doc_id", "name", "value", "severity")
+
+
+def redact_under_rect(spark: SparkSession, d: str) -> DataFrame:
+    """Marks are joined to pages before glyphs are made, and only marked pages make any."""
+    documents = _t(spark, d, "documents")
+    marks = annotations.stored_texts(synthetic.annots(_t(spark, d, "labels"), documents).where("subtype = '/Redact'"))
+    at = marks.select("doc_id", "page", F.array(F.struct("ord", F.struct(*(F.col("rect")[i].alias(x) for i, x in enumerate(("x0", "y0", "x1", "y1")))).alias("b"))).alias("marks"))
+    rows = synthetic.placed(documents, at, ("marks",)).select("doc_id", "page", "g", F.explode("marks").alias("m")).where(E.overlap_ratio(F.col("g"), F.col("m.b")) >= E.OVERLAP)
+    under = rows.groupBy("doc_id", "page").agg(F.collect_list(E.glyph_place(F.col("g"))).alias("z")).select("doc_id", "page", E.in_reading_order("z").alias("under"))
+    joined = marks.join(under, ["doc_id", "page"], "left").withColumn("u", F.coalesce("under", F.lit("")))
+    parts = F.array_compact(F.concat(F.array(F.when(F.col("u") != "", F.concat(F.lit("under redaction: "), F.col("u")))), F.transform("texts", lambda t: F.concat_ws(": ", t["field"], t["text"]))))
+    return joined.select("doc_id", "page", F.coalesce(F.nullif(F.array_join(parts, " | "), F.lit("")), F.lit("(no recoverable text)")).alias("evidence"))
+
+
+def annotation_notes(spark: SparkSession, d: str) -> DataFrame:
+    return annotations.notes(synthetic.annots(_t(spark, d, "labels"), _t(spark, d, "documents"))).select("doc_id", "page", "evidence")
+
+
+def _reports(spark: SparkSession, d: str) -> DataFrame:
+    events = _t(spark, d, "events")
+    docs = events.select(F.col("user_id").alias("doc_id")).distinct().withColumn("path", F.concat(F.lit("user-"), F.col("doc_id").cast("string")))
+    return report.rollup(docs, synthetic.event_findings(events), synthetic.event_errors(events))
+
+
+def report_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return _reports(spark, d).select("doc_id", "path", "worst_severity", "finding_count", F.size("detector_errors").cast("long").alias("n_errors"), "incomplete", "clean", "stamp", "exit_code")
+
+
+def report_order(spark: SparkSession, d: str) -> DataFrame:
+    return report.ordered(synthetic.event_findings(_t(spark, d, "events"))).select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "severity", "vector", "page", "emit_ord")
+
+
+def report_counts(spark: SparkSession, d: str) -> DataFrame:
+    return report.counts_by_severity(synthetic.event_findings(_t(spark, d, "events")), ("doc_id",))
+
+
+def report_json(spark: SparkSession, d: str) -> DataFrame:
+    return report.as_json(_reports(spark, d))
+
+
+def report_text(spark: SparkSession, d: str) -> DataFrame:
+    return report.as_text(_reports(spark, d))
+
+
+def threshold_gate(spark: SparkSession, d: str) -> DataFrame:
+    events = _t(spark, d, "events")
+    one = events.groupBy(F.col("user_id").alias("doc_id")).agg(F.max(F.expr("CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 4 END")).alias("w"), F.count_if(F.col("event_type") == "error").alias("e"))
+    gates = F.array(*(F.struct(F.lit(s).alias("fail_on"), F.lit(on).alias("fail_on_error"), report.gate(F.col("w"), F.col("e"), s, on).alias("exit_code")) for s in E.SEVERITIES for on in (True, False)))
+    return one.select("doc_id", F.explode(gates).alias("x")).select("doc_id", "x.*")
+
+
+def evidence_snippets(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "conversations").select("conv_id", "turn", report.snippet(F.col("text")).alias("snippet"))
+
+
+def geometry(spark: SparkSession, d: str) -> DataFrame:
+    """P1-P5 over lines of orders: one box for the line, one for its part."""
+    box = "named_struct('x0', CAST({0} AS double), 'y0', CAST({1} AS double), 'x1', CAST({2} AS double), 'y1', CAST({3} AS double))"
+    rows = _t(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.expr(box.format("l_quantity", "l_linenumber", "l_quantity + l_suppkey % 8", "l_linenumber + l_partkey % 4")).alias("a"),
+        F.expr(box.format("l_partkey % 50", "l_suppkey % 7", "l_partkey % 50 + 16", "l_suppkey % 7 + 8")).alias("b"), F.expr("slice(array(l_discount, l_tax, CAST(0.5 AS double), CAST(0.25 AS double)), 1, CAST(l_orderkey % 5 AS int))").alias("color"),
+    )
+    a, b = F.col("a"), F.col("b")
+    return rows.select("l_orderkey", "l_linenumber", E.area(a).alias("area"), E.overlap_ratio(a, b).alias("overlap"), E.center_inside(a, b, 1.0).alias("inside"), E.brightness(F.col("color")).alias("brightness"))
+
+
+def only_filter(spark: SparkSession, d: str) -> DataFrame:
+    chosen = engine.parse_only("metadata, covered_text,")
+    return vector_registry(spark, d).where(F.col("name").isin(chosen)).select("ord", "name")
+
+
+def unknown_vectors(spark: SparkSession, d: str) -> DataFrame:
+    asked = spark.createDataFrame([(x,) for x in ("metadata", "ghosts", "covered_text", "colour")], "name string")
+    return asked.join(vector_registry(spark, d), "name", "left_anti")
+
+
+def vector_registry(spark: SparkSession, d: str) -> DataFrame:
+    return engine.vectors(spark)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (
+        covered_text, cover_severity_counts, hidden_geometry, invisible_ops, revision_diff, revision_status, revision_tokens_except_all, attachment_dedupe, metadata_info, metadata_xmp_antijoin, redact_under_rect,
+        annotation_notes, report_rollup, report_order, report_counts, report_json, report_text, threshold_gate, evidence_snippets, geometry, only_filter, unknown_vectors, vector_registry,
+    )
+}
+
+_GLYPHS = """
+c0 AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) - 1 AS i FROM documents WHERE length(text) > 0),
+c1 AS (SELECT *, i // 80 AS line FROM c0 WHERE trim(ch, E' \\t\\n\\r\\x0b\\x0c') <> ''),
+g AS (SELECT doc_id, line // 50 + 1 AS page, i AS glyph_id, ch, CAST(72 + 6 * (i % 80) + CASE WHEN (doc_id + line) % 23 = 0 THEN 600 ELSE 0 END AS DOUBLE) AS x0, CAST(720 - 14 * (line % 50) AS DOUBLE) AS y0,
+  CASE WHEN (doc_id + line) % 17 = 0 THEN 0.25::DOUBLE ELSE 12 END AS size, CASE WHEN (doc_id + line) % 11 = 0 THEN 1 ELSE 0 END AS brightness FROM c1),
+p AS (SELECT doc_id, unnest(range(1, (length(text) + 3999) // 4000 + 1)) AS page FROM documents WHERE length(text) > 0),
+k AS (SELECT * FROM (VALUES (0, 'rect', 0::DOUBLE, 0), (1, 'rect', 0.5::DOUBLE, 0), (2, 'image', NULL, 8)) t(k, kind, brightness, up)),
+c AS (SELECT doc_id, page, k AS cover_id, kind, brightness, CAST(76 + 6 * ((doc_id * 7 + page * 5 + k * 13) % 60) AS DOUBLE) AS x0, CAST(720 - 14 * ((doc_id * 3 + k * 17) % 50) + up AS DOUBLE) AS y0, CAST(6 * (5 + k * 4) AS DOUBLE) AS w FROM p, k)
+"""
+_COVERED = f"""{_GLYPHS},
+h AS (SELECT c.doc_id, c.page, c.cover_id, CASE WHEN kind = 'rect' AND c.brightness <= 0.35::DOUBLE THEN 'critical' ELSE 'high' END AS severity, c.x0, c.y0, count(*) AS n_glyphs, string_agg(ch, '' ORDER BY g.y0 DESC, g.x0, glyph_id) AS evidence
+  FROM g JOIN c ON g.doc_id = c.doc_id AND g.page = c.page
+  WHERE greatest(0::DOUBLE, least(g.x0 + 6, c.x0 + c.w) - greatest(g.x0, c.x0)) * greatest(0::DOUBLE, least(g.y0 + 12, c.y0 + 12) - greatest(g.y0, c.y0)) / 72::DOUBLE >= 0.30::DOUBLE
+  GROUP BY ALL)"""
+_REVISIONS = """
+r0 AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rev_index, text FROM conversations),
+r AS (SELECT *, max(rev_index) OVER (PARTITION BY doc_id) AS last_index, count(*) OVER (PARTITION BY doc_id) AS n_revisions FROM r0),
+t0 AS (SELECT doc_id, rev_index, last_index, list_filter(regexp_extract_all(text, '[^ \\t\\n\\r\\x0b\\x0c]+'), lambda t: regexp_matches(t, '[A-Za-z0-9]')) AS t FROM r WHERE rev_index <= 64 OR rev_index = last_index),
+t AS (SELECT doc_id, rev_index, last_index, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM t0),
+n AS (SELECT doc_id, rev_index, last_index, token, count(*) AS n, min(pos) AS pos FROM t GROUP BY ALL),
+lost AS (SELECT e.doc_id, e.rev_index, e.token, e.pos FROM n e LEFT JOIN n l ON l.doc_id = e.doc_id AND l.rev_index = l.last_index AND l.token = e.token WHERE e.rev_index < e.last_index AND e.n > coalesce(l.n, 0)),
+f AS (SELECT doc_id, CAST(rev_index AS INTEGER) AS rev_index, count(*) AS n_tokens, array_to_string(list_slice(list(token ORDER BY pos), 1, 60), ' ') AS evidence FROM lost GROUP BY doc_id, rev_index)
+"""
+_FINDINGS = """
+f AS (SELECT user_id AS doc_id, event_type AS vector, CASE event_type WHEN 'signup' THEN 'info' WHEN 'view' THEN 'low' WHEN 'click' THEN 'medium' WHEN 'purchase' THEN 'high' END AS severity,
+  CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 4 END AS rank, CAST(nullif(event_id % 7, 0) AS INTEGER) AS page, event_id AS emit_ord FROM events WHERE event_type <> 'error')
+"""
+_TRIM = "E' \\t\\n\\r\\x0b\\x0c'"
+_ANNOTS = "a AS (SELECT l.doc_id, quality, toxic, text FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
+_INFO = """i AS (SELECT page_id AS doc_id, unnest([{'key': '/Title', 'value': regexp_extract(html, '<title>([^<]*)</title>', 1)}, {'key': '/Lang', 'value': regexp_extract(html, 'lang="([^"]*)"', 1)}, {'key': '/Producer', 'value': regexp_extract(html, 'charset="([^"]*)"', 1)}, {'key': '/Trapped', 'value': regexp_extract(html, '<trapped>([^<]*)<', 1)}], recursive := true) FROM pages),
+info AS (SELECT doc_id, key, trim(value, """ + _TRIM + """) AS value, CASE WHEN key IN ('/Producer', '/Trapped') THEN 'info' ELSE 'medium' END AS severity FROM i WHERE trim(value, """ + _TRIM + """) <> '')"""
+
+ORACLE_SQL: dict[str, str] = {
+    "covered_text": f"WITH {_COVERED} SELECT doc_id, CAST(page AS INTEGER) AS page, cover_id, severity, x0, y0, n_glyphs, evidence FROM h",
+    "cover_severity_counts": f"WITH {_COVERED} SELECT s.severity, count(h.severity) AS n FROM (VALUES ('info'), ('low'), ('medium'), ('high'), ('critical')) s(severity) LEFT JOIN h ON h.severity = s.severity GROUP BY s.severity",
+    "hidden_geometry": f"""WITH {_GLYPHS},
+w AS (SELECT *, CASE WHEN x0 + 6 < 0 OR x0 > 612 OR y0 + 12 < 0 OR y0 > 792 THEN 'offpage' WHEN size <= 0.5::DOUBLE THEN 'tiny' WHEN brightness >= 0.95::DOUBLE AND NOT EXISTS (
+  SELECT 1 FROM c WHERE c.doc_id = g.doc_id AND c.page = g.page AND kind = 'rect' AND c.brightness <= 0.35::DOUBLE
+    AND greatest(0::DOUBLE, least(g.x0 + 6, c.x0 + c.w) - greatest(g.x0, c.x0)) * greatest(0::DOUBLE, least(g.y0 + 12, c.y0 + 12) - greatest(g.y0, c.y0)) / 72::DOUBLE >= 0.30::DOUBLE) THEN 'white' END AS why FROM g)
+SELECT doc_id, CAST(page AS INTEGER) AS page, count(*) FILTER (WHERE why = 'white') AS n_white, count(*) FILTER (WHERE why = 'tiny') AS n_tiny, count(*) FILTER (WHERE why = 'offpage') AS n_offpage,
+  left(string_agg(ch, '' ORDER BY y0 DESC, x0, glyph_id), 400) AS evidence FROM w WHERE why IS NOT NULL GROUP BY doc_id, page""",
+    "invisible_ops": """WITH RECURSIVE o AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+s AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, 0 AS mode, CAST([] AS INTEGER[]) AS st, CAST(0 AS BIGINT) AS n, '' AS shown FROM o
+  UNION ALL SELECT s.user_id, o.k, CASE event_type WHEN 'view' THEN 3 WHEN 'purchase' THEN 0 WHEN 'error' THEN CASE WHEN len(st) > 0 THEN st[len(st)] ELSE mode END ELSE mode END,
+    CASE event_type WHEN 'signup' THEN list_append(st, mode) WHEN 'error' THEN CASE WHEN len(st) > 0 THEN st[1:len(st) - 1] ELSE st END ELSE st END,
+    n + CASE WHEN event_type = 'click' AND mode = 3 THEN 1 ELSE 0 END, shown || CASE WHEN event_type = 'click' AND mode = 3 THEN event_id || ' ' ELSE '' END
+  FROM s JOIN o ON o.user_id = s.user_id AND o.k = s.k + 1)
+SELECT user_id AS doc_id, n AS n_shows, shown AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS r FROM s) WHERE r = 1 AND n > 0""",
+    "revision_diff": f"WITH {_REVISIONS} SELECT * FROM f",
+    "revision_status": f"""WITH {_REVISIONS},
+b AS (SELECT doc_id, max(n_revisions) AS n_revisions, count(*) AS n_earlier, count(*) FILTER (WHERE trim(coalesce(text, ''), {_TRIM}) = '') AS n_blank FROM r WHERE rev_index < last_index AND rev_index <= 64 GROUP BY doc_id)
+SELECT b.*, EXISTS (SELECT 1 FROM f WHERE f.doc_id = b.doc_id) AS any_recovered FROM b""",
+    "revision_tokens_except_all": f"WITH {_REVISIONS} SELECT doc_id, token FROM t WHERE rev_index = 1 AND last_index > 1 EXCEPT ALL SELECT doc_id, token FROM t WHERE rev_index = last_index AND last_index > 1",
+    "attachment_dedupe": """WITH s AS (SELECT p_partkey % 97 AS doc_id, 1 AS src, p_partkey AS ord, p_name AS name, CAST(CASE WHEN p_size % 5 = 0 THEN -1 ELSE p_size END AS BIGINT) AS size FROM part
+  UNION ALL SELECT page_id % 97, 2, page_id, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)), -1 FROM pages)
+SELECT doc_id, name, coalesce(arg_min(size, {'a': src, 'b': ord}) FILTER (WHERE size >= 0), -1) AS size FROM s GROUP BY doc_id, name""",
+    "metadata_info": f"WITH {_INFO} SELECT doc_id, key, value, severity FROM info",
+    "metadata_xmp_antijoin": f"""WITH {_INFO},
+x AS (SELECT page_id AS doc_id, unnest([{{'ord': 0, 'name': 'title', 'value': regexp_extract(html, '<h1>([^<]*)</h1>', 1)}}, {{'ord': 1, 'name': 'creator', 'value': regexp_extract(html, '<b>([^<]*)<', 1)}}, {{'ord': 2, 'name': 'CreatorTool', 'value': regexp_extract(html, 'charset="([^"]*)"', 1)}}, {{'ord': 4, 'name': 'rights', 'value': regexp_extract(html, '<div class="ad">([^<]*)<', 1)}}, {{'ord': 5, 'name': 'subject', 'value': regexp_extract(html, '<div class="ad">([^<]*)<', 1)}}], recursive := true) FROM pages),
+y AS (SELECT doc_id, ord, name, left(value, 200) AS value FROM x WHERE value <> ''),
+z AS (SELECT *, row_number() OVER (PARTITION BY doc_id, value ORDER BY ord) AS r FROM y)
+SELECT doc_id, name, value, CASE WHEN name = 'CreatorTool' THEN 'info' ELSE 'medium' END AS severity FROM z WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM info WHERE info.doc_id = z.doc_id AND info.value = z.value)""",
+    "redact_under_rect": f"""WITH {_GLYPHS}, {_ANNOTS},
+m AS (SELECT doc_id, toxic, CAST(72 + 6 * ((doc_id * 7) % 40) AS DOUBLE) AS x0, CAST(720 - 14 * ((doc_id * 3) % 20) AS DOUBLE) AS y0 FROM a WHERE quality = 0),
+u AS (SELECT m.doc_id, string_agg(ch, '' ORDER BY g.y0 DESC, g.x0, glyph_id) AS under FROM m JOIN g ON g.doc_id = m.doc_id AND g.page = 1
+  WHERE greatest(0::DOUBLE, least(g.x0 + 6, m.x0 + 60) - greatest(g.x0, m.x0)) * greatest(0::DOUBLE, least(g.y0 + 12, m.y0 + 12) - greatest(g.y0, m.y0)) / 72::DOUBLE >= 0.30::DOUBLE GROUP BY m.doc_id)
+SELECT m.doc_id, 1 AS page, coalesce(nullif(concat_ws(' | ', CASE WHEN under <> '' THEN 'under redaction: ' || under END, CASE WHEN toxic = 1 THEN 'Contents: mark' END, CASE WHEN m.doc_id % 2 = 0 THEN 'OverlayText: REDACTED' END), ''), '(no recoverable text)') AS evidence
+FROM m LEFT JOIN u ON u.doc_id = m.doc_id""",
+    "annotation_notes": f"WITH {_ANNOTS} SELECT doc_id, 1 AS page, '/Text: ' || left(trim(text, {_TRIM}), 200) AS evidence FROM a WHERE quality <> 0 AND trim(text, {_TRIM}) <> ''",
+    "report_rollup": f"""WITH {_FINDINGS}, w AS (SELECT doc_id, max(rank) AS w, count(*) AS n FROM f GROUP BY doc_id), e AS (SELECT user_id AS doc_id, count(*) AS e FROM events WHERE event_type = 'error' GROUP BY user_id),
+u AS (SELECT DISTINCT user_id AS doc_id FROM events), x AS (SELECT u.doc_id, w, coalesce(n, 0) AS n, coalesce(e, 0) AS e, ['info', 'low', 'medium', 'high'][w] AS s FROM u LEFT JOIN w ON w.doc_id = u.doc_id LEFT JOIN e ON e.doc_id = u.doc_id)
+SELECT doc_id, 'user-' || doc_id AS path, s AS worst_severity, n AS finding_count, e AS n_errors, e > 0 AS incomplete, w IS NULL AND e = 0 AS clean, CASE WHEN w IS NOT NULL THEN upper(s) WHEN e > 0 THEN 'PARTIAL' ELSE 'CLEAN' END AS stamp, CASE WHEN coalesce(w, 0) >= 4 THEN 2 WHEN e > 0 THEN 3 ELSE 0 END AS exit_code FROM x""",
+    "report_order": f"WITH {_FINDINGS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rank DESC, vector, coalesce(page, 0), emit_ord) AS ordinal, severity, vector, page, emit_ord FROM f",
+    "report_counts": f"WITH {_FINDINGS} SELECT u.doc_id, s.severity, count(f.severity) AS n FROM (SELECT DISTINCT doc_id FROM f) u, (VALUES ('info'), ('low'), ('medium'), ('high'), ('critical')) s(severity) LEFT JOIN f ON f.doc_id = u.doc_id AND f.severity = s.severity GROUP BY u.doc_id, s.severity",
+    "threshold_gate": """WITH x AS (SELECT user_id AS doc_id, coalesce(max(CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 4 END), 0) AS w, count(*) FILTER (WHERE event_type = 'error') AS e FROM events GROUP BY user_id)
+SELECT doc_id, fail_on, fail_on_error, CASE WHEN w >= r THEN 2 WHEN fail_on_error AND e > 0 THEN 3 ELSE 0 END AS exit_code FROM x, (VALUES ('info', 1), ('low', 2), ('medium', 3), ('high', 4), ('critical', 5)) s(fail_on, r), (VALUES (true), (false)) b(fail_on_error)""",
+    "evidence_snippets": f"""WITH x AS (SELECT conv_id, turn, text, trim(replace(text, chr(10), ' ⏎ '), {_TRIM}) AS s FROM conversations)
+SELECT conv_id, turn, CASE WHEN text IS NULL OR text = '' THEN '—' WHEN length(s) > 80 THEN left(s, 79) || '…' ELSE s END AS snippet FROM x""",
+    "geometry": """WITH x AS (SELECT l_orderkey, l_linenumber, l_orderkey % 5 AS n, l_discount AS d, l_tax AS t, l_quantity AS ax0, CAST(l_linenumber AS DOUBLE) AS ay0, CAST(l_quantity + l_suppkey % 8 AS DOUBLE) AS ax1, CAST(l_linenumber + l_partkey % 4 AS DOUBLE) AS ay1,
+  CAST(l_partkey % 50 AS DOUBLE) AS bx0, CAST(l_suppkey % 7 AS DOUBLE) AS by0, CAST(l_partkey % 50 + 16 AS DOUBLE) AS bx1, CAST(l_suppkey % 7 + 8 AS DOUBLE) AS by1 FROM lineitem),
+y AS (SELECT *, greatest(0::DOUBLE, ax1 - ax0) * greatest(0::DOUBLE, ay1 - ay0) AS area, greatest(0::DOUBLE, least(ax1, bx1) - greatest(ax0, bx0)) * greatest(0::DOUBLE, least(ay1, by1) - greatest(ay0, by0)) AS inter, (ax0 + ax1) / 2::DOUBLE AS cx, (ay0 + ay1) / 2::DOUBLE AS cy FROM x)
+SELECT l_orderkey, l_linenumber, area, CASE WHEN area <= 0 THEN CASE WHEN cx BETWEEN bx0 AND bx1 AND cy BETWEEN by0 AND by1 THEN 1::DOUBLE ELSE 0::DOUBLE END ELSE inter / area END AS overlap, cx BETWEEN bx0 - 1::DOUBLE AND bx1 + 1::DOUBLE AND cy BETWEEN by0 - 1::DOUBLE AND by1 + 1::DOUBLE AS inside,
+  CASE n WHEN 1 THEN d WHEN 3 THEN (d + t + 0.5::DOUBLE) / 3::DOUBLE WHEN 4 THEN (1::DOUBLE - d) * 0.75::DOUBLE * 0.33::DOUBLE + (1::DOUBLE - t) * 0.75::DOUBLE * 0.33::DOUBLE + 0.5::DOUBLE * 0.75::DOUBLE * 0.34::DOUBLE END AS brightness FROM y""",
+    "only_filter": "SELECT * FROM (VALUES (0, 'covered_text'), (4, 'metadata')) t(ord, name)",
+    "unknown_vectors": "SELECT * FROM (VALUES ('ghosts'), ('colour')) t(name)",
+    "vector_registry": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{v}', '{DESCRIPTIONS[v]}')" for i, v in enumerate(VECTORS)) + ") t(ord, name, description)",
+}

@@ -10,16 +10,21 @@ from __future__ import annotations
 
 import os
 import re
+from operator import itemgetter
 
 import numpy as np
 
 #: Chunks kept by a Python worker, some 200 bytes each.
-CACHE = 300_000
+CACHE = 500_000
 #: Chunks are looked up for so many code points of text at once.
-BLOCK = 1_000_000
+BLOCK = 3_000_000
+_GAPS = (b"", b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\0")
 _SPACED = re.compile(rb"\s*\S+|\s+")
 #: White space beyond ASCII: texts that hold any are encoded in one piece.
 _WIDE = re.compile("[\x85\xa0  -     　]")
+#: How byte-level vocabularies write bytes: those without a visible character of their own follow from U+0100 on.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_VISIBLE = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _SEEN)}
 
 
 def public_vocabulary(name: str) -> str:
@@ -28,6 +33,20 @@ def public_vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _spaced(raw: bytes) -> list[bytes]:
+    """Chunks of a text, each from the white space before it; those that follow a single space stand without it, the first of a text after a zero byte."""
+    parts = raw.replace(b"\n", b" \n").split(b" ")
+    if b"" in parts or b"\0" in raw:
+        return [x[1:] if x[:1] == b" " and x[1:2] not in _GAPS else x if x[:1] == b"\n" and x[1:2] not in _GAPS else b"\0" + x for x in _SPACED.findall(raw)]
+    if parts[0][:1] != b"\n":
+        parts[0] = b"\0" + parts[0]
+    return parts
+
+
+def _chunk(x: bytes) -> bytes:
+    return x[1:] if x[:1] == b"\0" else x if x[:1] == b"\n" else b" " + x
+
+
 class Encoder:
     """path: a file of the tokenizers library; spaced: whether its pre-tokens take the space before them."""
 
@@ -37,10 +56,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.split = _SPACED.findall if spaced else bytes.split
+        self.split, self.chunk = (_spaced, _chunk) if spaced else (bytes.split, bytes)
         # a new line between chunks is a pre-token of its own; where white space is dropped, a lone control character is
         self.mark, self.risky = ("\n", re.compile(rb"[^ ]*\s(?=\s)|.*[\n\r\t\x0b\x0c]|.*\s$", re.S).match) if spaced else (" \x01 ", re.compile(rb".*\x01", re.S).match)
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.model, self.lone = self.tokenizer.model, spaced
         self.cache: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -48,23 +68,39 @@ class Encoder:
         return np.array(ids, self.dtype).tobytes()
 
     def _fill(self, missing: set[bytes]) -> None:
-        """Encode what the cache lacks as one text, parted by an id that no chunk has; chunks that could have it go one by one."""
+        """Encode what the cache lacks: single pre-tokens by the model alone, others as one text, parted by an id that no chunk has; chunks that could have it go one by one."""
         new, odd = [], []
         for x in missing:
-            (odd if self.risky(x) else new).append(x)
-        if new:
-            text = self.mark.join(x.decode("utf-8") for x in new)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            raw = self.chunk(x)
+            text = raw.decode("utf-8")
+            if self.lone and (text[1:] if text[0] == " " else text).isalpha():
+                self.cache[x] = self._pack([t.id for t in self.model.tokenize(raw.decode("latin-1").translate(_VISIBLE))])
+            else:
+                (odd if self.risky(raw) else new).append((x, text))
+        for first in range(0, len(new), 200):  # short runs encode fastest
+            part = new[first : first + 200]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(x[1] for x in part)], add_special_tokens=False)[0].ids, self.dtype)
             raw, size = ids.tobytes(), self.dtype.itemsize
-            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
             at = 0
-            for x, end in zip(new, ends):
+            for (x, _), end in zip(part, [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]):
                 self.cache[x] = raw[at * size : end * size]
                 at = end + 1
         if odd:
-            for x, e in zip(odd, self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in odd], add_special_tokens=False)):
+            for (x, _), e in zip(odd, self.tokenizer.encode_batch_fast([x[1] for x in odd], add_special_tokens=False)):
                 self.cache[x] = self._pack(e.ids)
 
+    def _look_up(self, parts: list[list[bytes]]) -> dict[bytes, bytes]:
+        """A small table of the chunks at hand: looking up in it is cheaper than in the cache."""
+        needed = set().union(*parts)
+        if len(self.cache) > CACHE:
+            self.old, self.cache = self.cache, {}
+        missing = needed.difference(self.cache)
+        again = missing.intersection(self.old)
+        self.cache.update((x, self.old[x]) for x in again)
+        self._fill(missing.difference(again))
+        cache = self.cache
+        return {x: cache[x] for x in needed}
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: none) as little-endian integers of ``dtype``."""
         out: list[bytes] = []
@@ -76,15 +112,11 @@ class Encoder:
                 end += 1
             whole = {i for i in range(at, end) if texts[i] and not texts[i].isascii() and _WIDE.search(texts[i])}
             parts = [self.split((texts[i] or "").encode("utf-8")) if i not in whole else [] for i in range(at, end)]
-            needed = set().union(*parts)
-            if len(self.cache) > CACHE:
-                self.old, self.cache = self.cache, {}
-            missing = needed.difference(self.cache)
-            again = missing.intersection(self.old)
-            self.cache.update((x, self.old[x]) for x in again)
-            self._fill(missing.difference(again))
-            get = self.cache.__getitem__
+            found = self._look_up(parts)
             for i, part in enumerate(parts, at):
-                out.append(self._pack(self.tokenizer.encode(texts[i], add_special_tokens=False).ids) if i in whole else b"".join(map(get, part)))
+                if i in whole:
+                    out.append(self._pack(self.tokenizer.encode(texts[i], add_special_tokens=False).ids))
+                else:
+                    out.append(b"".join(itemgetter(*part)(found)) if len(part) > 1 else b"".join(map(found.__getitem__, part)))
             at = end
         return out

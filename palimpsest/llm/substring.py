@@ -179,15 +179,24 @@ def _finish(keep_text: bool, window: int, fields: pa.Schema):
 
 
 def _windows(window: int):
+    names = ("w", "x", "id", "place")
+
     def of(batches):
         for batch in batches:
+            rows, have = [], 0
             for i, mark, text, todo in zip(*(batch[c] for c in ("id", "mark", "text", "open"))):
                 places = np.frombuffer(todo, np.int64)
                 lo, more = places >> (_MARK + _COUNT), (places >> _MARK) & ((1 << _COUNT) - 1)
                 at = np.repeat(lo, more + 1) + np.arange((more + 1).sum()) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
                 t = _Text(words(text))
-                both = [t.runs(at, at + window, k) for k in (0, 1)]
-                yield pd.DataFrame({"w": both[0].view(np.int64), "x": (both[1] >> np.uint64(32)).astype(np.uint32).view(np.int32), "id": i, "place": (at << (_MARK + _COUNT)) | mark})
+                first, second = (t.runs(at, at + window, k) for k in (0, 1))
+                rows.append((first.view(np.int64), (second >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(at), i), (at << (_MARK + _COUNT)) | mark))
+                have += len(at)
+                if have > 200_000:
+                    yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*rows)))))
+                    rows, have = [], 0
+            if rows:
+                yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*rows)))))
 
     return of
 

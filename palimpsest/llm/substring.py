@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .common import NULL_ID, doc_id, words, written
+from .common import NULL_ID, doc_id, small_batches, words, written
 
 WINDOW = 20
 GRAM = 6
@@ -224,6 +224,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = Tru
     """
     if not GRAM <= window <= GRAM + 15:
         raise ValueError("window is 6 to 21 words")
+    small_batches(docs.sparkSession)
     all_phrases = phrases(docs, window)
     twice = all_phrases.groupBy("anchor").count().where("count > 1").select("anchor")
     shared = written(all_phrases.join(twice, "anchor", "left_semi"), "phrases")

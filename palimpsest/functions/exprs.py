@@ -33,7 +33,10 @@ def rank(severity: Column) -> Column:
 
 
 def label(rank: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, SEVERITIES)), rank)
+    out = F.lit(None).cast("string")
+    for i, name in enumerate(SEVERITIES, 1):
+        out = F.when(rank == i, name).otherwise(out)
+    return out
 
 
 def brightness(color: Column) -> Column:

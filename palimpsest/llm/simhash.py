@@ -169,7 +169,7 @@ def links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     if max_bits == 2:
         star = met.selectExpr("array_min(x.rep) AS a", "explode(x.rep) AS b")
     else:
-        star = met.selectExpr("filter(x, p -> p.fp = at)[0].rep AS a", "explode(x.rep) AS b").where("a IS NOT NULL")
+        star = met.selectExpr("get(filter(x, p -> p.fp = at), 0).rep AS a", "explode(x.rep) AS b").where("a IS NOT NULL")
     return pairs.union(star.where("a <> b"))
 
 

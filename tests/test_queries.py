@@ -6,6 +6,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -16,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 
 def rows(df):
     def plain(x):
-        if x is None or (isinstance(x, float) and math.isnan(x)):
+        if x is None or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
             return None
         if isinstance(x, bool) or type(x).__name__ in ("bool", "bool_"):
             return bool(x)

@@ -39,6 +39,11 @@ def _gram(h: str, n: int) -> Column:
     return F.expr(f"CASE WHEN size({h}) < {n} THEN CAST(array() AS array<bigint>) ELSE transform(slice({h}, 1, size({h}) - {n - 1}), (x, i) -> xxhash64({parts})) END")
 
 
+def _fenced(judged: DataFrame) -> DataFrame:
+    """The same rows, counted on the way: no filter is pushed below a count. One that is copies every expression below it once for each use, and theirs in turn."""
+    return judged.observe("judged", F.count(F.lit(1)).alias("rows"))
+
+
 def with_rules(docs: DataFrame, text: str = "text", w: str = "w", h: str = "h") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all long) and base_failed."""
     raw = F.coalesce(F.col(text), F.lit(""))
@@ -106,14 +111,14 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     """
     own = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
     judged = with_verdict(with_rules(with_hashes(own)), log_ratios(docs, labels), threshold)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+    return _fenced(judged).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that are rejected, with all their columns."""
     own = docs.select(F.struct(*docs.columns).alias("row"), docs["text"].alias("text"))
     judged = with_verdict(with_rules(with_hashes(own)), log_ratios(docs, labels), threshold)
-    return judged.where("kept").select("row.*")
+    return _fenced(judged).where("kept").select("row.*")
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ BUCKETS = 10_000
 #: Most labelled rows that the trusted multinomial is fitted on: those with the lowest hash of their id.
 TRUSTED = 20_000
 #: Mean log ratio that a document must reach.
-THRESHOLD = -0.04
+THRESHOLD = -0.05
 #: What a bucket that no trusted document has counts as, as a share of its raw frequency.
 FLOOR = 0.01
 #: Up to so many repeated windows in a text, positions are found by looking through them; beyond, by sorting. Both find the same.

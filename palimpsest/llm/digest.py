@@ -25,7 +25,7 @@ BUCKETS = 128
 #: Triplets of a window of four bytes, as offsets.
 _TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 #: Score from which two digests count as wholly unlike.
-BOUND = 400
+BOUND = 256
 #: Most that lengths and one ratio add to the score.
 _LENGTH, _RATIO = 60, 15
 
@@ -135,7 +135,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = with_range(own.withColumn("x", F.col("id").cast("double"))).join(F.broadcast(heads), "id", "left")
     here, there = F.struct("r", F.lit(False).alias("tail")), F.struct(F.col("before").alias("r"), F.lit(True).alias("tail"))
     dealt = rows.select("id", "mark", "text", F.explode(F.when(F.col("before").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("e")).select("e.r", "e.tail", "id", "mark", "text")
-    streamed = dealt.repartition(partitions(spark), "r").sortWithinPartitions("r", "tail", "id", "mark").select("r", "tail", "id", "text")
+    streamed = dealt.repartitionById(partitions(spark), F.pmod(F.col("r").cast("int"), F.lit(partitions(spark)))).sortWithinPartitions("r", "tail", "id", "mark").select("r", "tail", "id", "text")
     return streamed.mapInPandas(_pairs, _OUT)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import argparse
 import sys
 import tempfile
+import uuid
 
 from ..functions.exprs import SEVERITIES
 from ..operators import report
@@ -29,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
     scan.add_argument("--max-bytes", type=int, default=512 << 20)
     scan.add_argument("--seconds", type=float, default=60.0)
     scan.add_argument("--max-memory", type=int, metavar="MB", help="memory of a Python worker")
-    scan.add_argument("--to", help="folder for the extracted table; a temporary one if not given")
+    scan.add_argument("--to", help="folder for the extracted table; if not given, the one in spark.checkpoint.dir, or a temporary one of this machine")
     sub.add_parser("list-vectors", help="names of the detectors")
     return p
 
@@ -53,7 +54,8 @@ def main(argv: list[str] | None = None, spark=None, out=None) -> int:
         builder = SparkSession.builder.appName("palimpsest")
         spark = (builder.config("spark.executor.pyspark.memory", f"{a.max_memory}m") if a.max_memory else builder).getOrCreate()
     try:
-        tables = files.load(spark, a.path, f"{a.to or tempfile.mkdtemp(prefix='palimpsest-')}/rows", a.max_bytes, a.seconds)
+        to = a.to or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+        tables = files.load(spark, a.path, f"{to}/palimpsest-{uuid.uuid4().hex}/rows", a.max_bytes, a.seconds)
         unread = {r.open_status for r in tables.docs.select("open_status").distinct().collect()}
     except Exception as e:  # an unreadable path, in whatever way the store says so
         print(f"cannot read {a.path}: {type(e).__name__}", file=sys.stderr)

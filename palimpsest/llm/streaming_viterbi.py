@@ -33,7 +33,7 @@ from .tokens import public_vocabulary
 SPACE = "▁"
 #: What a character outside the vocabulary costs more than the worst piece, as in the library.
 UNKNOWN = 10.0
-#: Segments remembered by a worker, some 200 bytes each.
+#: Segments remembered by a worker in each of two generations, some 200 bytes each.
 MEMORY = 300_000
 
 
@@ -46,10 +46,12 @@ class Codec:
         inner = [x for x in pieces if SPACE in x.lstrip(SPACE)]
         if inner:
             raise ValueError(f"pieces span a space: {inner[:3]}")
-        self.text = {i: x for x, i in zip(pieces, ids)}
         self.value = {i: b for b, i in self.bytes.items()}
+        #: What each id stands for.
+        self.raw = {i: x.replace(SPACE, " ").encode() for x, i in zip(pieces, ids)} | {i: bytes([b]) for b, i in self.bytes.items()}
         self.segments = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def stream(self, symbols: Iterable[str]) -> Iterator[int]:
         """Ids of a stream of characters (spaces as U+2581), each as soon as no later character can change it."""
@@ -102,20 +104,16 @@ class Codec:
             for segment in self.segments.findall(symbols):
                 found = self.memory.get(segment)
                 if found is None:
-                    found = np.fromiter(self.stream(segment), np.int32).tobytes()
+                    found = self.older.get(segment) or np.fromiter(self.stream(segment), np.int32).tobytes()
                     if len(segment) <= 64:
                         if len(self.memory) >= MEMORY:
-                            self.memory.clear()
+                            self.older, self.memory = self.memory, {}
                         self.memory[segment] = found
                 parts.append(found)
         return np.frombuffer(b"".join(parts), np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
-        out, text, value = [], self.text, self.value
-        for i in ids:
-            b = value.get(i)
-            out.append(text[i].replace(SPACE, " ").encode("utf-8") if b is None else bytes([b]))
-        return b"".join(out).decode("utf-8", "surrogatepass")[1:]
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
 @lru_cache(maxsize=2)

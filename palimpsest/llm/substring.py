@@ -207,7 +207,7 @@ def _start(column: str):
 
 def _later(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """rows (by, id, place): the first of each key; and the rows that start after it."""
-    first = rows.groupBy(*by).agg(F.min(F.struct("id", "place")).alias("f"), F.count("*").alias("n"))
+    first = written(rows.groupBy(*by).agg(F.min(F.struct("id", "place")).alias("f"), F.count("*").alias("n")), "first")
     again = rows.join(first.where("n > 1").select(*by, "f"), by)
     after = (F.col("id") > F.col("f.id")) | ((F.col("id") == F.col("f.id")) & (_start("place") > _start("f.place")))
     return first, again.where(after).select("id", "place")
@@ -226,7 +226,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = Tru
         raise ValueError("window is 6 to 21 words")
     small_batches(docs.sparkSession)
     all_phrases = phrases(docs, window)
-    twice = all_phrases.groupBy("anchor").count().where("count > 1").select("anchor")
+    # as tables of their own, so that both sides of a join are bare exchanges, which AQE can split where a passage is in many documents
+    twice = written(all_phrases.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     shared = written(all_phrases.join(twice, "anchor", "left_semi"), "phrases")
     first, whole = _later(shared, ["anchor", "phrase"])
     parted = first.groupBy("anchor").count().where("count > 1").select("anchor")

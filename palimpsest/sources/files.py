@@ -7,6 +7,8 @@ so a detector reads only the columns it needs and the bytes never reach a shuffl
 
 from __future__ import annotations
 
+import contextlib
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,8 +59,6 @@ def extracted(files: DataFrame, seconds: float = SECONDS) -> DataFrame:
                 out = [{"doc_id": i, "path": path, "length": length, "open_status": status} | r for r in rows]
                 yield pd.DataFrame([{n: r.get(n) for n in names} for r in out], columns=names).astype(object)
 
-    # files are few and large where rows are many and small: a batch holds four
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     return files.select(F.xxhash64("path").alias("doc_id"), "path", "length", "content").mapInPandas(of, row_schema())
 
 
@@ -77,8 +77,21 @@ def tables(rows: DataFrame) -> Tables:
     )
 
 
+@contextlib.contextmanager
+def few_in_a_batch(spark: SparkSession, n: int = 4):
+    """Files are few and large where rows are many and small: a Python worker gets so many at once while a table is written."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def load(spark: SparkSession, path: str, to: str, most: int = MOST, seconds: float = SECONDS) -> Tables:
     """Parse the files under ``path`` into a Parquet table at ``to``, and read that."""
     files = scan(spark, path, most=most)
-    extracted(files.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path"), seconds).write.parquet(to)
+    with few_in_a_batch(spark):
+        extracted(files.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path"), seconds).write.parquet(to)
     return tables(spark.read.parquet(to))

@@ -18,7 +18,8 @@ def audit(spark: SparkSession, path: str, to: str, checkpoint: str, only: list[s
     """Starts a query that writes ``to``/rows and ``to``/reports; with ``once`` it ends when all present files are done."""
 
     def batch(df: DataFrame, number: int) -> None:
-        files.extracted(df, seconds).write.mode("overwrite").parquet(f"{to}/rows/batch={number}")
+        with files.few_in_a_batch(df.sparkSession):
+            files.extracted(df, seconds).write.mode("overwrite").parquet(f"{to}/rows/batch={number}")
         tables = files.tables(spark.read.parquet(f"{to}/rows/batch={number}"))
         Engine().reports(tables, only).write.mode("overwrite").parquet(f"{to}/reports/batch={number}")
 

@@ -8,8 +8,10 @@ changes the time, not the ids.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+import unicodedata
 from operator import itemgetter
 
 import numpy as np
@@ -18,6 +20,7 @@ import numpy as np
 CACHE = 500_000
 #: Chunks are looked up for so many code points of text at once.
 BLOCK = 3_000_000
+_CLOSING = (b".", b",")
 _GAPS = (b"", b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\0")
 _SPACED = re.compile(rb"\s*\S+|\s+")
 #: White space beyond ASCII: texts that hold any are encoded in one piece.
@@ -43,6 +46,11 @@ def _spaced(raw: bytes) -> list[bytes]:
     return parts
 
 
+def _dropped(raw: bytes) -> list[bytes]:
+    """Chunks of a text whose white space and case are dropped; ASCII is lowered here, the rest by the library."""
+    return raw.split() if b"<|" in raw else raw.lower().split()  # special tokens are told by their case
+
+
 def _chunk(x: bytes) -> bytes:
     return x[1:] if x[:1] == b"\0" else x if x[:1] == b"\n" else b" " + x
 
@@ -56,24 +64,36 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.split, self.chunk = (_spaced, _chunk) if spaced else (bytes.split, bytes)
+        self.split, self.chunk = (_spaced, _chunk) if spaced else (_dropped, bytes)
         # a new line between chunks is a pre-token of its own; where white space is dropped, a lone control character is
         self.mark, self.risky = ("\n", re.compile(rb"[^ ]*\s(?=\s)|.*[\n\r\t\x0b\x0c]|.*\s$", re.S).match) if spaced else (" \x01 ", re.compile(rb".*\x01", re.S).match)
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
-        self.model, self.lone = self.tokenizer.model, spaced
+        self.model, self.spaced = self.tokenizer.model, spaced
+        self.closing = {x: self._pack(self.tokenizer.encode(x.decode(), add_special_tokens=False).ids) for x in _CLOSING}
         self.cache: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
+    def _lone(self, text: str) -> bool:
+        """Whether a chunk is a single pre-token that normalisation leaves alone."""
+        if self.spaced:
+            return (text[1:] if text[0] == " " else text).isalpha()
+        return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
+
     def _fill(self, missing: set[bytes]) -> None:
         """Encode what the cache lacks: single pre-tokens by the model alone, others as one text, parted by an id that no chunk has; chunks that could have it go one by one."""
         new, odd = [], []
         for x in missing:
+            if x[-1:] in _CLOSING and x[-2:-1].isalpha():  # a stem's ids and those of the mark that closes it
+                ids = self.cache.get(x[:-1]) or self.old.get(x[:-1])
+                if ids:
+                    self.cache[x] = ids + self.closing[x[-1:]]
+                    continue
             raw = self.chunk(x)
             text = raw.decode("utf-8")
-            if self.lone and (text[1:] if text[0] == " " else text).isalpha():
+            if self._lone(text):
                 self.cache[x] = self._pack([t.id for t in self.model.tokenize(raw.decode("latin-1").translate(_VISIBLE))])
             else:
                 (odd if self.risky(raw) else new).append((x, text))
@@ -103,6 +123,15 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: none) as little-endian integers of ``dtype``."""
+        collects = gc.isenabled()
+        gc.disable()  # nothing here makes cycles, and looking for them costs a fifteenth of the time
+        try:
+            return self._all(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _all(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
         at = 0
         while at < len(texts):

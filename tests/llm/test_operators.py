@@ -270,7 +270,7 @@ def test_chunks_encode_like_whole_texts(real, name, spaced, monkeypatch):
     own = tokens.Encoder(tokens.public_vocabulary(name), spaced)
     odd = [
         None, "", " lead", "tail ", "a \nb", "\nfirst\n\nx", "\x00a b\x00 c", "  ", "\n", "a\tb c\t d", "x\n y", "q\n\n  z\r\n w", "a  \n b", "don't <|endoftext|> it's ... \t q", "é ́x \xa0", "\x1c a\x1d b", "İSTANBUL ß ΑΣ", "École, ÉCOLE. x., y.,z b,, 3.14, can't, it'S.",
-        "a<|startoftext|>b c <| d", "\U0001d400b, 你好. 　x",
+        "a<|startoftext|>b c <| d", "A <|ENDOFTEXT|> B The THE", "\U0001d400b, 你好. 　x",
     ]
     all_texts = odd + [t for _, t in texts(real)] + [t for _, t, *_ in ROWS]
     want = [x.ids for x in own.tokenizer.encode_batch([t or "" for t in all_texts], add_special_tokens=False)]

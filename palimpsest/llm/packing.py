@@ -145,33 +145,39 @@ class _Plan:
             self.keep(base + full, n - full, room)
 
 
-def plan(counts: np.ndarray, capacity: int, groups: int, small: int, waste: int) -> _Plan:
-    """counts[l]: pieces of length l; waste: the most room that a configured sequence may leave."""
+def grouped(counts: np.ndarray, capacity: int, groups: int, small: int) -> list[tuple[list[tuple[list[int], int]], int]]:
+    """Combinations of groups of lengths, (lengths, how many) each, and how often each is used; counts[l]: pieces of length l."""
+    large = [x for x in range(capacity - 1, small, -1) if counts[x]]
+    if not large:
+        return []
+    cut = counts[large].sum() / groups
+    number = np.minimum(((np.cumsum(counts[large]) - counts[large]) // max(cut, 1)).astype(int), groups - 1)
+    own = [[x for x, g in zip(large, number) if g == k] for k in sorted(set(number))]
+    sizes, demand = np.array([x[0] for x in own]), np.array([counts[x].sum() for x in own], float)
+    found = sorted(configurations(sizes, demand, capacity), key=lambda x: -x[1])
+    return [([(own[i], int(t)) for i, t in enumerate(pattern) if t], int(n + 1e-6)) for pattern, n in found if int(n + 1e-6)]
+
+
+def plan(counts: np.ndarray, capacity: int, used: list, waste: int) -> _Plan:
+    """used: what :func:`grouped` gives; waste: the most room that a configured sequence may leave."""
     p = _Plan(counts, capacity)
-    lengths = [x for x in range(capacity, 0, -1) if counts[x]]
-    large = [x for x in lengths if small < x < capacity]
-    if lengths and lengths[0] == capacity:
+    if counts[capacity]:
         p.put(capacity, int(counts[capacity]), p.new(int(counts[capacity])), 0)
-    if large:
-        cut = counts[large].sum() / groups
-        number = np.minimum(((np.cumsum(counts[large]) - counts[large]) // max(cut, 1)).astype(int), groups - 1)
-        own = [[x for x, g in zip(large, number) if g == k] for k in sorted(set(number))]
-        sizes, demand = np.array([x[0] for x in own]), np.array([counts[x].sum() for x in own], float)
-        for pattern, n in sorted(configurations(sizes, demand, capacity), key=lambda x: -x[1]):
-            if int(n + 1e-6):
-                p.configured([(own[i], int(t)) for i, t in enumerate(pattern) if t], int(n + 1e-6), waste)
-    for length in lengths:
+    for pattern, n in used:
+        p.configured(pattern, n, waste)
+    for length in range(capacity, 0, -1):
         p.best_fit(length)
     return p
 
 
-#: (groups, capacity / bound of small, most room left) of the plans that are made and compared.
-SCHEMES = ((24, 4, CAPACITY), (64, 8, CAPACITY), (64, 8, 16), (64, 8, 4), (64, 8, 1), (128, 8, 4))
+#: (groups, capacity / bound of small), and the most room that a sequence may be left with, of the plans that are made and compared.
+SCHEMES = {(24, 4): (CAPACITY,), (64, 8): (CAPACITY, 16, 4, 1), (128, 8): (4,)}
 
 
 def best_plan(counts: np.ndarray, capacity: int) -> _Plan:
     """The plan with the fewest sequences of :data:`SCHEMES`."""
-    return min((plan(counts, capacity, g, capacity // s, waste) for g, s, waste in SCHEMES), key=lambda p: p.bins)
+    used = {k: grouped(counts, capacity, k[0], capacity // k[1]) for k in SCHEMES}
+    return min((plan(counts, capacity, used[k], waste) for k, wastes in SCHEMES.items() for waste in wastes), key=lambda p: p.bins)
 
 
 def _pieces(path: str, capacity: int, end: int, keep_ids: bool):
@@ -179,8 +185,8 @@ def _pieces(path: str, capacity: int, end: int, keep_ids: bool):
         encode = _encoder(path)
         seen, task = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
                 out = []
                 for i, raw in zip(batch.column("id").to_pylist(), encode(batch.column("text").to_pylist())):
                     ids = np.append(np.frombuffer(raw, encode.dtype), encode.dtype.type(end)).astype("<u4")

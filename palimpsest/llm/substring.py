@@ -81,7 +81,7 @@ def _phrases(t: _Text, window: int) -> tuple[np.ndarray, ...]:
     lo, hi = np.r_[0, cut], np.r_[cut - 1, len(at) - 1]
     shape = (at[lo] - lo).astype(np.uint64) * np.uint64(64) + (hi - lo).astype(np.uint64)
     full = _mixed(t.runs(lo, hi + window, 1) + shape)
-    return grams[at[lo]].view(np.int64), (full >> np.uint64(32)).astype(np.uint32).view(np.int32), lo, hi
+    return grams[at[lo]].view(np.int64), full.view(np.int64), lo, hi
 
 
 def _mark(text: str) -> int:
@@ -107,7 +107,7 @@ def phrases(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             if rows:
                 yield pd.DataFrame(dict(zip(("anchor", "phrase", "id", "place"), map(np.concatenate, zip(*rows)))))
 
-    return _keyed(docs).mapInPandas(of, "anchor long, phrase int, id long, place long")
+    return _keyed(docs).mapInPandas(of, "anchor long, phrase long, id long, place long")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

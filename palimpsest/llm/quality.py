@@ -2,10 +2,10 @@
 
 Words and pairs of words are hashed to ``BUCKETS`` buckets. One multinomial counts them over
 trusted documents (a bounded sample of the rows labelled good, ``TRUSTED`` at most), the other
-over all documents. A document's score is the mean over its n-grams of log p(trusted) /
+over all documents; both count a text once, however many rows repeat it. A document's score is the mean over its n-grams of log p(trusted) /
 p(raw); below ``THRESHOLD`` it is rejected. Scoring adds columns to the row: no exchange, no
-join, texts are never shuffled, and repeated rows stay as they are. Only the table of buckets,
-as large for any input, passes through the driver.
+join, and repeated rows stay as they are. Counting shuffles each distinct text once. Only the
+table of buckets, as large for any input, passes through the driver.
 """
 
 from __future__ import annotations
@@ -79,9 +79,11 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trust
     """Of each bucket, log p(trusted) / p(raw); None where no document is trusted. docs: doc_id, text; labels: doc_id, quality."""
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("good")).distinct()
     good = good.orderBy(F.xxhash64("good"), "good").limit(trusted)
-    own = with_hashes(docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")))
+    own = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
     own = own.join(F.broadcast(good), own["doc_id"] == F.col("good"), "left")  # at most ``trusted`` ids
-    grams = own.select(F.col("good").isNotNull().cast("long").alias("t"), F.explode(_buckets(buckets=buckets)).alias("b"))
+    # copies combine before the exchange, so a large group sends one row from each task
+    once = own.groupBy(F.xxhash64("text").alias("h1"), F.hash("text").alias("h2")).agg(F.max(F.col("good").isNotNull().cast("long")).alias("t"), F.first("text").alias("text"))
+    grams = with_hashes(once.select("t", "text")).select("t", F.explode(_buckets(buckets=buckets)).alias("b"))
     rows = grams.groupBy("b").agg(F.count("*").alias("n"), F.sum("t").alias("t")).collect()
     n, t = sum(r.n for r in rows), sum(r.t for r in rows)
     if not t:

@@ -15,17 +15,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: Lengths of IBANs by country, from the registry of ISO 13616.
+IBANS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_KNOWN = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBANS.items())
 #: What the candidates look like, in the order in which they are tried.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
     "secret": r"(?<=[Tt][Oo][Kk][Ee][Nn] = [\x22'])[0-9A-Fa-f]{32,64}(?=[\x22'])",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "iban": rf"\b(?:{_KNOWN})\b|\b[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?\b",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9\-/.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9\-/])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "phone": r"(?<![0-9+\-])(?:\+?1[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9\-])",
-    "card": r"(?<![0-9\-])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9\-])",
 }
+# a run of numbers, of which some make a card; it ends where another kind begins
+_OTHER = "|".join(PATTERNS[k] for k in ("email", "ip", "date", "ssn", "phone"))
+PATTERNS["card"] = rf"(?<![0-9\-])(?=[0-9](?:[ \-]?[0-9]){{12}})[0-9]++(?:[ \-](?!{_OTHER})[0-9]++)*(?![0-9\-])"
+#: Cards as they are grouped in print; these go before other runs.
+_PRINTED = "^([0-9]{13,19}|[0-9]{4}( [0-9]{4}){2}( [0-9]{4})?( [0-9]{1,3})?|[0-9]{4} [0-9]{6} [0-9]{4,5})$"
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Cheap: every candidate holds one of these.
 _HINT = "[0-9]{2}|@"
@@ -92,15 +102,42 @@ def _into(value: str, digits: str) -> str:
     return f"aggregate(sequence(1, length({value})), struct('' AS t, 1 AS k), (z, i) -> CASE WHEN substr({value}, i, 1) >= '0' AND substr({value}, i, 1) <= '9' THEN struct(concat(z.t, substr({digits}, z.k, 1)) AS t, z.k + 1 AS k) ELSE struct(concat(z.t, substr({value}, i, 1)) AS t, z.k AS k) END, z -> z.t)"
 
 
+_CARD = f"length(d) BETWEEN 13 AND 19 AND {_luhn('d')} % 10 = 0 AND regexp_like(d, '[^0]')"
+
+
+def _card_parts() -> str:
+    """SQL of ``v``, a run of numbers, as an array of texts that join to it; what is a valid card is a text of its own.
+
+    From left to right a card begins at a number and ends at one: a printed form first, else the
+    longest that is valid and that no printed form begins in. One pass with a bounded look ahead.
+    """
+    run = "slice(g, i, n)"
+    valid = _let(f"array_join({run}, '')", "d", _CARD)
+    ends = "sequence(1, least(19, size(g) - i + 1))"
+    printed = f"coalesce(array_max(filter({ends}, n -> regexp_like(array_join({run}, ' '), {_sql(_PRINTED)}) AND {valid})), 0)"
+    longest = f"coalesce(array_max(filter({ends}, n -> {valid} AND NOT exists(slice(t, i, n), x -> x > 0))), 0)"
+    taken = f"CASE WHEN t[i - 1] > 0 THEN t[i - 1] ELSE {longest} END"
+    # (first number, how many) of each card
+    picks = f"aggregate(sequence(1, size(g)), struct(1 AS free, CAST(array() AS array<struct<i:int,n:int>>) AS x), (z, i) -> CASE WHEN i < z.free THEN z ELSE {_let(taken, 'n', 'CASE WHEN n > 0 THEN struct(i + n AS free, concat(z.x, array(struct(i AS i, n AS n))) AS x) ELSE z END')} END, z -> z.x)"
+    # p: numbers, each with the separator before it
+    text = lambda a, n: f"array_join(slice(p, {a}, {n}), '')"
+    before = "(CASE WHEN k = 0 THEN 1 ELSE c[k - 1].i + c[k - 1].n END)"
+    cut = f"array({text(before, f'e.i - {before}')}, left(p[e.i - 1], length(p[e.i - 1]) - length(g[e.i - 1])), concat(g[e.i - 1], {text('e.i + 1', 'e.n - 1')}))"
+    last = text("c[size(c) - 1].i + c[size(c) - 1].n", "size(p)")
+    body = _let(picks, "c", f"CASE WHEN size(c) = 0 THEN array(v) ELSE concat(flatten(transform(c, (e, k) -> {cut})), array({last})) END")
+    body = _let(f"transform(sequence(1, size(g)), i -> {printed})", "t", body)
+    return _let("regexp_extract_all(v, '[0-9]+', 0)", "g", _let("regexp_extract_all(v, '[ -]?[0-9]+', 0)", "p", body))
+
+
 def _pseudonym(key: str) -> str:
-    """SQL of the pseudonym of the candidate ``v``, or ``v`` itself if it isn't valid."""
+    """SQL of (t, n) of the candidate ``v``: its pseudonym, or ``v`` itself if it isn't valid, and how many values changed."""
 
     def k(kind: str) -> str:
         return _sql(f"{key}:{kind}")
 
     digits = "regexp_replace(v, '[^0-9]', '')"
     ten = "right(d, 10)"
-    card = f"CASE WHEN length(d) BETWEEN 13 AND 19 AND {_luhn('d')} % 10 = 0 AND regexp_like(d, '[^0]') THEN " + _let(_text_feistel("left(d, length(d) - 1)", k("card")), "q", _into("v", f"concat(q, pmod(10 - {_luhn('concat(q, chr(48))')}, 10))")) + " ELSE v END"
+    card = f"CASE WHEN {_CARD} THEN " + _let(_text_feistel("left(d, length(d) - 1)", k("card")), "q", _into("v", f"concat(q, pmod(10 - {_luhn('concat(q, chr(48))')}, 10))")) + " ELSE v END"
     phone = _let(f"concat(left(d, length(d) - 10), {_text_feistel(ten, k('phone'))})", "q", _into("v", "q"))
     ssn = "CASE WHEN left(d, 3) NOT IN ('000', '666') AND left(d, 1) <> '9' AND substr(d, 4, 2) <> '00' AND right(d, 4) <> '0000' THEN " + _let(_text_feistel("d", k("ssn")), "q", _into("v", "q")) + " ELSE v END"
     octets = "transform(split(v, '[.]'), o -> CAST(o AS int))"
@@ -115,7 +152,10 @@ def _pseudonym(key: str) -> str:
     at = "instr(v, '@')"
     email = f"CASE WHEN {at} > 2 THEN concat({_text_feistel(f'left(v, {at} - 1)', k('email'))}, substr(v, {at})) ELSE concat({_shifted(f'left(v, {at} - 1)', chr(39) * 2, k('email'), False).replace(', r, ', ', 0, ')}, substr(v, {at})) END"
     plain = "replace(v, ' ', '')"
+    shorter = "filter(transform(sequence(0, size(split(v, ' ')) - 1), i -> array_join(slice(split(v, ' '), 1, size(split(v, ' ')) - i), ' ')), w -> length(replace(w, ' ', '')) BETWEEN 15 AND 34 AND " + _mod97("concat(substr(replace(w, ' ', ''), 5), left(replace(w, ' ', ''), 4))") + " = 1)"
     iban = _let(plain, "p", f"CASE WHEN length(p) BETWEEN 15 AND 34 AND {_mod97('concat(substr(p, 5), left(p, 4))')} = 1 THEN " + _let(_text_feistel("substr(p, 5)", k("iban")), "q", _let(f"concat(left(p, 2), lpad(CAST(98 - {_mod97('concat(q, left(p, 2), chr(48), chr(48))')} AS string), 2, '0'), q)", "y", "aggregate(sequence(1, length(v)), struct('' AS t, 1 AS k), (z, i) -> CASE WHEN substr(v, i, 1) = ' ' THEN struct(concat(z.t, ' ') AS t, z.k AS k) ELSE struct(concat(z.t, substr(y, z.k, 1)) AS t, z.k + 1 AS k) END, z -> z.t)")) + " ELSE v END")
+    # of a country that isn't known: the longest part up to a space that is valid
+    iban = _let(f"coalesce(get({shorter}, 0), '')", "u", "concat(" + _let("CASE WHEN u = '' THEN v ELSE u END", "v", iban) + ", CASE WHEN u = '' THEN '' ELSE substr(v, length(u) + 1) END)")
     secret = _text_feistel("v", k("secret"), hexes=True)
     shapes = {
         "email": ("contains(v, '@')", email),
@@ -127,7 +167,10 @@ def _pseudonym(key: str) -> str:
         "phone": (r"regexp_like(v, '^([+]?1[ .\\-]?)?([(][0-9]{3}[)] ?|[0-9]{3}[ .\\-])[0-9]{3}[ .\\-][0-9]{4}$')", phone),
     }
     cases = " ".join(f"WHEN {test} THEN {made}" for test, made in shapes.values())
-    return _let(digits, "d", f"CASE {cases} ELSE {card} END")
+    cards = _let(_card_parts(), "x", _let(f"transform(x, v -> {_let(digits, 'd', card)})", "y", "struct(array_join(y, '') AS t, size(filter(zip_with(x, y, (a, b) -> a <> b), z -> z)) AS n)"))
+    tests = " OR ".join(test for test, _ in shapes.values())
+    other = _let(_let(digits, "d", f"CASE {cases} END"), "q", "struct(q AS t, CASE WHEN q <> v THEN 1 ELSE 0 END AS n)")
+    return f"CASE WHEN {tests} THEN {other} ELSE {cards} END"
 
 
 def with_pseudonyms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -141,8 +184,8 @@ def with_pseudonyms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     out = docs.withColumn("__m", found)
     out = out.withColumn("__q", F.when(F.size("__m") > 0, F.expr(f"transform(__m, v -> {_pseudonym(key)})")))
     pieces = F.split(F.col(text), _ANY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(pieces, "__q", lambda p, q: F.array(p, F.coalesce(q, F.lit(""))))), "")
-    changed = F.when(F.col("__q").isNotNull(), F.size(F.filter(F.zip_with("__m", "__q", lambda a, b: a != b), lambda x: x))).otherwise(0)
+    joined = F.array_join(F.flatten(F.zip_with(pieces, "__q", lambda p, q: F.array(p, F.coalesce(q["t"], F.lit(""))))), "")
+    changed = F.when(F.col("__q").isNotNull(), F.aggregate("__q", F.lit(0), lambda a, q: a + q["n"])).otherwise(0)
     return out.withColumns({text: F.when(F.col("__q").isNotNull(), joined).otherwise(F.col(text)), "__plm_changed": changed.cast("long")}).drop("__m", "__q")
 
 

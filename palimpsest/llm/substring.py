@@ -1,11 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv parsing against every indexed reference block (operator 1).
+"""Substring dedup by looking up windows at content-defined anchors, in place of a relative Lempel-Ziv parse (operator 1).
 
 A document is cut at content-defined anchors: every window of ``WINDOW`` words belongs to the
 smallest hash among its ``GRAM``-word grams, and the consecutive windows of one gram make a
 *phrase*. The reference blocks are the phrases at their first place in the corpus, indexed by
-anchor. Each document is factored against all of them: a phrase that equals a reference block
-is taken whole, and neighbouring ones join into one long factor. A factor ends inside a phrase
-where the texts part, so there, at factor boundaries, single windows are looked up. Windows
+anchor. A phrase that equals a reference block is taken whole, and neighbouring ones join into one
+long run, whichever blocks they come from. Where texts part inside a phrase, single windows are
+looked up. Windows
 belong to phrases by content alone, so nothing is missed: the result is the same as looking up
 every window, at the price of about one row for eight words.
 
@@ -115,7 +115,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def factors(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy parse: matched runs of words, which may overlap or touch, to the longest factors."""
+    """Matched runs of words, which may overlap or touch, united to the longest runs."""
     order = np.argsort(starts, kind="stable")
     starts, ends = starts[order], np.maximum.accumulate(ends[order])
     first = np.r_[True, starts[1:] > ends[:-1]]

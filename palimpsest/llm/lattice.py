@@ -85,3 +85,30 @@ def sentencepiece_vocabulary(path: str) -> tuple[list[str], list[float], list[in
             scores.append(p.get_score(i))
             ids.append(i)
     return pieces, scores, ids, p.unk_id(), byte
+
+
+def model_type(path: str) -> int:
+    """Of a sentencepiece model: 1 unigram, 2 BPE; field 3 of the trainer's settings, field 2 of the file."""
+
+    def number(raw: bytes, at: int) -> tuple[int, int]:
+        n = shift = 0
+        while True:
+            n |= (raw[at] & 127) << shift
+            shift, at = shift + 7, at + 1
+            if raw[at - 1] < 128:
+                return n, at
+
+    def fields(raw: bytes):
+        at = 0
+        while at < len(raw):
+            tag, at = number(raw, at)
+            if tag & 7 == 0:
+                value, at = number(raw, at)
+            else:
+                size, at = number(raw, at) if tag & 7 == 2 else (8 if tag & 7 == 1 else 4, at)
+                value, at = raw[at : at + size], at + size
+            yield tag >> 3, value
+
+    with open(path, "rb") as f:
+        trainer = b"".join(v for k, v in fields(f.read()) if k == 2)
+    return dict(fields(trainer)).get(3, 1)

@@ -1,4 +1,8 @@
-"""SentencePiece encoding and decoding by a streaming Viterbi (operator 6).
+"""SentencePiece encoding and decoding in a stream (operator 6): by a Viterbi, or by merges for a BPE model.
+
+Scores of a BPE model order its merges, and their greatest sum is not its encoding, so such a
+model (the public vocabulary is one) is encoded by its merges, segment by segment; see
+:class:`Merges`. A unigram model is encoded by the Viterbi.
 
 The best segmentation of a text is the path of greatest total score through the lattice of
 its pieces. Only positions within the longest piece of the frontier can still be left by a
@@ -16,6 +20,7 @@ itself among them, become their UTF-8 bytes.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_id, small_batches, with_key
-from .lattice import sentencepiece_vocabulary
+from .lattice import model_type, sentencepiece_vocabulary
 from .tokens import public_vocabulary
 
 SPACE = "▁"
@@ -76,6 +81,9 @@ class Codec:
                     held, best, back = held[at:], [x - best[at] for x in best[at:]], [(s - at, i) for s, i in back[at:]]
         yield from self._ids(held, back, len(held))
 
+    def segment(self, symbols: str) -> Iterable[int]:
+        return self.stream(symbols)
+
     def _converged(self, back: list[tuple[int, int]], n: int) -> int:
         """The last boundary on the paths of all positions that a later piece can leave from, 0 if there is none."""
         ends = set(range(n - self.longest + 1, n + 1))
@@ -104,7 +112,7 @@ class Codec:
             for segment in self.segments.findall(symbols):
                 found = self.memory.get(segment)
                 if found is None:
-                    found = self.older.get(segment) or np.fromiter(self.stream(segment), np.int32).tobytes()
+                    found = self.older.get(segment) or np.fromiter(self.segment(segment), np.int32).tobytes()
                     if len(segment) <= 64:
                         if len(self.memory) >= MEMORY:
                             self.older, self.memory = self.memory, {}
@@ -116,9 +124,42 @@ class Codec:
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
+class Merges(Codec):
+    """Ids of a BPE model: of all neighbours that make a piece, those of the highest score merge first, from the left.
+
+    No merge crosses a boundary that no piece spans, so a segment's ids are final once it ends.
+    """
+
+    def segment(self, symbols: str) -> list[int]:
+        score, part = self.score, list(symbols)
+        before, after = list(range(-1, len(part) - 1)), [*range(1, len(part)), -1]
+        ready: list[tuple[float, int, str]] = []
+
+        def offer(i: int, j: int) -> None:
+            if i >= 0 and j >= 0 and (found := score.get(part[i] + part[j])) is not None:
+                heapq.heappush(ready, (-found[0], i, part[i] + part[j]))
+
+        for i in range(len(part) - 1):
+            offer(i, i + 1)
+        while ready:
+            _, i, whole = heapq.heappop(ready)
+            j = after[i]
+            if not part[i] or j < 0 or part[i] + part[j] != whole:
+                continue  # one of the two has merged since
+            part[i], part[j], after[i] = whole, "", after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+            offer(before[i], i)
+            offer(i, after[i])
+        out: list[int] = []
+        for x in filter(None, part):
+            out.extend([score[x][1]] if x in score else [self.bytes[b] for b in x.encode("utf-8", "surrogatepass")])
+        return out
+
+
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return Merges(path) if model_type(path) == 2 else Codec(path)
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

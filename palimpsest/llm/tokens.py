@@ -23,6 +23,8 @@ BLOCK = 3_000_000
 _CLOSING = (b".", b",")
 _GAPS = (b"", b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\0")
 _SPACED = re.compile(rb"\s*\S+|\s+")
+#: White space that, unlike single spaces and new lines, never stands between chunks of the quick way.
+_ODD = (b"\r", b"\t", b"\x0b", b"\x0c", b"\0")
 #: White space beyond ASCII: texts that hold any are encoded in one piece.
 _WIDE = re.compile("[\x85\xa0  -     　]")
 #: How byte-level vocabularies write bytes: those without a visible character of their own follow from U+0100 on.
@@ -37,9 +39,14 @@ def public_vocabulary(name: str) -> str:
 
 
 def _spaced(raw: bytes) -> list[bytes]:
-    """Chunks of a text, each from the white space before it; those that follow a single space stand without it, the first of a text after a zero byte."""
+    """Chunks of a text, each from the white space before it; those that follow a single space stand without it, the first of a text and those with more white space after a zero byte.
+
+    A run of white space is never parted, and one that ends a text is a chunk of its own: how it is
+    cut into pre-tokens depends on all of it and on what follows.
+    """
     parts = raw.replace(b"\n", b" \n").split(b" ")
-    if b"" in parts or b"\0" in raw:
+    # an empty part is a space beside white space, a lone new line one before white space or the end
+    if b"" in parts or b"\n" in parts or any(x in raw for x in _ODD):
         return [x[1:] if x[:1] == b" " and x[1:2] not in _GAPS else x if x[:1] == b"\n" and x[1:2] not in _GAPS else b"\0" + x for x in _SPACED.findall(raw)]
     if parts[0][:1] != b"\n":
         parts[0] = b"\0" + parts[0]
@@ -66,7 +73,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.split, self.chunk = (_spaced, _chunk) if spaced else (_dropped, bytes)
         # a new line between chunks is a pre-token of its own; where white space is dropped, a lone control character is
-        self.mark, self.risky = ("\n", re.compile(rb"[^ ]*\s(?=\s)|.*[\n\r\t\x0b\x0c]|.*\s$", re.S).match) if spaced else (" \x01 ", re.compile(rb".*\x01", re.S).match)
+        self.mark, self.risky = ("\n", re.compile(rb".*(?:\s\s|[\n\r\t\x0b\x0c]|<\||\s$)", re.S).match) if spaced else (" \x01 ", re.compile(rb".*\x01", re.S).match)
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.model, self.spaced = self.tokenizer.model, spaced
         self.closing = {x: self._pack(self.tokenizer.encode(x.decode(), add_special_tokens=False).ids) for x in _CLOSING}

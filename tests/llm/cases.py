@@ -11,6 +11,7 @@ ROWS = [
     (10, "a b c d e f g h i j " * 6, "fr", "hot", 0), (11, "a " * 45, "fr", "hot", 0), (12, "Üch bēlich \U0001d400 𝔘𝔫𝔦 naïve café ▁ ▁▁ x  y", "de", "b", 0), (13, "mail bob.smith@example.com card 4111111111111111 on 2024-02-29 from 10.0.0.1", "en", "b", 0), (None, "no id at all, but text", "en", "b", 0),
     (None, "no id at all, but text", "en", "b", 0), (-5, "negative id, same words as no other text", "es", "b", 0), (2**62, "large id <|im_start|> <|endoftext|> &amp; # $ %", "en", "b", 0), (14, "trailing space and line \n\n", "en", "b", 0), (15, "12345 !!! ???", "en", "b", 0),
     (16, "THE QUICK BROWN FOX. " * 20, "en", "b", 0), (17, "the quick brown fox. " * 20, "en", "b", 0),
+    (18, "Para one.\n\nPara two.\n\n", "en", "b", 0), (19, "if x:\n    y = 1\n\n\n    z\r\n\r\n\u3000", "en", "b", 0), (20, "né" * 3000 + "𝔘x" * 500, "fr", "b", 0),
 ]
 
 

@@ -1,16 +1,20 @@
-"""SentencePiece encoding and decoding in a stream (operator 6): by a Viterbi, or by merges for a BPE model.
+"""SentencePiece encoding and decoding by a streaming Viterbi (operator 6).
 
-Scores of a BPE model order its merges, and their greatest sum is not its encoding, so such a
-model (the public vocabulary is one) is encoded by its merges, segment by segment; see
-:class:`Merges`. A unigram model is encoded by the Viterbi.
+A text is a path through the lattice of its pieces. Every position keeps one backpointer: its
+last piece and where that begins. Only positions within the longest piece of the frontier can
+still be left by a later piece, so a window of that length is retained; whenever the
+backpointer paths of all surviving positions converge on one boundary, the ids before it are
+final and are committed.
+
+Which backpointer a position keeps depends on the kind of model. For a unigram model it is the
+one of greatest total score. Scores of a BPE model (the public vocabulary is one) order its
+merges, and their greatest sum is not its encoding. There, of all pieces that end at a position,
+exactly one follows the piece before it as the merges leave them: two pieces may stand side by
+side if and only if the merges give these two for their joined text. See :class:`Merges`.
 
-The best segmentation of a text is the path of greatest total score through the lattice of
-its pieces. Only positions within the longest piece of the frontier can still be left by a
-later piece, so a window of that length is retained; whenever the backpointer paths of all
-surviving positions converge on one boundary, the ids before it are final and are committed.
 A boundary that no piece spans (in this vocabulary: before a space that follows anything but
-a space) is such a point for every path, so what lies between two of them is encoded by
-itself and remembered, in a bounded memory.
+a space) is a point of convergence for every path, so what lies between two of them is encoded
+by itself and remembered, in a bounded memory.
 
 Texts are encoded as they are, without Unicode normalisation, so decoding is exact: a space
 becomes U+2581, one is put before the text, and characters outside the vocabulary, U+2581
@@ -23,8 +27,9 @@ import hashlib
 import heapq
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -40,9 +45,13 @@ SPACE = "▁"
 UNKNOWN = 10.0
 #: Segments remembered by a worker in each of two generations, some 200 bytes each.
 MEMORY = 300_000
+#: Segments are looked up for so many code points of text at once.
+BLOCK = 3_000_000
 
 
 class Codec:
+    """Of a unigram model."""
+
     def __init__(self, path: str):
         pieces, scores, ids, self.unknown, self.bytes = sentencepiece_vocabulary(path)
         self.score = dict(zip(pieces, zip(scores, ids)))
@@ -53,37 +62,42 @@ class Codec:
             raise ValueError(f"pieces span a space: {inner[:3]}")
         self.value = {i: b for b, i in self.bytes.items()}
         #: What each id stands for.
-        self.raw = {i: x.replace(SPACE, " ").encode() for x, i in zip(pieces, ids)} | {i: bytes([b]) for b, i in self.bytes.items()}
+        self.raw = [b""] * (1 + max(*ids, *self.value, 0))
+        for i, x in [*((i, x.replace(SPACE, " ").encode()) for x, i in zip(pieces, ids)), *((i, bytes([b])) for b, i in self.bytes.items())]:
+            self.raw[i] = x
         self.segments = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.literal = self._packed([self.bytes[b] for b in SPACE.encode()]) if self.bytes else b""
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def choose(self, held: str, best: list[float], back: list[tuple[int, int]], before: str) -> tuple[float, tuple[int, int]]:
+        """Of the position at the end of ``held``: its total, and where its last piece begins with that piece's id (-1: a character outside the vocabulary). best, back: of the positions before; before: the last piece that has been committed."""
+        n, score, c = len(held), self.score, held[-1]
+        top, way = -1e300, (n - 1, -1)
+        for start in range(max(0, n - self.longest), n):
+            found = score.get(held[start:])
+            if found is not None and best[start] + found[0] > top:
+                top, way = best[start] + found[0], (start, found[1])
+        if c not in score and best[n - 1] + self.worst > top:
+            top, way = best[n - 1] + self.worst, (n - 1, -1)
+        return top, way
+
     def stream(self, symbols: Iterable[str]) -> Iterator[int]:
         """Ids of a stream of characters (spaces as U+2581), each as soon as no later character can change it."""
-        score, longest = self.score, self.longest
-        held, best, back = "", [0.0], [(0, -1)]  # of each held position: its best total; where its last piece begins, and its id
+        held, best, back, before = "", [0.0], [(0, -1)], ""
         for c in symbols:
             held += c
-            n = len(held)
-            top, way = -1e300, None
-            for start in range(max(0, n - longest), n):
-                found = score.get(held[start:])
-                if found is not None and best[start] + found[0] > top:
-                    top, way = best[start] + found[0], (start, found[1])
-            if c not in score and best[n - 1] + self.worst > top:
-                top, way = best[n - 1] + self.worst, (n - 1, -1)
+            top, way = self.choose(held, best, back, before)
             best.append(top)
             back.append(way)
-            if n >= 4 * longest:
-                at = self._converged(back, n)
+            if len(held) >= 4 * self.longest:
+                at = self._converged(back, len(held))
                 if at:
                     yield from self._ids(held, back, at)
+                    before = held[back[at][0] : at]
                     held, best, back = held[at:], [x - best[at] for x in best[at:]], [(s - at, i) for s, i in back[at:]]
         yield from self._ids(held, back, len(held))
 
-    def segment(self, symbols: str) -> Iterable[int]:
-        return self.stream(symbols)
-
     def _converged(self, back: list[tuple[int, int]], n: int) -> int:
         """The last boundary on the paths of all positions that a later piece can leave from, 0 if there is none."""
         ends = set(range(n - self.longest + 1, n + 1))
@@ -101,36 +115,74 @@ class Codec:
             end = start
         return out[::-1]
 
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        parts = []
+    @staticmethod
+    def _packed(ids: Iterable[int]) -> bytes:
+        return np.fromiter(ids, np.int32).tobytes()
+
+    def _parts(self, text: str) -> list[str]:
+        """Names of a text's segments: a word that follows one space, or begins the text, as it is; any other with U+2581 before it; U+2581 alone for that character itself."""
+        parts = text.split(" ")
+        if "" not in parts and SPACE not in text:
+            return parts
+        out: list[str] = []
         for k, plain in enumerate(text.split(SPACE)):
-            if k:  # a literal U+2581 between
-                parts.append(np.array([self.bytes[b] for b in SPACE.encode()], np.int32).tobytes())
+            if k:
+                out.append(SPACE)
             symbols = plain.replace(" ", SPACE) if k else SPACE + plain.replace(" ", SPACE)
-            for segment in self.segments.findall(symbols):
-                found = self.memory.get(segment)
-                if found is None:
-                    found = self.older.get(segment) or np.fromiter(self.segment(segment), np.int32).tobytes()
-                    if len(segment) <= 64:
-                        if len(self.memory) >= MEMORY:
-                            self.older, self.memory = self.memory, {}
-                        self.memory[segment] = found
-                parts.append(found)
-        return np.frombuffer(b"".join(parts), np.int32)
+            out.extend(x[1:] if x[0] == SPACE and x[1:2] not in ("", SPACE) else SPACE + x for x in self.segments.findall(symbols))
+        return out
+
+    def _found(self, parts: list[list[str]]) -> dict[str, bytes]:
+        """Ids of all segments at hand, from what is remembered or anew."""
+        needed = set().union(*parts)
+        if len(self.memory) > MEMORY:
+            self.older, self.memory = self.memory, {}
+        found = {x: self.memory[x] for x in needed if x in self.memory}
+        for x in needed.difference(found):
+            ids = self.older.get(x)
+            if ids is None:
+                ids = self.literal if x == SPACE else self._packed(self.stream(x[1:] if x[0] == SPACE else SPACE + x))
+            found[x] = ids
+            if len(x) <= 64:
+                self.memory[x] = ids
+        return found
+
+    def encode_all(self, texts: Sequence[str | None]) -> list[np.ndarray]:
+        """Ids of each text; a null or empty one has none."""
+        out: list[np.ndarray] = []
+        at = 0
+        while at < len(texts):
+            size, end = 0, at
+            while end < len(texts) and (end == at or size < BLOCK):
+                size += len(texts[end] or "")
+                end += 1
+            parts = [self._parts(x) if x else [] for x in texts[at:end]]
+            found = self._found(parts)
+            out.extend(np.frombuffer(b"".join(itemgetter(*p)(found)) if len(p) > 1 else b"".join(map(found.__getitem__, p)), np.int32) for p in parts)
+            at = end
+        return out
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
 class Merges(Codec):
-    """Ids of a BPE model: of all neighbours that make a piece, those of the highest score merge first, from the left.
+    """Of a BPE model: of all neighbours that make a piece, those of the highest score merge first, from the left.
 
-    No merge crosses a boundary that no piece spans, so a segment's ids are final once it ends.
+    What the merges make of a text is, up to each of its boundaries, what they make of the text up to
+    there. So each position has one last piece, whatever follows, and a path of such pieces is
+    the encoding of the whole.
     """
 
-    def segment(self, symbols: str) -> list[int]:
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.pairs: dict[tuple[str, str], bool] = {}
+
+    def merged(self, symbols: str) -> list[str]:
+        """The pieces that the merges leave of a text; characters outside the vocabulary stand alone."""
         score, part = self.score, list(symbols)
         before, after = list(range(-1, len(part) - 1)), [*range(1, len(part)), -1]
         ready: list[tuple[float, int, str]] = []
@@ -151,10 +203,24 @@ class Merges(Codec):
                 before[after[i]] = i
             offer(before[i], i)
             offer(i, after[i])
-        out: list[int] = []
-        for x in filter(None, part):
-            out.extend([score[x][1]] if x in score else [self.bytes[b] for b in x.encode("utf-8", "surrogatepass")])
-        return out
+        return [x for x in part if x]
+
+    def beside(self, first: str, second: str) -> bool:
+        """Whether the merges leave these two pieces as they are; ``first`` is empty at the beginning of a text."""
+        known = self.pairs.get((first, second))
+        if known is None:
+            if len(self.pairs) >= MEMORY:
+                self.pairs.clear()
+            known = self.pairs[first, second] = self.merged(first + second) == [x for x in (first, second) if x]
+        return known
+
+    def choose(self, held: str, best: list[float], back: list[tuple[int, int]], before: str) -> tuple[float, tuple[int, int]]:
+        n, score = len(held), self.score
+        for start in range(max(0, n - self.longest), n):
+            found = score.get(held[start:])
+            if (found is not None or start == n - 1) and self.beside(held[back[start][0] : start] if start else before, held[start:]):
+                return 0.0, (start, found[1] if found else -1)
+        raise ValueError("no piece ends here")
 
 
 @lru_cache(maxsize=2)
@@ -168,8 +234,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
-        own = codec(path)
-        return pd.Series([own.encode(x) for x in texts])
+        return pd.Series(codec(path).encode_all(texts.tolist()))
 
     small_batches(docs.sparkSession)
     return with_key(docs, "text").select("id", ids("text").alias("ids"))
@@ -195,8 +260,7 @@ def query(docs: DataFrame) -> DataFrame:
     def both(texts: pd.Series) -> pd.DataFrame:
         own = codec(path)
         rows = []
-        for x in texts:
-            ids = own.encode(x)
+        for ids in own.encode_all(texts.tolist()):
             rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), hashlib.sha256(own.decode(ids.tolist()).encode("utf-8", "surrogatepass")).hexdigest()))
         return pd.DataFrame(rows, columns=["n_ids", "ids_crc32", "decoded_sha256"])
 

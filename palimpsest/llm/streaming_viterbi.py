@@ -56,6 +56,10 @@ class Codec:
         pieces, scores, ids, self.unknown, self.bytes = sentencepiece_vocabulary(path)
         self.score = dict(zip(pieces, zip(scores, ids)))
         self.longest = max(map(len, pieces))
+        #: Score and id of what pieces end with, None where that is no piece itself: looking back from a position stops at what is missing here.
+        self.ends = {x[k:]: None for x in pieces for k in range(1, len(x))} | self.score
+        #: Whether a new line is in no longer piece: then no piece spans its sides.
+        self.lines = not any("\n" in x for x in pieces if len(x) > 1)
         self.worst = min(scores) - UNKNOWN
         inner = [x for x in pieces if SPACE in x.lstrip(SPACE)]
         if inner:
@@ -72,14 +76,15 @@ class Codec:
 
     def choose(self, held: str, best: list[float], back: list[tuple[int, int]], before: str) -> tuple[float, tuple[int, int]]:
         """Of the position at the end of ``held``: its total, and where its last piece begins with that piece's id (-1: a character outside the vocabulary). best, back: of the positions before; before: the last piece that has been committed."""
-        n, score, c = len(held), self.score, held[-1]
-        top, way = -1e300, (n - 1, -1)
-        for start in range(max(0, n - self.longest), n):
-            found = score.get(held[start:])
+        top, way = -1e300, (len(held) - 1, -1)
+        for start in range(len(held) - 1, -1, -1):
+            found = self.ends.get(held[start:], 0)
+            if found == 0:
+                break
             if found is not None and best[start] + found[0] > top:
                 top, way = best[start] + found[0], (start, found[1])
-        if c not in score and best[n - 1] + self.worst > top:
-            top, way = best[n - 1] + self.worst, (n - 1, -1)
+        if held[-1] not in self.score and best[-1] + self.worst > top:
+            top, way = best[-1] + self.worst, (len(held) - 1, -1)
         return top, way
 
     def stream(self, symbols: Iterable[str]) -> Iterator[int]:
@@ -120,8 +125,8 @@ class Codec:
         return np.fromiter(ids, np.int32).tobytes()
 
     def _parts(self, text: str) -> list[str]:
-        """Names of a text's segments: a word that follows one space, or begins the text, as it is; any other with U+2581 before it; U+2581 alone for that character itself."""
-        parts = text.split(" ")
+        """Names of a text's segments: a word that follows one space, or begins the text, as it is; one that begins with a new line too; any other with U+2581 before it; U+2581 alone for that character itself."""
+        parts = (text.replace("\n", " \n") if self.lines else text).split(" ")
         if "" not in parts and SPACE not in text:
             return parts
         out: list[str] = []
@@ -129,7 +134,7 @@ class Codec:
             if k:
                 out.append(SPACE)
             symbols = plain.replace(" ", SPACE) if k else SPACE + plain.replace(" ", SPACE)
-            out.extend(x[1:] if x[0] == SPACE and x[1:2] not in ("", SPACE) else SPACE + x for x in self.segments.findall(symbols))
+            out.extend(x[1:] if x[0] == SPACE and x[1:2] not in ("", SPACE, "\n") else SPACE + x for x in self.segments.findall(symbols))
         return out
 
     def _found(self, parts: list[list[str]]) -> dict[str, bytes]:
@@ -141,7 +146,7 @@ class Codec:
         for x in needed.difference(found):
             ids = self.older.get(x)
             if ids is None:
-                ids = self.literal if x == SPACE else self._packed(self.stream(x[1:] if x[0] == SPACE else SPACE + x))
+                ids = self.literal if x == SPACE else self._packed(self.stream(x[1:] if x[0] == SPACE else x if x[0] == "\n" and self.lines else SPACE + x))
             found[x] = ids
             if len(x) <= 64:
                 self.memory[x] = ids
@@ -215,10 +220,12 @@ class Merges(Codec):
         return known
 
     def choose(self, held: str, best: list[float], back: list[tuple[int, int]], before: str) -> tuple[float, tuple[int, int]]:
-        n, score = len(held), self.score
-        for start in range(max(0, n - self.longest), n):
-            found = score.get(held[start:])
-            if (found is not None or start == n - 1) and self.beside(held[back[start][0] : start] if start else before, held[start:]):
+        last = len(held) - 1
+        for start in range(last, -1, -1):
+            found = self.ends.get(held[start:], 0)
+            if found == 0 and start < last:
+                break
+            if (found or start == last) and self.beside(held[back[start][0] : start] if start else before, held[start:]):
                 return 0.0, (start, found[1] if found else -1)
         raise ValueError("no piece ends here")
 

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
@@ -103,6 +104,9 @@ class Codec:
                     held, best, back = held[at:], [x - best[at] for x in best[at:]], [(s - at, i) for s, i in back[at:]]
         yield from self._ids(held, back, len(held))
 
+    def segment(self, symbols: str) -> Iterable[int]:
+        return self.stream(symbols)
+
     def _converged(self, back: list[tuple[int, int]], n: int) -> int:
         """The last boundary on the paths of all positions that a later piece can leave from, 0 if there is none."""
         ends = set(range(n - self.longest + 1, n + 1))
@@ -124,6 +128,9 @@ class Codec:
     def _packed(ids: Iterable[int]) -> bytes:
         return np.fromiter(ids, np.int32).tobytes()
 
+    def _encoded(self, symbols: str) -> bytes:
+        return self._packed(self.segment(symbols) if len(symbols) < 4 * self.longest else self.stream(symbols))
+
     def _parts(self, text: str) -> list[str]:
         """Names of a text's segments: a word that follows one space, or begins the text, as it is; one that begins with a new line too; any other with U+2581 before it; U+2581 alone for that character itself."""
         parts = (text.replace("\n", " \n") if self.lines else text).split(" ")
@@ -146,7 +153,7 @@ class Codec:
         for x in needed.difference(found):
             ids = self.older.get(x)
             if ids is None:
-                ids = self.literal if x == SPACE else self._packed(self.stream(x[1:] if x[0] == SPACE else x if x[0] == "\n" and self.lines else SPACE + x))
+                ids = self.literal if x == SPACE else self._encoded(x[1:] if x[0] == SPACE else x if x[0] == "\n" and self.lines else SPACE + x)
             found[x] = ids
             if len(x) <= 64:
                 self.memory[x] = ids
@@ -185,12 +192,15 @@ class Merges(Codec):
     def __init__(self, path: str):
         super().__init__(path)
         self.pairs: dict[tuple[str, str], bool] = {}
+        #: Of each longer piece: the merges that make it.
+        self.made: dict[str, list[tuple[float, str, str]] | None] = {}
 
-    def merged(self, symbols: str) -> list[str]:
-        """The pieces that the merges leave of a text; characters outside the vocabulary stand alone."""
+    def merged(self, symbols: str, log: list[tuple[float, str, str]] | None = None) -> list[str]:
+        """The pieces that the merges leave of a text; characters outside the vocabulary stand alone. log: gets of each merge its negative score, and the first and last piece after it."""
         score, part = self.score, list(symbols)
         before, after = list(range(-1, len(part) - 1)), [*range(1, len(part)), -1]
         ready: list[tuple[float, int, str]] = []
+        end = len(part) - 1
 
         def offer(i: int, j: int) -> None:
             if i >= 0 and j >= 0 and (found := score.get(part[i] + part[j])) is not None:
@@ -199,25 +209,85 @@ class Merges(Codec):
         for i in range(len(part) - 1):
             offer(i, i + 1)
         while ready:
-            _, i, whole = heapq.heappop(ready)
+            rank, i, whole = heapq.heappop(ready)
             j = after[i]
             if not part[i] or j < 0 or part[i] + part[j] != whole:
                 continue  # one of the two has merged since
             part[i], part[j], after[i] = whole, "", after[j]
             if after[i] >= 0:
                 before[after[i]] = i
+            else:
+                end = i
+            if log is not None:
+                log.append((rank, part[0], part[end]))
             offer(before[i], i)
             offer(i, after[i])
         return [x for x in part if x]
 
+    def _history(self, piece: str) -> list[tuple[float, str, str]] | None:
+        """The merges that make a piece, None if they make something else of its characters."""
+        if len(piece) == 1:
+            return []
+        if piece not in self.made:
+            log: list[tuple[float, str, str]] = []
+            self.made[piece] = log if self.merged(piece, log) == [piece] else None
+        return self.made[piece]
+
     def beside(self, first: str, second: str) -> bool:
-        """Whether the merges leave these two pieces as they are; ``first`` is empty at the beginning of a text."""
-        known = self.pairs.get((first, second))
-        if known is None:
+        """Whether the merges leave these two pieces as they are; ``first`` is empty at the beginning of a text.
+
+        Each is made by its own merges, in an order that both share by score, the left one first among
+        equals. They stay apart unless the pieces that face each other at some time merge sooner.
+        """
+        a, b = self._history(first) if first else [], self._history(second)
+        if a is None or b is None:
+            return False
+        left, right = first[-1:], second[0]
+        i = j = 0
+        while left:
+            across = self.score.get(left + right)
+            rank = -across[0] if across is not None else math.inf
+            if i < len(a) and a[i][0] <= rank and (j == len(b) or a[i][0] <= b[j][0]):
+                left = a[i][2]
+                i += 1
+            elif rank < math.inf and (j == len(b) or rank <= b[j][0]):
+                return False
+            elif j < len(b):
+                right = b[j][1]
+                j += 1
+            else:
+                return True
+        return True
+
+    def _fits(self, first: str, second: str) -> bool:
+        fits = self.pairs.get((first, second))
+        if fits is None:
             if len(self.pairs) >= MEMORY:
                 self.pairs.clear()
-            known = self.pairs[first, second] = self.merged(first + second) == [x for x in (first, second) if x]
-        return known
+            fits = self.pairs[first, second] = self.beside(first, second)
+        return fits
+
+    def segment(self, symbols: str) -> list[int]:
+        """As :meth:`stream`, for a text so short that the window holds it."""
+        ends, pairs, last, begin = self.ends, self.pairs, [""], [0]
+        for n in range(1, len(symbols) + 1):
+            start = n - 1
+            while start >= 0:
+                piece = symbols[start:n]
+                found = ends.get(piece, 0)
+                if found or start == n - 1:
+                    both = last[start], piece
+                    fits = pairs.get(both)
+                    if self._fits(*both) if fits is None else fits:
+                        break
+                elif found == 0:
+                    start = 0
+                start -= 1
+            if start < 0:
+                raise ValueError("no piece ends here")
+            last.append(piece)
+            begin.append(start)
+        return self._ids(symbols, [(start, self.score[x][1] if x in self.score else -1) for start, x in zip(begin, last)], len(symbols))
 
     def choose(self, held: str, best: list[float], back: list[tuple[int, int]], before: str) -> tuple[float, tuple[int, int]]:
         last = len(held) - 1
@@ -225,7 +295,7 @@ class Merges(Codec):
             found = self.ends.get(held[start:], 0)
             if found == 0 and start < last:
                 break
-            if (found or start == last) and self.beside(held[back[start][0] : start] if start else before, held[start:]):
+            if (found or start == last) and self._fits(held[back[start][0] : start] if start else before, held[start:]):
                 return 0.0, (start, found[1] if found else -1)
         raise ValueError("no piece ends here")
 

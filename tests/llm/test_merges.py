@@ -48,3 +48,13 @@ def test_memory_turns_over(monkeypatch):
     texts = [None, ""] + [t for (t,) in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' LIMIT 30").fetchall()]
     own, other = streaming_viterbi.Merges(PATH), streaming_viterbi.codec(PATH)
     assert [x.tolist() for x in own.encode_all(texts)] == [other.encode(x).tolist() for x in texts]
+
+
+def test_pieces_beside_each_other():
+    """By the histories of both pieces against the merges of their joined text."""
+    own = streaming_viterbi.codec(PATH)
+    rng = np.random.default_rng(6)
+    pieces = list(own.score)
+    short = [x for x in pieces if len(x) < 4]
+    for first, second in [*rng.choice(pieces, (15_000, 2)), *rng.choice(short, (15_000, 2))]:
+        assert own.beside(first, second) == (own.merged(first + second) == [first, second]), (first, second)

@@ -97,9 +97,9 @@ def info_severity(key: Column) -> Column:
     return F.when(key.isin(*IDENTITY_KEYS) | ~key.isin(*STANDARD_KEYS), "medium").otherwise("info")
 
 
-def in_reading_order(items: str, ch: str = "ch") -> Column:
+def in_reading_order(items: Column) -> Column:
     """Concatenates an array of structs (up, x0, glyph_id, ch), up being -y0: from top to bottom, left to right, ties as emitted."""
-    return F.array_join(F.transform(F.array_sort(F.col(items)), lambda z: z[ch]), "")
+    return F.array_join(F.transform(F.array_sort(items), lambda z: z["ch"]), "")
 
 
 def glyph_place(g) -> Column:

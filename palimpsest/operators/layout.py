@@ -1,95 +1,94 @@
 """Detectors over the glyphs of a page.
 
-A page row holds its glyphs and its covers, so the spatial joins are a generator and a filter
-inside one codegen stage: glyphs are never shuffled. Only what matched is grouped, by page and
-cover, with the text in reading order assembled from a page-sized list.
+A page row holds its glyphs and its covers, so the spatial joins are filters over the arrays of
+one row: glyphs are never rows of their own, nothing is shuffled or grouped, and a row leaves with
+what matched alone. Boxes are as the sources give them, x0 <= x1 and y0 <= y1.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from .findings import finding
 
 _BOX = ("x0", "y0", "x1", "y1")
+_PAGE = ("doc_id", "page")
 
 
-def nest(pages: DataFrame, glyphs: DataFrame, covers: DataFrame) -> DataFrame:
-    """Layout rows from flat tables, for sources that have them apart."""
-    keys = ["doc_id", "page"]
-    g = glyphs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("glyph_id", "ch", *_BOX, "size", "brightness"))).alias("glyphs"))
-    c = covers.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cover_id", "kind", "top_level", *_BOX, "brightness"))).alias("covers"))
-    return pages.join(g, keys, "left").join(c, keys, "left")
+def _page_box() -> Column:
+    return F.struct(*_BOX)
 
 
-def placed(layout: DataFrame, extra: tuple[str, ...] = ("covers",)) -> DataFrame:
-    """One row for each glyph: doc_id, page, the page's box as p, the glyph as g, and the page's columns named in ``extra``."""
-    rows = layout.select("doc_id", "page", F.struct(*_BOX).alias("p"), *extra, F.explode("glyphs").alias("g"))
-    return rows.where(~E.blank(F.col("g.ch")))
+def _hit(g: Column, box: Column) -> Column:
+    """Whether ``box`` covers at least OVERLAP of a glyph that is no white space; the cheap tests, which most glyphs fail, come first."""
+    near = (g["y1"] >= box["y0"]) & (g["y0"] <= box["y1"]) & (g["x1"] >= box["x0"]) & (g["x0"] <= box["x1"])
+    return near & (E.overlap_ratio(g, box) >= E.OVERLAP) & ~E.blank(g["ch"])
 
 
-def effective_covers(placed_rows: DataFrame) -> DataFrame:
-    """(doc_id, page, g, c): each glyph with each cover of its page that isn't a mere background."""
-    rows = placed_rows.select("doc_id", "page", "p", "g", F.explode("covers").alias("c"))
-    c, p = F.col("c"), F.col("p")
-    background = (E.area(p) > 0) & (E.area(c) / E.area(p) > E.BACKGROUND)
-    return rows.where(E.is_dark(c["kind"], c["brightness"]) | ~background)
+def _read(glyphs: Column) -> Column:
+    """Text of an array of glyphs in reading order."""
+    return E.in_reading_order(F.transform(glyphs, E.glyph_place))
 
 
-def covered_glyphs(placed_rows: DataFrame) -> DataFrame:
-    """Glyphs that a cover hides by at least OVERLAP; a glyph counts under every such cover."""
-    return effective_covers(placed_rows).where(E.overlap_ratio(F.col("g"), F.col("c")) >= E.OVERLAP)
+def effective_covers(page: Column) -> Column:
+    """The covers that aren't a mere background of the page."""
+    return F.filter("covers", lambda c: E.is_dark(c["kind"], c["brightness"]) | ~((E.area(page) > 0) & (E.area(c) / E.area(page) > E.BACKGROUND)))
 
 
-def covered_spans(placed_rows: DataFrame) -> DataFrame:
-    """A1: (doc_id, page, c, n_glyphs, evidence) of covers with covered text."""
-    rows = covered_glyphs(placed_rows).select("doc_id", "page", "c", E.glyph_place(F.col("g")).alias("z"))
-    return rows.groupBy("doc_id", "page", "c").agg(F.count("*").alias("n_glyphs"), F.collect_list("z").alias("z")).select("doc_id", "page", "c", "n_glyphs", E.in_reading_order("z").alias("evidence"))
+def covered_spans(layout: DataFrame) -> DataFrame:
+    """(doc_id, page, c, n_glyphs, evidence) of covers with covered text; a glyph counts under every cover that hides it."""
+    under = F.transform(effective_covers(_page_box()), lambda c: F.struct(c.alias("c"), F.filter("glyphs", lambda g: _hit(g, c)).alias("g")))
+    rows = layout.select(*_PAGE, F.explode(under).alias("u")).where(F.size("u.g") > 0)
+    return rows.select(*_PAGE, F.col("u.c").alias("c"), F.size("u.g").cast("long").alias("n_glyphs"), _read(F.col("u.g")).alias("evidence"))
 
 
-def covered_text(placed_rows: DataFrame) -> DataFrame:
-    rows = covered_spans(placed_rows)
+def covered_text(layout: DataFrame) -> DataFrame:
+    rows = covered_spans(layout)
     c = F.col("c")
     text = F.concat(F.col("n_glyphs").cast("string"), F.lit(" characters lie under a "), E.cover_label(c["kind"], c["brightness"]), F.lit(" and can be copied out."))
     box = F.array(*(F.round(c[x], 2) for x in _BOX))
     return finding(rows, "covered_text", E.cover_severity(c["kind"], c["brightness"]), text, E.strip(F.col("evidence")), "Delete the text below the cover, then export a new file.", F.col("page"), box, c["cover_id"])
 
 
-def invisible_reason(g, p, covers: str = "covers"):
-    """Off the page, tiny, or white without a dark top-level rectangle behind; the first that holds, else null."""
-    behind = F.exists(F.col(covers), lambda c: F.coalesce(c["top_level"], F.lit(False)) & E.is_dark(c["kind"], c["brightness"]) & (E.overlap_ratio(g, c) >= E.OVERLAP))
-    off = (g["x1"] < p["x0"]) | (g["x0"] > p["x1"]) | (g["y1"] < p["y0"]) | (g["y0"] > p["y1"])
-    return F.when(off, "offpage").when(F.coalesce(g["size"], F.lit(1.0)) <= E.TINY, "tiny").when((g["brightness"] >= E.WHITE) & ~F.coalesce(behind, F.lit(False)), "white")
+def _off(g: Column, p: Column) -> Column:
+    return (g["x1"] < p["x0"]) | (g["x0"] > p["x1"]) | (g["y1"] < p["y0"]) | (g["y0"] > p["y1"])
 
 
-def hidden_pages(placed_rows: DataFrame) -> DataFrame:
-    """A3: (doc_id, page, n_white, n_tiny, n_offpage, text) of pages with invisible glyphs."""
-    g = F.col("g")
-    rows = placed_rows.select("doc_id", "page", E.glyph_place(g).alias("z"), invisible_reason(g, F.col("p")).alias("why")).where("why IS NOT NULL")
-    counts = [F.count_if(F.col("why") == w).alias(f"n_{w}") for w in ("white", "tiny", "offpage")]
-    return rows.groupBy("doc_id", "page").agg(*counts, F.collect_list("z").alias("z")).select("doc_id", "page", "n_white", "n_tiny", "n_offpage", E.in_reading_order("z").alias("text"))
+def _tiny(g: Column) -> Column:
+    return F.coalesce(g["size"], F.lit(1.0)) <= E.TINY
 
 
-def hidden_geometry(placed_rows: DataFrame) -> DataFrame:
-    rows = hidden_pages(placed_rows)
+def invisible(g: Column, p: Column, dark: Column) -> Column:
+    """Off the page ``p``, tiny, or white without one of ``dark`` (the page's dark top-level rectangles) behind."""
+    return _off(g, p) | _tiny(g) | ((g["brightness"] >= E.WHITE) & ~F.exists(dark, lambda c: E.overlap_ratio(g, c) >= E.OVERLAP))
+
+
+def hidden_pages(layout: DataFrame) -> DataFrame:
+    """A3: (doc_id, page, n_white, n_tiny, n_offpage, text) of pages with invisible glyphs; each counts for the first reason that holds."""
+    dark = F.filter("covers", lambda c: F.coalesce(c["top_level"], F.lit(False)) & E.is_dark(c["kind"], c["brightness"]))
+    unseen = F.filter("glyphs", lambda g: invisible(g, F.col("p"), F.col("dark")) & ~E.blank(g["ch"]))
+    # a generator of one row: no filter is pushed below it, where the expression would be evaluated once more
+    rows = layout.select(*_PAGE, "glyphs", _page_box().alias("p"), dark.alias("dark")).select(*_PAGE, "p", F.explode(F.array(unseen)).alias("z")).where(F.size("z") > 0)
+    off, tiny = F.size(F.filter("z", lambda g: _off(g, F.col("p")))), F.size(F.filter("z", lambda g: ~_off(g, F.col("p")) & _tiny(g)))
+    counts = [n.cast("long").alias(f"n_{w}") for w, n in (("white", F.size("z") - off - tiny), ("tiny", tiny), ("offpage", off))]
+    return rows.select(*_PAGE, *counts, _read(F.col("z")).alias("text"))
+
+
+def hidden_geometry(layout: DataFrame) -> DataFrame:
+    rows = hidden_pages(layout)
     parts = [F.when(F.col(f"n_{w}") > 0, F.concat(F.col(f"n_{w}").cast("string"), F.lit(f" {say}"))) for w, say in (("white", "in white"), ("tiny", "too small to see"), ("offpage", "outside the page"))]
     return finding(rows, "hidden_text", "critical", F.concat(F.lit("Characters that nobody sees: "), F.concat_ws("; ", *parts), F.lit(".")), F.substring("text", 1, 400), "Remove the hidden text from the content.", F.col("page"), emit=F.lit(1))
 
 
 def text_under(annots: DataFrame, layout: DataFrame) -> DataFrame:
-    """Annots with ``under``, the text below each rectangle in reading order; empty for none, a null rectangle or a missing page."""
-    keys = ["doc_id", "page"]
-    box = F.struct(*(F.col("rect")[i].alias(x) for i, x in enumerate(_BOX)))
-    marks = annots.where("rect IS NOT NULL").groupBy(*keys).agg(F.collect_list(F.struct("ord", box.alias("b"))).alias("marks"))
-    rows = placed(layout.join(marks, keys), ("marks",)).select(*keys, "g", F.explode("marks").alias("m")).where(E.overlap_ratio(F.col("g"), F.col("m.b")) >= E.OVERLAP)
-    found = rows.groupBy(*keys, F.col("m.ord").alias("ord")).agg(F.collect_list(E.glyph_place(F.col("g"))).alias("z")).select(*keys, "ord", E.in_reading_order("z").alias("under"))
-    return annots.join(found, [*keys, "ord"], "left").withColumn("under", F.coalesce("under", F.lit("")))
-
+    """Annots with ``under``, the text below each rectangle in reading order; empty for none, a null rectangle or a missing page.
 
-def current_text(layout: DataFrame) -> DataFrame:
-    """(doc_id, text), all glyphs of all pages without separators."""
-    page = F.array_join(F.transform(F.array_sort("glyphs"), lambda g: g["ch"]), "")
-    rows = layout.select("doc_id", F.struct("page", page.alias("t")).alias("x"))
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "").alias("text"))
+    Pages meet their marks before any glyph is looked at, so other pages cost nothing.
+    """
+    box = F.struct(*(F.col("rect")[i].alias(x) for i, x in enumerate(_BOX)))
+    marks = annots.where("rect IS NOT NULL").groupBy(*_PAGE).agg(F.collect_list(F.struct("ord", box.alias("b"))).alias("marks"))
+    under = F.transform("marks", lambda m: F.struct(m["ord"].alias("ord"), F.filter("glyphs", lambda g: _hit(g, m["b"])).alias("g")))
+    found = layout.select(*_PAGE, "glyphs").join(marks, list(_PAGE)).select(*_PAGE, F.explode(under).alias("u")).select(*_PAGE, "u.ord", _read(F.col("u.g")).alias("under"))
+    return annots.join(found, [*_PAGE, "ord"], "left").withColumn("under", F.coalesce("under", F.lit("")))

@@ -34,8 +34,8 @@ class Tables:
 Detector = Callable[[Tables], DataFrame]
 
 DETECTORS: dict[str, Detector] = {
-    "covered_text": lambda t: layout.covered_text(layout.placed(t.layout)),
-    "hidden_text": lambda t: union([stream.hidden_stream(t.stream_ops), layout.hidden_geometry(layout.placed(t.layout))]),
+    "covered_text": lambda t: layout.covered_text(t.layout),
+    "hidden_text": lambda t: union([stream.hidden_stream(t.stream_ops), layout.hidden_geometry(t.layout)]),
     "revision_history": lambda t: revisions.revision_history(t.revisions),
     "embedded_files": lambda t: attachments.embedded_files(t.filespecs),
     "metadata": lambda t: metadata.metadata(t.info, t.xmp, t.xmp_fields, t.layout),

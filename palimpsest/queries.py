@@ -19,17 +19,17 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def covered_text(spark: SparkSession, d: str) -> DataFrame:
-    rows = layout.covered_spans(synthetic.placed(_t(spark, d, "documents")))
+    rows = layout.covered_spans(synthetic.layout(_t(spark, d, "documents")))
     c = F.col("c")
     return rows.select("doc_id", "page", c["cover_id"].alias("cover_id"), E.cover_severity(c["kind"], c["brightness"]).alias("severity"), c["x0"].alias("x0"), c["y0"].alias("y0"), "n_glyphs", "evidence")
 
 
 def cover_severity_counts(spark: SparkSession, d: str) -> DataFrame:
-    return report.counts_by_severity(layout.covered_text(synthetic.placed(_t(spark, d, "documents"))))
+    return report.counts_by_severity(layout.covered_text(synthetic.layout(_t(spark, d, "documents"))))
 
 
 def hidden_geometry(spark: SparkSession, d: str) -> DataFrame:
-    return layout.hidden_pages(synthetic.placed(_t(spark, d, "documents"))).select("doc_id", "page", "n_white", "n_tiny", "n_offpage", F.substring("text", 1, 400).alias("evidence"))
+    return layout.hidden_pages(synthetic.layout(_t(spark, d, "documents"))).select("doc_id", "page", "n_white", "n_tiny", "n_offpage", F.substring("text", 1, 400).alias("evidence"))
 
 
 def invisible_ops(spark: SparkSession, d: str) -> DataFrame:
@@ -64,15 +64,9 @@ def metadata_xmp_antijoin(spark: SparkSession, d: str) -> DataFrame:
 
 
 def redact_under_rect(spark: SparkSession, d: str) -> DataFrame:
-    """Marks are joined to pages before glyphs are made, and only marked pages make any."""
     documents = _t(spark, d, "documents")
-    marks = annotations.stored_texts(synthetic.annots(_t(spark, d, "labels"), documents).where("subtype = '/Redact'"))
-    at = marks.select("doc_id", "page", F.array(F.struct("ord", F.struct(*(F.col("rect")[i].alias(x) for i, x in enumerate(("x0", "y0", "x1", "y1")))).alias("b"))).alias("marks"))
-    rows = synthetic.placed(documents, at, ("marks",)).select("doc_id", "page", "g", F.explode("marks").alias("m")).where(E.overlap_ratio(F.col("g"), F.col("m.b")) >= E.OVERLAP)
-    under = rows.groupBy("doc_id", "page").agg(F.collect_list(E.glyph_place(F.col("g"))).alias("z")).select("doc_id", "page", E.in_reading_order("z").alias("under"))
-    joined = marks.join(under, ["doc_id", "page"], "left").withColumn("u", F.coalesce("under", F.lit("")))
-    parts = F.array_compact(F.concat(F.array(F.when(F.col("u") != "", F.concat(F.lit("under redaction: "), F.col("u")))), F.transform("texts", lambda t: F.concat_ws(": ", t["field"], t["text"]))))
-    return joined.select("doc_id", "page", F.coalesce(F.nullif(F.array_join(parts, " | "), F.lit("")), F.lit("(no recoverable text)")).alias("evidence"))
+    marks = synthetic.annots(_t(spark, d, "labels"), documents).where("subtype = '/Redact'")
+    return annotations.redact_evidence(marks, synthetic.layout(documents, marks.select("doc_id", "page"))).select("doc_id", "page", "evidence")
 
 
 def annotation_notes(spark: SparkSession, d: str) -> DataFrame:

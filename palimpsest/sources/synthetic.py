@@ -29,17 +29,19 @@ def page_texts(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", "page", F.expr(f"substring(text, (page - 1) * {PER_PAGE} + 1, {PER_PAGE})").alias("text"), F.expr(COVERS).alias("covers"))
 
 
-def placed(documents: DataFrame, extra: DataFrame | None = None, columns: tuple[str, ...] = ("covers",)) -> DataFrame:
-    """Placed glyphs as :func:`palimpsest.operators.layout.placed` gives them; ``extra`` joins columns to pages by (doc_id, page)."""
+def layout(documents: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Page rows of :data:`palimpsest.schema.LAYOUT`; of the pages (doc_id, page) in ``only``, if given, before any glyph is made."""
     pages = page_texts(documents)
-    if extra is not None:
-        pages = pages.join(extra, ["doc_id", "page"])
-    box = F.expr("named_struct('x0', 0D, 'y0', 0D, 'x1', 612D, 'y1', 792D)").alias("p")
-    rows = pages.select("doc_id", "page", box, *columns, F.posexplode(F.split("text", "")).alias("i", "ch")).where(r"ch RLIKE '(?U)\\S'")
-    line, x = "((page - 1) * 50 + i div 80)", f"(72 + 6 * (i % 80) + CASE WHEN pmod(doc_id + ((page - 1) * 50 + i div 80), 23) = 0 THEN 600 ELSE 0 END)"
-    glyph = f"""named_struct('glyph_id', CAST((page - 1) * {PER_PAGE} + i AS bigint), 'ch', ch, 'x0', CAST({x} AS double), 'y0', CAST(720 - 14 * (i div 80) AS double), 'x1', CAST({x} + 6 AS double), 'y1', CAST(732 - 14 * (i div 80) AS double),
-      'size', CASE WHEN pmod(doc_id + {line}, 17) = 0 THEN 0.25D ELSE 12D END, 'brightness', CASE WHEN pmod(doc_id + {line}, 11) = 0 THEN 1D ELSE 0D END)"""
-    return rows.select("doc_id", "page", "p", *columns, F.expr(glyph).alias("g"))
+    if only is not None:
+        pages = pages.join(only, ["doc_id", "page"], "left_semi")
+    # what all glyphs of a line have in common is worked out once for each line
+    lines = """transform(sequence(0, 49), k -> named_struct('shift', CASE WHEN pmod(doc_id + (page - 1) * 50 + k, 23) = 0 THEN 672D ELSE 72D END, 'y0', CAST(720 - 14 * k AS double), 'y1', CAST(732 - 14 * k AS double),
+      'size', CASE WHEN pmod(doc_id + (page - 1) * 50 + k, 17) = 0 THEN 0.25D ELSE 12D END, 'brightness', CASE WHEN pmod(doc_id + (page - 1) * 50 + k, 11) = 0 THEN 1D ELSE 0D END))"""
+    glyphs = f"""flatten(transform(lines, (l, k) -> transform(split(substring(text, 80 * k + 1, 80), ''), (ch, i) -> named_struct('glyph_id', (page - 1) * {PER_PAGE}L + 80 * k + i, 'ch', ch,
+      'x0', l.shift + 6 * i, 'y0', l.y0, 'x1', l.shift + 6 * i + 6, 'y1', l.y1, 'size', l.size, 'brightness', l.brightness))))"""
+    box = (F.lit(x).alias(name) for name, x in (("x0", 0.0), ("y0", 0.0), ("x1", 612.0), ("y1", 792.0)))
+    pages = pages.repartition(2 * documents.sparkSession.sparkContext.defaultParallelism).withColumn("lines", F.expr(f"slice({lines}, 1, CAST((length(text) + 79) div 80 AS int))"))
+    return pages.select("doc_id", "page", *box, F.lit(False).alias("has_metadata"), F.expr(glyphs).alias("glyphs"), "covers")
 
 
 def stream_ops(events: DataFrame) -> DataFrame:

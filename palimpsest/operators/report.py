@@ -16,8 +16,15 @@ def counts_by_severity(findings: DataFrame, keys: tuple[str, ...] = ()) -> DataF
     return one.select(*keys, F.explode(F.array(*(F.struct(F.lit(s).alias("severity"), F.col(s).alias("n")) for s in E.SEVERITIES))).alias("x")).select(*keys, "x.severity", "x.n")
 
 
-def worst(severity: Column) -> Column:
-    return E.label(F.max(E.rank(severity)))
+def count_at_least(docs: DataFrame, findings: DataFrame, minimum: str = "info") -> DataFrame:
+    """(doc_id, n) of every document, its findings of severity ``minimum`` or worse."""
+    n = findings.groupBy("doc_id").agg(F.count_if(E.rank(F.col("severity")) >= E.SEVERITIES.index(minimum) + 1).alias("n"))
+    return docs.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def error_line(kind: Column, message: Column, most: int = 200) -> Column:
+    """An error as one line: its kind and the beginning of what it says."""
+    return F.concat_ws(": ", kind, F.substring(E.collapse(message), 1, most))
 
 
 def ordered(findings: DataFrame) -> DataFrame:
@@ -39,13 +46,15 @@ def stamp(worst_severity: Column, n_errors: Column) -> Column:
 def rollup(docs: DataFrame, findings: DataFrame, errors: DataFrame, fail_on: str = "high", fail_on_error: bool = True) -> DataFrame:
     """One report row for each document: doc_id, path, worst_severity, finding_count, findings (worst first), detector_errors, incomplete, clean, stamp, exit_code.
 
-    A document whose scan failed is never clean: its error makes it incomplete.
+    A document whose scan failed is never clean: its error makes it incomplete. A detector has one
+    error in a report; where a table has more, the greatest message stands for them.
     """
     shown = F.struct("vector", "severity", "description", "page", "bbox", "evidence", "recommendation")
     f = ordered(findings).groupBy("doc_id").agg(
         F.max(E.rank(F.col("severity"))).alias("worst_rank"), F.count("*").alias("finding_count"), F.transform(F.array_sort(F.collect_list(F.struct("ordinal", shown.alias("f")))), lambda x: x["f"]).alias("findings")
     )
-    e = errors.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("detector", F.lit("open")), "message"))).alias("detector_errors"))
+    once = errors.groupBy("doc_id", F.coalesce("detector", F.lit("open")).alias("detector")).agg(F.max(F.coalesce("message", F.lit(""))).alias("message"))
+    e = once.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("detector", "message")))).alias("detector_errors"))
     rows = docs.select("doc_id", "path").join(f, "doc_id", "left").join(e, "doc_id", "left")
     n_errors = F.when(F.col("detector_errors").isNull(), 0).otherwise(F.size("detector_errors"))
     worst_severity = E.label(F.col("worst_rank"))

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import argparse
 import sys
-import tempfile
 import uuid
 
 from ..functions.exprs import SEVERITIES
@@ -30,7 +29,7 @@ def parser() -> argparse.ArgumentParser:
     scan.add_argument("--max-bytes", type=int, default=512 << 20)
     scan.add_argument("--seconds", type=float, default=60.0)
     scan.add_argument("--max-memory", type=int, metavar="MB", help="memory of a Python worker")
-    scan.add_argument("--to", help="folder for the extracted table; if not given, the one in spark.checkpoint.dir, or a temporary one of this machine")
+    scan.add_argument("--to", help="shared folder for extracted tables; if not given, the one in spark.checkpoint.dir, or, where Spark runs on this machine alone, a temporary one")
     sub.add_parser("list-vectors", help="names of the detectors")
     return p
 
@@ -54,8 +53,8 @@ def main(argv: list[str] | None = None, spark=None, out=None) -> int:
         builder = SparkSession.builder.appName("palimpsest")
         spark = (builder.config("spark.executor.pyspark.memory", f"{a.max_memory}m") if a.max_memory else builder).getOrCreate()
     try:
-        to = a.to or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-        tables = files.load(spark, a.path, f"{to}/palimpsest-{uuid.uuid4().hex}/rows", a.max_bytes, a.seconds)
+        to = f"{a.to or files.work_folder(spark)}/palimpsest-{uuid.uuid4().hex}"
+        tables = files.load(spark, a.path, f"{to}/rows", a.max_bytes, a.seconds)
         unread = {r.open_status for r in tables.docs.select("open_status").distinct().collect()}
     except Exception as e:  # an unreadable path, in whatever way the store says so
         print(f"cannot read {a.path}: {type(e).__name__}", file=sys.stderr)
@@ -63,7 +62,7 @@ def main(argv: list[str] | None = None, spark=None, out=None) -> int:
     if "ok" not in unread:
         print(f"no readable file at {a.path}: {', '.join(sorted(unread)) or 'nothing there'}", file=sys.stderr)
         return 1
-    reports = Engine().reports(tables, only, a.fail_on, not a.no_fail_on_error).cache()
+    reports = Engine().reports(tables, only, a.fail_on, not a.no_fail_on_error, f"{to}/findings").cache()
     lines = report.as_json(reports) if a.json else report.as_text(reports, not a.no_color)
     try:
         for row in lines.orderBy("doc_id").toLocalIterator():

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import annotations, attachments, layout, metadata, report, revisions, stream
 from ..operators.findings import union
-from ..schema import DESCRIPTIONS, VECTORS
+from ..schema import DESCRIPTIONS, FINDING, FINDING_SCHEMA, VECTORS
+
+#: Characters of an error's message that are kept.
+MESSAGE = 200
 
 
 @dataclass
@@ -63,26 +66,38 @@ class Engine:
 
     detectors: dict[str, Detector] = field(default_factory=lambda: dict(DETECTORS))
 
-    def findings(self, tables: Tables, only: list[str] | None = None) -> DataFrame:
-        """All rows of the chosen detectors, but for documents where that detector failed: a failed detector has none."""
+    def outcome(self, tables: Tables, only: list[str] | None = None, to: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """Findings and errors of the chosen detectors. A detector that raises has an error in every document and no findings; the others go on.
+
+        With ``to``, a shared folder, each detector's rows are first written there, so that one that
+        raises while it runs is told from the others; without, only one that raises while it is planned.
+        """
         if bad := unknown(only or [], tuple(self.detectors)):
             raise ValueError(f"unknown detectors: {', '.join(bad)}; there are {', '.join(self.detectors)}")
+        spark, parts, broken = tables.docs.sparkSession, [], {}
         chosen = {k: f for k, f in self.detectors.items() if not only or k in only}
-        found = union([f(tables) for f in chosen.values()])
+        for name, detector in chosen.items():
+            try:
+                rows = detector(tables).select(*FINDING)
+                if to:
+                    rows.write.mode("overwrite").parquet(f"{to}/{name}")
+                    rows = spark.read.schema(rows.schema).parquet(f"{to}/{name}")
+                parts.append(rows)
+            except Exception as e:
+                broken[name] = f"{type(e).__name__}: {' '.join(str(e).split())[:MESSAGE]}"
+        found = union(parts) if parts else spark.createDataFrame([], FINDING_SCHEMA)
+        own = tables.errors.where(F.col("detector").isNull() | F.col("detector").isin(*chosen)).select("doc_id", "detector", "message")
+        errors = reduce(DataFrame.union, [own, *(tables.docs.select("doc_id", F.lit(k).alias("detector"), F.lit(v).alias("message")) for k, v in broken.items())])
         failed = tables.errors.select("doc_id", F.coalesce("detector", F.lit("open")).alias("vector")).distinct()
-        return found.join(failed, ["doc_id", "vector"], "left_anti")
+        return found.join(failed, ["doc_id", "vector"], "left_anti"), errors
+
+    def findings(self, tables: Tables, only: list[str] | None = None) -> DataFrame:
+        """All rows of the chosen detectors, but for documents where that detector failed: a failed detector has none."""
+        return self.outcome(tables, only)[0]
 
     def errors(self, tables: Tables, only: list[str] | None = None) -> DataFrame:
         """Errors of the chosen detectors, and of documents that could not be opened."""
-        chosen = [k for k in self.detectors if not only or k in only]
-        return tables.errors.where(F.col("detector").isNull() | F.col("detector").isin(*chosen))
-
-    def reports(self, tables: Tables, only: list[str] | None = None, fail_on: str = "high", fail_on_error: bool = True) -> DataFrame:
-        return report.rollup(tables.docs, self.findings(tables, only), self.errors(tables, only), fail_on, fail_on_error)
-
+        return self.outcome(tables, only)[1]
 
-def kept(tables: Tables) -> Tables:
-    """Tables that several detectors read are held in memory and on disk, with a second copy, so that files are parsed once."""
-    for name in ("layout", "errors"):
-        setattr(tables, name, getattr(tables, name).persist(StorageLevel.MEMORY_AND_DISK_2))
-    return tables
+    def reports(self, tables: Tables, only: list[str] | None = None, fail_on: str = "high", fail_on_error: bool = True, to: str | None = None) -> DataFrame:
+        return report.rollup(tables.docs, *self.outcome(tables, only, to), fail_on, fail_on_error)

@@ -19,6 +19,7 @@ ERRORS = "doc_id bigint, detector string, message string"
 DOCS = "doc_id bigint, path string, length bigint, open_status string"
 
 FINDING = ("doc_id", "vector", "severity", "description", "page", "bbox", "evidence", "recommendation", "detector_ord", "emit_ord")
+FINDING_SCHEMA = "doc_id bigint, vector string, severity string, description string, page int, bbox array<double>, evidence string, recommendation string, detector_ord int, emit_ord bigint"
 #: Detectors in the order in which they report.
 VECTORS = ("covered_text", "hidden_text", "revision_history", "embedded_files", "metadata", "redact_annotations")
 DESCRIPTIONS = {

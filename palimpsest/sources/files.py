@@ -8,12 +8,14 @@ so a detector reads only the columns it needs and the bytes never reach a shuffl
 from __future__ import annotations
 
 import contextlib
+import tempfile
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from ..operators.report import error_line
 from ..plans.engine import Tables
 from ..schema import _BOX, _COVER, _GLYPH
 
@@ -24,21 +26,29 @@ _ROW = f"""doc_id bigint, path string, length bigint, open_status string, page i
 glyphs array<struct<{_GLYPH}>>, covers array<struct<{_COVER}>>, ops array<struct<seq: bigint, op: string, int_arg: int, shown: binary, depth: int>>,
 annots array<struct<ord: int, subtype: string, rect: array<double>, contents: string, rc: string, overlay_text: string>>,
 files array<struct<source_ord: int, ord: int, name: string, size: bigint>>, info array<struct<ord: int, key: string, value: string>>, has_xmp boolean, xmp_bytes bigint,
-xmp_fields array<struct<ord: int, name: string, value: string>>, revisions array<struct<rev_index: int, text: string>>, errors array<struct<detector: string, message: string>>"""
+xmp_fields array<struct<ord: int, name: string, value: string>>, revisions array<struct<rev_index: int, text: string>>, errors array<struct<detector: string, kind: string, message: string>>"""
 
 
 def row_schema() -> StructType:
     return _parse_datatype_string(_ROW)
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one of this machine only where Spark runs on it alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("name a folder that driver and executors share, or set spark.checkpoint.dir")
+        base = f"file://{tempfile.gettempdir()}"
+    return base.rstrip("/")
+
+
 def scan(spark: SparkSession, path: str, glob: str = "*.pdf", most: int = MOST, stream: bool = False) -> DataFrame:
-    """(path, length, content) of files, content null where the file is over the limit: the reader is told the length first."""
+    """(path, length, content) of all files, content null where the file is over the limit: the reader is told the length first."""
     reader = spark.readStream if stream else spark.read
     files = reader.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-    files = files.schema("path string, modificationTime timestamp, length long, content binary") if stream else files
-    rows = files.load(path)
-    if stream:
-        return rows.where(F.col("length") <= most).select("path", "length", "content")
+    rows = (files.schema("path string, modificationTime timestamp, length long, content binary") if stream else files).load(path)
     small = rows.where(F.col("length") <= most).select("path", "length", "content")
     return small.unionByName(rows.where(F.col("length") > most).select("path", "length", F.lit(None).cast("binary").alias("content")))
 
@@ -53,7 +63,7 @@ def extracted(files: DataFrame, seconds: float = SECONDS) -> DataFrame:
         for batch in batches:
             for i, path, length, content in zip(batch["doc_id"], batch["path"], batch["length"], batch["content"]):
                 if content is None:
-                    status, rows = "oversize", [dict(page=0, errors=[dict(detector=None, message="file is over the limit")])]
+                    status, rows = "oversize", [dict(page=0, errors=[dict(detector=None, kind=None, message="file is over the limit")])]
                 else:
                     status, rows = read(bytes(content), seconds)
                 out = [{"doc_id": i, "path": path, "length": length, "open_status": status} | r for r in rows]
@@ -73,7 +83,7 @@ def tables(rows: DataFrame) -> Tables:
         docs=doc.select("doc_id", "path", "length", "open_status"),
         layout=page.select("doc_id", "page", "x0", "y0", "x1", "y1", "has_metadata", "glyphs", "covers"),
         stream_ops=opened(page, "ops", "doc_id", "page"), annots=opened(page, "annots", "doc_id", "page"), revisions=opened(doc, "revisions", "doc_id"), filespecs=opened(doc, "files", "doc_id"),
-        info=opened(doc, "info", "doc_id"), xmp=doc.where("has_xmp").select("doc_id", F.col("xmp_bytes").alias("bytes")), xmp_fields=opened(doc, "xmp_fields", "doc_id"), errors=opened(doc, "errors", "doc_id"),
+        info=opened(doc, "info", "doc_id"), xmp=doc.where("has_xmp").select("doc_id", F.col("xmp_bytes").alias("bytes")), xmp_fields=opened(doc, "xmp_fields", "doc_id"), errors=opened(doc, "errors", "doc_id").select("doc_id", "detector", error_line(F.col("kind"), F.col("message")).alias("message")),
     )
 
 

@@ -1,4 +1,4 @@
-"""Objects of a PDF file: lexer, cross references, object streams, filters, RC4."""
+"""Objects of a PDF file: lexer, cross references, object streams, filters, encryption."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ import re
 import struct
 import zlib
 
+from . import aes
+
 #: Bytes that a stream may decode to, so that a small file cannot fill memory.
 MOST = 256 << 20
 _SPACE, _DELIM = b"\0\t\n\x0c\r ", b"()<>[]{}/%"
@@ -238,19 +240,21 @@ class File:
 
     def __init__(self, data: bytes):
         self.data, self.where, self.cache, self.key = data, {}, {}, None
+        self.strings = self.streams = _rc4
+        self.metadata = True
         if b"%PDF-" not in data[:1024]:
             raise PdfError("no PDF header")
         self.trailer: dict = {}
         try:
             self._chain()
+            self._unlock()  # the catalog may lie in an encrypted stream
             if not isinstance(self.get(self.trailer.get("/Root")), dict):
                 raise PdfError("no catalog")
         except EncryptedError:
             raise
         except Exception:
             self._rebuild()
-        if "/Encrypt" in self.trailer:
-            self._unlock()
+        self._unlock()
         self.root = self.get(self.trailer.get("/Root"))
         if not isinstance(self.root, dict) or not isinstance(self.get(self.root.get("/Pages")), dict):
             raise PdfError("no pages")
@@ -317,6 +321,8 @@ class File:
             x = Lexer(self.data, m.end()).next()
             if isinstance(x, dict):
                 trailer |= x
+        self.trailer = trailer
+        self._unlock()
         for i in list(self.where):
             x = self.get(Ref((i, 0)))
             if isinstance(x, Stream) and x.attrs.get("/Type") == "/ObjStm":
@@ -351,40 +357,72 @@ class File:
         return self._plain(x, n, gen) if self.key and number is not None else x
 
     def _plain(self, x, n: int, gen: int):
-        key = hashlib.md5(self.key + struct.pack("<I", n)[:3] + struct.pack("<I", gen)[:2]).digest()[: min(16, len(self.key) + 5)]
+        def opened(cipher, data: bytes) -> bytes:
+            if cipher is None:
+                return data
+            if len(self.key) == 32 and cipher is aes.plain:
+                return cipher(self.key, data)
+            salted = self.key + struct.pack("<I", n)[:3] + struct.pack("<I", gen)[:2] + (b"sAlT" if cipher is aes.plain else b"")
+            return cipher(hashlib.md5(salted).digest()[: min(16, len(self.key) + 5)], data)
 
         def walk(y):
             if isinstance(y, bytes):
-                return _rc4(key, y)
+                return opened(self.strings, y)
             if isinstance(y, list) and not isinstance(y, Ref):
                 return [walk(z) for z in y]
             return {k: walk(z) for k, z in y.items()} if isinstance(y, dict) else y
 
-        if isinstance(x, Stream):
-            return x if x.attrs.get("/Type") == "/XRef" else Stream(walk(x.attrs), _rc4(key, x.raw))
-        return walk(x)
+        if not isinstance(x, Stream):
+            return walk(x)
+        if x.attrs.get("/Type") == "/XRef":
+            return x
+        filters = x.attrs.get("/Filter")
+        as_is = (x.attrs.get("/Type") == "/Metadata" and not self.metadata) or "/Crypt" in (filters if isinstance(filters, list) else [filters])
+        return Stream(walk(x.attrs), x.raw if as_is else opened(self.streams, x.raw))
 
     def _unlock(self) -> None:
-        """The key of a file that opens without a password; RC4 only."""
+        """The key of a file that opens without a password: RC4 and AES, with keys of 40 to 128 or of 256 bits."""
+        if "/Encrypt" not in self.trailer or self.key is not None:
+            return
         e = self.get(self.trailer["/Encrypt"])
-        if not isinstance(e, dict) or e.get("/Filter") != "/Standard" or e.get("/V") not in (1, 2) or e.get("/R") not in (2, 3):
+        if not isinstance(e, dict) or e.get("/Filter") != "/Standard" or e.get("/V") not in (1, 2, 4, 5) or e.get("/R") not in (2, 3, 4, 5, 6):
             raise EncryptedError("cipher is not supported")
-        n = 5 if e["/R"] == 2 else e.get("/Length", 40) // 8
+        if e["/V"] >= 4:
+            kinds = {"/V2": _rc4, "/AESV2": aes.plain, "/AESV3": aes.plain, "/None": None}
+            of = {k: self.get(v).get("/CFM", "/None") for k, v in (self.get(e.get("/CF")) or {}).items()} | {"/Identity": "/None"}
+            chosen = [of.get(self.get(e.get(k, "/Identity"))) for k in ("/StmF", "/StrF")]
+            if not set(chosen) <= kinds.keys():
+                raise EncryptedError("cipher is not supported")
+            self.streams, self.strings = (kinds[x] for x in chosen)
+            self.metadata = e.get("/EncryptMetadata", True) is not False
+        key = self._long_key(e) if e["/V"] == 5 else self._short_key(e)
+        if key is None:
+            raise EncryptedError("a password is needed")
+        self.key, self.cache = key, {}
+
+    def _short_key(self, e: dict) -> bytes | None:
+        n = 5 if e["/R"] == 2 else 16 if e["/V"] == 4 else e.get("/Length", 40) // 8
         ids = self.get(self.trailer.get("/ID")) or [b""]
-        key = hashlib.md5(_PAD + e["/O"][:32] + struct.pack("<i", e["/P"] - (1 << 32) if e["/P"] >= 1 << 31 else e["/P"]) + ids[0]).digest()
-        for _ in range(50 if e["/R"] == 3 else 0):
+        start = _PAD + e["/O"][:32] + struct.pack("<i", e["/P"] - (1 << 32) if e["/P"] >= 1 << 31 else e["/P"]) + ids[0]
+        key = hashlib.md5(start + (b"" if self.metadata or e["/R"] < 4 else b"\xff" * 4)).digest()
+        for _ in range(50 if e["/R"] >= 3 else 0):
             key = hashlib.md5(key[:n]).digest()
         key = key[:n]
         if e["/R"] == 2:
-            right = _rc4(key, _PAD) == e["/U"]
-        else:
-            u = _rc4(key, hashlib.md5(_PAD + ids[0]).digest())
-            for i in range(1, 20):
-                u = _rc4(bytes(b ^ i for b in key), u)
-            right = u == e["/U"][:16]
-        if not right:
-            raise EncryptedError("a password is needed")
-        self.key, self.cache = key, {}
+            return key if _rc4(key, _PAD) == e["/U"] else None
+        u = _rc4(key, hashlib.md5(_PAD + ids[0]).digest())
+        for i in range(1, 20):
+            u = _rc4(bytes(b ^ i for b in key), u)
+        return key if u == e["/U"][:16] else None
+
+    @staticmethod
+    def _long_key(e: dict) -> bytes | None:
+        """U holds a hash of the password, the salt of that hash and one for the key that opens UE, which is the file's key."""
+        digest = aes.hardened if e["/R"] == 6 else lambda word, salt: hashlib.sha256(word + salt).digest()
+        u = e["/U"]
+        if digest(b"", u[32:40]) != u[:32]:
+            return None
+        return aes.Aes(digest(b"", u[40:48])).decrypt(e["/UE"][:32], bytes(16))
 
     def _in_stream(self, number: int, k: int):
         """Number and value of the k-th object of an object stream."""
@@ -440,7 +478,7 @@ class File:
                     out.append(data[i + 1 : i + 2 + n] if n < 128 else data[i + 1 : i + 2] * (257 - n))
                     i += n + 2 if n < 128 else 2
                 data = b"".join(out)
-            else:
+            elif name != "/Crypt":
                 raise PdfError(f"filter {name} is not supported")
         return data
 

@@ -1,17 +1,23 @@
-"""Substring dedup by looking up windows at content-defined anchors, in place of a relative Lempel-Ziv parse (operator 1).
-
-A document is cut at content-defined anchors: every window of ``WINDOW`` words belongs to the
-smallest hash among its ``GRAM``-word grams, and the consecutive windows of one gram make a
-*phrase*. The reference blocks are the phrases at their first place in the corpus, indexed by
-anchor. A phrase that equals a reference block is taken whole, and neighbouring ones join into one
-long run, whichever blocks they come from. Where texts part inside a phrase, single windows are
-looked up. Windows
-belong to phrases by content alone, so nothing is missed: the result is the same as looking up
+"""Substring dedup by relative Lempel-Ziv parsing (operator 1).
+
+The reference is the corpus itself, cut into blocks by content: every window of ``WINDOW`` words
+belongs to the smallest hash among its ``GRAM``-word grams, its anchor, and the consecutive
+windows of one anchor make a block of about eight windows. The index holds each different
+block at its first place in the corpus. A document is parsed from left to right into factors, the
+longest runs of its words that stand in the same order at one place of the reference: a factor
+begins with a block that the index has at an earlier place, and goes on as long as the next
+block stands there next to it. Where documents part inside a block, at the ends of
+factors, no block matches; there single windows are looked up, each among all others of the corpus, and
+lengthen the factors word by word or begin factors of their own. A factor covers ``WINDOW`` words at least, and
+words under a factor go.
+
+Blocks depend on content alone, so nothing is missed: the words that go are those of looking up
 every window, at the price of about one row for eight words.
 
-Anchors are counted first, with map-side combining, and only phrases whose anchor occurs twice
-are kept. First places are combinable minima and go back by joins that AQE can split, so
-neither a passage in a third of all documents nor a large group of copies meets in one task.
+No key is joined as it is where it is hot: of the keys that hold over one part in ``HOT`` of all rows there are
+less than ``HOT``, and they are broadcast, while their rows go where they lie. First places are
+combinable minima. So neither a passage in a third of all documents nor a large group of
+copies meets in one task.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +39,8 @@ from .common import NULL_ID, doc_id, small_batches, words, written
 
 WINDOW = 20
 GRAM = 6
+#: Keys with more than one part in so many of all rows are broadcast; by the pigeonhole principle they are fewer than that.
+HOT = 1000
 #: A place packs start << 24 | (windows - 1) << 20 | 20 bits of the text's hash, so that places sort by start.
 _MARK, _COUNT = 20, 4
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -67,7 +76,7 @@ class _Text:
 
 
 def _phrases(t: _Text, window: int) -> tuple[np.ndarray, ...]:
-    """Of each phrase: anchor, hash, first and last window."""
+    """Of each block: anchor, hash of its words, first and last window."""
     starts = np.arange(t.n - GRAM + 1)
     grams = t.runs(starts, starts + GRAM)
     least = (grams & np.uint64(0xFFFFFFFF00000000)) | starts.astype(np.uint64)  # the leftmost of the smallest
@@ -89,7 +98,7 @@ def _mark(text: str) -> int:
 
 
 def phrases(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(anchor, phrase, id, place) of every phrase of every document; a null or short text has none."""
+    """(anchor, phrase, id, place) of every block of every document; a null or short text has none."""
 
     def of(batches):
         for batch in batches:
@@ -114,21 +123,25 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(docs["doc_id"], F.lit(NULL_ID)).alias("id"), docs["text"].alias("text"))
 
 
-def factors(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Matched runs of words, which may overlap or touch, united to the longest runs."""
-    order = np.argsort(starts, kind="stable")
-    starts, ends = starts[order], np.maximum.accumulate(ends[order])
-    first = np.r_[True, starts[1:] > ends[:-1]]
-    last = np.r_[np.flatnonzero(first)[1:] - 1, len(starts) - 1]
-    return starts[first], ends[last]
+def factors(start: np.ndarray, end: np.ndarray, source: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Matched runs of words (start to end, found in document ``source`` from word ``offset`` on) to factors of the same form.
 
-
-def _covered(n: int, spans: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    step = np.zeros(n + 1, np.int64)
-    if spans and sum(len(s) for s, _ in spans):
-        for s, e in zip(*factors(*(np.concatenate(x) for x in zip(*spans)))):
-            step[s] += 1
-            step[e] -= 1
+    From left to right a factor takes in every run that touches it and continues it in the same document of the reference.
+    """
+    order = np.lexsort((end, start))
+    start, end, source, offset = (x[order] for x in (start, end, source, offset))
+    # runs of one source and distance, each from left to right
+    by = np.lexsort((start, offset - start, source))
+    s, e, d, o = (x[by] for x in (start, end, source, offset))
+    same = (d[1:] == d[:-1]) & ((o - s)[1:] == (o - s)[:-1]) & (s[1:] <= e[:-1])
+    first = np.flatnonzero(np.r_[True, ~same])
+    out = s[first], np.maximum.reduceat(e, first), d[first], o[first]
+    order = np.argsort(out[0], kind="stable")
+    return tuple(x[order] for x in out)
+
+
+def _covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    step = np.bincount(start, minlength=n + 1) - np.bincount(end, minlength=n + 1)
     return np.cumsum(step[:-1]) > 0
 
 
@@ -143,37 +156,48 @@ def _cut(text: str, gone: np.ndarray) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass").strip() if cut else text
 
 
-_DONE = "id long, mark int, n_words long, n_removed long, kept_sha256 string, kept string, text string, known binary, open binary"
+_FACTOR = "struct<start: long, n_words: long, source_id: long, source_start: long>"
+_MATCHES = "array<struct<place: long, source: long, at: long>>"
+_DONE = f"id long, mark int, n_words long, n_removed long, kept_sha256 string, kept string, factors array<{_FACTOR}>, text string, known {_MATCHES}, open array<long>"
 
 
-def _spans(places: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    lo = places >> (_MARK + _COUNT)
-    return lo, lo + ((places >> _MARK) & ((1 << _COUNT) - 1)) + window
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """Of each row its list as a matrix, one row for each field of its structs; none for null."""
+    flat = column.flatten()
+    fields = [flat.field(k).to_numpy() for k in range(flat.type.num_fields)] if pa.types.is_struct(flat.type) else [flat.to_numpy()]
+    ends = np.cumsum(np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64))
+    values = np.stack([np.asarray(x, np.int64) for x in fields])
+    return [values[:, a:b] for a, b in zip(np.r_[0, ends], ends)]
 
 
-def _places(x) -> np.ndarray:
-    return np.zeros(0, np.int64) if x is None else np.frombuffer(x, np.int64) if isinstance(x, bytes) else np.asarray(x, np.int64)
+def _runs(matches: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    place, source, at = matches
+    lo = place >> (_MARK + _COUNT)
+    return lo, lo + ((place >> _MARK) & ((1 << _COUNT) - 1)) + window, source, at >> (_MARK + _COUNT)
 
 
-def _finish(keep_text: bool, window: int, fields: pa.Schema):
-    """Rows (id, mark, text, known, open, found, carried columns), lists of places or null, to ``fields``: as they will stay, or with text, known and open for the look at boundaries."""
+def _finish(keep_text: bool, keep_factors: bool, window: int, fields: pa.Schema):
+    """Rows (id, mark, text, known, open, found, carried columns) to ``fields``: as they will stay, or with text, known and open for the look at the ends of factors."""
 
-    def row(text, known, todo, found):
-        known, todo = _places(known), _places(todo)
-        if len(todo):
-            return None, None, None, None, text, known.tobytes(), todo.tobytes()
+    def row(text, known, found):
         w = words(text)
-        gone = _covered(len(w), [_spans(known, window), _spans(_places(found), window)])
-        kept = b" ".join(x for x, g in zip(w, gone) if not g) if gone.any() else b" ".join(w)
-        return len(w), int(gone.sum()), hashlib.sha256(kept).hexdigest(), _cut(text, gone) if keep_text and text is not None else None, None, None, None
+        parsed = factors(*(np.concatenate(x) for x in zip(_runs(known, window), _runs(found, window)))) if known.size or found.size else ()
+        gone = _covered(len(w), *parsed[:2]) if parsed else np.zeros(len(w), bool)
+        kept = b" ".join(x for x, g in zip(w, gone) if not g) if parsed else b" ".join(w)
+        shown = [dict(zip(("start", "n_words", "source_id", "source_start"), x)) for x in zip(parsed[0].tolist(), (parsed[1] - parsed[0]).tolist(), parsed[2].tolist(), parsed[3].tolist())] if parsed and keep_factors else []
+        return len(w), int(gone.sum()), hashlib.sha256(kept).hexdigest(), _cut(text, gone) if keep_text and text is not None else None, shown
 
     def of(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                made = [row(*(x.as_py() for x in xs)) for xs in zip(*(batch.column(c) for c in ("text", "known", "open", "found")))]
-                columns = [batch.column("id"), batch.column("mark"), *(pa.array(x, f.type) for x, f in zip(zip(*made), list(fields)[2:9]))]
-                yield pa.RecordBatch.from_arrays([*columns, *(batch.column(f.name).cast(f.type) for f in list(fields)[9:])], schema=fields)
+                todo = pc.fill_null(pc.greater(pc.list_value_length(batch.column("open")), 0), False)
+                wait = todo.to_pylist()
+                texts = batch.column("text").to_pylist()
+                made = [(None,) * 5 if later else row(*x) for later, *x in zip(wait, texts, *(_lists(batch.column(c)) for c in ("known", "found")))]
+                held = [pc.if_else(todo, batch.column(c), pa.nulls(batch.num_rows, batch.column(c).type)) for c in ("text", "known", "open")]
+                columns = [batch.column("id"), batch.column("mark"), *(pa.array(x, f.type) for x, f in zip(zip(*made), list(fields)[2:7])), *(x.cast(f.type) for x, f in zip(held, list(fields)[7:10]))]
+                yield pa.RecordBatch.from_arrays([*columns, *(batch.column(f.name).cast(f.type) for f in list(fields)[10:])], schema=fields)
 
     return of
 
@@ -185,7 +209,7 @@ def _windows(window: int):
         for batch in batches:
             rows, have = [], 0
             for i, mark, text, todo in zip(*(batch[c] for c in ("id", "mark", "text", "open"))):
-                places = np.frombuffer(todo, np.int64)
+                places = np.asarray(todo, np.int64)
                 lo, more = places >> (_MARK + _COUNT), (places >> _MARK) & ((1 << _COUNT) - 1)
                 at = np.repeat(lo, more + 1) + np.arange((more + 1).sum()) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
                 t = _Text(words(text))
@@ -205,48 +229,64 @@ def _start(column: str):
     return F.shiftright(column, _MARK + _COUNT)
 
 
+def _with(rows: DataFrame, table: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``rows`` with ``value`` of the rows of ``table`` (keys, value, n; one for each key, n rows of ``rows`` or more) that have their keys; others go."""
+    most = (table.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = table.where(F.col("n") > most).select(*keys, F.col(value).alias("__hot"))
+    cold = table.where(F.col("n") <= most).select(*keys, F.lit(0).alias("__salt"), F.col(value).alias("__cold"))
+    spread = F.when(F.col("__hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("id", "place"), F.lit(1 << 20)).cast("int"))
+    found = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", spread).join(cold, [*keys, "__salt"], "left")
+    return found.select(*rows.columns, F.coalesce("__hot", "__cold").alias(value)).where(F.col(value).isNotNull())
+
+
 def _later(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """rows (by, id, place): the first of each key; and the rows that start after it."""
+    """rows (by, id, place): the first of each key, with n; and the rows that start after it, as (id, place, source, at)."""
     first = written(rows.groupBy(*by).agg(F.min(F.struct("id", "place")).alias("f"), F.count("*").alias("n")), "first")
-    again = rows.join(first.where("n > 1").select(*by, "f"), by)
+    again = _with(rows, first.where("n > 1"), by, "f")
     after = (F.col("id") > F.col("f.id")) | ((F.col("id") == F.col("f.id")) & (_start("place") > _start("f.place")))
-    return first, again.where(after).select("id", "place")
+    return first, again.where(after).select("id", "place", F.col("f.id").alias("source"), F.col("f.place").alias("at"))
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, mark, n_words, n_removed, kept_sha256, kept, c0, c1, ...) of every row of ``docs`` (doc_id, text, and the columns to carry, as c0, c1, ...; others are ignored).
+def substring_dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = True, carry: tuple[str, ...] = (), keep_factors: bool = False) -> DataFrame:
+    """(id, mark, n_words, n_removed, kept_sha256, kept, factors, c0, c1, ...) of every row of ``docs`` (doc_id, text, and the columns to carry, as c0, c1, ...; others are ignored).
 
     A word goes if a window over it, of ``window`` consecutive words of one document, also
     starts earlier: in a smaller doc_id or at an earlier word of the same one (rows that
     repeat a doc_id are read as one document; a null doc_id is the smallest). ``kept`` is the
     text without those words, null for a null text; the digest is of the kept words, joined
-    by one space. Windows are judged on the input. An empty table gives none.
+    by one space. ``factors`` are the parse, if asked for. Windows are judged on the input. An empty table gives none.
     """
     if not GRAM <= window <= GRAM + 15:
         raise ValueError("window is 6 to 21 words")
     small_batches(docs.sparkSession)
-    all_phrases = phrases(docs, window)
-    # as tables of their own, so that both sides of a join are bare exchanges, which AQE can split where a passage is in many documents
-    twice = written(all_phrases.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
-    shared = written(all_phrases.join(twice, "anchor", "left_semi"), "phrases")
+    blocks = phrases(docs, window)
+    twice = written(blocks.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors").withColumn("seen", F.lit(True))
+    shared = written(_with(blocks, twice, ["anchor"], "seen").drop("seen"), "blocks")
     first, whole = _later(shared, ["anchor", "phrase"])
-    parted = first.groupBy("anchor").count().where("count > 1").select("anchor")
-    boundary = first.join(parted, "anchor", "left_semi").select("f.id", "f.place")
-    marks = whole.select("id", "place", F.lit(True).alias("known")).union(boundary.select("id", "place", F.lit(False)))
+    # blocks that part: of one anchor, but not the same
+    parted = first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").withColumn("seen", F.lit(True))
+    ends = _with(first.select("anchor", "f.id", "f.place"), written(parted, "parted"), ["anchor"], "seen").select("id", "place", F.lit(None).cast("long").alias("source"), F.lit(None).cast("long").alias("at"))
     mark = F.col("place").bitwiseAND((1 << _MARK) - 1).cast("int").alias("mark")
-    marks = marks.groupBy("id", mark).agg(F.collect_list(F.when(F.col("known"), F.col("place"))).alias("known"), F.collect_list(F.when(~F.col("known"), F.col("place"))).alias("open"))
+    match = F.struct("place", "source", "at")
+    marks = whole.union(ends).groupBy("id", mark).agg(F.collect_list(F.when(F.col("source").isNotNull(), match)).alias("known"), F.collect_list(F.when(F.col("source").isNull(), F.col("place"))).alias("open"))
     own = docs.select(F.coalesce(docs["doc_id"], F.lit(NULL_ID)).alias("id"), text_mark(docs["text"]).alias("mark"), docs["text"].alias("text"), *(docs[c].alias(f"c{i}") for i, c in enumerate(carry)))
     types = StructType([*_parse_datatype_string(_DONE).fields, *own.schema.fields[3:]])
-    finish = _finish(keep_text, window, to_arrow_schema(types))
-    step = written(own.join(marks, ["id", "mark"], "left").withColumn("found", F.lit(None).cast("array<long>")).mapInArrow(finish, types), "parsed")
+    finish = _finish(keep_text, keep_factors, window, to_arrow_schema(types))
+    step = written(own.join(marks, ["id", "mark"], "left").withColumn("found", F.lit(None).cast(_MATCHES)).mapInArrow(finish, types), "parsed")
     pending = step.where("open IS NOT NULL")
     singles = pending.select("id", "mark", "text", "open").mapInPandas(_windows(window), "w long, x int, id long, place long")
     _, later = _later(singles, ["w", "x"])
-    found = later.groupBy("id", mark).agg(F.collect_list("place").alias("found"))
-    rest = pending.withColumn("open", F.lit(None).cast("binary")).join(found, ["id", "mark"], "left").mapInArrow(finish, types)
+    found = later.groupBy("id", mark).agg(F.collect_list(match).alias("found"))
+    rest = pending.withColumn("open", F.lit(None).cast("array<long>")).join(found, ["id", "mark"], "left").mapInArrow(finish, types)
     return step.where("open IS NULL").union(rest).drop("text", "known", "open")
 
 
+def parse(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, start, n_words, source_id, source_start) of every factor of every document, words counted from 0: its n_words from ``start`` on stand in ``source_id`` from ``source_start`` on."""
+    rows = substring_dedup(docs, window, False, (), True).select("id", F.explode("factors").alias("f"))
+    return rows.select(doc_id(), "f.start", "f.n_words", F.nullif("f.source_id", F.lit(NULL_ID)).alias("source_id"), "f.source_start")
+
+
 def text_mark(text):
     return F.coalesce(F.xxhash64(text).bitwiseAND((1 << _MARK) - 1).cast("int"), F.lit(0))
 

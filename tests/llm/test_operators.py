@@ -72,7 +72,7 @@ def test_substring_dedup(docs, real):
         assert sorted(map(tuple, substring.query(df).collect()), key=key) == removed(texts(df))
 
 
-def test_substring_dedup_generated(spark):
+def generated(spark):
     rng = np.random.default_rng(3)
     base = [f"v{x}" for x in rng.integers(0, 4, 400)]  # few words, so chance repeats are many
     rows = []
@@ -82,10 +82,34 @@ def test_substring_dedup_generated(spark):
         if n and rng.random() < 0.7:
             w[int(rng.integers(0, n))] = f"new{i}"
         rows.append((i, " ".join(w), None, None, None))
-    df = documents(spark, rows)
+    return documents(spark, rows)
+
+
+@pytest.mark.parametrize("hot", [1, 7, 1000])
+def test_substring_dedup_generated(spark, monkeypatch, hot):
+    """With no key, some and all keys taken for hot."""
+    monkeypatch.setattr(substring, "HOT", hot)
+    df = generated(spark)
     assert sorted(map(tuple, substring.query(df).collect()), key=key) == removed(texts(df))
 
 
+def test_factors_stand_in_the_reference(spark, docs):
+    for df in (docs, generated(spark)):
+        w = {common.NULL_ID if i is None else i: WORD.findall(t or "") for i, t in texts(df)}
+        found = [tuple(common.NULL_ID if x is None and k in (0, 3) else x for k, x in enumerate(r)) for r in substring.parse(df).collect()]
+        gone = collections.defaultdict(set)
+        for i, start, n, source, at in found:
+            assert n >= 20 and w[i][start : start + n] == w[source][at : at + n] and (source, at) < (i, start)
+            gone[i].update(range(start, start + n))
+        assert {i: len(x) for i, x in gone.items()} == {common.NULL_ID if i is None else i: k for i, _, k, _ in removed(texts(df)) if k}
+
+
+def test_factors_are_longest():
+    """One passage of one source is one factor, however its blocks lie; a jump in the source begins another."""
+    got = substring.factors(*map(np.array, ([0, 5, 12, 40, 30], [25, 30, 40, 70, 50], [3, 3, 3, 3, 9], [100, 105, 112, 300, 0])))
+    assert [x.tolist() for x in got] == [[0, 30, 40], [40, 50, 70], [3, 9, 3], [100, 0, 300]]
+
+
 def test_cut_keeps_columns_and_first_places(spark, docs):
     out = substring.cut(docs)
     assert out.columns == docs.columns

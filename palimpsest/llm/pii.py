@@ -3,15 +3,21 @@
 One pattern finds candidates; each is validated by what its format demands (Luhn or mod-97
 digits, octets, calendar, area codes), and only valid ones are permuted, inside their format:
 digits stay digits, letters letters of their case, separators stay, check digits are computed
-anew, dates stay dates of the same layout. The permutation depends on the key and the kind
-alone, so equal values get equal pseudonyms in every document, and different values different
-ones; without the key they can't be taken back. Everything happens inside the row: no
-exchange, no join, no state.
+anew, dates stay dates of the same layout, a phone number has an area code and exchange that
+the numbering plan allows, a social security number an area, group and serial that can be given out.
+The round function is HMAC-SHA256 of the kind, the round and the other half, so equal values get equal
+pseudonyms in every document, and different values of a format different ones; without the key
+they can't be taken back. Everything happens inside the row: no exchange, no join, no state.
+
+What was chosen: of a card the first digit stays, of an address the domain, of a secret with a
+public prefix that prefix; a secret of hexadecimal digits stays one, other secrets keep the class of each character.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
@@ -24,7 +30,9 @@ _KNOWN = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n /
 #: What the candidates look like, in the order in which they are tried.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
-    "secret": r"(?<=[Tt][Oo][Kk][Ee][Nn] = [\x22'])[0-9A-Fa-f]{32,64}(?=[\x22'])",
+    # what is assigned to a telling name, with a digit in it or all hexadecimal; and keys with the prefixes that their issuers publish
+    "secret": r"((?<=(?i:pass(?:word|wd|phrase)|secret|token|(?:api|access|auth|private|account)[_\-]?key)[\x22']?\s{0,3}[=:]\s{0,3}[\x22']?)(?:(?=[A-Za-z+/_\-]{0,127}[0-9])[A-Za-z0-9+/_\-]{8,128}+|[A-Fa-f]{16,128}+(?![A-Za-z0-9+/_\-]))"
+    r"|(?<=\b(?:AKIA|ASIA))[A-Z0-9]{16}\b|(?<=\bgh[pousr]_)[A-Za-z0-9]{36,255}|(?<=\bxox[abprs]-)[A-Za-z0-9\-]{10,250}|(?<=\bsk-)[A-Za-z0-9]{20,200}|(?<=\bAIza)[0-9A-Za-z_\-]{35})",
     "iban": rf"\b(?:{_KNOWN})\b|\b[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?\b",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9\-/.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9\-/])",
@@ -37,8 +45,8 @@ PATTERNS["card"] = rf"(?<![0-9\-])(?=[0-9](?:[ \-]?[0-9]){{12}})[0-9]++(?:[ \-](
 #: Cards as they are grouped in print; these go before other runs.
 _PRINTED = "^([0-9]{13,19}|[0-9]{4}( [0-9]{4}){2}( [0-9]{4})?( [0-9]{1,3})?|[0-9]{4} [0-9]{6} [0-9]{4,5})$"
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Cheap: every candidate holds one of these.
-_HINT = "[0-9]{2}|@"
+#: Places of the secret among the groups of the pattern.
+_SECRET = 1
 #: Days from 1900-01-01 to 2099-12-31, and two factors of their number.
 _DAYS, _DAY_FACTORS = 73_049, (17, 4297)
 _DATE_FORMATS = {"-": "yyyy-MM-dd", "/": "MM/dd/yyyy", ".": "dd.MM.yyyy"}
@@ -58,36 +66,42 @@ def _mod97(text: str) -> str:
     return f"aggregate(sequence(1, length({text})), 0, (s, i) -> CASE WHEN substr({text}, i, 1) <= '9' THEN (s * 10 + CAST(substr({text}, i, 1) AS int)) % 97 ELSE (s * 100 + ascii(substr({text}, i, 1)) - 55) % 97 END)"
 
 
-def _shifted(half: str, other: str, key: str, hexes: bool) -> str:
+def _mac(key: bytes, message: str) -> str:
+    """SQL of HMAC-SHA256 as 64 hexadecimal digits; message: SQL of a string."""
+    own = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (bytes(b ^ x for b in own).hex() for x in (0x36, 0x5C))
+    return f"sha2(concat(X'{outer}', unhex(sha2(concat(X'{inner}', CAST({message} AS binary)), 256))), 256)"
+
+
+def _shifted(half: str, other: str, key: tuple[bytes, str], hexes: bool, r: str = "r") -> str:
     """Every character of ``half`` moved within its class by a stream keyed with ``other``; a bijection of ``half`` for any ``other``."""
-    stream = f"sha2(concat({key}, ':', r, ':', lower({other})), 256)"
-    k = "CAST(conv(substr(acc.d, pmod(2 * i, 62) + 1, 2), 16, 10) AS int)"
+    stream = _mac(key[0], f"concat('{key[1]}:', {r}, ':', {f'lower({other})' if hexes else other})")
+    k = "CAST(conv(substr(z.d, pmod(2 * i, 62) + 1, 2), 16, 10) AS int)"
 
-    def turn(first: int, n: int) -> str:
-        return f"chr({first} + pmod(ascii(c) - {first} + {k}, {n}))"
+    def each(moved: str) -> str:
+        inside = f"array_join(transform(sequence(1, length(z.h)), i -> element_at(transform(array(substr(z.h, i, 1)), c -> {moved}), 1)), '')"
+        return f"CASE WHEN {half} = '' THEN '' ELSE element_at(transform(array(struct({half} AS h, {stream} AS d)), z -> {inside}), 1) END"
 
     if hexes:  # 16 digits in either case
-        small = "substr('0123456789abcdef', 1 + pmod(CAST(conv(c, 16, 10) AS int) + " + k + ", 16), 1)"
-        moved = f"CASE WHEN x = upper(x) THEN upper({small}) ELSE {small} END"
-        return f"array_join(transform(sequence(1, length({half})), i -> element_at(transform(array(struct(substr({half}, i, 1) AS c, {half} AS x, {stream} AS d)), acc -> {moved.replace('(c,', '(acc.c,').replace('x = upper(x)', 'acc.x = upper(acc.x)')}), 1)), '')"
-    classes = [("acc.c >= '0' AND acc.c <= '9'", 48, 10), ("acc.c >= 'a' AND acc.c <= 'z'", 97, 26), ("acc.c >= 'A' AND acc.c <= 'Z'", 65, 26)]
-    wide = [("acc.c >= 'à' AND acc.c <= 'ö'", 224, 23), ("acc.c >= 'À' AND acc.c <= 'Ö'", 192, 23)]
-    cases = " ".join(f"WHEN {test} THEN {turn(first, n).replace('ascii(c)', 'ascii(acc.c)')}" for test, first, n in classes + wide)
-    return f"array_join(transform(sequence(1, length({half})), i -> element_at(transform(array(struct(substr({half}, i, 1) AS c, {stream} AS d)), acc -> CASE {cases} ELSE acc.c END), 1)), '')"
+        small = f"substr('0123456789abcdef', 1 + pmod(CAST(conv(c, 16, 10) AS int) + {k}, 16), 1)"
+        return each(f"CASE WHEN z.h = upper(z.h) THEN upper({small}) ELSE {small} END")
+    classes = (("0", "9", 10), ("a", "z", 26), ("A", "Z", 26), ("à", "ö", 23), ("À", "Ö", 23))
+    cases = " ".join(f"WHEN c >= '{a}' AND c <= '{b}' THEN chr({ord(a)} + pmod(ascii(c) - {ord(a)} + {k}, {n}))" for a, b, n in classes)
+    return each(f"CASE {cases} ELSE c END")
 
 
-def _text_feistel(value: str, key: str, hexes: bool = False) -> str:
+def _text_feistel(value: str, key: tuple[bytes, str], hexes: bool = False) -> str:
     """Alternating Feistel over the halves of a string of two or more characters."""
     left, right = _shifted("f.a", "f.b", key, hexes), _shifted("f.b", "f.a", key, hexes)
     start = f"struct(substr({value}, 1, CAST(length({value}) / 2 AS int)) AS a, substr({value}, CAST(length({value}) / 2 AS int) + 1) AS b)"
     return f"aggregate(sequence(1, {ROUNDS}), {start}, (f, r) -> CASE WHEN r % 2 = 1 THEN struct({left} AS a, f.b AS b) ELSE struct(f.a AS a, {right} AS b) END, f -> concat(f.a, f.b))"
 
 
-def _number_feistel(a: str, b: str, m: int, n: int, key: str, finish: str) -> str:
+def _number_feistel(a: str, b: str, m: int, n: int, key: tuple[bytes, str], finish: str) -> str:
     """Alternating Feistel over a pair of numbers below m and n; ``finish`` reads f.a and f.b."""
 
     def f(x: str, size: int) -> str:
-        return f"pmod(CAST(conv(substr(sha2(concat({key}, ':', r, ':', {x}), 256), 1, 12), 16, 10) AS bigint), {size}L)"
+        return f"pmod(CAST(conv(substr({_mac(key[0], f"concat('{key[1]}:', r, ':', {x})")}, 1, 12), 16, 10) AS bigint), {size}L)"
 
     return f"aggregate(sequence(1, {ROUNDS}), struct(CAST({a} AS bigint) AS a, CAST({b} AS bigint) AS b), (f, r) -> CASE WHEN r % 2 = 1 THEN struct(pmod(f.a + {f('f.b', m)}, {m}L) AS a, f.b AS b) ELSE struct(f.a AS a, pmod(f.b + {f('f.a', n)}, {n}L) AS b) END, f -> {finish})"
 
@@ -129,17 +143,38 @@ def _card_parts() -> str:
     return _let("regexp_extract_all(v, '[0-9]+', 0)", "g", _let("regexp_extract_all(v, '[ -]?[0-9]+', 0)", "p", body))
 
 
-def _pseudonym(key: str) -> str:
-    """SQL of (t, n) of the candidate ``v``: its pseudonym, or ``v`` itself if it isn't valid, and how many values changed."""
+def _rank(number: str, block: int) -> str:
+    """Of a number of the plan (first digit 2 to 9, not ending in 11 within its block) its place among those."""
+    return f"(({number}) div 100 - 2) * {block - 1} + ({number}) % 100 - CASE WHEN ({number}) % 100 > 11 THEN 1 ELSE 0 END"
+
+
+def _ranked(place: str, block: int) -> str:
+    return f"(2 + ({place}) div {block - 1}) * 100 + ({place}) % {block - 1} + CASE WHEN ({place}) % {block - 1} >= 11 THEN 1 ELSE 0 END"
+
+
+#: Area codes and exchanges of the North American plan begin with 2 to 9 and don't end in 11; area codes have no 9 in the middle.
+_PHONE = "^1?[2-9](?!11)[0-8][0-9][2-9](?!11)[0-9]{2}[0-9]{4}$"
+_AREAS, _EXCHANGES = 8 * 89, 8 * 99
 
-    def k(kind: str) -> str:
-        return _sql(f"{key}:{kind}")
+
+def _pseudonym(key: bytes) -> str:
+    """SQL of (t, n) of the candidate ``v``, a secret if ``s``: its pseudonym, or ``v`` itself if it isn't valid, and how many values changed."""
+
+    def k(kind: str) -> tuple[bytes, str]:
+        return key, kind
+
+    def number(text: str) -> str:
+        return f"CAST({text} AS int)"
 
     digits = "regexp_replace(v, '[^0-9]', '')"
-    ten = "right(d, 10)"
-    card = f"CASE WHEN {_CARD} THEN " + _let(_text_feistel("left(d, length(d) - 1)", k("card")), "q", _into("v", f"concat(q, pmod(10 - {_luhn('concat(q, chr(48))')}, 10))")) + " ELSE v END"
-    phone = _let(f"concat(left(d, length(d) - 10), {_text_feistel(ten, k('phone'))})", "q", _into("v", "q"))
-    ssn = "CASE WHEN left(d, 3) NOT IN ('000', '666') AND left(d, 1) <> '9' AND substr(d, 4, 2) <> '00' AND right(d, 4) <> '0000' THEN " + _let(_text_feistel("d", k("ssn")), "q", _into("v", "q")) + " ELSE v END"
+    card = f"CASE WHEN {_CARD} THEN " + _let("concat(left(d, 1), " + _text_feistel("substr(d, 2, length(d) - 2)", k("card")) + ")", "q", _into("v", f"concat(q, pmod(10 - {_luhn('concat(q, chr(48))')}, 10))")) + " ELSE v END"
+    moved = _number_feistel(_rank(number("left(t, 3)"), 90), f"({_rank(number('substr(t, 4, 3)'), 100)}) * 10000L + {number('right(t, 4)')}", _AREAS, _EXCHANGES * 10000, k("phone"),
+        f"concat({_ranked('f.a', 90)}, {_ranked('f.b div 10000', 100)}, lpad(CAST(f.b % 10000 AS string), 4, '0'))")
+    phone = f"CASE WHEN regexp_like(d, '{_PHONE}') THEN " + _let(_let("right(d, 10)", "t", f"concat(left(d, length(d) - 10), {moved})"), "q", _into("v", "q")) + " ELSE v END"
+    area = number("left(d, 3)")
+    moved = _number_feistel(f"{area} - 1 - CASE WHEN {area} > 666 THEN 1 ELSE 0 END", f"({number('substr(d, 4, 2)')} - 1) * 9999L + {number('right(d, 4)')} - 1", 898, 99 * 9999, k("ssn"),
+        "concat(lpad(CAST(f.a + 1 + CASE WHEN f.a >= 665 THEN 1 ELSE 0 END AS string), 3, '0'), lpad(CAST(f.b div 9999 + 1 AS string), 2, '0'), lpad(CAST(f.b % 9999 + 1 AS string), 4, '0'))")
+    ssn = "CASE WHEN left(d, 3) NOT IN ('000', '666') AND left(d, 1) <> '9' AND substr(d, 4, 2) <> '00' AND right(d, 4) <> '0000' THEN " + _let(moved, "q", _into("v", "q")) + " ELSE v END"
     octets = "transform(split(v, '[.]'), o -> CAST(o AS int))"
     ip = _let(octets, "o", f"CASE WHEN forall(o, b -> b <= 255) THEN {_number_feistel('o[0] * 256 + o[1]', 'o[2] * 256 + o[3]', 65536, 65536, k('ip'), 'concat_ws(chr(46), f.a div 256, f.a % 256, f.b div 256, f.b % 256)')} ELSE v END")
     dates = []
@@ -150,16 +185,16 @@ def _pseudonym(key: str) -> str:
         dates.append(f"WHEN contains(v, '{mark}') THEN " + _let(day, "n", f"CASE WHEN n >= 0 AND n < {_DAYS} THEN {moved} ELSE v END"))
     date = f"CASE {' '.join(dates)} ELSE v END"
     at = "instr(v, '@')"
-    email = f"CASE WHEN {at} > 2 THEN concat({_text_feistel(f'left(v, {at} - 1)', k('email'))}, substr(v, {at})) ELSE concat({_shifted(f'left(v, {at} - 1)', chr(39) * 2, k('email'), False).replace(', r, ', ', 0, ')}, substr(v, {at})) END"
+    email = f"CASE WHEN {at} > 2 THEN concat({_text_feistel(f'left(v, {at} - 1)', k('email'))}, substr(v, {at})) ELSE concat({_shifted(f'left(v, {at} - 1)', chr(39) * 2, k('email'), False, '0')}, substr(v, {at})) END"
     plain = "replace(v, ' ', '')"
     shorter = "filter(transform(sequence(0, size(split(v, ' ')) - 1), i -> array_join(slice(split(v, ' '), 1, size(split(v, ' ')) - i), ' ')), w -> length(replace(w, ' ', '')) BETWEEN 15 AND 34 AND " + _mod97("concat(substr(replace(w, ' ', ''), 5), left(replace(w, ' ', ''), 4))") + " = 1)"
     iban = _let(plain, "p", f"CASE WHEN length(p) BETWEEN 15 AND 34 AND {_mod97('concat(substr(p, 5), left(p, 4))')} = 1 THEN " + _let(_text_feistel("substr(p, 5)", k("iban")), "q", _let(f"concat(left(p, 2), lpad(CAST(98 - {_mod97('concat(q, left(p, 2), chr(48), chr(48))')} AS string), 2, '0'), q)", "y", "aggregate(sequence(1, length(v)), struct('' AS t, 1 AS k), (z, i) -> CASE WHEN substr(v, i, 1) = ' ' THEN struct(concat(z.t, ' ') AS t, z.k AS k) ELSE struct(concat(z.t, substr(y, z.k, 1)) AS t, z.k + 1 AS k) END, z -> z.t)")) + " ELSE v END")
     # of a country that isn't known: the longest part up to a space that is valid
     iban = _let(f"coalesce(get({shorter}, 0), '')", "u", "concat(" + _let("CASE WHEN u = '' THEN v ELSE u END", "v", iban) + ", CASE WHEN u = '' THEN '' ELSE substr(v, length(u) + 1) END)")
-    secret = _text_feistel("v", k("secret"), hexes=True)
+    secret = f"CASE WHEN regexp_like(v, '^[0-9A-Fa-f]+$') AND (v = upper(v) OR v = lower(v)) THEN {_text_feistel('v', k('secret'), hexes=True)} ELSE {_text_feistel('v', k('secret'))} END"
     shapes = {
+        "secret": ("s", secret),
         "email": ("contains(v, '@')", email),
-        "secret": ("regexp_like(v, '^[0-9A-Fa-f]{32,64}$')", secret),
         "iban": ("regexp_like(v, '^[A-Z]')", iban),
         "ip": ("regexp_like(v, '^[0-9]{1,3}([.][0-9]{1,3}){3}$')", ip),
         "date": ("regexp_like(v, '^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}[.][0-9]{2}[.][0-9]{4})$')", date),
@@ -178,24 +213,35 @@ def with_pseudonyms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     A null text stays null, an empty one empty. What no format validates stays as it is, so
     clean documents come back unchanged. Characters outside ASCII and Latin-1 letters inside
-    an address stay in place.
+    an address stay in place. The key is a literal of the plan: who may read plans may read it.
     """
-    found = F.when(F.col(text).rlike(_HINT) & F.col(text).rlike(_ANY), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)))
-    out = docs.withColumn("__m", found)
-    out = out.withColumn("__q", F.when(F.size("__m") > 0, F.expr(f"transform(__m, v -> {_pseudonym(key)})")))
+    if not key:
+        raise ValueError("a key is needed")
+    out = docs.withColumn("__m", F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)))
+    kinds = F.regexp_extract_all(text, F.lit(_ANY), F.lit(_SECRET))
+    out = out.withColumn("__k", F.when(F.size("__m") > 0, F.arrays_zip(F.col("__m").alias("v"), F.transform(kinds, lambda x: x != "").alias("s"))))
+    out = out.withColumn("__q", F.expr(f"transform(__k, e -> {_let('e.v', 'v', _let('e.s', 's', _pseudonym(key.encode())))})"))
     pieces = F.split(F.col(text), _ANY, -1)
     joined = F.array_join(F.flatten(F.zip_with(pieces, "__q", lambda p, q: F.array(p, F.coalesce(q["t"], F.lit(""))))), "")
     changed = F.when(F.col("__q").isNotNull(), F.aggregate("__q", F.lit(0), lambda a, q: a + q["n"])).otherwise(0)
-    return out.withColumns({text: F.when(F.col("__q").isNotNull(), joined).otherwise(F.col(text)), "__plm_changed": changed.cast("long")}).drop("__m", "__q")
+    return out.withColumns({text: F.when(F.col("__q").isNotNull(), joined).otherwise(F.col(text)), "__plm_changed": changed.cast("long")}).drop("__m", "__k", "__q")
 
 
-def mask(docs: DataFrame, key: str = "palimpsest") -> DataFrame:
+def mask(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with masked texts, and n_chars, if there is such a column, as long as they are. Other columns and repeated rows stay."""
     own = with_pseudonyms(docs, key)
     new = {"n_chars": F.when(F.col("__plm_changed") > 0, F.length("text").cast("long")).otherwise(docs["n_chars"].cast("long"))} if "n_chars" in docs.columns else {}
     return own.select(*(new[c].alias(c) if c in new else own[c] for c in docs.columns))
 
 
+#: The setting that names the key, and the one that queries and pipeline take where it is not set; that one is public, so its pseudonyms are no secret.
+KEY, PUBLIC = "spark.palimpsest.pseudonym.key", "no secret: set spark.palimpsest.pseudonym.key"
+
+
+def key_of(spark: SparkSession) -> str:
+    return spark.conf.get(KEY, None) or PUBLIC
+
+
 def query(docs: DataFrame) -> DataFrame:
     own = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
-    return with_pseudonyms(own, "palimpsest").select("doc_id", F.col("__plm_changed").alias("n_masked"), "text")
+    return with_pseudonyms(own, key_of(docs.sparkSession)).select("doc_id", F.col("__plm_changed").alias("n_masked"), "text")

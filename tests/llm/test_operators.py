@@ -382,7 +382,7 @@ def test_permutation_is_one_to_one(spark):
 
 
 def test_masking_keeps_columns(docs):
-    out = pii.mask(docs)
+    out = pii.mask(docs, "key")
     assert out.columns == docs.columns and out.count() == len(ROWS)
     by = {r.doc_id: r.text for r in out.collect()}
     assert "bob.smith" not in by[13] and "4111111111111111" not in by[13] and by[7] == ROWS[7][1] and by[2] is None

@@ -24,10 +24,12 @@ from .lattice import Pieces, padded, sentencepiece_vocabulary
 from .tokens import public_vocabulary
 
 SPACE = "▁"
-#: Most documents of each language that are learned from: those with the lowest hash of their id.
-SAMPLE = 400
-#: Longer words are scored in parts of this length.
-LONGEST = 32
+#: Most documents of each language that are learned from: those with the lowest hash of their id. Of each its first words so many, none of which is longer than LONG.
+SAMPLE, WORDS = 400, 5_000
+#: Most languages: the model has a column for each.
+LANGUAGES = 256
+#: Words of more characters are summed one by one along a ring of columns, shorter ones many at once. Both give the same.
+LONG = 48
 ROUNDS = 4
 #: Added to every piece's expected count; probability of a character that is no piece.
 PRIOR, STRANGE = 0.05, 1e-7
@@ -41,12 +43,8 @@ def _pieces(path: str) -> Pieces:
 
 
 def words(text: str) -> list[str]:
-    """Lower-case words with the mark of their beginning, cut to parts of at most LONGEST characters."""
-    out = []
-    for w in text.lower().split():
-        w = SPACE + w
-        out.extend([w] if len(w) <= LONGEST else (w[i : i + LONGEST] for i in range(0, len(w), LONGEST)))
-    return out
+    """Lower-case words with the mark of their beginning."""
+    return [SPACE + w for w in text.lower().split()]
 
 
 def _arcs(pieces: Pieces, codes: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
@@ -75,10 +73,35 @@ def _by_length(strings: list[str]):
         at = end
 
 
+def long_likelihood(pieces: Pieces, table: np.ndarray, text: str, block: int = 50_000) -> np.ndarray:
+    """As :func:`likelihoods`, of one string of any length: of the forward sums only those are held that a piece can still reach, scaled at every step."""
+    ring, log = np.zeros((pieces.longest + 1, table.shape[1])), np.zeros(table.shape[1])
+    ring[0] = 1.0
+    for at in range(0, len(text), block):
+        count = min(block, len(text) - at)
+        codes = padded([text[at : at + count + pieces.longest]])[0]
+        which = np.full((count, pieces.longest), -1)
+        which[:, 0] = len(pieces.pieces)
+        for n, starts, found in pieces.all_of(codes, count):
+            which[starts, n - 1] = found
+        for row in which:
+            ends = np.flatnonzero(row >= 0)
+            ring[ends + 1] += ring[0] * table[row[ends]]
+            ring[:-1], ring[-1] = ring[1:], 0.0
+            log += np.log(ring[0])
+            ring /= ring[0]
+    return log
+
+
 def likelihoods(pieces: Pieces, table: np.ndarray, strings: list[str]) -> np.ndarray:
     """Log of the sum over all segmentations, of each string in each language; table: (pieces + 1) x languages."""
     out = np.zeros((len(strings), table.shape[1]))
-    for places, own in _by_length(strings):
+    for k, x in enumerate(strings):
+        if len(x) > LONG:
+            out[k] = long_likelihood(pieces, table, x)
+    short = [k for k, x in enumerate(strings) if len(x) <= LONG]
+    for places, own in _by_length([strings[k] for k in short]):
+        places = np.array(short)[places]
         codes = padded(own)
         width = codes.shape[1]
         alpha = np.zeros((width + 1, len(own), table.shape[1]))
@@ -120,22 +143,36 @@ def learn(pieces: Pieces, counts: dict[str, int]) -> np.ndarray:
     return p
 
 
+def sampled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(lang, text) of at most ``sample`` documents of each language that are not held out.
+
+    Languages are counted first, so that each task sends on only what can be among the lowest hashes; about
+    twice the sample of a language then meets to be ranked, whatever the input.
+    """
+    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND pmod(crc32(CAST(doc_id AS string)), 5) <> 0").withColumn("h", F.xxhash64("doc_id"))
+    sizes = rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    low, span = -(2**63), 2**64
+    most = [(r.lang, min(2**63 - 1, low + span * 2 * sample // r["count"])) for r in sizes]
+    cut = docs.sparkSession.createDataFrame(most, "lang string, most long")
+    few = rows.join(F.broadcast(cut), "lang").where("h <= most")
+    once = few.groupBy("lang", "h", "doc_id", F.xxhash64("text").alias("mark")).agg(F.first("text").alias("text"))
+    first = Window.partitionBy("lang").orderBy("h", "doc_id", "mark")
+    return once.withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample).select("lang", "text")
+
+
 def train(docs: DataFrame, vocabulary: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and their table, from the rows (doc_id, text, lang) that are not held out."""
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND pmod(crc32(CAST(doc_id AS string)), 5) <> 0")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # ranks are cut in every task before anything is shuffled
-    chosen = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample).select("doc_id", "lang")
+    """Languages and their table, from a sample of the rows (doc_id, text, lang) that are not held out: at most sample x WORDS words of each language."""
 
     def counted(batches):
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
-                found = Counter(w for x in texts for w in words(x))
+                found = Counter(w for x in texts for w in words(x)[:WORDS] if len(w) <= LONG)
                 yield pd.DataFrame({"lang": lang, "word": list(found), "n": list(found.values())})
 
-    own = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # ``sample`` ids a language
     counts: dict[str, dict[str, int]] = {}
-    for lang, word, n in own.select("lang", "text").mapInPandas(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n")).collect():
+    for lang, word, n in sampled(docs, sample).mapInPandas(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n")).collect():
         counts.setdefault(lang, {})[word] = n
     pieces, langs = _pieces(vocabulary), sorted(counts)
     return langs, np.stack([learn(pieces, dict(sorted(counts[x].items()))) for x in langs], 1) if langs else np.zeros((len(pieces.pieces) + 1, 0))

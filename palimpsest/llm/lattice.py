@@ -63,6 +63,23 @@ class Pieces:
                     yield start, n, hit, table[1][k[hit]]
 
 
+    def all_of(self, codes: np.ndarray, count: int):
+        """codes: one long row. Yields (n, starts, pieces) of the pieces that begin at its first ``count`` places."""
+        wide = np.r_[codes.astype(np.uint64), np.zeros(self.longest, np.uint64)]
+        x = np.full(count, 0x51, np.uint64)
+        for n in range(1, self.longest + 1):
+            last = wide[n - 1 : n - 1 + count]
+            x = (x ^ last) * _MULTIPLIER
+            x ^= x >> np.uint64(32)
+            if n in self.tables:
+                known, places = self.tables[n]
+                keys = _mixed(x)
+                k = np.searchsorted(known, keys)
+                k[k == len(known)] = 0
+                hit = np.flatnonzero((known[k] == keys) & (last != 0))
+                yield n, hit, places[k[hit]]
+
+
 def padded(strings: list[str]) -> np.ndarray:
     """Code points of strings of nearly equal length, as a matrix filled up with 0."""
     width = max(map(len, strings))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -329,6 +330,35 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [brute(s) for s in strings], rtol=1e-9)
 
 
+def test_long_words_are_summed_whole():
+    """Beyond what doubles hold, against exact fractions; and the way of short words against that of long ones."""
+    from fractions import Fraction
+
+    pieces = lattice.Pieces(["a", "b", "ab", "ba", "aba", "▁", "▁a", "bbbb"])
+    rng = np.random.default_rng(8)
+    table = np.vstack([rng.random((8, 3)) / 20, np.full((1, 3), 1e-7)])
+    for n, block in ((120, 50_000), (700, 90)):
+        word = "▁" + "".join(rng.choice(list("aabb?"), n))
+        got = langid.long_likelihood(pieces, table, word, block)
+        for k in range(3):
+            p = {x: Fraction(table[i, k]) for i, x in enumerate(pieces.pieces)}
+            alpha = [Fraction(1)]
+            for end in range(1, len(word) + 1):
+                ways = ((m, p.get(word[end - m : end], Fraction(1e-7) if m == 1 and word[end - 1] not in p else 0)) for m in range(1, min(4, end) + 1))
+                alpha.append(sum(alpha[end - m] * x for m, x in ways))
+            assert got[k] == pytest.approx(math.log(alpha[-1].numerator) - math.log(alpha[-1].denominator), rel=1e-9)
+        assert (got < -300).all() if n == 700 else True
+    words = ["▁" + "".join(rng.choice(list("ab?"), n)) for n in (1, 5, 20, 40)]
+    assert np.allclose(langid.likelihoods(pieces, table, words), [langid.long_likelihood(pieces, table, w, 7) for w in words], rtol=1e-9)
+
+
+def test_language_sample(spark):
+    """Bounded for each language, whatever repeats: a third of the rows has one id."""
+    rows = [(i, f"text {i}", "en", None, None) for i in range(3000)] + [(7, "same", "en", None, None)] * 1500 + [(i, "texte", "fr", None, None) for i in range(20)] + [(None, "x", "fr", None, None), (1, None, "fr", None, None)]
+    got = collections.Counter(r.lang for r in langid.sampled(documents(spark, rows), 50).collect())
+    assert got == {"en": 50, "fr": sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(20))}
+
+
 def test_learning_raises_the_likelihood():
     pieces = lattice.Pieces(["a", "b", "c", "ab", "abc", "bc"])
     counts = {"abc": 50, "ab": 10, "c": 5, "bca": 3}

@@ -46,6 +46,8 @@ SPACE = "▁"
 UNKNOWN = 10.0
 #: Segments remembered by a worker in each of two generations, some 200 bytes each.
 MEMORY = 300_000
+#: Beginnings of segments that are remembered, in characters.
+HEAD = 8
 #: Segments are looked up for so many code points of text at once.
 BLOCK = 3_000_000
 
@@ -59,6 +61,8 @@ class Codec:
         self.longest = max(map(len, pieces))
         #: Score and id of what pieces end with, None where that is no piece itself: looking back from a position stops at what is missing here.
         self.ends = {x[k:]: None for x in pieces for k in range(1, len(x))} | self.score
+        #: Neighbours inside pieces; no piece spans any others.
+        self.inside = {x[k : k + 2] for x in pieces for k in range(len(x) - 1)}
         #: Whether a new line is in no longer piece: then no piece spans its sides.
         self.lines = not any("\n" in x for x in pieces if len(x) > 1)
         self.worst = min(scores) - UNKNOWN
@@ -153,7 +157,10 @@ class Codec:
         for x in needed.difference(found):
             ids = self.older.get(x)
             if ids is None:
-                ids = self.literal if x == SPACE else self._encoded(x[1:] if x[0] == SPACE else x if x[0] == "\n" and self.lines else SPACE + x)
+                if x[-2:] not in self.inside and (stem := found.get(x[:-1]) or self.memory.get(x[:-1])) and x[0] != SPACE:
+                    ids = stem + self._encoded(x[-1])
+                else:
+                    ids = self.literal if x == SPACE else self._encoded(x[1:] if x[0] == SPACE else x if x[0] == "\n" and self.lines else SPACE + x)
             found[x] = ids
             if len(x) <= 64:
                 self.memory[x] = ids
@@ -192,6 +199,8 @@ class Merges(Codec):
     def __init__(self, path: str):
         super().__init__(path)
         self.pairs: dict[tuple[str, str], bool] = {}
+        #: The last piece of the beginnings of segments, which many share.
+        self.heads: dict[str, str] = {}
         #: Of each longer piece: the merges that make it.
         self.made: dict[str, list[tuple[float, str, str]] | None] = {}
 
@@ -269,24 +278,27 @@ class Merges(Codec):
 
     def segment(self, symbols: str) -> list[int]:
         """As :meth:`stream`, for a text so short that the window holds it."""
-        ends, pairs, last, begin = self.ends, self.pairs, [""], [0]
+        ends, pairs, heads, last, begin = self.ends, self.pairs, self.heads, [""], [0]
         for n in range(1, len(symbols) + 1):
-            start = n - 1
-            while start >= 0:
-                piece = symbols[start:n]
-                found = ends.get(piece, 0)
-                if found or start == n - 1:
-                    both = last[start], piece
-                    fits = pairs.get(both)
-                    if self._fits(*both) if fits is None else fits:
-                        break
-                elif found == 0:
-                    start = 0
-                start -= 1
-            if start < 0:
-                raise ValueError("no piece ends here")
+            piece = heads.get(symbols[:n]) if n <= HEAD else None
+            if piece is None:
+                for start in range(n - 1, -1, -1):
+                    piece = symbols[start:n]
+                    found = ends.get(piece, 0)
+                    if found or start == n - 1:
+                        fits = pairs.get((last[start], piece))
+                        if self._fits(last[start], piece) if fits is None else fits:
+                            break
+                    elif found == 0:
+                        raise ValueError("no piece ends here")
+                else:
+                    raise ValueError("no piece ends here")
+                if n <= HEAD:
+                    if len(heads) >= MEMORY:
+                        heads.clear()
+                    heads[symbols[:n]] = piece
             last.append(piece)
-            begin.append(start)
+            begin.append(n - len(piece))
         return self._ids(symbols, [(start, self.score[x][1] if x in self.score else -1) for start, x in zip(begin, last)], len(symbols))
 
     def choose(self, held: str, best: list[float], back: list[tuple[int, int]], before: str) -> tuple[float, tuple[int, int]]:

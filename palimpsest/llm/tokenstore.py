@@ -1,21 +1,24 @@
 """Token ids in binary shards, with a minimal perfect hash index (operator 3).
 
-A store is a folder of two Parquet tables, so that any file system Spark writes to will do:
+A store is a folder of Parquet tables, so that any file system Spark writes to will do:
 
 ``shards``  task, shard, n_docs, n_tokens, keys, starts, payload. Documents stand in ascending
             doc_id order over (task, shard). ``payload`` is their ids, each document with its
             end id, as raw little-endian unsigned integers of 2 bytes (4 for vocabularies over
             65,536); ``keys`` is their doc_ids and ``starts`` each one's first id in the
-            payload and the payload's length, both 8-byte integers.
+            payload and the payload's length, both 8-byte integers. The shards of a task are one
+            file, part-<task>-..., and each is a row group of its own.
 ``index``   bucket, n_keys, levels, slots. A key belongs to bucket xxhash64(key) modulo the
             number of buckets. ``levels`` is a minimal perfect hash of the bucket's keys: bit
             arrays of falling size, in each of which a key that meets no other sets its bit,
             and its slot is the number of bits set before. A slot holds a 32-bit fingerprint
             (another hash of the key, so that strange keys are refused), task, shard, place
-            in the shard and number of rows with this key, which stand side by side.
+            in the shard and number of rows with this key, which stand side by side. Bucket b is
+            in the file part-<b modulo the number of files>-....
+``about``   n_buckets, n_files, n_tasks, width: one row.
 
 Access to a key costs one bucket, some bit tests and one shard, however many documents there
-are. Buckets and shards are bounded, so no task holds more than a few of either.
+are: one row group of one file of the index, one of one file of the shards. Buckets and shards are bounded, so no task holds more than a few of either.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, doc_id, new_path, partitions, small_batches
@@ -145,15 +148,30 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end:
     own = docs.select(F.coalesce(docs["doc_id"], F.lit(NULL_ID)).alias("id"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("mark"))
     dealt = own.repartitionByRange(partitions(spark), "id", "mark").sortWithinPartitions("id", "mark").select("id", "text")
     shards = dealt.mapInArrow(_write_shards(vocabulary or public_vocabulary("word_bpe_49k.json"), end), "task int, shard int, n_docs long, n_tokens long, keys binary, starts binary, payload binary")
-    shards.write.parquet(f"{path}/shards")
-    stored = spark.read.parquet(f"{path}/shards").select("task", "shard", "keys")
-    places = stored.mapInPandas(_places, "id long, task int, shard int, place int")
+    by_row(shards.write).parquet(f"{path}/shards")
+    stored = spark.read.parquet(f"{path}/shards")
+    places = stored.select("task", "shard", "keys").mapInPandas(_places, "id long, task int, shard int, place int")
     first = F.min(F.struct("task", "shard", "place")).alias("f")
     keys = places.groupBy("id").agg(first, F.count("*").cast("int").alias("rows"))
-    n = max(1, -(-spark.read.parquet(f"{path}/shards").agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0] // BUCKET))
+    sums = stored.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.max("task") + 1, F.lit(0))).first()
+    n, files = max(1, -(-sums[0] // BUCKET)), partitions(spark)
     bucketed = keys.select(_bucket(n).alias("bucket"), "id", "f.task", "f.shard", "f.place", "rows")
     index = bucketed.groupBy("bucket").applyInPandas(_index_bucket, "bucket int, n_keys long, levels binary, slots binary")
-    index.withColumn("n_buckets", F.lit(n)).write.parquet(f"{path}/index")
+    by_row(index.repartitionById(files, F.pmod("bucket", F.lit(files)).cast("int")).sortWithinPartitions("bucket").write).parquet(f"{path}/index")
+    about = [(n, files, sums[1], _encoder(vocabulary or public_vocabulary("word_bpe_49k.json")).dtype.itemsize)]
+    spark.createDataFrame(about, "n_buckets long, n_files int, n_tasks int, width int").coalesce(1).write.parquet(f"{path}/about")
+
+
+def by_row(writer: DataFrameWriter) -> DataFrameWriter:
+    """Every row a row group, so that a row that is asked for by a number is all that is read."""
+    return writer.option("parquet.block.row.count.limit", "1").option("parquet.block.size", str(SHARD)).option("parquet.page.size.row.check.min", "1")
+
+
+def _one_file(spark: SparkSession, folder: str, number: int) -> DataFrame | None:
+    """The file that the task of this number wrote, if it wrote one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/part-{number:05d}-*")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return spark.read.parquet(*(str(x.getPath()) for x in found)) if found else None
 
 
 def _places(batches):
@@ -163,11 +181,6 @@ def _places(batches):
             yield pd.DataFrame({"id": keys, "task": task, "shard": shard, "place": np.arange(len(keys), dtype=np.int32)})
 
 
-def _n_buckets(index: DataFrame) -> int:
-    row = index.select("n_buckets").first()
-    return row[0] if row else 1
-
-
 def _look_up(_, keys: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     names = ["id", "task", "shard", "place", "rows"]
     if not len(keys) or not len(index):
@@ -184,7 +197,7 @@ def _look_up(_, keys: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
 def locate(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """keys (id): (id, task, shard, place, rows) of those that the store's index holds, by way of the index alone."""
     index = spark.read.parquet(f"{path}/index")
-    n = _n_buckets(index)
+    n = spark.read.parquet(f"{path}/about").first().n_buckets
     asked = keys.select("id").distinct().select("id", _bucket(n).alias("bucket")).groupBy("bucket")
     return asked.cogroup(index.groupBy("bucket")).applyInPandas(_look_up, "id long, task int, shard int, place int, rows int")
 
@@ -216,31 +229,42 @@ def shard_starts(spark: SparkSession, path: str) -> DataFrame:
     return shards.select("task", "shard", upto(Window.partitionBy("task").orderBy("shard")).alias("within")).join(tasks, "task").select("task", "shard", (F.col("before") + F.col("within")).alias("base"))
 
 
-def fetch(spark: SparkSession, path: str, keys: list[int], width: int = 2) -> dict[int, list[np.ndarray]]:
-    """Ids of each of a few keys that the store holds: their index buckets and shards are all that is read."""
-    index = spark.read.parquet(f"{path}/index")
-    n = _n_buckets(index)
-    bucket = {k: b for k, b in spark.createDataFrame([(k,) for k in keys], "id long").select("id", _bucket(n)).collect()} if keys else {}
-    rows = {r.bucket: r for r in index.where(F.col("bucket").isin(sorted(set(bucket.values())))).collect()} if keys else {}
+def bucket_rows(spark: SparkSession, path: str, about, bucket: int) -> DataFrame | None:
+    own = _one_file(spark, f"{path}/index", bucket % about.n_files)
+    return own.where(F.col("bucket") == bucket).select("levels", "slots") if own is not None else None
+
+
+def shard_rows(spark: SparkSession, path: str, task: int, shard: int) -> DataFrame | None:
+    own = _one_file(spark, f"{path}/shards", task)
+    return own.where(F.col("shard") == shard).select("starts", "payload") if own is not None else None
+
+
+def fetch(spark: SparkSession, path: str, keys: list[int]) -> dict[int, list[np.ndarray]]:
+    """Ids of each of a few keys that the store holds. For each key one bucket and one shard are read, and a further shard only where rows that repeat the key go on there."""
+    about = spark.read.parquet(f"{path}/about").first()
+    bucket = {k: b for k, b in spark.createDataFrame([(k,) for k in keys], "id long").select("id", _bucket(about.n_buckets)).collect()} if keys else {}
     out = {}
     for k, b in bucket.items():
-        own = np.array([k], np.int64)
-        slot = slots_of(rows[b].levels, own)[0] if b in rows else -1
+        rows, own = bucket_rows(spark, path, about, b), np.array([k], np.int64)
+        found = rows.first() if rows is not None else None
+        slot = slots_of(found.levels, own)[0] if found else -1
         if slot < 0:
             continue
-        at = np.frombuffer(rows[b].slots, _SLOT)[slot]
+        at = np.frombuffer(found.slots, _SLOT)[slot]
         if at["mark"] != _mark(own)[0]:
             continue
-        shards, here, left, place = spark.read.parquet(f"{path}/shards"), (int(at["task"]), int(at["shard"])), int(at["rows"]), int(at["place"])
+        task, shard, place, left = (int(at[c]) for c in ("task", "shard", "place", "rows"))
         out[k] = []
-        while left:  # rows that repeat a key may go on in the shards that follow
-            task, number = here
-            after = shards.where((F.col("task") > task) | ((F.col("task") == task) & (F.col("shard") >= number))).orderBy("task", "shard")
-            shard = after.select("task", "shard", "starts", "payload").first()
-            starts, ids = np.frombuffer(shard.starts, "<i8"), np.frombuffer(shard.payload, f"<u{width}")
+        while left and task < about.n_tasks:
+            rows = shard_rows(spark, path, task, shard)
+            row = rows.first() if rows is not None else None
+            if row is None:  # the task has no more
+                task, shard = task + 1, 0
+                continue
+            starts, ids = np.frombuffer(row.starts, "<i8"), np.frombuffer(row.payload, f"<u{about.width}")
             own = range(place, min(place + left, len(starts) - 1))
             out[k] += [ids[starts[p] : starts[p + 1]] for p in own]
-            left, place, here = left - len(own), 0, (shard.task, shard.shard + 1)
+            left, place, shard = left - len(own), 0, shard + 1
     return out
 
 

@@ -264,15 +264,29 @@ def test_token_store_in_many_shards(spark, real, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(tokenstore, "BUCKET", 16)
+    monkeypatch.setattr(tokenstore, "SHARD", 20_000)
     path = f"file://{tmp_path}/store"
-    more = real.select("doc_id", "text").union(spark.createDataFrame([(10**6, "same key"), (10**6, "same key, other text")], "doc_id long, text string"))
+    same = [(10**6, f"same key, text {k} " + "word " * 3000) for k in range(40)]  # over several shards
+    more = real.select("doc_id", "text").union(spark.createDataFrame(same, "doc_id long, text string"))
     tokenstore.write_store(more, path)
     t = Tokenizer.from_file(tokens.public_vocabulary("word_bpe_49k.json"))
     by = dict(texts(real))
     got = tokenstore.fetch(spark, path, [3, 77, 10**6, 123456789])
     for i in (3, 77):
         assert got[i][0].tolist() == [*t.encode(by[i], add_special_tokens=False).ids, 2]
-    assert len(got[10**6]) == 2 and 123456789 not in got
+    assert {x.tobytes() for x in got[10**6]} == {np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u2").tobytes() for _, x in same} and len(got[10**6]) == 40 and 123456789 not in got
+    # access to a key: one row group of one file of the index and of the shards
+    import pyarrow.parquet as pq
+
+    about = spark.read.parquet(f"{path}/about").first()
+    row = tokenstore.locate(spark, path, spark.createDataFrame([(77,)], "id long")).first()
+    b = spark.createDataFrame([(77,)], "id long").select(tokenstore._bucket(about.n_buckets)).first()[0]
+    for rows, column, number in ((tokenstore.bucket_rows(spark, path, about, b), "bucket", b), (tokenstore.shard_rows(spark, path, row.task, row.shard), "shard", row.shard)):
+        (file,) = rows.inputFiles()
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert f"EqualTo({column},{number})" in plan and "Sort" not in plan and rows.count() == 1
+        groups = pq.ParquetFile(file.removeprefix("file://")).metadata
+        assert groups.num_row_groups == groups.num_rows > 1
 
 
 def test_perfect_hash():

@@ -26,6 +26,8 @@ BUCKETS = 128
 _TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 #: Score from which two digests count as wholly unlike.
 BOUND = 256
+#: Ids drawn for each range, on average, to cut ranges of like size.
+DRAWN = 60
 #: Most that lengths and one ratio add to the score.
 _LENGTH, _RATIO = 60, 15
 
@@ -123,7 +125,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     own = docs.select(F.coalesce(docs["doc_id"], F.lit(NULL_ID)).alias("id"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("mark"))
     ids = docs.select(F.coalesce(docs["doc_id"], F.lit(NULL_ID)).alias("id")).withColumn("x", F.col("id").cast("double"))
     n = 4 * partitions(spark)
-    cuts = sorted(set(ids.approxQuantile("x", [k / n for k in range(1, n)], 0.1 / n)))
+    # as Spark's own range partitioning does: cuts from a sample of a fixed size for each range; any cuts give the same result
+    drawn = sorted(x for (x,) in ids.select("x").sample(min(1.0, DRAWN * n / max(1, docs.count())), 42).collect())
+    cuts = sorted({drawn[k * len(drawn) // n] for k in range(1, n)}) if drawn else []
     ranged = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="x", outputCol="r") if cuts else None
 
     def with_range(rows: DataFrame) -> DataFrame:

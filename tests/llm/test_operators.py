@@ -491,19 +491,51 @@ def test_sentencepiece_round_trip(docs):
 # --- digests
 
 
-def test_digest_query(real, docs):
-    for df in (real, docs):
+def digest_by_hand(text):
+    """The digest in plain integers: counts of three kinds of triplets, quartiles by sorting, two bits for each bucket."""
+    raw, n = (text or "").encode(), [0] * 128
+    for k, (i, j, m) in enumerate(((0, 1, 2), (0, 1, 3), (0, 2, 3)), 1):
+        for at in range(len(raw) - m):
+            x = raw[at + i] * 0x9E3779B1 + raw[at + j] * 0x85EBCA77 + raw[at + m] * 0xC2B2AE3D + k * 0x27D4EB2F & 0xFFFFFFFF
+            x = (x ^ x >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+            n[x >> 25] += 1
+    q = sorted(n)
+    q1, q2, q3 = q[31], q[63], q[95]
+    levels = [sum(c > x for x in (q1, q2, q3)) for c in n]
+    body = bytes(sum(levels[4 * k + j] << 2 * j for j in range(4)) for k in range(32))
+    return bytes([min(255, round(8 * math.log2(len(raw) + 1))), 255 * q1 // max(q3, 1), 255 * q2 // max(q3, 1)]) + body
+
+
+def likeness_by_hand(a, b):
+    score = min(60, 2 * abs(a[0] - b[0])) + min(15, abs(a[1] - b[1]) // 4) + min(15, abs(a[2] - b[2]) // 4)
+    for x, y in zip(a[3:], b[3:]):
+        score += sum((0, 1, 2, 6)[abs((x >> s & 3) - (y >> s & 3))] for s in (0, 2, 4, 6))
+    return 1 - min(256, score) / 256
+
+
+@pytest.mark.parametrize("drawn", [60, 1])
+def test_digest_query(real, docs, monkeypatch, drawn):
+    monkeypatch.setattr(digest, "DRAWN", drawn)
+    for df in (real.where("doc_id < 60"), docs):
         rows = sorted(texts(df), key=lambda r: (-(2**63) if r[0] is None else r[0], str(r[1])))
         want = []
         for k, (i, t) in enumerate(rows):
             t, other = t or "", rows[(k + 1) % len(rows)][1] or ""
             half = len(t) // 2
             changed = t[: len(t) - half] + other[:half]
-            a, b, c = map(digest.fingerprint, (t, changed, other))
-            want.append((i, len(t), hashlib.sha256(changed.encode()).hexdigest(), a, b, digest.likeness(a, b), digest.likeness(a, c)))
+            a, b, c = map(digest_by_hand, (t, changed, other))
+            want.append((i, len(t), hashlib.sha256(changed.encode()).hexdigest(), a.hex(), b.hex(), likeness_by_hand(a, b), likeness_by_hand(a, c)))
         assert sorted(map(tuple, digest.query(df).collect()), key=key) == sorted(want, key=key)
 
 
+def test_digest_tells_edited_from_other(real):
+    out = digest.query(real).toPandas()
+    assert out.near_edited.mean() > out.near_next.mean() + 0.3
+    values = np.r_[out.near_edited, out.near_next]
+    ranks = np.argsort(np.argsort(values))[: len(out)]
+    assert (ranks.mean() - (len(out) - 1) / 2) / len(out) > 0.85  # area under the curve
+
+
 def test_digest_of_one_and_of_likeness(spark):
     (r,) = digest.query(documents(spark, [(1, "abcdefgh", None, None, None)])).collect()
     assert r.near_next == 1.0 and len(r.fingerprint) == 70

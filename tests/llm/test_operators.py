@@ -632,9 +632,11 @@ def test_quality_verdict(spark, real):
 
     own = {i: grams(t) for i, t in texts(real)}
     raw, target = collections.Counter(), collections.Counter()
-    for i, g in own.items():
+    trusted = {t for i, t in texts(real) if i in good}
+    for t in {t for _, t in texts(real)}:  # a text counts once, however often it is copied
+        g = grams(t)
         raw.update(g)
-        if i in good:
+        if t in trusted:
             target.update(g)
     n, t = sum(raw.values()), sum(target.values())
     weight = {b: np.log(((target[b] / t) / (raw[b] / n) + quality.FLOOR) / (1 + quality.FLOOR)) for b in raw}

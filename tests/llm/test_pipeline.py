@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pytest
 from cases import clashing
-from test_operators import components_of, reference_fingerprint, removed, rules, texts
+from test_operators import removed, rules, texts
 
 import corpus_pipeline
 from palimpsest.llm import common, packing, pii, quality, substring
@@ -31,10 +33,28 @@ def test_quality_stage(spark, steps):
     assert after == {i: t for i, t in before.items() if judged[i]} and not any(rules(t)[-1] for t in after.values())
 
 
+def shingles(text):
+    w = [bytes(c + 32 if 65 <= c <= 90 else c for c in x) for x in common.words(text)]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def test_near_dedup_stage(steps):
+    """Five-word shingles, similarity of 0.8 or more, all pairs compared: the smallest id of each component stays."""
     before, after = dict(texts(steps[1])), dict(texts(steps[2]))
-    roots = components_of({i: reference_fingerprint(t) for i, t in before.items()})
-    assert after == {i: before[i] for i in set(roots.values())}
+    sets = {i: shingles(t) for i, t in before.items()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(sorted(sets), 2):
+        a, b = sets[i], sets[j]
+        if len(a & b) >= 0.8 * len(a | b):
+            x, y = find(i), find(j)
+            root[max(x, y)] = min(x, y)
+    assert after == {i: before[i] for i in {find(i) for i in root}} and len(after) < len(before)
 
 
 def test_substring_stage(steps):

@@ -85,10 +85,18 @@ def hidden_geometry(layout: DataFrame) -> DataFrame:
 def text_under(annots: DataFrame, layout: DataFrame) -> DataFrame:
     """Annots with ``under``, the text below each rectangle in reading order; empty for none, a null rectangle or a missing page.
 
-    Pages meet their marks before any glyph is looked at, so other pages cost nothing.
+    Where layout rows carry the annotations of their page (``annots``, as :mod:`palimpsest.sources.files` gives
+    them), no page is moved to meet its marks. Else pages are joined to them before any glyph is looked at.
     """
-    box = F.struct(*(F.col("rect")[i].alias(x) for i, x in enumerate(_BOX)))
-    marks = annots.where("rect IS NOT NULL").groupBy(*_PAGE).agg(F.collect_list(F.struct("ord", box.alias("b"))).alias("marks"))
+    def box(rect: Column) -> Column:
+        return F.struct(*(rect[i].alias(x) for i, x in enumerate(_BOX)))
+
+    if "annots" in layout.columns:
+        own = F.filter("annots", lambda a: (a["subtype"] == "/Redact") & a["rect"].isNotNull())
+        pages = layout.select(*_PAGE, "glyphs", F.transform(own, lambda a: F.struct(a["ord"].alias("ord"), box(a["rect"]).alias("b"))).alias("marks"))
+    else:
+        marks = annots.where("rect IS NOT NULL").groupBy(*_PAGE).agg(F.collect_list(F.struct("ord", box(F.col("rect")).alias("b"))).alias("marks"))
+        pages = layout.select(*_PAGE, "glyphs").join(marks, list(_PAGE))
     under = F.transform("marks", lambda m: F.struct(m["ord"].alias("ord"), F.filter("glyphs", lambda g: _hit(g, m["b"])).alias("g")))
-    found = layout.select(*_PAGE, "glyphs").join(marks, list(_PAGE)).select(*_PAGE, F.explode(under).alias("u")).select(*_PAGE, "u.ord", _read(F.col("u.g")).alias("under"))
+    found = pages.select(*_PAGE, F.explode(under).alias("u")).select(*_PAGE, "u.ord", _read(F.col("u.g")).alias("under"))
     return annots.join(found, [*_PAGE, "ord"], "left").withColumn("under", F.coalesce("under", F.lit("")))

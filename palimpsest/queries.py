@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,12 +136,32 @@ def vector_registry(spark: SparkSession, d: str) -> DataFrame:
     return engine.vectors(spark)
 
 
+def finding_count_minimum(spark: SparkSession, d: str) -> DataFrame:
+    events = _t(spark, d, "events")
+    docs, findings = events.select(F.col("user_id").alias("doc_id")).distinct(), synthetic.event_findings(events)
+    return reduce(DataFrame.union, [report.count_at_least(docs, findings, s).select("doc_id", F.lit(s).alias("minimum"), "n") for s in E.SEVERITIES])
+
+
+def _findings(detector: str) -> Callable[[SparkSession, str], DataFrame]:
+    """All columns of a detector's findings, as the engine gives them."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        tables = synthetic.tables(spark, d)
+        if detector == "redact_annotations":
+            tables.layout = synthetic.layout(_t(spark, d, "documents"), tables.annots.where("subtype = '/Redact'").select("doc_id", "page"))
+        rows = engine.Engine().findings(tables, [detector])
+        box = (F.get("bbox", F.lit(i)).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1")))
+        return rows.select("doc_id", "vector", "severity", "description", "page", *box, "evidence", "recommendation", "detector_ord", "emit_ord")
+
+    return query
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         covered_text, cover_severity_counts, hidden_geometry, invisible_ops, revision_diff, revision_status, revision_tokens_except_all, attachment_dedupe, metadata_info, metadata_xmp_antijoin, redact_under_rect,
-        annotation_notes, report_rollup, report_order, report_counts, report_json, report_text, threshold_gate, evidence_snippets, geometry, only_filter, unknown_vectors, vector_registry,
+        annotation_notes, report_rollup, report_order, report_counts, report_json, report_text, threshold_gate, evidence_snippets, geometry, only_filter, unknown_vectors, vector_registry, finding_count_minimum,
     )
-}
+} | {f"findings_{v}": _findings(v) for v in VECTORS}
 
 _GLYPHS = """
 c0 AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) - 1 AS i FROM documents WHERE length(text) > 0),
@@ -174,6 +195,29 @@ _ANNOTS = "a AS (SELECT l.doc_id, quality, toxic, text FROM labels l JOIN docume
 _INFO = """i AS (SELECT page_id AS doc_id, unnest([{'key': '/Title', 'value': regexp_extract(html, '<title>([^<]*)</title>', 1)}, {'key': '/Lang', 'value': regexp_extract(html, 'lang="([^"]*)"', 1)}, {'key': '/Producer', 'value': regexp_extract(html, 'charset="([^"]*)"', 1)}, {'key': '/Trapped', 'value': regexp_extract(html, '<trapped>([^<]*)<', 1)}], recursive := true) FROM pages),
 info AS (SELECT doc_id, key, trim(value, """ + _TRIM + """) AS value, CASE WHEN key IN ('/Producer', '/Trapped') THEN 'info' ELSE 'medium' END AS severity FROM i WHERE trim(value, """ + _TRIM + """) <> '')"""
 
+_REPORTS = """
+e0 AS (SELECT user_id AS doc_id, event_id, event_type AS vector, CASE event_type WHEN 'signup' THEN 'info' WHEN 'view' THEN 'low' WHEN 'click' THEN 'medium' WHEN 'purchase' THEN 'high' END AS severity,
+  CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 4 END AS rank, CAST(nullif(event_id % 7, 0) AS INTEGER) AS page, props FROM events),
+u AS (SELECT DISTINCT doc_id, 'user-' || doc_id AS path FROM e0),
+w AS (SELECT doc_id, ['info', 'low', 'medium', 'high'][max(rank)] AS worst, count(*) AS n FROM e0 WHERE vector <> 'error' GROUP BY doc_id)
+"""
+_OPS = """
+o AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+s AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, 0 AS mode, CAST([] AS INTEGER[]) AS st, CAST(0 AS BIGINT) AS n, '' AS shown FROM o
+  UNION ALL SELECT s.user_id, o.k, CASE event_type WHEN 'view' THEN 3 WHEN 'purchase' THEN 0 WHEN 'error' THEN CASE WHEN len(st) > 0 THEN st[len(st)] ELSE mode END ELSE mode END,
+    CASE event_type WHEN 'signup' THEN list_append(st, mode) WHEN 'error' THEN CASE WHEN len(st) > 0 THEN st[1:len(st) - 1] ELSE st END ELSE st END,
+    n + CASE WHEN event_type = 'click' AND mode = 3 THEN 1 ELSE 0 END, shown || CASE WHEN event_type = 'click' AND mode = 3 THEN event_id || ' ' ELSE '' END
+  FROM s JOIN o ON o.user_id = s.user_id AND o.k = s.k + 1),
+ops AS (SELECT user_id AS doc_id, n AS n_shows, shown AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS r FROM s) WHERE r = 1 AND n > 0)
+"""
+
+
+def _row(vector: str, severity: str, description: str, page: str, evidence: str, recommendation: str, emit: str, source: str, box: tuple[str, ...] = ("NULL",) * 4) -> str:
+    """A finding in SQL."""
+    corners = ", ".join(f"CAST({x} AS DOUBLE) AS {c}" for x, c in zip(box, ("x0", "y0", "x1", "y1")))
+    return f"SELECT doc_id, '{vector}' AS vector, {severity} AS severity, {description} AS description, CAST({page} AS INTEGER) AS page, {corners}, {evidence} AS evidence, '{recommendation.replace(chr(39), chr(39) * 2)}' AS recommendation, {VECTORS.index(vector)} AS detector_ord, CAST({emit} AS BIGINT) AS emit_ord FROM {source}"
+
+
 ORACLE_SQL: dict[str, str] = {
     "covered_text": f"WITH {_COVERED} SELECT doc_id, CAST(page AS INTEGER) AS page, cover_id, severity, x0, y0, n_glyphs, evidence FROM h",
     "cover_severity_counts": f"WITH {_COVERED} SELECT s.severity, count(h.severity) AS n FROM (VALUES ('info'), ('low'), ('medium'), ('high'), ('critical')) s(severity) LEFT JOIN h ON h.severity = s.severity GROUP BY s.severity",
@@ -183,13 +227,7 @@ w AS (SELECT *, CASE WHEN x0 + 6 < 0 OR x0 > 612 OR y0 + 12 < 0 OR y0 > 792 THEN
     AND greatest(0::DOUBLE, least(g.x0 + 6, c.x0 + c.w) - greatest(g.x0, c.x0)) * greatest(0::DOUBLE, least(g.y0 + 12, c.y0 + 12) - greatest(g.y0, c.y0)) / 72::DOUBLE >= 0.30::DOUBLE) THEN 'white' END AS why FROM g)
 SELECT doc_id, CAST(page AS INTEGER) AS page, count(*) FILTER (WHERE why = 'white') AS n_white, count(*) FILTER (WHERE why = 'tiny') AS n_tiny, count(*) FILTER (WHERE why = 'offpage') AS n_offpage,
   left(string_agg(ch, '' ORDER BY y0 DESC, x0, glyph_id), 400) AS evidence FROM w WHERE why IS NOT NULL GROUP BY doc_id, page""",
-    "invisible_ops": """WITH RECURSIVE o AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
-s AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, 0 AS mode, CAST([] AS INTEGER[]) AS st, CAST(0 AS BIGINT) AS n, '' AS shown FROM o
-  UNION ALL SELECT s.user_id, o.k, CASE event_type WHEN 'view' THEN 3 WHEN 'purchase' THEN 0 WHEN 'error' THEN CASE WHEN len(st) > 0 THEN st[len(st)] ELSE mode END ELSE mode END,
-    CASE event_type WHEN 'signup' THEN list_append(st, mode) WHEN 'error' THEN CASE WHEN len(st) > 0 THEN st[1:len(st) - 1] ELSE st END ELSE st END,
-    n + CASE WHEN event_type = 'click' AND mode = 3 THEN 1 ELSE 0 END, shown || CASE WHEN event_type = 'click' AND mode = 3 THEN event_id || ' ' ELSE '' END
-  FROM s JOIN o ON o.user_id = s.user_id AND o.k = s.k + 1)
-SELECT user_id AS doc_id, n AS n_shows, shown AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS r FROM s) WHERE r = 1 AND n > 0""",
+    "invisible_ops": f"WITH RECURSIVE {_OPS} SELECT * FROM ops",
     "revision_diff": f"WITH {_REVISIONS} SELECT * FROM f",
     "revision_status": f"""WITH {_REVISIONS},
 b AS (SELECT doc_id, max(n_revisions) AS n_revisions, count(*) AS n_earlier, count(*) FILTER (WHERE trim(coalesce(text, ''), {_TRIM}) = '') AS n_blank FROM r WHERE rev_index < last_index AND rev_index <= 64 GROUP BY doc_id)
@@ -228,4 +266,45 @@ SELECT l_orderkey, l_linenumber, area, CASE WHEN area <= 0 THEN CASE WHEN cx BET
     "only_filter": "SELECT * FROM (VALUES (0, 'covered_text'), (4, 'metadata')) t(ord, name)",
     "unknown_vectors": "SELECT * FROM (VALUES ('ghosts'), ('colour')) t(name)",
     "vector_registry": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{v}', '{DESCRIPTIONS[v]}')" for i, v in enumerate(VECTORS)) + ") t(ord, name, description)",
+    "finding_count_minimum": """WITH u AS (SELECT DISTINCT user_id AS doc_id FROM events), x AS (SELECT user_id AS doc_id, CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 4 END AS r FROM events WHERE event_type <> 'error')
+SELECT u.doc_id, s.minimum, count(x.r) AS n FROM u CROSS JOIN (VALUES ('info', 1), ('low', 2), ('medium', 3), ('high', 4), ('critical', 5)) s(minimum, k) LEFT JOIN x ON x.doc_id = u.doc_id AND x.r >= s.k GROUP BY u.doc_id, s.minimum""",
+    "report_json": f"""WITH {_REPORTS},
+f AS (SELECT doc_id, list({{'vector': vector, 'severity': severity, 'description': props, 'page': page, 'bbox': NULL::DOUBLE[], 'evidence': CAST(event_id AS VARCHAR), 'recommendation': NULL::VARCHAR}} ORDER BY rank DESC, vector, coalesce(page, 0), event_id) AS f FROM e0 WHERE vector <> 'error' GROUP BY doc_id),
+e AS (SELECT doc_id, map_from_entries(list({{'k': 'event ' || event_id, 'v': props}} ORDER BY 'event ' || event_id)) AS e FROM e0 WHERE vector = 'error' GROUP BY doc_id)
+SELECT u.doc_id, CAST(to_json({{'path': path, 'worst_severity': worst, 'finding_count': coalesce(n, 0), 'findings': coalesce(f, []), 'detector_errors': coalesce(e, MAP {{}}), 'incomplete': e IS NOT NULL}}) AS VARCHAR) AS json
+FROM u LEFT JOIN w ON w.doc_id = u.doc_id LEFT JOIN f ON f.doc_id = u.doc_id LEFT JOIN e ON e.doc_id = u.doc_id""",
+    "report_text": f"""WITH {_REPORTS},
+b AS (SELECT doc_id, string_agg(' ' || rpad(repeat(' ', (8 - length(severity)) // 2) || upper(severity), 8, ' ') || '  [' || vector || coalesce(' p' || page, '') || '] ' || props || chr(10) || '           recovered: ' || event_id || chr(10), chr(10) ORDER BY rank DESC, vector, coalesce(page, 0), event_id) AS b FROM e0 WHERE vector <> 'error' GROUP BY doc_id),
+e AS (SELECT doc_id, string_agg('  - event ' || event_id || ': ' || props, chr(10) ORDER BY 'event ' || event_id) AS e FROM e0 WHERE vector = 'error' GROUP BY doc_id)
+SELECT u.doc_id, 'Leak audit: ' || path || chr(10) || CASE WHEN worst IS NULL THEN '  Nothing recoverable was found.' ELSE '  ' || n || ' finding(s); worst severity: ' || upper(worst) END || chr(10) || chr(10) || coalesce(b, '')
+  || coalesce(chr(10) || 'Detectors that failed (the scan went on):' || chr(10) || e, '') AS text
+FROM u LEFT JOIN w ON w.doc_id = u.doc_id LEFT JOIN b ON b.doc_id = u.doc_id LEFT JOIN e ON e.doc_id = u.doc_id""",
+    "findings_covered_text": f"""WITH {_GLYPHS},
+h AS (SELECT c.doc_id, c.page, c.cover_id, kind = 'rect' AND c.brightness <= 0.35::DOUBLE AS dark, kind, c.x0, c.y0, c.w, count(*) AS n, string_agg(ch, '' ORDER BY g.y0 DESC, g.x0, glyph_id) AS text FROM g JOIN c ON g.doc_id = c.doc_id AND g.page = c.page
+  WHERE greatest(0::DOUBLE, least(g.x0 + 6, c.x0 + c.w) - greatest(g.x0, c.x0)) * greatest(0::DOUBLE, least(g.y0 + 12, c.y0 + 12) - greatest(g.y0, c.y0)) / 72::DOUBLE >= 0.30::DOUBLE GROUP BY ALL)
+""" + _row("covered_text", "CASE WHEN dark THEN 'critical' ELSE 'high' END", "n || ' characters lie under a ' || CASE WHEN dark THEN 'dark rectangle' WHEN kind = 'rect' THEN 'rectangle' ELSE 'image' END || ' and can be copied out.'", "page", f"trim(text, {_TRIM})", "Delete the text below the cover, then export a new file.", "cover_id", "h", ("x0", "y0", "x0 + w", "y0 + 12")),
+    "findings_revision_history": f"""WITH {_REVISIONS},
+b AS (SELECT doc_id, max(n_revisions) AS n_revisions, count(*) AS n_earlier, count(*) FILTER (WHERE trim(coalesce(text, ''), {_TRIM}) = '') AS n_blank FROM r WHERE rev_index < last_index AND rev_index <= 64 GROUP BY doc_id)
+""" + " UNION ALL ".join((
+        _row("revision_history", "'critical'", "'Revision ' || rev_index || ' of ' || n_revisions || ' holds ' || n_tokens || ' tokens that the last one lost.'", "NULL", "evidence", "Save the document as a new file without its history.", "rev_index", "(SELECT f.*, n_revisions FROM f JOIN b USING (doc_id))"),
+        _row("revision_history", "'high'", "'Earlier revisions exist whose text can''t be verified.'", "NULL", "n_blank || ' earlier revision(s) present but not parseable'", "Save the document as a new file without its history.", "1000", "b WHERE n_blank > 0"),
+        _row("revision_history", "'low'", "'The file keeps earlier revisions; their text is all still shown.'", "NULL", "n_earlier || ' incremental update(s) detected'", "Save the document as a new file without its history.", "1001", "b WHERE n_blank = 0 AND doc_id NOT IN (SELECT doc_id FROM f)"),
+    )),
+}
+ORACLE_SQL |= {
+    "findings_hidden_text": f"""WITH RECURSIVE {_OPS}, h AS ({ORACLE_SQL["hidden_geometry"]}) """ + " UNION ALL ".join((
+        _row("hidden_text", "'critical'", "n_shows || ' pieces of text are drawn in an invisible mode.'", "1", f"nullif(left(trim(evidence, {_TRIM}), 400), '')", "Remove text drawn in render mode 3 or 7.", "0", "ops"),
+        _row("hidden_text", "'critical'", "'Characters that nobody sees: ' || concat_ws('; ', CASE WHEN n_white > 0 THEN n_white || ' in white' END, CASE WHEN n_tiny > 0 THEN n_tiny || ' too small to see' END, CASE WHEN n_offpage > 0 THEN n_offpage || ' outside the page' END) || '.'", "page", "evidence", "Remove the hidden text from the content.", "1", "h"),
+    )),
+    "findings_embedded_files": f"WITH a AS ({ORACLE_SQL['attachment_dedupe']}) " + _row("embedded_files", "'high'", "'The document carries the file ' || name || '.'", "NULL", "name || ' ' || CASE WHEN size >= 0 THEN '(' || size || ' bytes)' ELSE '(unknown size)' END", "Detach files that the reader shouldn't get.", "0", "a"),
+    "findings_metadata": f"""WITH {_INFO}, n AS (SELECT info.*, k.ord FROM info JOIN (VALUES ('/Title', 0), ('/Lang', 1), ('/Producer', 2), ('/Trapped', 3)) k(key, ord) USING (key)), x1 AS ({ORACLE_SQL["metadata_xmp_antijoin"]}),
+x2 AS (SELECT x1.*, k.ord FROM x1 JOIN (VALUES ('title', 0), ('creator', 1), ('CreatorTool', 2), ('rights', 4), ('subject', 5)) k(name, ord) USING (name)), packets AS (SELECT page_id AS doc_id, CASE WHEN page_id % 2 = 0 THEN ' of ' || strlen(html) || ' bytes' ELSE '' END AS size FROM pages WHERE page_id % 3 = 0) """ + " UNION ALL ".join((
+        _row("metadata", "severity", "'Document information, ' || CASE WHEN severity = 'medium' THEN 'identity or custom' ELSE 'software' END || ': ' || key", "NULL", "key || ' = ' || left(value, 200)", "Clear document properties before publishing.", "ord", "n"),
+        _row("metadata", "severity", "'XMP field ' || name", "NULL", "'xmp:' || name || ' = ' || value", "Clear document properties before publishing.", "ord + 100000", "x2"),
+        _row("metadata", "'info'", "'An XMP packet is present.'", "NULL", "'XMP packet' || size", "Clear document properties before publishing.", "10000000", "packets"),
+    )),
+    "findings_redact_annotations": f"WITH m AS ({ORACLE_SQL['redact_under_rect']}), n AS ({ORACLE_SQL['annotation_notes']}) " + " UNION ALL ".join((
+        _row("redact_annotations", "'critical'", "'A redaction mark was placed but never applied.'", "page", "evidence", "Apply redactions, then save as a new file.", "0", "m"),
+        _row("redact_annotations", "'info'", "'An annotation stores text.'", "page", "evidence", "Delete notes that the reader shouldn't get.", "0", "n"),
+    )),
 }

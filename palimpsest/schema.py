@@ -6,7 +6,7 @@ _BOX = "x0: double, y0: double, x1: double, y1: double"
 _GLYPH = f"glyph_id: bigint, ch: string, {_BOX}, size: double, brightness: double"
 _COVER = f"cover_id: int, kind: string, top_level: boolean, {_BOX}, brightness: double"
 
-#: One row for each page, with all that lies on it: spatial joins need no exchange.
+#: One row for each page, with all that lies on it: spatial joins need no exchange. Rows may carry the page's annotations too, as ``annots``, an array of structs of ANNOTS.
 LAYOUT = f"doc_id bigint, page int, x0 double, y0 double, x1 double, y1 double, has_metadata boolean, glyphs array<struct<{_GLYPH}>>, covers array<struct<{_COVER}>>"
 STREAM_OPS = "doc_id bigint, page int, seq bigint, op string, int_arg int, shown binary, depth int"
 ANNOTS = "doc_id bigint, page int, ord int, subtype string, rect array<double>, contents string, rc string, overlay_text string"

@@ -81,7 +81,7 @@ def tables(rows: DataFrame) -> Tables:
 
     return Tables(
         docs=doc.select("doc_id", "path", "length", "open_status"),
-        layout=page.select("doc_id", "page", "x0", "y0", "x1", "y1", "has_metadata", "glyphs", "covers"),
+        layout=page.select("doc_id", "page", "x0", "y0", "x1", "y1", "has_metadata", "glyphs", "covers", "annots"),
         stream_ops=opened(page, "ops", "doc_id", "page"), annots=opened(page, "annots", "doc_id", "page"), revisions=opened(doc, "revisions", "doc_id"), filespecs=opened(doc, "files", "doc_id"),
         info=opened(doc, "info", "doc_id"), xmp=doc.where("has_xmp").select("doc_id", F.col("xmp_bytes").alias("bytes")), xmp_fields=opened(doc, "xmp_fields", "doc_id"), errors=opened(doc, "errors", "doc_id").select("doc_id", "detector", error_line(F.col("kind"), F.col("message")).alias("message")),
     )

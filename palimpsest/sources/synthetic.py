@@ -7,9 +7,12 @@ has three small covers and a page-wide background.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.engine import Tables
+from ..schema import ERRORS
+
 PER_PAGE = 4000
 
 _COVERS = """
@@ -97,3 +100,21 @@ def event_findings(events: DataFrame) -> DataFrame:
 
 def event_errors(events: DataFrame) -> DataFrame:
     return events.where("event_type = 'error'").select(F.col("user_id").alias("doc_id"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("detector"), F.col("props").alias("message"))
+
+
+def xmp(pages: DataFrame) -> DataFrame:
+    return pages.where("page_id % 3 = 0").select(F.col("page_id").alias("doc_id"), F.when(F.col("page_id") % 2 == 0, F.octet_length("html").cast("long")).alias("bytes"))
+
+
+def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """All tables of the engine, made of the plain tables."""
+
+    def t(name: str) -> DataFrame:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+    documents, pages = t("documents"), t("pages")
+    docs = documents.select("doc_id", F.concat(F.lit("document-"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").cast("bigint").alias("length"), F.lit("ok").alias("open_status"))
+    return Tables(
+        docs=docs, layout=layout(documents), stream_ops=stream_ops(t("events")), revisions=revisions(t("conversations")), filespecs=filespecs(pages, t("part")), info=info(pages), xmp=xmp(pages), xmp_fields=xmp_fields(pages),
+        annots=annots(t("labels"), documents), errors=spark.createDataFrame([], ERRORS),
+    )

@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir; a temporary one only where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="palimpsest-")
         spark.sparkContext.setCheckpointDir(base)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, doc_id, written
+from .common import NULL_ID, doc_id, small_batches, written
 from .tokens import Encoder, public_vocabulary
 
 CAPACITY = 1024
@@ -211,6 +211,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     often as they come; an empty table gives none. vocabulary: a file of the tokenizers library.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     path = vocabulary or public_vocabulary("byte_bpe_50k.json")
     rows = docs.select(F.coalesce(docs["doc_id"], F.lit(NULL_ID)).alias("id"), docs["text"].alias("text"))
     pieces = written(rows.mapInArrow(_pieces(path, capacity, end, keep_ids), "id long, piece int, start long, length long, ids_crc32 long, task int, nth long, ids binary"), "pieces")

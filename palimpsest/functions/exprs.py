@@ -104,3 +104,26 @@ def in_reading_order(items: Column) -> Column:
 
 def glyph_place(g) -> Column:
     return F.struct((-g["y0"]).alias("up"), g["x0"].alias("x0"), g["glyph_id"].alias("glyph_id"), g["ch"].alias("ch"))
+
+
+def xml_escape(text: Column) -> Column:
+    """Text inside markup; empty for null."""
+    out = F.coalesce(text, F.lit(""))
+    for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(raw), F.lit(escaped))
+    return out
+
+
+def byte_size(n: Column) -> Column:
+    """A number of bytes to read: B below 1024, else KB or MB with one decimal."""
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.format_string("%.1f MB", n / float(1 << 20)))
+
+
+#: Fixed value: bytes that a request may have beyond the file in it.
+SLACK = 4096
+
+
+def body_allowed(length: Column, most: int) -> Column:
+    """Whether a request of this stated length may be read; one that states none, or no number, may."""
+    stated = F.when(length.rlike("^ *[+-]?[0-9]+ *$"), F.trim(length).try_cast("bigint"))
+    return F.coalesce(stated <= most + SLACK, F.lit(True))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .findings import finding
@@ -15,6 +15,7 @@ def distinct_files(filespecs: DataFrame) -> DataFrame:
 
 
 def embedded_files(filespecs: DataFrame) -> DataFrame:
-    rows = distinct_files(filespecs)
+    """Findings of a document in the order of the files' names."""
+    rows = distinct_files(filespecs).withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("name")))
     size = F.when(F.col("size") >= 0, F.concat(F.lit("("), F.col("size").cast("string"), F.lit(" bytes)"))).otherwise("(unknown size)")
-    return finding(rows, "embedded_files", "high", F.concat(F.lit("The document carries the file "), F.col("name"), F.lit(".")), F.concat_ws(" ", "name", size), "Detach files that the reader shouldn't get.")
+    return finding(rows, "embedded_files", "high", F.concat(F.lit("The document carries the file "), F.col("name"), F.lit(".")), F.concat_ws(" ", "name", size), "Detach files that the reader shouldn't get.", emit=F.col("place"))

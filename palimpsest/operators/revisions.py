@@ -30,12 +30,10 @@ def lost_tokens(revisions: DataFrame) -> DataFrame:
     Counts combine before the exchange; the last revision's counts are joined by document and
     token, so a document with many revisions spreads over its tokens.
     """
-    rows = numbered(revisions)
-    counts = token_rows(rows).groupBy("doc_id", "rev_index", "token").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    last = rows.where("rev_index = last_index").select("doc_id", F.col("rev_index").alias("last_index")).distinct()
-    flagged = counts.join(last, "doc_id")
-    now = flagged.where("rev_index = last_index").select("doc_id", "token", F.col("n").alias("now"))
-    before = flagged.where("rev_index < last_index").drop("last_index")
+    rows = numbered(revisions).select("doc_id", "rev_index", "last_index", F.posexplode(E.tokens(F.col("text"))).alias("pos", "token"))
+    counts = rows.groupBy("doc_id", "rev_index", "last_index", "token").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    now = counts.where("rev_index = last_index").select("doc_id", "token", F.col("n").alias("now"))
+    before = counts.where("rev_index < last_index").drop("last_index")
     return before.join(now, ["doc_id", "token"], "left").where("n > coalesce(now, 0)").select("doc_id", "rev_index", "token", "pos", (F.col("n") - F.coalesce("now", F.lit(0))).alias("lost"))
 
 

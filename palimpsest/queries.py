@@ -142,6 +142,13 @@ def finding_count_minimum(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.union, [report.count_at_least(docs, findings, s).select("doc_id", F.lit(s).alias("minimum"), "n") for s in E.SEVERITIES])
 
 
+def page_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Byte sizes, escaped titles and whether a request with the page might be read, over pages."""
+    size = F.octet_length("html") * F.pmod("page_id", F.lit(5000))
+    stated = F.expr("CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'chunked' WHEN 2 THEN CAST(octet_length(html) * 9 AS string) ELSE CAST(octet_length(html) AS string) END")
+    return _t(spark, d, "pages").select("page_id", E.byte_size(size.cast("long")).alias("size"), E.xml_escape(F.substring("html", 1, 80)).alias("escaped"), E.body_allowed(stated, 512).alias("allowed"))
+
+
 def _findings(detector: str) -> Callable[[SparkSession, str], DataFrame]:
     """All columns of a detector's findings, as the engine gives them."""
 
@@ -159,7 +166,7 @@ def _findings(detector: str) -> Callable[[SparkSession, str], DataFrame]:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         covered_text, cover_severity_counts, hidden_geometry, invisible_ops, revision_diff, revision_status, revision_tokens_except_all, attachment_dedupe, metadata_info, metadata_xmp_antijoin, redact_under_rect,
-        annotation_notes, report_rollup, report_order, report_counts, report_json, report_text, threshold_gate, evidence_snippets, geometry, only_filter, unknown_vectors, vector_registry, finding_count_minimum,
+        annotation_notes, report_rollup, report_order, report_counts, report_json, report_text, threshold_gate, evidence_snippets, geometry, only_filter, unknown_vectors, vector_registry, finding_count_minimum, page_sizes,
     )
 } | {f"findings_{v}": _findings(v) for v in VECTORS}
 
@@ -266,6 +273,9 @@ SELECT l_orderkey, l_linenumber, area, CASE WHEN area <= 0 THEN CASE WHEN cx BET
     "only_filter": "SELECT * FROM (VALUES (0, 'covered_text'), (4, 'metadata')) t(ord, name)",
     "unknown_vectors": "SELECT * FROM (VALUES ('ghosts'), ('colour')) t(name)",
     "vector_registry": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{v}', '{DESCRIPTIONS[v]}')" for i, v in enumerate(VECTORS)) + ") t(ord, name, description)",
+    "page_sizes": """WITH x AS (SELECT page_id, html, CAST(strlen(html) * (page_id % 5000) AS BIGINT) AS n FROM pages)
+SELECT page_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 1024.0::DOUBLE * 10 + 0.5::DOUBLE) / 10) ELSE printf('%.1f MB', floor(n / 1048576.0::DOUBLE * 10 + 0.5::DOUBLE) / 10) END AS size,
+  replace(replace(replace(left(html, 80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, CASE page_id % 4 WHEN 2 THEN strlen(html) * 9 <= 4608 WHEN 3 THEN strlen(html) <= 4608 ELSE true END AS allowed FROM x""",
     "finding_count_minimum": """WITH u AS (SELECT DISTINCT user_id AS doc_id FROM events), x AS (SELECT user_id AS doc_id, CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 4 END AS r FROM events WHERE event_type <> 'error')
 SELECT u.doc_id, s.minimum, count(x.r) AS n FROM u CROSS JOIN (VALUES ('info', 1), ('low', 2), ('medium', 3), ('high', 4), ('critical', 5)) s(minimum, k) LEFT JOIN x ON x.doc_id = u.doc_id AND x.r >= s.k GROUP BY u.doc_id, s.minimum""",
     "report_json": f"""WITH {_REPORTS},
@@ -296,7 +306,7 @@ ORACLE_SQL |= {
         _row("hidden_text", "'critical'", "n_shows || ' pieces of text are drawn in an invisible mode.'", "1", f"nullif(left(trim(evidence, {_TRIM}), 400), '')", "Remove text drawn in render mode 3 or 7.", "0", "ops"),
         _row("hidden_text", "'critical'", "'Characters that nobody sees: ' || concat_ws('; ', CASE WHEN n_white > 0 THEN n_white || ' in white' END, CASE WHEN n_tiny > 0 THEN n_tiny || ' too small to see' END, CASE WHEN n_offpage > 0 THEN n_offpage || ' outside the page' END) || '.'", "page", "evidence", "Remove the hidden text from the content.", "1", "h"),
     )),
-    "findings_embedded_files": f"WITH a AS ({ORACLE_SQL['attachment_dedupe']}) " + _row("embedded_files", "'high'", "'The document carries the file ' || name || '.'", "NULL", "name || ' ' || CASE WHEN size >= 0 THEN '(' || size || ' bytes)' ELSE '(unknown size)' END", "Detach files that the reader shouldn't get.", "0", "a"),
+    "findings_embedded_files": f"WITH a AS ({ORACLE_SQL['attachment_dedupe']}) " + _row("embedded_files", "'high'", "'The document carries the file ' || name || '.'", "NULL", "name || ' ' || CASE WHEN size >= 0 THEN '(' || size || ' bytes)' ELSE '(unknown size)' END", "Detach files that the reader shouldn't get.", "row_number() OVER (PARTITION BY doc_id ORDER BY name)", "a"),
     "findings_metadata": f"""WITH {_INFO}, n AS (SELECT info.*, k.ord FROM info JOIN (VALUES ('/Title', 0), ('/Lang', 1), ('/Producer', 2), ('/Trapped', 3)) k(key, ord) USING (key)), x1 AS ({ORACLE_SQL["metadata_xmp_antijoin"]}),
 x2 AS (SELECT x1.*, k.ord FROM x1 JOIN (VALUES ('title', 0), ('creator', 1), ('CreatorTool', 2), ('rights', 4), ('subject', 5)) k(name, ord) USING (name)), packets AS (SELECT page_id AS doc_id, CASE WHEN page_id % 2 = 0 THEN ' of ' || strlen(html) || ' bytes' ELSE '' END AS size FROM pages WHERE page_id % 3 = 0) """ + " UNION ALL ".join((
         _row("metadata", "severity", "'Document information, ' || CASE WHEN severity = 'medium' THEN 'identity or custom' ELSE 'software' END || ': ' || key", "NULL", "key || ' = ' || left(value, 200)", "Clear document properties before publishing.", "ord", "n"),

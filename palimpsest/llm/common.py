@@ -90,6 +90,23 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Keys with more than one part in so many of all rows are broadcast; by the pigeonhole principle they are fewer than that.
+HOT = 1000
+
+
+def meet(rows: DataFrame, table: DataFrame, keys: list[str], value: str, *salt: str) -> DataFrame:
+    """``rows`` with ``value`` of the row of ``table`` (keys, value, n; a key once, for n or fewer rows) that has their keys; others go.
+
+    The rows of hot keys meet their value where they lie, and take the columns ``salt`` for their key in the join of the others.
+    """
+    most = (table.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = table.where(F.col("n") > most).select(*keys, F.col(value).alias("__hot"))
+    cold = table.where(F.col("n") <= most).select(*keys, F.lit(0).alias("__salt"), F.col(value).alias("__cold"))
+    spread = F.when(F.col("__hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*salt), F.lit(1 << 20)).cast("int"))
+    found = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", spread).join(cold, [*keys, "__salt"], "left")
+    return found.select(*rows.columns, F.coalesce("__hot", "__cold").alias(value)).where(F.col(value).isNotNull())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(a, b) links to (node, root): the smallest node that each linked node can reach.
 

@@ -14,7 +14,7 @@ words under a factor go.
 Blocks depend on content alone, so nothing is missed: the words that go are those of looking up
 every window, at the price of about one row for eight words.
 
-No key is joined as it is where it is hot: of the keys that hold over one part in ``HOT`` of all rows there are
+No key is joined as it is where it is hot: of the keys that hold over one part in ``common.HOT`` of all rows there are
 less than ``HOT``, and they are broadcast, while their rows go where they lie. First places are
 combinable minima. So neither a passage in a third of all documents nor a large group of
 copies meets in one task.
@@ -35,12 +35,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .common import NULL_ID, doc_id, small_batches, words, written
+from .common import NULL_ID, doc_id, meet, small_batches, words, written
 
 WINDOW = 20
 GRAM = 6
-#: Keys with more than one part in so many of all rows are broadcast; by the pigeonhole principle they are fewer than that.
-HOT = 1000
 #: A place packs start << 24 | (windows - 1) << 20 | 20 bits of the text's hash, so that places sort by start.
 _MARK, _COUNT = 20, 4
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -229,20 +227,10 @@ def _start(column: str):
     return F.shiftright(column, _MARK + _COUNT)
 
 
-def _with(rows: DataFrame, table: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``rows`` with ``value`` of the rows of ``table`` (keys, value, n; one for each key, n rows of ``rows`` or more) that have their keys; others go."""
-    most = (table.agg(F.sum("n")).first()[0] or 0) / HOT
-    hot = table.where(F.col("n") > most).select(*keys, F.col(value).alias("__hot"))
-    cold = table.where(F.col("n") <= most).select(*keys, F.lit(0).alias("__salt"), F.col(value).alias("__cold"))
-    spread = F.when(F.col("__hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("id", "place"), F.lit(1 << 20)).cast("int"))
-    found = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", spread).join(cold, [*keys, "__salt"], "left")
-    return found.select(*rows.columns, F.coalesce("__hot", "__cold").alias(value)).where(F.col(value).isNotNull())
-
-
 def _later(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """rows (by, id, place): the first of each key, with n; and the rows that start after it, as (id, place, source, at)."""
     first = written(rows.groupBy(*by).agg(F.min(F.struct("id", "place")).alias("f"), F.count("*").alias("n")), "first")
-    again = _with(rows, first.where("n > 1"), by, "f")
+    again = meet(rows, first.where("n > 1"), by, "f", "id", "place")
     after = (F.col("id") > F.col("f.id")) | ((F.col("id") == F.col("f.id")) & (_start("place") > _start("f.place")))
     return first, again.where(after).select("id", "place", F.col("f.id").alias("source"), F.col("f.place").alias("at"))
 
@@ -261,11 +249,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = Tru
     small_batches(docs.sparkSession)
     blocks = phrases(docs, window)
     twice = written(blocks.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors").withColumn("seen", F.lit(True))
-    shared = written(_with(blocks, twice, ["anchor"], "seen").drop("seen"), "blocks")
+    shared = written(meet(blocks, twice, ["anchor"], "seen", "id", "place").drop("seen"), "blocks")
     first, whole = _later(shared, ["anchor", "phrase"])
     # blocks that part: of one anchor, but not the same
     parted = first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").withColumn("seen", F.lit(True))
-    ends = _with(first.select("anchor", "f.id", "f.place"), written(parted, "parted"), ["anchor"], "seen").select("id", "place", F.lit(None).cast("long").alias("source"), F.lit(None).cast("long").alias("at"))
+    ends = meet(first.select("anchor", "f.id", "f.place"), written(parted, "parted"), ["anchor"], "seen", "id", "place").select("id", "place", F.lit(None).cast("long").alias("source"), F.lit(None).cast("long").alias("at"))
     mark = F.col("place").bitwiseAND((1 << _MARK) - 1).cast("int").alias("mark")
     match = F.struct("place", "source", "at")
     marks = whole.union(ends).groupBy("id", mark).agg(F.collect_list(F.when(F.col("source").isNotNull(), match)).alias("known"), F.collect_list(F.when(F.col("source").isNull(), F.col("place"))).alias("open"))

@@ -89,7 +89,7 @@ def generated(spark):
 @pytest.mark.parametrize("hot", [1, 7, 1000])
 def test_substring_dedup_generated(spark, monkeypatch, hot):
     """With no key, some and all keys taken for hot."""
-    monkeypatch.setattr(substring, "HOT", hot)
+    monkeypatch.setattr(common, "HOT", hot)
     df = generated(spark)
     assert sorted(map(tuple, substring.query(df).collect()), key=key) == removed(texts(df))
 

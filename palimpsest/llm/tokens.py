@@ -11,13 +11,15 @@ from __future__ import annotations
 import gc
 import os
 import re
+import sys
 import unicodedata
+from array import array
 from operator import itemgetter
 
 import numpy as np
 
 #: Chunks kept by a Python worker, some 200 bytes each.
-CACHE = 500_000
+CACHE = 300_000
 #: Chunks are looked up for so many code points of text at once.
 BLOCK = 3_000_000
 _CLOSING = (b".", b",")
@@ -83,27 +85,39 @@ class Encoder:
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def _lone(self, text: str) -> bool:
-        """Whether a chunk is a single pre-token that normalisation leaves alone."""
+    def _lone(self, x: bytes) -> str | None:
+        """A chunk as the model's vocabulary writes it, if it is a single pre-token that normalisation leaves alone."""
+        if x.isalpha():  # ASCII letters; those that follow a single space stand without it
+            return f"\u0120{x.decode()}" if self.spaced else x.decode() if x.islower() else None
+        raw = self.chunk(x)
+        text = raw.decode("utf-8")
         if self.spaced:
-            return (text[1:] if text[0] == " " else text).isalpha()
-        return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
+            alone = (text[1:] if text[0] == " " else text).isalpha()
+        else:
+            alone = text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
+        return raw.decode("latin-1").translate(_VISIBLE) if alone else None
 
     def _fill(self, missing: set[bytes]) -> None:
         """Encode what the cache lacks: single pre-tokens by the model alone, others as one text, parted by an id that no chunk has; chunks that could have it go one by one."""
-        new, odd = [], []
+        new, odd, cache, old, tokenize, lone, closing = [], [], self.cache, self.old, self.model.tokenize, self._lone, self.closing
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        swap = sys.byteorder != "little"
         for x in missing:
-            if x[-1:] in _CLOSING and x[-2:-1].isalpha():  # a stem's ids and those of the mark that closes it
-                ids = self.cache.get(x[:-1]) or self.old.get(x[:-1])
+            end = closing.get(x[-1:])
+            if end is not None and x[-2:-1].isalpha():  # a stem's ids and those of the mark that closes it
+                ids = cache.get(x[:-1]) or old.get(x[:-1])
                 if ids:
-                    self.cache[x] = ids + self.closing[x[-1:]]
+                    cache[x] = ids + end
                     continue
-            raw = self.chunk(x)
-            text = raw.decode("utf-8")
-            if self._lone(text):
-                self.cache[x] = self._pack([t.id for t in self.model.tokenize(raw.decode("latin-1").translate(_VISIBLE))])
+            written = lone(x)
+            if written is not None:
+                ids = array(code, [t.id for t in tokenize(written)])
+                if swap:
+                    ids.byteswap()
+                cache[x] = ids.tobytes()
             else:
-                (odd if self.risky(raw) else new).append((x, text))
+                raw = self.chunk(x)
+                (odd if self.risky(raw) else new).append((x, raw.decode("utf-8")))
         for first in range(0, len(new), 200):  # short runs encode fastest
             part = new[first : first + 200]
             ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(x[1] for x in part)], add_special_tokens=False)[0].ids, self.dtype)

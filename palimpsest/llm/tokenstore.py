@@ -39,7 +39,7 @@ from .tokens import Encoder, public_vocabulary
 
 END = 2
 #: Payload bytes after which a shard ends.
-SHARD = 4_000_000
+SHARD = 1_000_000
 #: Keys of a bucket, on average.
 BUCKET = 4_096
 _SLOT = np.dtype([("mark", "<u4"), ("task", "<i4"), ("shard", "<i4"), ("place", "<i4"), ("rows", "<i4")])

@@ -35,6 +35,8 @@ ROUNDS = 4
 PRIOR, STRANGE = 0.05, 1e-7
 #: Words remembered by a worker, some 250 bytes each.
 MEMORY = 200_000
+#: Words are looked up for so many characters of text at once, and new ones scored in arrays of so many numbers.
+BLOCK, CELLS = 1_500_000, 2_000_000
 
 
 @lru_cache(maxsize=2)
@@ -62,14 +64,14 @@ def _arcs(pieces: Pieces, codes: np.ndarray) -> list[list[tuple[int, np.ndarray,
     return out
 
 
-def _by_length(strings: list[str]):
-    order = sorted(range(len(strings)), key=lambda k: len(strings[k]))
-    at = 0
+def _by_length(strings: list[str], columns: int = 1):
+    """Blocks of strings of nearly one length: of so many characters that their sums, for each of the columns, stay small."""
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    order = np.argsort(sizes, kind="stable")
+    sizes, at = sizes[order], 0
     while at < len(order):
-        end = at
-        while end < len(order) and end - at < 20_000 and len(strings[order[end]]) <= max(4, len(strings[order[at]]) + 2):
-            end += 1
-        yield np.array(order[at:end]), [strings[k] for k in order[at:end]]
+        end = min(at + max(1, CELLS // (columns * (int(sizes[at]) + 3))), int(np.searchsorted(sizes, max(4, sizes[at] + 2), "right")))
+        yield order[at:end], [strings[k] for k in order[at:end].tolist()]
         at = end
 
 
@@ -100,7 +102,7 @@ def likelihoods(pieces: Pieces, table: np.ndarray, strings: list[str]) -> np.nda
         if len(x) > LONG:
             out[k] = long_likelihood(pieces, table, x)
     short = [k for k, x in enumerate(strings) if len(x) <= LONG]
-    for places, own in _by_length([strings[k] for k in short]):
+    for places, own in _by_length([strings[k] for k in short], table.shape[1]):
         places = np.array(short)[places]
         codes = padded(own)
         width = codes.shape[1]
@@ -190,7 +192,7 @@ class _Scorer:
         needed = set().union(*parts)
         if len(self.known) + len(needed) > MEMORY and self.known:
             self.known, self.rows = {}, self.rows[:0]
-        new = sorted(needed.difference(self.known))
+        new = list(needed.difference(self.known))
         if new:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
             self.rows = np.concatenate([self.rows, likelihoods(self.pieces, self.table, new)])
@@ -210,8 +212,13 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, vocabulary: st
             held.append(_Scorer(vocabulary, table))
         names, scores = ["und"] * len(texts), np.zeros(len(texts))
         real = [k for k, x in enumerate(texts) if langs and x and any(map(str.isalpha, x))]
-        for at in range(0, len(real), 64):
-            own = real[at : at + 64]
+        at = 0
+        while at < len(real):
+            size, end = 0, at
+            while end < len(real) and (end == at or size < BLOCK):
+                size += len(texts.iloc[real[end]])
+                end += 1
+            own, at = real[at:end], end
             found = held[0]([texts.iloc[k] for k in own])
             top = found.argmax(1)
             scores[own] = 1 / np.exp(np.maximum(found - found.max(1, keepdims=True), -700)).sum(1)

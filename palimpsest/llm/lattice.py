@@ -1,7 +1,7 @@
 """All pieces of a vocabulary inside many short strings at once, by array operations.
 
 Strings are padded rows of code points. For each length, the hashes of all substrings of that
-length are looked up in a sorted table; walking the columns from left to right then gives the
+length are looked up in a table; walking the columns from left to right then gives the
 forward sums or the Viterbi path of all strings together.
 """
 
@@ -19,21 +19,61 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+class _Table:
+    """Numbers of 64-bit keys, each at one of two places (cuckoo hashing), so that looking up is two reads."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (4 * len(keys)).bit_length())
+        while not self._built(keys, values, bits):
+            bits += 1
+
+    def _built(self, keys: np.ndarray, values: np.ndarray, bits: int) -> bool:
+        self.shifts = np.uint64(64 - bits), np.uint64((1 << bits) - 1)
+        places = [x.tolist() for x in self._places(keys)]
+        held: list[dict[int, int]] = [{}, {}]
+        for k in range(len(keys)):
+            side = 0
+            for _ in range(64):
+                at = places[side][k]
+                k, held[side][at] = held[side].get(at, -1), k
+                if k < 0:
+                    break
+                side = 1 - side
+            else:
+                return False
+        self.keys, self.values = np.zeros((2, 1 << bits), np.uint64), np.full((2, 1 << bits), -1, np.int32)
+        for side in (0, 1):
+            at, own = np.array(list(held[side]), np.int64), np.array(list(held[side].values()), np.int64)
+            self.keys[side, at], self.values[side, at] = keys[own], values[own]
+        return True
+
+    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (keys >> self.shifts[0]).view(np.int64), (keys & self.shifts[1]).view(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Number of each key, -1 for those that have none."""
+        first, second = self._places(keys)
+        found = np.where(self.keys[0][first] == keys, self.values[0][first], -1)
+        missed = np.flatnonzero(found < 0)
+        second = second[missed]
+        found[missed] = np.where(self.keys[1][second] == keys[missed], self.values[1][second], -1)
+        return found
+
+
 class Pieces:
     """pieces: distinct non-empty strings; ``find`` gives their places in the list."""
 
     def __init__(self, pieces: list[str]):
         self.pieces = pieces
         self.longest = max(map(len, pieces))
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.tables: dict[int, _Table] = {}
         for n in sorted({len(x) for x in pieces}):
             own = [k for k, x in enumerate(pieces) if len(x) == n]
             codes = np.array([[ord(c) for c in pieces[k]] for k in own], np.uint64)
             keys = self._hash([codes[:, i] for i in range(n)])
-            order = np.argsort(keys)
             if len(np.unique(keys)) != len(keys):
                 raise ValueError("pieces repeat")
-            self.tables[n] = keys[order], np.array(own)[order]
+            self.tables[n] = _Table(keys, np.array(own))
 
     @staticmethod
     def _hash(columns: list[np.ndarray]) -> np.ndarray:
@@ -55,12 +95,10 @@ class Pieces:
                 running[start] = x ^ (x >> np.uint64(32))
                 if table is None:
                     continue
-                keys = _mixed(running[start])
-                k = np.searchsorted(table[0], keys)
-                k[k == len(table[0])] = 0
-                hit = np.flatnonzero((table[0][k] == keys) & (codes[:, start + n - 1] != 0))
+                found = table(_mixed(running[start]))
+                hit = np.flatnonzero((found >= 0) & (codes[:, start + n - 1] != 0))
                 if len(hit):
-                    yield start, n, hit, table[1][k[hit]]
+                    yield start, n, hit, found[hit]
 
 
     def all_of(self, codes: np.ndarray, count: int):
@@ -72,12 +110,9 @@ class Pieces:
             x = (x ^ last) * _MULTIPLIER
             x ^= x >> np.uint64(32)
             if n in self.tables:
-                known, places = self.tables[n]
-                keys = _mixed(x)
-                k = np.searchsorted(known, keys)
-                k[k == len(known)] = 0
-                hit = np.flatnonzero((known[k] == keys) & (last != 0))
-                yield n, hit, places[k[hit]]
+                found = self.tables[n](_mixed(x))
+                hit = np.flatnonzero((found >= 0) & (last != 0))
+                yield n, hit, found[hit]
 
 
 def padded(strings: list[str]) -> np.ndarray:

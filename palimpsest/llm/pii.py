@@ -30,10 +30,10 @@ _KNOWN = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n /
 #: What the candidates look like, in the order in which they are tried.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
-    # what is assigned to a telling name, with a digit in it or all hexadecimal; and keys with the prefixes that their issuers publish
-    "secret": r"((?<=(?i:pass(?:word|wd|phrase)|secret|token|(?:api|access|auth|private|account)[_\-]?key)[\x22']?\s{0,3}[=:]\s{0,3}[\x22']?)(?:(?=[A-Za-z+/_\-]{0,127}[0-9])[A-Za-z0-9+/_\-]{8,128}+|[A-Fa-f]{16,128}+(?![A-Za-z0-9+/_\-]))"
-    r"|(?<=\b(?:AKIA|ASIA))[A-Z0-9]{16}\b|(?<=\bgh[pousr]_)[A-Za-z0-9]{36,255}|(?<=\bxox[abprs]-)[A-Za-z0-9\-]{10,250}|(?<=\bsk-)[A-Za-z0-9]{20,200}|(?<=\bAIza)[0-9A-Za-z_\-]{35})",
-    "iban": rf"\b(?:{_KNOWN})\b|\b[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?\b",
+    # what is assigned to a telling name, and keys with the prefixes that their issuers publish; the group is what is secret: with a digit in it, or all hexadecimal or capitals
+    "secret": r"(?:(?i:pass(?:word|wd|phrase)|secret|token|(?:api|access|auth|private|account)[_\-]?key)[\x22']?\s{0,3}[=:]\s{0,3}[\x22']?|\b(?:A[KS]IA(?=[A-Z0-9]{16}\b)|gh[pousr]_(?=[A-Za-z0-9]{36})|xox[abprs]-(?=[A-Za-z0-9\-]{10})|sk-(?=[A-Za-z0-9]{20})|AIza(?=[0-9A-Za-z_\-]{35})))"
+    r"((?=[A-Za-z+/_\-]{0,249}[0-9])[A-Za-z0-9+/_\-]{8,250}+|(?:[A-Fa-f]{16,128}+|[A-Z]{16})(?![A-Za-z0-9+/_\-]))",
+    "iban": rf"\b(?=[A-Z]{{2}}[0-9]{{2}})(?:(?:{_KNOWN})\b|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?\b)",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9\-/.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9\-/])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
@@ -44,8 +44,9 @@ _OTHER = "|".join(PATTERNS[k] for k in ("email", "ip", "date", "ssn", "phone"))
 PATTERNS["card"] = rf"(?<![0-9\-])(?=[0-9](?:[ \-]?[0-9]){{12}})[0-9]++(?:[ \-](?!{_OTHER})[0-9]++)*(?![0-9\-])"
 #: Cards as they are grouped in print; these go before other runs.
 _PRINTED = "^([0-9]{13,19}|[0-9]{4}( [0-9]{4}){2}( [0-9]{4})?( [0-9]{1,3})?|[0-9]{4} [0-9]{6} [0-9]{4,5})$"
-_ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Places of the secret among the groups of the pattern.
+# inside a word only a number can begin, so most places are passed over at once
+_ANY = "(?:(?<![A-Za-z])|(?=[0-9+(]))(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+#: Place of what is secret among the groups of the pattern.
 _SECRET = 1
 #: Days from 1900-01-01 to 2099-12-31, and two factors of their number.
 _DAYS, _DAY_FACTORS = 73_049, (17, 4297)
@@ -158,7 +159,7 @@ _AREAS, _EXCHANGES = 8 * 89, 8 * 99
 
 
 def _pseudonym(key: bytes) -> str:
-    """SQL of (t, n) of the candidate ``v``, a secret if ``s``: its pseudonym, or ``v`` itself if it isn't valid, and how many values changed."""
+    """SQL of (t, n) of the candidate ``v``, which ends in the secret ``s``, if that isn't empty: its pseudonym, or ``v`` itself if it isn't valid, and how many values changed."""
 
     def k(kind: str) -> tuple[bytes, str]:
         return key, kind
@@ -191,9 +192,9 @@ def _pseudonym(key: bytes) -> str:
     iban = _let(plain, "p", f"CASE WHEN length(p) BETWEEN 15 AND 34 AND {_mod97('concat(substr(p, 5), left(p, 4))')} = 1 THEN " + _let(_text_feistel("substr(p, 5)", k("iban")), "q", _let(f"concat(left(p, 2), lpad(CAST(98 - {_mod97('concat(q, left(p, 2), chr(48), chr(48))')} AS string), 2, '0'), q)", "y", "aggregate(sequence(1, length(v)), struct('' AS t, 1 AS k), (z, i) -> CASE WHEN substr(v, i, 1) = ' ' THEN struct(concat(z.t, ' ') AS t, z.k AS k) ELSE struct(concat(z.t, substr(y, z.k, 1)) AS t, z.k + 1 AS k) END, z -> z.t)")) + " ELSE v END")
     # of a country that isn't known: the longest part up to a space that is valid
     iban = _let(f"coalesce(get({shorter}, 0), '')", "u", "concat(" + _let("CASE WHEN u = '' THEN v ELSE u END", "v", iban) + ", CASE WHEN u = '' THEN '' ELSE substr(v, length(u) + 1) END)")
-    secret = f"CASE WHEN regexp_like(v, '^[0-9A-Fa-f]+$') AND (v = upper(v) OR v = lower(v)) THEN {_text_feistel('v', k('secret'), hexes=True)} ELSE {_text_feistel('v', k('secret'))} END"
+    secret = f"concat(left(v, length(v) - length(s)), CASE WHEN regexp_like(s, '^[0-9A-Fa-f]+$') AND (s = upper(s) OR s = lower(s)) THEN {_text_feistel('s', k('secret'), hexes=True)} ELSE {_text_feistel('s', k('secret'))} END)"
     shapes = {
-        "secret": ("s", secret),
+        "secret": ("s <> ''", secret),
         "email": ("contains(v, '@')", email),
         "iban": ("regexp_like(v, '^[A-Z]')", iban),
         "ip": ("regexp_like(v, '^[0-9]{1,3}([.][0-9]{1,3}){3}$')", ip),
@@ -218,8 +219,8 @@ def with_pseudonyms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     if not key:
         raise ValueError("a key is needed")
     out = docs.withColumn("__m", F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)))
-    kinds = F.regexp_extract_all(text, F.lit(_ANY), F.lit(_SECRET))
-    out = out.withColumn("__k", F.when(F.size("__m") > 0, F.arrays_zip(F.col("__m").alias("v"), F.transform(kinds, lambda x: x != "").alias("s"))))
+    secrets = F.regexp_extract_all(text, F.lit(_ANY), F.lit(_SECRET))
+    out = out.withColumn("__k", F.when(F.size("__m") > 0, F.arrays_zip(F.col("__m").alias("v"), secrets.alias("s"))))
     out = out.withColumn("__q", F.expr(f"transform(__k, e -> {_let('e.v', 'v', _let('e.s', 's', _pseudonym(key.encode())))})"))
     pieces = F.split(F.col(text), _ANY, -1)
     joined = F.array_join(F.flatten(F.zip_with(pieces, "__q", lambda p, q: F.array(p, F.coalesce(q["t"], F.lit(""))))), "")

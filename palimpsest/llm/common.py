@@ -10,6 +10,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame], *before: str) -> tuple[DataFrame, str]:
+    """The table that ``make`` gives, written and read back, and its path. The tables that were written on the way, and those ``before``, go."""
+    older = set(_written)
+    out = written(make(), name)
+    path = next(reversed(_written))
+    for p in [*(x for x in _written if x not in older and x != path), *before]:
+        drop(spark, p)
+        _written.pop(p, None)
+    return out, path
+
+
 def drop(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

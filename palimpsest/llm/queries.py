@@ -24,6 +24,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_digest": _over("documents", digest.query),
     "op9_packing": _over("documents", packing.query),
     "op10_quality": lambda spark, sf_dir: quality.query(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")),
+    # the part of operator 10 that SQL can express, by itself
+    "quality_base_rules": _over("documents", quality.base_rules),
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": substring.ORACLE, "op2_chat": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": substring.ORACLE, "op2_chat": chat.ORACLE, "quality_base_rules": quality.BASE_ORACLE}

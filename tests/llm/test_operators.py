@@ -614,6 +614,12 @@ def test_quality_rules(spark, real, docs):
         assert sorted(got, key=key) == sorted([(i, rules(t)) for i, t in texts(df)], key=key)
 
 
+def test_base_rules_in_sql(spark, duck):
+    got = queries.QUERIES["quality_base_rules"](spark, SF).toPandas().sort_values("doc_id").reset_index(drop=True)
+    want = duck.sql(queries.ORACLE_SQL["quality_base_rules"]).df().sort_values("doc_id").reset_index(drop=True)
+    assert got[want.columns].equals(want)
+
+
 def test_quality_verdict(spark, real):
     """Scores by hand from the hashes."""
     labels = spark.read.parquet(f"{SF}/labels.parquet")

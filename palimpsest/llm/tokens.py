@@ -22,7 +22,7 @@ import numpy as np
 CACHE = 500_000
 #: Chunks are looked up for so many code points of text at once.
 BLOCK = 3_000_000
-_CLOSING = (b".", b",")
+_MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 _GAPS = (b"", b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\0")
 _SPACED = re.compile(rb"\s*\S+|\s+")
 #: White space that, unlike single spaces and new lines, never stands between chunks of the quick way.
@@ -46,13 +46,11 @@ def _spaced(raw: bytes) -> list[bytes]:
     A run of white space is never parted, and one that ends a text is a chunk of its own: how it is
     cut into pre-tokens depends on all of it and on what follows.
     """
-    parts = raw.replace(b"\n", b" \n").split(b" ")
-    # an empty part is a space beside white space, a lone new line one before white space or the end
-    if b"" in parts or b"\n" in parts or any(x in raw for x in _ODD):
+    lines = raw.replace(b"\n", b" \n")
+    # a part would be empty beside white space, or a lone new line before white space or the end
+    if b"  " in lines or b"\n " in lines or lines[:1] == b" " or lines[-1:] in (b" ", b"\n", b"") or any(x in raw for x in _ODD):
         return [x[1:] if x[:1] == b" " and x[1:2] not in _GAPS else x if x[:1] == b"\n" and x[1:2] not in _GAPS else b"\0" + x for x in _SPACED.findall(raw)]
-    if parts[0][:1] != b"\n":
-        parts[0] = b"\0" + parts[0]
-    return parts
+    return (b"\0" + lines).split(b" ")
 
 
 def _dropped(raw: bytes) -> list[bytes]:
@@ -78,46 +76,63 @@ class Encoder:
         self.mark, self.risky = ("\n", re.compile(rb".*(?:\s\s|[\n\r\t\x0b\x0c]|<\||\s$)", re.S).match) if spaced else (" \x01 ", re.compile(rb".*\x01", re.S).match)
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.model, self.spaced = self.tokenizer.model, spaced
-        self.closing = {x: self._pack(self.tokenizer.encode(x.decode(), add_special_tokens=False).ids) for x in _CLOSING}
+        self.line = self._pack([self.mark_id]) if spaced else b""
+        self.tails: dict[bytes, bytes] = {}
         self.cache: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def _lone(self, x: bytes) -> str | None:
-        """A chunk as the model's vocabulary writes it, if it is a single pre-token that normalisation leaves alone."""
-        if x.isalpha():  # ASCII letters; those that follow a single space stand without it
-            return f"\u0120{x.decode()}" if self.spaced else x.decode() if x.islower() else None
-        raw = self.chunk(x)
-        text = raw.decode("utf-8")
-        if self.spaced:
-            alone = (text[1:] if text[0] == " " else text).isalpha()
+    def _parts(self, x: bytes) -> tuple[bytes, str, bytes] | None:
+        """A chunk of a new line (or none), one word as the model's vocabulary writes it, and marks behind it (or none), if it is no more than that.
+
+        These are pre-tokens of their own. Apostrophes, which some letters follow in one pre-token, and what
+        special tokens begin with are no such marks; and the word is one that normalisation leaves alone.
+        """
+        head, core = b"", x
+        if self.spaced and x[:1] in (b"\n", b"\0"):
+            head, core = x[:1].strip(b"\0"), x[1:]
+        stem = core.rstrip(_MARKS)
+        if stem.isalpha():  # ASCII letters
+            if not self.spaced and not stem.islower():
+                return None
+            word = stem.decode()
         else:
-            alone = text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
-        return raw.decode("latin-1").translate(_VISIBLE) if alone else None
+            word = stem.decode("utf-8")
+            if not word.isalpha() or not (self.spaced or (word == word.lower() and unicodedata.is_normalized("NFC", word))):
+                return None
+            word = stem.decode("latin-1").translate(_VISIBLE)
+        return head, word if core is not x or not self.spaced else "\u0120" + word, core[len(stem) :]
 
     def _fill(self, missing: set[bytes]) -> None:
         """Encode what the cache lacks: single pre-tokens by the model alone, others as one text, parted by an id that no chunk has; chunks that could have it go one by one."""
-        new, odd, cache, old, tokenize, lone, closing = [], [], self.cache, self.old, self.model.tokenize, self._lone, self.closing
-        code = "H" if self.dtype.itemsize == 2 else "I"
-        swap = sys.byteorder != "little"
+        new, odd, cache, tails = [], [], self.cache, self.tails
+
+        def packed(word: str) -> bytes:
+            ids = array("H" if self.dtype.itemsize == 2 else "I", [t.id for t in self.model.tokenize(word)])
+            if sys.byteorder != "little":
+                ids.byteswap()
+            return ids.tobytes()
+
         for x in missing:
-            end = closing.get(x[-1:])
-            if end is not None and x[-2:-1].isalpha():  # a stem's ids and those of the mark that closes it
-                ids = cache.get(x[:-1]) or old.get(x[:-1])
-                if ids:
-                    cache[x] = ids + end
-                    continue
-            written = lone(x)
-            if written is not None:
-                ids = array(code, [t.id for t in tokenize(written)])
-                if swap:
-                    ids.byteswap()
-                cache[x] = ids.tobytes()
-            else:
+            parts = self._parts(x)
+            if parts is None:
                 raw = self.chunk(x)
                 (odd if self.risky(raw) else new).append((x, raw.decode("utf-8")))
+                continue
+            head, word, tail = parts
+            ids = cache.get(x[: -len(tail)]) if tail else None
+            if ids is None:
+                ids = self.line + packed(word) if head else packed(word)
+            if tail:
+                end = tails.get(tail)
+                if end is None:
+                    if len(tails) > 10_000:
+                        tails.clear()
+                    end = tails[tail] = packed(tail.decode())
+                ids += end
+            cache[x] = ids
         for first in range(0, len(new), 200):  # short runs encode fastest
             part = new[first : first + 200]
             ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(x[1] for x in part)], add_special_tokens=False)[0].ids, self.dtype)

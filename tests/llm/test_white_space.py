@@ -9,7 +9,7 @@ from palimpsest.llm import tokens
 
 #: What texts are drawn from, white space most of all.
 GAPS = [" ", " ", " ", "\n", "\n", "\n\n", "  ", "\r\n", "\r", "\t", "\x0b", "\x0c", "\xa0", "\u3000", "\x85", "\u2028", "\x1c", "\0", "\u200b"]
-WORDS = ["a", "The", "word", "x.", "it's", "don't", "12", "3.14", "(b)", ",", "--", "é", "e\u0301", "\u0301", "語", "İ", "<|endoftext|>", "<|", "#1", "'", "'s", "\U0001f600"]
+WORDS = ["a", "The", "word", "x.", "it's", "don't", "12", "3.14", "(b)", ",", "--", "é", "e\u0301", "\u0301", "語", "İ", "<|endoftext|>", "<|", "#1", "'", "'s", "\U0001f600", "end.", "wow!!", "cost$$$", "q...\"", "été,", "über###", "x|>", "don't.", "A.B.", "_", "-", "naïve)", "w@", "É!"]
 KNOWN = ["word\n\n", "Para one.\n\nPara two.\n\n", "x\n\n\n", "a\n\n b", "A.\n\nB", "x \n\n", "foo\r\n\r\n", "\n", "\n\n", "a\n", "a\n b", "a\n\tb", "a\r\nb", "if x:\n    y = 1\n\n\n    z\n", "a <|endoftext|>\n<|endoftext|>  b"]
 
 

@@ -77,34 +77,30 @@ def _mac(key: bytes, message: str) -> str:
 def _shifted(half: str, other: str, key: tuple[bytes, str], hexes: bool, r: str = "r") -> str:
     """Every character of ``half`` moved within its class by a stream keyed with ``other``; a bijection of ``half`` for any ``other``."""
     stream = _mac(key[0], f"concat('{key[1]}:', {r}, ':', {f'lower({other})' if hexes else other})")
-    k = "CAST(conv(substr(z.d, pmod(2 * i, 62) + 1, 2), 16, 10) AS int)"
-
-    def each(moved: str) -> str:
-        inside = f"array_join(transform(sequence(1, length(z.h)), i -> element_at(transform(array(substr(z.h, i, 1)), c -> {moved}), 1)), '')"
-        return f"CASE WHEN {half} = '' THEN '' ELSE element_at(transform(array(struct({half} AS h, {stream} AS d)), z -> {inside}), 1) END"
-
+    one = "struct(substr(z.h, i, 1) AS c, CAST(conv(substr(z.d, pmod(2 * i, 62) + 1, 2), 16, 10) AS int) AS k)"
     if hexes:  # 16 digits in either case
-        small = f"substr('0123456789abcdef', 1 + pmod(CAST(conv(c, 16, 10) AS int) + {k}, 16), 1)"
-        return each(f"CASE WHEN z.h = upper(z.h) THEN upper({small}) ELSE {small} END")
-    classes = (("0", "9", 10), ("a", "z", 26), ("A", "Z", 26), ("à", "ö", 23), ("À", "Ö", 23))
-    cases = " ".join(f"WHEN c >= '{a}' AND c <= '{b}' THEN chr({ord(a)} + pmod(ascii(c) - {ord(a)} + {k}, {n}))" for a, b, n in classes)
-    return each(f"CASE {cases} ELSE c END")
+        moved = _let("substr('0123456789abcdef', 1 + pmod(CAST(conv(y.c, 16, 10) AS int) + y.k, 16), 1)", "w", "CASE WHEN z.h = upper(z.h) THEN upper(w) ELSE w END")
+    else:
+        classes = (("0", "9", 10), ("a", "z", 26), ("A", "Z", 26), ("à", "ö", 23), ("À", "Ö", 23))
+        moved = "CASE " + " ".join(f"WHEN y.c >= '{a}' AND y.c <= '{b}' THEN chr({ord(a)} + pmod(ascii(y.c) - {ord(a)} + y.k, {n}))" for a, b, n in classes) + " ELSE y.c END"
+    inside = f"array_join(transform(sequence(1, length(z.h)), i -> {_let(one, 'y', moved)}), '')"
+    return _let(f"struct({half} AS h, {stream} AS d)", "z", f"CASE WHEN z.h = '' THEN '' ELSE {inside} END")
 
 
 def _text_feistel(value: str, key: tuple[bytes, str], hexes: bool = False) -> str:
     """Alternating Feistel over the halves of a string of two or more characters."""
-    left, right = _shifted("f.a", "f.b", key, hexes), _shifted("f.b", "f.a", key, hexes)
     start = f"struct(substr({value}, 1, CAST(length({value}) / 2 AS int)) AS a, substr({value}, CAST(length({value}) / 2 AS int) + 1) AS b)"
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (f, r) -> CASE WHEN r % 2 = 1 THEN struct({left} AS a, f.b AS b) ELSE struct(f.a AS a, {right} AS b) END, f -> concat(f.a, f.b))"
+    moved = _shifted("CASE WHEN r % 2 = 1 THEN f.a ELSE f.b END", "CASE WHEN r % 2 = 1 THEN f.b ELSE f.a END", key, hexes)
+    step = _let(moved, "g", "struct(CASE WHEN r % 2 = 1 THEN g ELSE f.a END AS a, CASE WHEN r % 2 = 1 THEN f.b ELSE g END AS b)")
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, (f, r) -> {step}, f -> concat(f.a, f.b))"
 
 
 def _number_feistel(a: str, b: str, m: int, n: int, key: tuple[bytes, str], finish: str) -> str:
     """Alternating Feistel over a pair of numbers below m and n; ``finish`` reads f.a and f.b."""
-
-    def f(x: str, size: int) -> str:
-        return f"pmod(CAST(conv(substr({_mac(key[0], f"concat('{key[1]}:', r, ':', {x})")}, 1, 12), 16, 10) AS bigint), {size}L)"
-
-    return f"aggregate(sequence(1, {ROUNDS}), struct(CAST({a} AS bigint) AS a, CAST({b} AS bigint) AS b), (f, r) -> CASE WHEN r % 2 = 1 THEN struct(pmod(f.a + {f('f.b', m)}, {m}L) AS a, f.b AS b) ELSE struct(f.a AS a, pmod(f.b + {f('f.a', n)}, {n}L) AS b) END, f -> {finish})"
+    mac = _mac(key[0], f"concat('{key[1]}:', r, ':', CASE WHEN r % 2 = 1 THEN f.b ELSE f.a END)")
+    moved = f"pmod(CASE WHEN r % 2 = 1 THEN f.a ELSE f.b END + CAST(conv(substr({mac}, 1, 12), 16, 10) AS bigint), CASE WHEN r % 2 = 1 THEN {m}L ELSE {n}L END)"
+    step = _let(moved, "g", "struct(CASE WHEN r % 2 = 1 THEN g ELSE f.a END AS a, CASE WHEN r % 2 = 1 THEN f.b ELSE g END AS b)")
+    return f"aggregate(sequence(1, {ROUNDS}), struct(CAST({a} AS bigint) AS a, CAST({b} AS bigint) AS b), (f, r) -> {step}, f -> {finish})"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -178,13 +174,11 @@ def _pseudonym(key: bytes) -> str:
     ssn = "CASE WHEN left(d, 3) NOT IN ('000', '666') AND left(d, 1) <> '9' AND substr(d, 4, 2) <> '00' AND right(d, 4) <> '0000' THEN " + _let(moved, "q", _into("v", "q")) + " ELSE v END"
     octets = "transform(split(v, '[.]'), o -> CAST(o AS int))"
     ip = _let(octets, "o", f"CASE WHEN forall(o, b -> b <= 255) THEN {_number_feistel('o[0] * 256 + o[1]', 'o[2] * 256 + o[3]', 65536, 65536, k('ip'), 'concat_ws(chr(46), f.a div 256, f.a % 256, f.b div 256, f.b % 256)')} ELSE v END")
-    dates = []
-    for mark, form in _DATE_FORMATS.items():
-        day = f"datediff(CAST(try_to_timestamp(v, '{form}') AS date), DATE'1900-01-01')"
-        a, b = _DAY_FACTORS
-        moved = _number_feistel(f"n div {b}", f"n % {b}", a, b, k("date"), f"date_format(date_add(DATE'1900-01-01', CAST(f.a * {b} + f.b AS int)), '{form}')")
-        dates.append(f"WHEN contains(v, '{mark}') THEN " + _let(day, "n", f"CASE WHEN n >= 0 AND n < {_DAYS} THEN {moved} ELSE v END"))
-    date = f"CASE {' '.join(dates)} ELSE v END"
+    # the layout by its separator; one permutation of days for all
+    form = "CASE " + " ".join(f"WHEN contains(v, '{mark}') THEN '{f}'" for mark, f in _DATE_FORMATS.items()) + " END"
+    a, b = _DAY_FACTORS
+    moved = _number_feistel(f"n div {b}", f"n % {b}", a, b, k("date"), f"date_add(DATE'1900-01-01', CAST(f.a * {b} + f.b AS int))")
+    date = _let(form, "l", _let("datediff(CAST(try_to_timestamp(v, l) AS date), DATE'1900-01-01')", "n", f"CASE WHEN n >= 0 AND n < {_DAYS} THEN date_format({moved}, l) ELSE v END"))
     at = "instr(v, '@')"
     email = f"CASE WHEN {at} > 2 THEN concat({_text_feistel(f'left(v, {at} - 1)', k('email'))}, substr(v, {at})) ELSE concat({_shifted(f'left(v, {at} - 1)', chr(39) * 2, k('email'), False, '0')}, substr(v, {at})) END"
     plain = "replace(v, ' ', '')"

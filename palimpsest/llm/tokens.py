@@ -19,7 +19,7 @@ from operator import itemgetter
 import numpy as np
 
 #: Chunks kept by a Python worker, some 200 bytes each.
-CACHE = 500_000
+CACHE = 300_000
 #: Chunks are looked up for so many code points of text at once.
 BLOCK = 3_000_000
 _MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, digest, langid, packing, pii, quality, simhash, streaming_viterbi, substring, tokenstore
+from . import chat, digest, divergence, langid, lines, packing, pii, quality, search, simhash, streaming_viterbi, substring, tokenstore
 
 
 def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -24,8 +24,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_digest": _over("documents", digest.query),
     "op9_packing": _over("documents", packing.query),
     "op10_quality": lambda spark, sf_dir: quality.query(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")),
+    "op11_divergence": _over("documents", divergence.query),
+    "op12_lines": _over("documents", lines.query),
+    "op13_search": lambda spark, sf_dir: search.query(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
     # the part of operator 10 that SQL can express, by itself
     "quality_base_rules": _over("documents", quality.base_rules),
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": substring.ORACLE, "op2_chat": chat.ORACLE, "quality_base_rules": quality.BASE_ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": substring.ORACLE, "op2_chat": chat.ORACLE, "op11_divergence": divergence.ORACLE, "op12_lines": lines.ORACLE, "op13_search": search.ORACLE, "quality_base_rules": quality.BASE_ORACLE,
+}

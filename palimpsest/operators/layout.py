@@ -2,7 +2,9 @@
 
 A page row holds its glyphs and its covers, so the spatial joins are filters over the arrays of
 one row: glyphs are never rows of their own, nothing is shuffled or grouped, and a row leaves with
-what matched alone. Boxes are as the sources give them, x0 <= x1 and y0 <= y1.
+what matched alone. Only on a heavy page, of more than ``HEAVY`` pairs of a glyph and a box, boxes meet glyphs by the
+cells of a grid: glyphs and boxes become rows that are joined by page and cell, so a page spreads over its cells and
+a pair is looked at once. Both ways give the same rows. Boxes are as the sources give them, x0 <= x1 and y0 <= y1.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import exprs as E
 from .findings import finding
 
+#: Pairs of a glyph and a box that are looked at inside a page's row; beyond, the page is cut into cells of so many points.
+HEAVY, CELL = 2_000_000, 32.0
 _BOX = ("x0", "y0", "x1", "y1")
 _PAGE = ("doc_id", "page")
 
@@ -37,11 +41,37 @@ def effective_covers(page: Column) -> Column:
     return F.filter("covers", lambda c: E.is_dark(c["kind"], c["brightness"]) | ~((E.area(page) > 0) & (E.area(c) / E.area(page) > E.BACKGROUND)))
 
 
-def covered_spans(layout: DataFrame) -> DataFrame:
+def _cells(a: Column, b: Column) -> Column:
+    """Numbers of the cells from ``a`` to ``b`` along one side; outside the page's neighbourhood everything is the outermost cell."""
+    at = lambda x: F.greatest(F.lit(-4), F.least(F.lit(60), F.floor(x / CELL))).cast("int")
+    return F.sequence(at(a), at(b))
+
+
+def _by_cell(rows: DataFrame, item: str) -> DataFrame:
+    """rows (doc_id, page, item) once for each cell that the item's box touches, as cx and cy, with the first cell of both sides."""
+    box = F.col(item)
+    out = rows.withColumns({"xs": _cells(box["x0"], box["x1"]), "ys": _cells(box["y0"], box["y1"])})
+    out = out.select(*rows.columns, F.get("xs", F.lit(0)).alias(f"{item}_x"), F.get("ys", F.lit(0)).alias(f"{item}_y"), "ys", F.explode("xs").alias("cx"))
+    return out.select(*rows.columns, f"{item}_x", f"{item}_y", "cx", F.explode("ys").alias("cy"))
+
+
+def _under(pages: DataFrame, boxes: str, heavy: int = HEAVY) -> DataFrame:
+    """(doc_id, page, b, g): of each box in the array ``boxes`` that hides a glyph, the glyphs that it does; pages: doc_id, page, glyphs, boxes. A box is a struct with x0, y0, x1, y1 and whatever tells it from others."""
+    weight = F.size("glyphs").cast("long") * F.size(boxes)
+    plain = F.transform(boxes, lambda b: F.struct(b.alias("b"), F.filter("glyphs", lambda g: _hit(g, b)).alias("g")))
+    light = pages.where(~(weight > heavy)).select(*_PAGE, F.explode(plain).alias("u")).where(F.size("u.g") > 0).select(*_PAGE, "u.b", "u.g")
+    large = pages.where(weight > heavy)
+    glyphs = _by_cell(large.select(*_PAGE, F.explode("glyphs").alias("g")).where(~E.blank(F.col("g.ch"))), "g")
+    covers = _by_cell(large.select(*_PAGE, F.posexplode(boxes).alias("nth", "b")), "b")
+    # two boxes that meet do so in the cell that is the larger of their first ones, among others; there they are looked at
+    met = glyphs.join(covers, [*_PAGE, "cx", "cy"]).where((F.col("cx") == F.greatest("g_x", "b_x")) & (F.col("cy") == F.greatest("g_y", "b_y"))).where(_hit(F.col("g"), F.col("b")))
+    return light.unionByName(met.groupBy(*_PAGE, "nth").agg(F.first("b").alias("b"), F.collect_list("g").alias("g")).select(*_PAGE, "b", "g"))
+
+
+def covered_spans(layout: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """(doc_id, page, c, n_glyphs, evidence) of covers with covered text; a glyph counts under every cover that hides it."""
-    under = F.transform(effective_covers(_page_box()), lambda c: F.struct(c.alias("c"), F.filter("glyphs", lambda g: _hit(g, c)).alias("g")))
-    rows = layout.select(*_PAGE, F.explode(under).alias("u")).where(F.size("u.g") > 0)
-    return rows.select(*_PAGE, F.col("u.c").alias("c"), F.size("u.g").cast("long").alias("n_glyphs"), _read(F.col("u.g")).alias("evidence"))
+    rows = _under(layout.select(*_PAGE, "glyphs", effective_covers(_page_box()).alias("boxes")), "boxes", heavy)
+    return rows.select(*_PAGE, F.col("b").alias("c"), F.size("g").cast("long").alias("n_glyphs"), _read(F.col("g")).alias("evidence"))
 
 
 def covered_text(layout: DataFrame) -> DataFrame:
@@ -82,21 +112,20 @@ def hidden_geometry(layout: DataFrame) -> DataFrame:
     return finding(rows, "hidden_text", "critical", F.concat(F.lit("Characters that nobody sees: "), F.concat_ws("; ", *parts), F.lit(".")), F.substring("text", 1, 400), "Remove the hidden text from the content.", F.col("page"), emit=F.lit(1))
 
 
-def text_under(annots: DataFrame, layout: DataFrame) -> DataFrame:
+def text_under(annots: DataFrame, layout: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """Annots with ``under``, the text below each rectangle in reading order; empty for none, a null rectangle or a missing page.
 
     Where layout rows carry the annotations of their page (``annots``, as :mod:`palimpsest.sources.files` gives
     them), no page is moved to meet its marks. Else pages are joined to them before any glyph is looked at.
     """
-    def box(rect: Column) -> Column:
-        return F.struct(*(rect[i].alias(x) for i, x in enumerate(_BOX)))
+    def mark(place: Column, rect: Column) -> Column:
+        return F.struct(place.alias("ord"), *(rect[i].alias(x) for i, x in enumerate(_BOX)))
 
     if "annots" in layout.columns:
         own = F.filter("annots", lambda a: (a["subtype"] == "/Redact") & a["rect"].isNotNull())
-        pages = layout.select(*_PAGE, "glyphs", F.transform(own, lambda a: F.struct(a["ord"].alias("ord"), box(a["rect"]).alias("b"))).alias("marks"))
+        pages = layout.select(*_PAGE, "glyphs", F.transform(own, lambda a: mark(a["ord"], a["rect"])).alias("marks"))
     else:
-        marks = annots.where("rect IS NOT NULL").groupBy(*_PAGE).agg(F.collect_list(F.struct("ord", box(F.col("rect")).alias("b"))).alias("marks"))
+        marks = annots.where("rect IS NOT NULL").groupBy(*_PAGE).agg(F.collect_list(mark(F.col("ord"), F.col("rect"))).alias("marks"))
         pages = layout.select(*_PAGE, "glyphs").join(marks, list(_PAGE))
-    under = F.transform("marks", lambda m: F.struct(m["ord"].alias("ord"), F.filter("glyphs", lambda g: _hit(g, m["b"])).alias("g")))
-    found = pages.select(*_PAGE, F.explode(under).alias("u")).select(*_PAGE, "u.ord", _read(F.col("u.g")).alias("under"))
+    found = _under(pages, "marks", heavy).select(*_PAGE, "b.ord", _read(F.col("g")).alias("under"))
     return annots.join(found, [*_PAGE, "ord"], "left").withColumn("under", F.coalesce("under", F.lit("")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
@@ -65,10 +65,10 @@ def rollup(docs: DataFrame, findings: DataFrame, errors: DataFrame, fail_on: str
     )
 
 
-def as_json(reports: DataFrame) -> DataFrame:
-    """K1, K3: (doc_id, json)."""
-    keep = F.struct("path", "worst_severity", "finding_count", "findings", "detector_errors", "incomplete")
-    return reports.select("doc_id", F.to_json(keep, {"ignoreNullFields": "false"}).alias("json"))
+def as_json(reports: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """K1, K3: (doc_id, json, and columns to keep)."""
+    shown = F.struct("path", "worst_severity", "finding_count", "findings", "detector_errors", "incomplete")
+    return reports.select("doc_id", F.to_json(shown, {"ignoreNullFields": "false"}).alias("json"), *keep)
 
 
 def snippet(evidence: Column, limit: int = 80) -> Column:
@@ -78,33 +78,55 @@ def snippet(evidence: Column, limit: int = 80) -> Column:
     return F.when(evidence.isNull() | (evidence == ""), "—").otherwise(cut)
 
 
-#: ANSI codes of the severities, and of bold.
+#: ANSI codes of the severities, of bold and of the end of either; characters of evidence that a text report shows.
 _COLORS = {"info": "\x1b[36m", "low": "\x1b[34m", "medium": "\x1b[33m", "high": "\x1b[31m", "critical": "\x1b[1;31m"}
 _BOLD, _RESET = "\x1b[1m", "\x1b[0m"
+SHOWN = 240
 
 
-def as_text(reports: DataFrame, color: bool = False) -> DataFrame:
-    """K2: (doc_id, text), a report to read."""
+def as_text(reports: DataFrame, color: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """K2: (doc_id, text, and columns to keep), a report to read: stamp and path, counts by severity, then each detector with what it found, the worst first, and detectors that failed."""
 
-    def paint(text: Column, code: Column | str) -> Column:
-        return F.concat(F.lit(code) if isinstance(code, str) else code, text, F.lit(_RESET)) if color else text
+    def painted(text: Column, code: Column) -> Column:
+        return F.concat(code, text, F.lit(_RESET)) if color else text
 
-    def code(severity: Column) -> Column:
-        return F.element_at(F.create_map(*(F.lit(x) for pair in _COLORS.items() for x in pair)), severity)
+    codes = F.create_map(*(F.lit(x) for pair in _COLORS.items() for x in pair))
+    lines = lambda *parts: F.array_join(F.array_compact(F.array(*parts)), "\n")
 
-    def block(f: Column) -> Column:
-        name = F.upper(f["severity"])
-        left = ((F.lit(8) - F.length(name)) / 2).cast("int")
-        tag = F.concat(F.lit(" "), F.rpad(F.concat(F.repeat(F.lit(" "), left), name), 8, " "), F.lit(" "))
-        place = F.when(F.coalesce(f["page"], F.lit(0)) != 0, F.concat(F.lit(" p"), f["page"].cast("string"))).otherwise("")
-        line = F.replace(f["evidence"], F.lit("\n"), F.lit(" "))
-        line = F.when(F.length(line) > 240, F.concat(F.substring(line, 1, 240), F.lit(" ..."))).otherwise(line)
-        found = F.when(F.coalesce(line, F.lit("")) != "", F.concat(F.lit("\n"), paint(F.concat(F.lit("           recovered: "), line), _BOLD))).otherwise("")
-        fix = F.when(F.coalesce(f["recommendation"], F.lit("")) != "", F.concat(F.lit("\n"), paint(F.concat(F.lit("           fix: "), f["recommendation"]), _COLORS["info"]))).otherwise("")
-        return F.concat(paint(tag, code(f["severity"])), F.lit(" ["), f["vector"], place, F.lit("] "), f["description"], found, fix, F.lit("\n"))
+    def number(severity: str) -> Column:
+        n = F.size(F.filter("findings", lambda f: f["severity"] == severity))
+        return F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {severity}")))
 
-    head = paint(F.concat(F.lit("Leak audit: "), F.col("path")), _BOLD)
-    none = paint(F.lit("  Nothing recoverable was found."), _COLORS["info"])
-    some = F.concat(F.lit("  "), F.col("finding_count").cast("string"), F.lit(" finding(s); worst severity: "), paint(F.upper("worst_severity"), code(F.col("worst_severity"))))
-    errors = F.when(F.col("incomplete"), F.concat(F.lit("\n"), paint(F.lit("Detectors that failed (the scan went on):"), _COLORS["low"]), F.lit("\n"), F.array_join(F.transform(F.map_entries("detector_errors"), lambda e: F.concat(F.lit("  - "), e["key"], F.lit(": "), e["value"])), "\n"))).otherwise("")
-    return reports.select("doc_id", F.concat(head, F.lit("\n"), F.when(F.col("worst_severity").isNull(), none).otherwise(some), F.lit("\n\n"), F.array_join(F.transform("findings", block), "\n"), errors).alias("text"))
+    counts = F.array_join(F.array_compact(F.array(*map(number, reversed(E.SEVERITIES)))), ", ")
+    summary = F.when(F.col("finding_count") == 0, F.lit("Nothing recoverable was found.")).otherwise(F.concat(F.lit("Found: "), counts, F.lit(".")))
+
+    def one(f: Column) -> Column:
+        page = F.when(F.coalesce(f["page"], F.lit(0)) != 0, F.concat(F.lit(", page "), f["page"].cast("string"))).otherwise("")
+        seen = F.replace(F.coalesce(f["evidence"], F.lit("")), F.lit("\n"), F.lit(" "))
+        seen = F.when(F.length(seen) > SHOWN, F.concat(F.substring(seen, 1, SHOWN), F.lit(" ..."))).otherwise(seen)
+        head = F.concat(F.lit("  "), painted(f["severity"], codes[f["severity"]]), page, F.lit(": "), f["description"])
+        return lines(head, F.when(seen != "", F.concat(F.lit("    read: "), painted(seen, F.lit(_BOLD)))), F.when(F.coalesce(f["recommendation"], F.lit("")) != "", F.concat(F.lit("    do: "), f["recommendation"])))
+
+    by_detector = F.transform(F.array_distinct(F.transform("findings", lambda f: f["vector"])), lambda v: F.concat(v, F.lit("\n"), F.array_join(F.transform(F.filter("findings", lambda f: f["vector"] == v), one), "\n")))
+    failed = F.transform(F.map_entries("detector_errors"), lambda e: F.concat(e["key"], F.lit("\n  failed: "), e["value"]))
+    head = F.concat(painted(F.col("stamp"), F.coalesce(codes[F.col("worst_severity")], F.lit(_BOLD))), F.lit("  "), F.col("path"))
+    return reports.select("doc_id", F.array_join(F.concat(F.array(lines(head, summary)), by_detector, failed), "\n").alias("text"), *keep)
+
+
+def written_reports(reports: DataFrame, to: str, text: bool = False, color: bool = False) -> dict[str, int]:
+    """K1, K2, K5: write reports, a line of JSON or a text for each document, as files below ``to``/reports, by stamp, and their counts to ``to``/manifest.
+
+    One job: the counts (documents, findings, and documents by exit code) are observed while the reports are written, and nothing else comes to the driver.
+    """
+    seen = Observation("reports")
+    codes = (F.count_if(F.col("exit_code") == c).alias(f"exit_{c}") for c in (CLEAN, FOUND, INCOMPLETE))
+    rows = reports.observe(seen, F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("finding_count"), F.lit(0)).alias("findings"), *codes)
+    shown = as_text(rows, color, ("stamp",)) if text else as_json(rows, ("stamp",))
+    shown.drop("doc_id").write.partitionBy("stamp").text(f"{to}/reports")
+    counts = {k: int(v) for k, v in seen.get.items()}
+    reports.sparkSession.createDataFrame([tuple(counts.values())], ", ".join(f"{k} long" for k in counts)).coalesce(1).write.json(f"{to}/manifest")
+    return counts
+
+
+def exit_code(counts: dict[str, int]) -> int:
+    return FOUND if counts[f"exit_{FOUND}"] else INCOMPLETE if counts[f"exit_{INCOMPLETE}"] else CLEAN

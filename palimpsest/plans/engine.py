@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import annotations, attachments, layout, metadata, report, revisions, stream
 from ..operators.findings import union
 from ..schema import DESCRIPTIONS, FINDING, FINDING_SCHEMA, VECTORS
+from .opaque import Opaque
 
 #: Characters of an error's message that are kept.
 MESSAGE = 200
+#: Runs over parts of the documents by which those that make a detector fail are told from the others.
+TRIES, DEEPEST = 256, 62
+#: Where all of so many parts fail, it is the detector that fails, not a document.
+PARTS = 8
+#: What a failed job says that no row of data is to blame for.
+_MACHINES = ("ExecutorLostFailure", "No space left on device", "OutOfMemoryError", "FetchFailed", "Disk quota", "SparkContext was shut down", "was cancelled", "Connection refused", "Permission denied")
 
 
 @dataclass
@@ -32,8 +39,12 @@ class Tables:
     annots: DataFrame
     errors: DataFrame
 
+    def where(self, condition: Column) -> Tables:
+        """The rows of all tables for which the condition on doc_id holds."""
+        return replace(self, **{f.name: getattr(self, f.name).where(condition) for f in fields(self)})
 
-#: A relational detector: tables to rows of the finding schema.
+
+#: A relational detector: tables to rows of the finding schema. Each finding of a document rests on that document's rows alone.
 Detector = Callable[[Tables], DataFrame]
 
 DETECTORS: dict[str, Detector] = {
@@ -60,6 +71,80 @@ def vectors(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, v, DESCRIPTIONS.get(v, "")) for i, v in enumerate(VECTORS)], "ord int, name string, description string")
 
 
+def said(e: BaseException) -> str:
+    return f"{type(e).__name__}: {' '.join(str(e).split())[:MESSAGE]}"
+
+
+def of_data(e: BaseException) -> bool:
+    """Whether a job failed by what it computed, not by the machines it ran on."""
+    return not any(x in str(e) for x in _MACHINES)
+
+
+def part(depth: int, k: int) -> Column:
+    """One of 2**depth parts of the documents."""
+    return F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - depth) == k if depth else F.lit(True)
+
+
+@dataclass
+class Isolated:
+    """What a detector gave where it could: its written rows, documents' own errors, and the error that holds for all, if one does."""
+
+    rows: list[DataFrame]
+    errors: list[DataFrame]
+    broken: str | None = None
+
+
+def isolated(detector: Detector, tables: Tables, to: str, tries: int = TRIES) -> Isolated:
+    """Run a detector over all documents at once; where that fails, over halves of those that fail, until single documents are left.
+
+    So one bad document costs about two runs for each doubling of their number, of ever smaller parts, and has an
+    error; all others keep their findings. After ``tries`` runs the documents of parts that still fail share the part's
+    error: none is ever clean. A failure of machines or a full disk is raised, as no document is to blame for it.
+    """
+    spark, docs = tables.docs.sparkSession, tables.docs.select("doc_id")
+
+    def planned(own: Tables) -> DataFrame:
+        return detector.rows(own) if isinstance(detector, Opaque) else detector(own).select(*FINDING)
+
+    def run(depth: int, k: int, rows: DataFrame) -> tuple[DataFrame | None, str]:
+        path = f"{to}/part={depth}-{k}"
+        try:
+            rows.write.mode("overwrite").parquet(path)
+        except Exception as e:  # a detector's own code may raise anything
+            if not of_data(e):
+                raise
+            return None, said(e)
+        return spark.read.schema(rows.schema).parquet(path), ""
+
+    try:
+        failing = [(0, 0, planned(tables))]
+    except Exception as e:
+        return Isolated([], [], said(e))
+    out, runs = Isolated([], []), 0
+    while failing:
+        again: list[tuple[int, int, str]] = []
+        for depth, k, planned_rows in failing:
+            rows, message = run(depth, k, planned_rows)
+            runs += 1
+            if rows is not None:
+                out.rows.append(rows)
+            else:
+                again.append((depth, k, message))
+        if len(again) == PARTS == 2 ** again[0][0]:
+            return Isolated([], [], again[0][2])
+        failing = []
+        for depth, k, message in again:
+            own = docs.where(part(depth, k))
+            few = len(own.limit(2).collect())
+            if not few:  # rows of no document make it fail
+                return Isolated([], [], message)
+            if few < 2 or depth == DEEPEST or runs + 2 * len(again) > tries:
+                out.errors.append(own.select("doc_id", F.lit(message).alias("message")))
+            else:
+                failing += [(depth + 1, x, planned(tables.where(part(depth + 1, x)))) for x in (2 * k, 2 * k + 1)]
+    return out
+
+
 @dataclass
 class Engine:
     """Detectors by name; others may be added, or given instead. Unchosen ones are never planned."""
@@ -67,29 +152,42 @@ class Engine:
     detectors: dict[str, Detector] = field(default_factory=lambda: dict(DETECTORS))
 
     def outcome(self, tables: Tables, only: list[str] | None = None, to: str | None = None) -> tuple[DataFrame, DataFrame]:
-        """Findings and errors of the chosen detectors. A detector that raises has an error in every document and no findings; the others go on.
+        """Findings and errors of the chosen detectors. A document where a detector raises has its error there and none of its findings; all others go on.
 
-        With ``to``, a shared folder, each detector's rows are first written there, so that one that
-        raises while it runs is told from the others; without, only one that raises while it is planned.
+        With ``to``, a shared folder, each detector's rows are first written there, which tells the documents that make it
+        raise from the others (:func:`isolated`); without, only a detector that raises while it is planned is told from the
+        others, and has an error in every document.
         """
         if bad := unknown(only or [], tuple(self.detectors)):
             raise ValueError(f"unknown detectors: {', '.join(bad)}; there are {', '.join(self.detectors)}")
-        spark, parts, broken = tables.docs.sparkSession, [], {}
+        spark, parts = tables.docs.sparkSession, []
         chosen = {k: f for k, f in self.detectors.items() if not only or k in only}
+        errors = [tables.errors.where(F.col("detector").isNull() | F.col("detector").isin(*chosen)).select("doc_id", "detector", "message")]
+
+        def failed(docs: DataFrame, name: str, message: Column) -> None:
+            errors.append(docs.select("doc_id", F.lit(name).alias("detector"), message.alias("message")))
+
         for name, detector in chosen.items():
-            try:
-                rows = detector(tables).select(*FINDING)
-                if to:
-                    rows.write.mode("overwrite").parquet(f"{to}/{name}")
-                    rows = spark.read.schema(rows.schema).parquet(f"{to}/{name}")
-                parts.append(rows)
-            except Exception as e:
-                broken[name] = f"{type(e).__name__}: {' '.join(str(e).split())[:MESSAGE]}"
+            if to:
+                one = isolated(detector, tables, f"{to}/{name}")
+                for docs in one.errors:
+                    failed(docs, name, F.col("message"))
+            else:
+                try:
+                    one = Isolated([detector.rows(tables) if isinstance(detector, Opaque) else detector(tables).select(*FINDING)], [])
+                except Exception as e:
+                    one = Isolated([], [], said(e))
+            if one.broken is not None:
+                failed(tables.docs, name, F.lit(one.broken))
+            for rows in one.rows:
+                if "kind" in rows.columns:
+                    failed(rows.where("kind IS NOT NULL"), name, F.col("message"))
+                    rows = rows.where("kind IS NULL")
+                parts.append(rows.select(*FINDING))
         found = union(parts) if parts else spark.createDataFrame([], FINDING_SCHEMA)
-        own = tables.errors.where(F.col("detector").isNull() | F.col("detector").isin(*chosen)).select("doc_id", "detector", "message")
-        errors = reduce(DataFrame.union, [own, *(tables.docs.select("doc_id", F.lit(k).alias("detector"), F.lit(v).alias("message")) for k, v in broken.items())])
-        failed = tables.errors.select("doc_id", F.coalesce("detector", F.lit("open")).alias("vector")).distinct()
-        return found.join(failed, ["doc_id", "vector"], "left_anti"), errors
+        every = reduce(DataFrame.union, errors)
+        gone = every.select("doc_id", F.coalesce("detector", F.lit("open")).alias("vector")).distinct()
+        return found.join(gone, ["doc_id", "vector"], "left_anti"), every
 
     def findings(self, tables: Tables, only: list[str] | None = None) -> DataFrame:
         """All rows of the chosen detectors, but for documents where that detector failed: a failed detector has none."""

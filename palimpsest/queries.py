@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import exprs as E
-from .operators import annotations, attachments, layout, metadata, report, revisions, stream
+from .operators import annotations, attachments, layout, metadata, parts, report, revisions, stream, trees
 from .plans import engine
+from .plans.opaque import Opaque
 from .schema import DESCRIPTIONS, VECTORS
 from .sources import synthetic
 
@@ -37,6 +38,11 @@ def invisible_ops(spark: SparkSession, d: str) -> DataFrame:
     return stream.invisible_shows(synthetic.stream_ops(_t(spark, d, "events"))).select("doc_id", F.col("n").alias("n_shows"), F.decode("shown", "UTF-8").alias("evidence"))
 
 
+def invisible_ops_forms(spark: SparkSession, d: str) -> DataFrame:
+    """As invisible_ops, with operators that begin and end forms among them."""
+    return stream.invisible_shows(synthetic.stream_ops(_t(spark, d, "events"), forms=True)).select("doc_id", F.col("n").alias("n_shows"), F.decode("shown", "UTF-8").alias("evidence"))
+
+
 def revision_diff(spark: SparkSession, d: str) -> DataFrame:
     return revisions.recovered(synthetic.revisions(_t(spark, d, "conversations")))
 
@@ -46,11 +52,45 @@ def revision_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def revision_tokens_except_all(spark: SparkSession, d: str) -> DataFrame:
-    rows = revisions.numbered(synthetic.revisions(_t(spark, d, "conversations"))).where("n_revisions > 1")
-    first, last = (revisions.token_rows(rows.where(x)).select("doc_id", "token") for x in ("rev_index = 1", "rev_index = last_index"))
+    rows = revisions.examined(synthetic.revisions(_t(spark, d, "conversations")))
+    first, last = (revisions.token_rows(rows.selectExpr("doc_id", f"{x}.rev_index AS rev_index", f"{x}.text AS text")).select("doc_id", "token") for x in ("earlier[0]", "last"))
     return first.exceptAll(last)
 
 
+def revision_diff_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of revision_diff by change rows of one part: a text that a revision repeats is stored and compared once."""
+    states, numbers = synthetic.parts(_t(spark, d, "conversations"))
+    changed = parts.changes(states.where("part = 'text'"))
+    return parts.recovered_as_of(changed, numbers).select("doc_id", "rev_index", "n_tokens", "evidence")
+
+
+def revisions_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """Every revision with the version of each role's part that it shows."""
+    states, numbers = synthetic.parts(_t(spark, d, "conversations"))
+    rows = parts.as_of(parts.changes(states.where("part <> 'text'")), numbers)
+    return rows.select("doc_id", "rev_index", "part", "version", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def linked_names(spark: SparkSession, d: str) -> DataFrame:
+    return trees.names_below(*synthetic.links(_t(spark, d, "pages")))
+
+
+def _odd_words(rows: list) -> list[dict]:
+    """A detector as a function: the longest words of a document; it can't do with some documents, and gives others a severity that there isn't."""
+    doc, text = rows[0]["doc_id"], rows[0]["text"] or ""
+    if doc % 50 == 7:
+        raise RuntimeError(f"document {doc} is not for this detector")
+    words = sorted(set(text.split()), key=lambda w: (-len(w), w))[:2]
+    return [dict(severity="none" if doc % 50 == 9 else "low", description="A long word.", evidence=w, page=1) for w in words]
+
+
+def opaque_detector(spark: SparkSession, d: str) -> DataFrame:
+    """Findings and errors of a detector that is a Python function of one document."""
+    documents = _t(spark, d, "documents").select("doc_id", "text")
+    rows = Opaque("odd_words", _odd_words, of=lambda _: documents).rows(None)
+    return rows.select("doc_id", "vector", "severity", "page", "evidence", "emit_ord", "message")
+
+
 def attachment_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return attachments.distinct_files(synthetic.filespecs(_t(spark, d, "pages"), _t(spark, d, "part")))
 
@@ -165,7 +205,7 @@ def _findings(detector: str) -> Callable[[SparkSession, str], DataFrame]:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        covered_text, cover_severity_counts, hidden_geometry, invisible_ops, revision_diff, revision_status, revision_tokens_except_all, attachment_dedupe, metadata_info, metadata_xmp_antijoin, redact_under_rect,
+        covered_text, cover_severity_counts, hidden_geometry, invisible_ops, invisible_ops_forms, revision_diff, revision_diff_as_of, revisions_as_of, linked_names, opaque_detector, revision_status, revision_tokens_except_all, attachment_dedupe, metadata_info, metadata_xmp_antijoin, redact_under_rect,
         annotation_notes, report_rollup, report_order, report_counts, report_json, report_text, threshold_gate, evidence_snippets, geometry, only_filter, unknown_vectors, vector_registry, finding_count_minimum, page_sizes,
     )
 } | {f"findings_{v}": _findings(v) for v in VECTORS}
@@ -218,6 +258,18 @@ s AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, 0 AS mode, CAST([] AS INT
 ops AS (SELECT user_id AS doc_id, n AS n_shows, shown AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS r FROM s) WHERE r = 1 AND n > 0)
 """
 
+_FORMS = """
+o AS (SELECT user_id, event_id, CASE WHEN event_id % 11 = 3 THEN 'form' WHEN event_id % 11 = 8 THEN 'end' ELSE event_type END AS op, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+s AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, 0 AS mode, CAST([] AS INTEGER[]) AS st, CAST([] AS STRUCT(m INTEGER, st INTEGER[])[]) AS fr, CAST(0 AS BIGINT) AS n, '' AS shown FROM o
+  UNION ALL SELECT s.user_id, o.k,
+    CASE op WHEN 'view' THEN 3 WHEN 'purchase' THEN 0 WHEN 'error' THEN CASE WHEN len(st) > 0 THEN st[len(st)] ELSE mode END WHEN 'end' THEN CASE WHEN len(fr) > 0 THEN fr[len(fr)].m ELSE mode END ELSE mode END,
+    CASE op WHEN 'signup' THEN list_append(st, mode) WHEN 'error' THEN CASE WHEN len(st) > 0 THEN st[1:len(st) - 1] ELSE st END WHEN 'form' THEN CAST([] AS INTEGER[]) WHEN 'end' THEN CASE WHEN len(fr) > 0 THEN fr[len(fr)].st ELSE st END ELSE st END,
+    CASE op WHEN 'form' THEN list_append(fr, {'m': mode, 'st': st}) WHEN 'end' THEN CASE WHEN len(fr) > 0 THEN fr[1:len(fr) - 1] ELSE fr END ELSE fr END,
+    n + CASE WHEN op = 'click' AND mode = 3 THEN 1 ELSE 0 END, shown || CASE WHEN op = 'click' AND mode = 3 THEN event_id || ' ' ELSE '' END
+  FROM s JOIN o ON o.user_id = s.user_id AND o.k = s.k + 1),
+ops AS (SELECT user_id AS doc_id, n AS n_shows, shown AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS r FROM s) WHERE r = 1 AND n > 0)
+"""
+
 
 def _row(vector: str, severity: str, description: str, page: str, evidence: str, recommendation: str, emit: str, source: str, box: tuple[str, ...] = ("NULL",) * 4) -> str:
     """A finding in SQL."""
@@ -235,7 +287,29 @@ w AS (SELECT *, CASE WHEN x0 + 6 < 0 OR x0 > 612 OR y0 + 12 < 0 OR y0 > 792 THEN
 SELECT doc_id, CAST(page AS INTEGER) AS page, count(*) FILTER (WHERE why = 'white') AS n_white, count(*) FILTER (WHERE why = 'tiny') AS n_tiny, count(*) FILTER (WHERE why = 'offpage') AS n_offpage,
   left(string_agg(ch, '' ORDER BY y0 DESC, x0, glyph_id), 400) AS evidence FROM w WHERE why IS NOT NULL GROUP BY doc_id, page""",
     "invisible_ops": f"WITH RECURSIVE {_OPS} SELECT * FROM ops",
+    "invisible_ops_forms": f"WITH RECURSIVE {_FORMS} SELECT * FROM ops",
     "revision_diff": f"WITH {_REVISIONS} SELECT * FROM f",
+    "revision_diff_as_of": f"""WITH {_REVISIONS},
+v AS (SELECT doc_id, rev_index, text FROM (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY rev_index) AS p FROM r) WHERE rev_index = 1 OR text IS DISTINCT FROM p),
+a AS (SELECT r.doc_id, r.rev_index, r.last_index, v.text FROM r ASOF JOIN v ON r.doc_id = v.doc_id AND r.rev_index >= v.rev_index WHERE r.rev_index <= 64 OR r.rev_index = last_index),
+ax AS (SELECT doc_id, rev_index, last_index, list_filter(regexp_extract_all(text, '[^ \\t\\n\\r\\x0b\\x0c]+'), lambda t: regexp_matches(t, '[A-Za-z0-9]')) AS t FROM a),
+an AS (SELECT doc_id, rev_index, last_index, token, count(*) AS n, min(pos) AS pos FROM (SELECT doc_id, rev_index, last_index, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM ax) GROUP BY ALL),
+al AS (SELECT e.doc_id, e.rev_index, e.token, e.pos FROM an e LEFT JOIN an l ON l.doc_id = e.doc_id AND l.rev_index = l.last_index AND l.token = e.token WHERE e.rev_index < e.last_index AND e.n > coalesce(l.n, 0))
+SELECT doc_id, CAST(rev_index AS INTEGER) AS rev_index, count(*) AS n_tokens, array_to_string(list_slice(list(token ORDER BY pos), 1, 60), ' ') AS evidence FROM al GROUP BY doc_id, rev_index""",
+    "revisions_as_of": """WITH r AS (SELECT conv_id AS doc_id, role AS part, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rev_index FROM conversations),
+v AS (SELECT doc_id, part, rev_index, text FROM (SELECT *, row_number() OVER w AS k, lag(text) OVER w AS p FROM r WINDOW w AS (PARTITION BY doc_id, part ORDER BY rev_index)) WHERE k = 1 OR text IS DISTINCT FROM p),
+g AS (SELECT DISTINCT r.doc_id, r.rev_index, p.part FROM r JOIN (SELECT DISTINCT doc_id, part FROM r) p ON p.doc_id = r.doc_id)
+SELECT g.doc_id, CAST(g.rev_index AS INTEGER) AS rev_index, g.part, CAST(v.rev_index AS INTEGER) AS version, sha256(coalesce(v.text, '')) AS text_sha256 FROM g ASOF JOIN v ON g.doc_id = v.doc_id AND g.part = v.part AND g.rev_index >= v.rev_index""",
+    "linked_names": """WITH RECURSIVE p AS (SELECT page_id % 7 AS doc_id, page_id, 'page ' || page_id AS page, regexp_extract_all(html, 'href="(/[^"]*)"', 1) AS names, CAST(strlen(html) AS BIGINT) AS size FROM pages),
+d AS (SELECT doc_id, page_id, page AS parent, unnest(names) AS child, size FROM p),
+e AS (SELECT doc_id, parent, child FROM d UNION SELECT doc_id, names[1], page FROM p WHERE len(names) > 0),
+w AS (SELECT doc_id, arg_min(page, page_id) AS node, 0 AS depth FROM p GROUP BY doc_id UNION SELECT w.doc_id, e.child, depth + 1 FROM w JOIN e ON e.doc_id = w.doc_id AND e.parent = w.node WHERE depth < 50),
+s AS (SELECT doc_id, child AS name, page_id, CASE WHEN page_id % 3 = 0 THEN -1 ELSE size END AS size FROM d WHERE EXISTS (SELECT 1 FROM w WHERE w.doc_id = d.doc_id AND w.node = d.child))
+SELECT doc_id, name, coalesce(arg_min(size, page_id) FILTER (WHERE size >= 0), -1) AS size FROM s GROUP BY doc_id, name""",
+    "opaque_detector": """WITH t AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '')) AS w FROM documents),
+f AS (SELECT doc_id, unnest(list_sort(list_transform(w, lambda x: {'n': -length(x), 'x': x}))[1:2]) AS f, unnest(range(len(w[1:2]))) AS emit_ord FROM t WHERE doc_id % 50 NOT IN (7, 9))
+SELECT doc_id, 'odd_words' AS vector, 'low' AS severity, 1 AS page, f.x AS evidence, emit_ord, NULL AS message FROM f
+UNION ALL SELECT doc_id, 'odd_words', NULL, NULL, NULL, 0, CASE doc_id % 50 WHEN 7 THEN 'RuntimeError: document ' || doc_id || ' is not for this detector' ELSE 'ValueError: severity is one of info, low, medium, high, critical, not ' || chr(39) || 'none' || chr(39) END FROM t WHERE doc_id % 50 = 7 OR (doc_id % 50 = 9 AND len(w) > 0)""",
     "revision_status": f"""WITH {_REVISIONS},
 b AS (SELECT doc_id, max(n_revisions) AS n_revisions, count(*) AS n_earlier, count(*) FILTER (WHERE trim(coalesce(text, ''), {_TRIM}) = '') AS n_blank FROM r WHERE rev_index < last_index AND rev_index <= 64 GROUP BY doc_id)
 SELECT b.*, EXISTS (SELECT 1 FROM f WHERE f.doc_id = b.doc_id) AS any_recovered FROM b""",
@@ -284,11 +358,12 @@ e AS (SELECT doc_id, map_from_entries(list({{'k': 'event ' || event_id, 'v': pro
 SELECT u.doc_id, CAST(to_json({{'path': path, 'worst_severity': worst, 'finding_count': coalesce(n, 0), 'findings': coalesce(f, []), 'detector_errors': coalesce(e, MAP {{}}), 'incomplete': e IS NOT NULL}}) AS VARCHAR) AS json
 FROM u LEFT JOIN w ON w.doc_id = u.doc_id LEFT JOIN f ON f.doc_id = u.doc_id LEFT JOIN e ON e.doc_id = u.doc_id""",
     "report_text": f"""WITH {_REPORTS},
-b AS (SELECT doc_id, string_agg(' ' || rpad(repeat(' ', (8 - length(severity)) // 2) || upper(severity), 8, ' ') || '  [' || vector || coalesce(' p' || page, '') || '] ' || props || chr(10) || '           recovered: ' || event_id || chr(10), chr(10) ORDER BY rank DESC, vector, coalesce(page, 0), event_id) AS b FROM e0 WHERE vector <> 'error' GROUP BY doc_id),
-e AS (SELECT doc_id, string_agg('  - event ' || event_id || ': ' || props, chr(10) ORDER BY 'event ' || event_id) AS e FROM e0 WHERE vector = 'error' GROUP BY doc_id)
-SELECT u.doc_id, 'Leak audit: ' || path || chr(10) || CASE WHEN worst IS NULL THEN '  Nothing recoverable was found.' ELSE '  ' || n || ' finding(s); worst severity: ' || upper(worst) END || chr(10) || chr(10) || coalesce(b, '')
-  || coalesce(chr(10) || 'Detectors that failed (the scan went on):' || chr(10) || e, '') AS text
-FROM u LEFT JOIN w ON w.doc_id = u.doc_id LEFT JOIN b ON b.doc_id = u.doc_id LEFT JOIN e ON e.doc_id = u.doc_id""",
+v AS (SELECT doc_id, vector, string_agg('  ' || severity || coalesce(', page ' || page, '') || ': ' || props || chr(10) || '    read: ' || event_id, chr(10) ORDER BY coalesce(page, 0), event_id) AS b, max(rank) AS rank FROM e0 WHERE vector <> 'error' GROUP BY doc_id, vector),
+b AS (SELECT doc_id, string_agg(chr(10) || vector || chr(10) || b, '' ORDER BY rank DESC, vector) AS b FROM v GROUP BY doc_id),
+k AS (SELECT doc_id, 'Found: ' || array_to_string(list(n || ' ' || severity ORDER BY rank DESC), ', ') || '.' AS s FROM (SELECT doc_id, severity, rank, count(*) AS n FROM e0 WHERE vector <> 'error' GROUP BY ALL) GROUP BY doc_id),
+e AS (SELECT doc_id, string_agg(chr(10) || 'event ' || event_id || chr(10) || '  failed: ' || props, '' ORDER BY 'event ' || event_id) AS e FROM e0 WHERE vector = 'error' GROUP BY doc_id)
+SELECT u.doc_id, CASE WHEN worst IS NOT NULL THEN upper(worst) WHEN e IS NOT NULL THEN 'PARTIAL' ELSE 'CLEAN' END || '  ' || path || chr(10) || coalesce(s, 'Nothing recoverable was found.') || coalesce(b, '') || coalesce(e, '') AS text
+FROM u LEFT JOIN w ON w.doc_id = u.doc_id LEFT JOIN b ON b.doc_id = u.doc_id LEFT JOIN k ON k.doc_id = u.doc_id LEFT JOIN e ON e.doc_id = u.doc_id""",
     "findings_covered_text": f"""WITH {_GLYPHS},
 h AS (SELECT c.doc_id, c.page, c.cover_id, kind = 'rect' AND c.brightness <= 0.35::DOUBLE AS dark, kind, c.x0, c.y0, c.w, count(*) AS n, string_agg(ch, '' ORDER BY g.y0 DESC, g.x0, glyph_id) AS text FROM g JOIN c ON g.doc_id = c.doc_id AND g.page = c.page
   WHERE greatest(0::DOUBLE, least(g.x0 + 6, c.x0 + c.w) - greatest(g.x0, c.x0)) * greatest(0::DOUBLE, least(g.y0 + 12, c.y0 + 12) - greatest(g.y0, c.y0)) / 72::DOUBLE >= 0.30::DOUBLE GROUP BY ALL)

@@ -8,13 +8,15 @@ _COVER = f"cover_id: int, kind: string, top_level: boolean, {_BOX}, brightness:
 
 #: One row for each page, with all that lies on it: spatial joins need no exchange. Rows may carry the page's annotations too, as ``annots``, an array of structs of ANNOTS.
 LAYOUT = f"doc_id bigint, page int, x0 double, y0 double, x1 double, y1 double, has_metadata boolean, glyphs array<struct<{_GLYPH}>>, covers array<struct<{_COVER}>>"
-STREAM_OPS = "doc_id bigint, page int, seq bigint, op string, int_arg int, shown binary, depth int"
+#: One row for each page, its operators in order.
+STREAM_OPS = "doc_id bigint, page int, ops array<struct<seq: bigint, op: string, int_arg: int, shown: binary, depth: int>>"
 ANNOTS = "doc_id bigint, page int, ord int, subtype string, rect array<double>, contents string, rc string, overlay_text string"
 FILESPECS = "doc_id bigint, source_ord int, ord int, name string, size bigint"
 INFO = "doc_id bigint, ord int, key string, value string"
 XMP = "doc_id bigint, bytes bigint"
 XMP_FIELDS = "doc_id bigint, ord int, name string, value string"
-REVISIONS = "doc_id bigint, rev_index int, is_last boolean, text string"
+#: One row for each document, its revisions in order, the last one the current.
+REVISIONS = "doc_id bigint, revisions array<struct<rev_index: int, text: string>>"
 ERRORS = "doc_id bigint, detector string, message string"
 DOCS = "doc_id bigint, path string, length bigint, open_status string"
 

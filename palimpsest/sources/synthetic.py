@@ -47,17 +47,28 @@ def layout(documents: DataFrame, only: DataFrame | None = None) -> DataFrame:
     return pages.select("doc_id", "page", *box, F.lit(False).alias("has_metadata"), F.expr(glyphs).alias("glyphs"), "covers")
 
 
-def stream_ops(events: DataFrame) -> DataFrame:
-    """Events of a user as content-stream operators of one page."""
-    op = F.expr("CASE event_type WHEN 'signup' THEN 'q' WHEN 'error' THEN 'Q' WHEN 'click' THEN 'Tj' ELSE 'Tr' END")
+def stream_ops(events: DataFrame, forms: bool = False) -> DataFrame:
+    """Events of a user as content-stream operators of one page; with ``forms``, some of them begin or end one."""
+    form = "WHEN event_id % 11 = 3 THEN 'FORM_BEGIN' WHEN event_id % 11 = 8 THEN 'FORM_END' " if forms else ""
+    op = F.expr(f"CASE {form}WHEN event_type = 'signup' THEN 'q' WHEN event_type = 'error' THEN 'Q' WHEN event_type = 'click' THEN 'Tj' ELSE 'Tr' END")
     mode = F.expr("CASE event_type WHEN 'view' THEN 3 WHEN 'purchase' THEN 0 END")
-    return events.select(F.col("user_id").alias("doc_id"), F.lit(1).alias("page"), F.col("event_id").alias("seq"), op.alias("op"), mode.alias("int_arg"), F.when(F.col("event_type") == "click", F.encode(F.concat(F.col("event_id").cast("string"), F.lit(" ")), "UTF-8")).alias("shown"))
+    shown = F.when(F.col("event_type") == "click", F.encode(F.concat(F.col("event_id").cast("string"), F.lit(" ")), "UTF-8"))
+    one = F.struct(F.col("event_id").alias("seq"), op.alias("op"), mode.alias("int_arg"), shown.alias("shown"))
+    return events.groupBy(F.col("user_id").alias("doc_id")).agg(F.array_sort(F.collect_list(one)).alias("ops")).select("doc_id", F.lit(1).alias("page"), "ops")
 
 
 def revisions(conversations: DataFrame) -> DataFrame:
-    """Turns of a conversation as revisions, the last one the current."""
-    rank = F.expr("row_number() OVER (PARTITION BY conv_id ORDER BY turn)")
-    return conversations.select(F.col("conv_id").alias("doc_id"), rank.cast("int").alias("rev_index"), "text")
+    """Turns of a conversation as revisions of a document's row, the last one the current."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    ranked = F.transform(turns, lambda x, i: F.struct((i + 1).alias("rev_index"), x["text"].alias("text")))
+    return conversations.groupBy(F.col("conv_id").alias("doc_id")).agg(ranked.alias("revisions"))
+
+
+def parts(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What each turn of a conversation, as a revision, says about its one part, ``text``, and about the part of its role; and the number of revisions of each."""
+    ranked = conversations.select(F.col("conv_id").alias("doc_id"), F.expr("CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS int)").alias("rev_index"), "role", "text")
+    states = ranked.select("doc_id", F.explode(F.array(F.lit("text"), F.col("role"))).alias("part"), "rev_index", "text")
+    return states, ranked.groupBy("doc_id").agg(F.max("rev_index").cast("long").alias("n_revisions"))
 
 
 def filespecs(pages: DataFrame, part: DataFrame) -> DataFrame:
@@ -68,6 +79,17 @@ def filespecs(pages: DataFrame, part: DataFrame) -> DataFrame:
     return stored.unionByName(linked)
 
 
+def links(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges, roots and entries of a graph for each seventh of the pages: a page leads to the names it links, a name to the pages whose first link it is; the smallest page is the root, and every link is a file of that name."""
+    own = pages.select(F.pmod("page_id", F.lit(7)).alias("doc_id"), "page_id", F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("page"), F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1)).alias("names"), F.octet_length("html").cast("long").alias("size"))
+    down = own.select("doc_id", "page_id", F.col("page").alias("parent"), F.explode("names").alias("child"), "size")
+    across = own.where(F.size("names") > 0).select("doc_id", F.col("names")[0].alias("parent"), F.col("page").alias("child"))
+    roots = own.groupBy("doc_id").agg(F.min_by("page", "page_id").alias("node"))
+    size = F.when(F.col("page_id") % 3 == 0, F.lit(-1).cast("long")).otherwise(F.col("size"))
+    entries = down.select("doc_id", F.col("child").alias("node"), F.lit(2).alias("source_ord"), F.col("page_id").alias("ord"), F.col("child").alias("name"), size.alias("size"))
+    return down.select("doc_id", "parent", "child").union(across), roots, entries
+
+
 def info(pages: DataFrame) -> DataFrame:
     entries = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(key).alias("key"), F.regexp_extract("html", pattern, 1).alias("value")) for i, (key, pattern) in enumerate((("/Title", "<title>([^<]*)</title>"), ("/Lang", 'lang="([^"]*)"'), ("/Producer", 'charset="([^"]*)"'), ("/Trapped", "<trapped>([^<]*)<")))))
     return pages.select(F.col("page_id").alias("doc_id"), F.explode(entries).alias("e")).select("doc_id", "e.ord", "e.key", "e.value")

@@ -19,7 +19,7 @@ def audit(spark: SparkSession, path: str, to: str, checkpoint: str, only: list[s
 
     def batch(df: DataFrame, number: int) -> None:
         with files.few_in_a_batch(df.sparkSession):
-            files.extracted(df, seconds).write.mode("overwrite").parquet(f"{to}/rows/batch={number}")
+            files.extracted(df, seconds, only).write.mode("overwrite").parquet(f"{to}/rows/batch={number}")
         tables = files.tables(spark.read.parquet(f"{to}/rows/batch={number}"))
         Engine().reports(tables, only, to=f"{to}/findings/batch={number}").write.mode("overwrite").parquet(f"{to}/reports/batch={number}")
 

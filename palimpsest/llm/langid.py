@@ -12,7 +12,9 @@ remembered, in a bounded memory; documents are scored where they lie, without an
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -24,7 +26,7 @@ from .lattice import Pieces, padded, sentencepiece_vocabulary
 from .tokens import public_vocabulary
 
 SPACE = "▁"
-#: Most documents of each language that are learned from: those with the lowest hash of their id. Of each its first words so many, none of which is longer than LONG.
+#: Most documents of each language that are learned from: those with the lowest hash of their id. Of each its first stretches so many: words, and what longer ones are cut into every LONG characters.
 SAMPLE, WORDS = 400, 5_000
 #: Most languages: the model has a column for each.
 LANGUAGES = 256
@@ -164,20 +166,29 @@ def sampled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return once.withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample).select("lang", "text")
 
 
+def stretches(text: str) -> Iterator[str]:
+    """Words of a text; one of more than LONG characters, as languages without spaces have them, in parts, so that all of it is learned but for pieces that a cut parts."""
+    return (w[at : at + LONG] for w in words(text) for at in range(0, len(w), LONG))
+
+
 def train(docs: DataFrame, vocabulary: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and their table, from a sample of the rows (doc_id, text, lang) that are not held out: at most sample x WORDS words of each language."""
+    """Languages and their table, from a sample of the rows (doc_id, text, lang) that are not held out: at most sample x WORDS stretches of each language, which is learned in a task of its own. A language without a word isn't learned."""
 
     def counted(batches):
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
-                found = Counter(w for x in texts for w in words(x)[:WORDS] if len(w) <= LONG)
-                yield pd.DataFrame({"lang": lang, "word": list(found), "n": list(found.values())})
-
-    counts: dict[str, dict[str, int]] = {}
-    for lang, word, n in sampled(docs, sample).mapInPandas(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n")).collect():
-        counts.setdefault(lang, {})[word] = n
-    pieces, langs = _pieces(vocabulary), sorted(counts)
-    return langs, np.stack([learn(pieces, dict(sorted(counts[x].items()))) for x in langs], 1) if langs else np.zeros((len(pieces.pieces) + 1, 0))
+                found = Counter(w for x in texts for w in islice(stretches(x), WORDS))
+                if found:
+                    yield pd.DataFrame({"lang": lang, "word": list(found), "n": list(found.values())})
+
+    def fitted(own: pd.DataFrame) -> pd.DataFrame:
+        counts = dict(sorted(zip(own["word"], own["n"].tolist())))
+        return pd.DataFrame({"lang": [own["lang"].iloc[0]], "p": [learn(_pieces(vocabulary), counts).tobytes()]})
+
+    counts = sampled(docs, sample).mapInPandas(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    learned = {r.lang: np.frombuffer(r.p) for r in counts.groupBy("lang").applyInPandas(fitted, "lang string, p binary").collect()}
+    langs = sorted(learned)
+    return langs, np.stack([learned[x] for x in langs], 1) if langs else np.zeros((len(_pieces(vocabulary).pieces) + 1, 0))
 
 
 class _Scorer:

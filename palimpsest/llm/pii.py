@@ -32,7 +32,7 @@ PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
     # what is assigned to a telling name, and keys with the prefixes that their issuers publish; the group is what is secret: with a digit in it, or all hexadecimal or capitals
     "secret": r"(?:(?i:pass(?:word|wd|phrase)|secret|token|(?:api|access|auth|private|account)[_\-]?key)[\x22']?\s{0,3}[=:]\s{0,3}[\x22']?|\b(?:A[KS]IA(?=[A-Z0-9]{16}\b)|gh[pousr]_(?=[A-Za-z0-9]{36})|xox[abprs]-(?=[A-Za-z0-9\-]{10})|sk-(?=[A-Za-z0-9]{20})|AIza(?=[0-9A-Za-z_\-]{35})))"
-    r"((?=[A-Za-z+/_\-]{0,249}[0-9])[A-Za-z0-9+/_\-]{8,250}+|(?:[A-Fa-f]{16,128}+|[A-Z]{16})(?![A-Za-z0-9+/_\-]))",
+    r"((?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{8,}+|(?:[A-Fa-f]{16,}+|[A-Z]{16})(?![A-Za-z0-9+/_\-]))",
     "iban": rf"\b(?=[A-Z]{{2}}[0-9]{{2}})(?:(?:{_KNOWN})\b|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?\b)",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9\-/.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9\-/])",
@@ -44,10 +44,11 @@ _OTHER = "|".join(PATTERNS[k] for k in ("email", "ip", "date", "ssn", "phone"))
 PATTERNS["card"] = rf"(?<![0-9\-])(?=[0-9](?:[ \-]?[0-9]){{12}})[0-9]++(?:[ \-](?!{_OTHER})[0-9]++)*(?![0-9\-])"
 #: Cards as they are grouped in print; these go before other runs.
 _PRINTED = "^([0-9]{13,19}|[0-9]{4}( [0-9]{4}){2}( [0-9]{4})?( [0-9]{1,3})?|[0-9]{4} [0-9]{6} [0-9]{4,5})$"
-# inside a word only a number can begin, so most places are passed over at once
-_ANY = "(?:(?<![A-Za-z])|(?=[0-9+(]))(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
-#: Place of what is secret among the groups of the pattern.
-_SECRET = 1
+_EVERY = "(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+# inside a word only a number or the telling name of a secret can begin, so most places are passed over at once
+_ANY = "(?:(?<![A-Za-z])|(?=[0-9+(pPsStTaA]))" + _EVERY
+#: Place of what is secret among the groups of the pattern; characters of a secret that are permuted together.
+_SECRET, _PART = 1, 250
 #: Days from 1900-01-01 to 2099-12-31, and two factors of their number.
 _DAYS, _DAY_FACTORS = 73_049, (17, 4297)
 _DATE_FORMATS = {"-": "yyyy-MM-dd", "/": "MM/dd/yyyy", ".": "dd.MM.yyyy"}
@@ -186,7 +187,10 @@ def _pseudonym(key: bytes) -> str:
     iban = _let(plain, "p", f"CASE WHEN length(p) BETWEEN 15 AND 34 AND {_mod97('concat(substr(p, 5), left(p, 4))')} = 1 THEN " + _let(_text_feistel("substr(p, 5)", k("iban")), "q", _let(f"concat(left(p, 2), lpad(CAST(98 - {_mod97('concat(q, left(p, 2), chr(48), chr(48))')} AS string), 2, '0'), q)", "y", "aggregate(sequence(1, length(v)), struct('' AS t, 1 AS k), (z, i) -> CASE WHEN substr(v, i, 1) = ' ' THEN struct(concat(z.t, ' ') AS t, z.k AS k) ELSE struct(concat(z.t, substr(y, z.k, 1)) AS t, z.k + 1 AS k) END, z -> z.t)")) + " ELSE v END")
     # of a country that isn't known: the longest part up to a space that is valid
     iban = _let(f"coalesce(get({shorter}, 0), '')", "u", "concat(" + _let("CASE WHEN u = '' THEN v ELSE u END", "v", iban) + ", CASE WHEN u = '' THEN '' ELSE substr(v, length(u) + 1) END)")
-    secret = f"concat(left(v, length(v) - length(s)), CASE WHEN regexp_like(s, '^[0-9A-Fa-f]+$') AND (s = upper(s) OR s = lower(s)) THEN {_text_feistel('s', k('secret'), hexes=True)} ELSE {_text_feistel('s', k('secret'))} END)"
+    # a long secret goes part by part: each step looks at its text once for each character
+    cut = _let("CAST(length(s) AS bigint)", "m", _let(f"1 + (m - 1) div {_PART}", "parts", "transform(sequence(0, CAST(parts AS int) - 1), i -> substr(s, CAST(i * m div parts AS int) + 1, CAST((i + 1) * m div parts - i * m div parts AS int)))"))
+    whole = lambda hexes: f"array_join(transform({cut}, c -> {_text_feistel('c', k('secret'), hexes=hexes)}), '')"
+    secret = f"concat(left(v, length(v) - length(s)), CASE WHEN regexp_like(s, '^[0-9A-Fa-f]+$') AND (s = upper(s) OR s = lower(s)) THEN {whole(True)} ELSE {whole(False)} END)"
     shapes = {
         "secret": ("s <> ''", secret),
         "email": ("contains(v, '@')", email),

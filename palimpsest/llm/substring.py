@@ -3,10 +3,11 @@
 The reference is the corpus itself, cut into blocks by content: every window of ``WINDOW`` words
 belongs to the smallest hash among its ``GRAM``-word grams, its anchor, and the consecutive
 windows of one anchor make a block of about eight windows. The index holds each different
-block at its first place in the corpus. A document is parsed from left to right into factors, the
-longest runs of its words that stand in the same order at one place of the reference: a factor
-begins with a block that the index has at an earlier place, and goes on as long as the next
-block stands there next to it. Where documents part inside a block, at the ends of
+block at its first place in the corpus. A document is parsed from left to right into factors, runs
+of its words that stand in the same order at one place of the reference: a factor
+begins with a block that the index has at an earlier place, and goes on as long as the first place of the next
+block is next to it there. Since a block has its first place alone, a factor isn't always the longest one that any place of the
+corpus would give, and factors of different sources may overlap; the words under them are the same. Where documents part inside a block, at the ends of
 factors, no block matches; there single windows are looked up, each among all others of the corpus, and
 lengthen the factors word by word or begin factors of their own. A factor covers ``WINDOW`` words at least, and
 words under a factor go.

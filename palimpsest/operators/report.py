@@ -71,6 +71,23 @@ def as_json(reports: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return reports.select("doc_id", F.to_json(shown, {"ignoreNullFields": "false"}).alias("json"), *keep)
 
 
+#: Statuses of files that can't be scanned for a fault of their own, by how opening them ended, and of any other; what is said of these.
+STATUSES = {"oversize": 413, "encrypted": 415, "corrupt": 422}
+INTERNAL, UNSAID = 500, "internal server error"
+
+
+def envelopes(docs: DataFrame, errors: DataFrame) -> DataFrame:
+    """K7: (doc_id, status, json) of documents that could not be opened, as a caller is told; docs: doc_id, open_status.
+
+    The message is the greatest of the errors of opening it. What isn't the file's own fault is not spelled out.
+    """
+    opening = errors.where(F.coalesce("detector", F.lit("open")) == "open").groupBy("doc_id").agg(F.max("message").alias("message"))
+    rows = docs.where("open_status <> 'ok'").select("doc_id", "open_status").join(opening, "doc_id", "left")
+    known = F.element_at(F.create_map(*(F.lit(x) for pair in STATUSES.items() for x in pair)), F.col("open_status"))
+    said = F.when(known.isNull(), UNSAID).otherwise(F.coalesce("message", F.concat(F.lit("file is "), "open_status")))
+    return rows.select("doc_id", F.coalesce(known, F.lit(INTERNAL)).alias("status"), F.to_json(F.struct(said.alias("error"))).alias("json"))
+
+
 def snippet(evidence: Column, limit: int = 80) -> Column:
     """K4: one line of at most ``limit`` characters."""
     line = E.strip(F.replace(evidence, F.lit("\n"), F.lit(" ⏎ ")))

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import exprs as E
 from ..operators import annotations, attachments, layout, metadata, report, revisions, stream
 from ..operators.findings import union
 from ..schema import DESCRIPTIONS, FINDING, FINDING_SCHEMA, VECTORS
@@ -62,6 +63,17 @@ def parse_only(text: str | None) -> list[str]:
     return [x.strip() for x in (text or "").split(",") if x.strip()]
 
 
+def names_of(text: Column) -> Column:
+    """As :func:`parse_only`, of a column: the names of a comma list, none for null."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: E.strip(x)), lambda x: x != "")
+
+
+def chosen_of(text: Column, available: tuple[str, ...] = VECTORS) -> tuple[Column, Column]:
+    """Detectors that a comma list chooses, in the registry's order, all for an empty one; and its names that aren't detectors, sorted."""
+    names, every = names_of(text), F.array(*map(F.lit, available))
+    return F.when(F.size(names) == 0, every).otherwise(F.array_intersect(every, names)), F.array_sort(F.array_except(names, every))
+
+
 def unknown(names: list[str], available: tuple[str, ...] = VECTORS) -> list[str]:
     return sorted(set(names) - set(available))
 

@@ -140,6 +140,10 @@ def report_text(spark: SparkSession, d: str) -> DataFrame:
     return report.as_text(_reports(spark, d))
 
 
+def error_envelopes(spark: SparkSession, d: str) -> DataFrame:
+    return report.envelopes(*synthetic.opened(_t(spark, d, "events")))
+
+
 def threshold_gate(spark: SparkSession, d: str) -> DataFrame:
     events = _t(spark, d, "events")
     one = events.groupBy(F.col("user_id").alias("doc_id")).agg(F.max(F.expr("CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 4 END")).alias("w"), F.count_if(F.col("event_type") == "error").alias("e"))
@@ -162,18 +166,27 @@ def geometry(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", E.area(a).alias("area"), E.overlap_ratio(a, b).alias("overlap"), E.center_inside(a, b, 1.0).alias("inside"), E.brightness(F.col("color")).alias("brightness"))
 
 
+def _choices(spark: SparkSession, d: str) -> DataFrame:
+    """(event_id, known, strange): what the comma list that each event makes of its number chooses."""
+    name = lambda i, v: F.when(F.col("event_id").bitwiseAND(1 << i) != 0, F.lit(f" {v}" if i % 2 else f"{v} "))
+    ghosts = [F.when(F.col("event_id") % 10 == 0, F.lit("ghosts")), F.when(F.col("event_id") % 4 == 0, F.lit(" colour"))]
+    text = F.concat(F.concat_ws(",", *ghosts, *(name(i, v) for i, v in enumerate(VECTORS))), F.lit(", ,"))
+    known, strange = engine.chosen_of(text)
+    return _t(spark, d, "events").select("event_id", known.alias("known"), strange.alias("strange"))
+
+
 def only_filter(spark: SparkSession, d: str) -> DataFrame:
-    chosen = engine.parse_only("metadata, covered_text,")
-    return vector_registry(spark, d).where(F.col("name").isin(chosen)).select("ord", "name")
+    return _choices(spark, d).select("event_id", F.array_join("known", ",").alias("chosen"))
 
 
 def unknown_vectors(spark: SparkSession, d: str) -> DataFrame:
-    asked = spark.createDataFrame([(x,) for x in ("metadata", "ghosts", "covered_text", "colour")], "name string")
-    return asked.join(vector_registry(spark, d), "name", "left_anti")
+    return _choices(spark, d).select("event_id", F.explode("strange").alias("name"))
 
 
 def vector_registry(spark: SparkSession, d: str) -> DataFrame:
-    return engine.vectors(spark)
+    """The registry, with how many events choose each detector."""
+    n = _choices(spark, d).select(F.explode("known").alias("name")).groupBy("name").agg(F.count("*").alias("n_chosen"))
+    return engine.vectors(spark).join(n, "name", "left").select("ord", "name", "description", F.coalesce("n_chosen", F.lit(0)).cast("long").alias("n_chosen"))
 
 
 def finding_count_minimum(spark: SparkSession, d: str) -> DataFrame:
@@ -206,7 +219,7 @@ def _findings(detector: str) -> Callable[[SparkSession, str], DataFrame]:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         covered_text, cover_severity_counts, hidden_geometry, invisible_ops, invisible_ops_forms, revision_diff, revision_diff_as_of, revisions_as_of, linked_names, opaque_detector, revision_status, revision_tokens_except_all, attachment_dedupe, metadata_info, metadata_xmp_antijoin, redact_under_rect,
-        annotation_notes, report_rollup, report_order, report_counts, report_json, report_text, threshold_gate, evidence_snippets, geometry, only_filter, unknown_vectors, vector_registry, finding_count_minimum, page_sizes,
+        annotation_notes, report_rollup, report_order, report_counts, report_json, report_text, error_envelopes, threshold_gate, evidence_snippets, geometry, only_filter, unknown_vectors, vector_registry, finding_count_minimum, page_sizes,
     )
 } | {f"findings_{v}": _findings(v) for v in VECTORS}
 
@@ -258,6 +271,7 @@ s AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, 0 AS mode, CAST([] AS INT
 ops AS (SELECT user_id AS doc_id, n AS n_shows, shown AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS r FROM s) WHERE r = 1 AND n > 0)
 """
 
+_CHOICES = "c AS (SELECT event_id, CASE WHEN event_id % 64 = 0 AND event_id % 10 <> 0 AND event_id % 4 <> 0 THEN a ELSE list_filter(a, lambda x: (event_id >> (list_position(a, x) - 1)) & 1 = 1) END AS known, list_filter(['colour', 'ghosts'], lambda x: event_id % CASE x WHEN 'colour' THEN 4 ELSE 10 END = 0) AS strange FROM (SELECT event_id, [" + ", ".join(f"'{v}'" for v in VECTORS) + "] AS a FROM events))"
 _FORMS = """
 o AS (SELECT user_id, event_id, CASE WHEN event_id % 11 = 3 THEN 'form' WHEN event_id % 11 = 8 THEN 'end' ELSE event_type END AS op, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
 s AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, 0 AS mode, CAST([] AS INTEGER[]) AS st, CAST([] AS STRUCT(m INTEGER, st INTEGER[])[]) AS fr, CAST(0 AS BIGINT) AS n, '' AS shown FROM o
@@ -335,6 +349,9 @@ u AS (SELECT DISTINCT user_id AS doc_id FROM events), x AS (SELECT u.doc_id, w,
 SELECT doc_id, 'user-' || doc_id AS path, s AS worst_severity, n AS finding_count, e AS n_errors, e > 0 AS incomplete, w IS NULL AND e = 0 AS clean, CASE WHEN w IS NOT NULL THEN upper(s) WHEN e > 0 THEN 'PARTIAL' ELSE 'CLEAN' END AS stamp, CASE WHEN coalesce(w, 0) >= 4 THEN 2 WHEN e > 0 THEN 3 ELSE 0 END AS exit_code FROM x""",
     "report_order": f"WITH {_FINDINGS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rank DESC, vector, coalesce(page, 0), emit_ord) AS ordinal, severity, vector, page, emit_ord FROM f",
     "report_counts": f"WITH {_FINDINGS} SELECT u.doc_id, s.severity, count(f.severity) AS n FROM (SELECT DISTINCT doc_id FROM f) u, (VALUES ('info'), ('low'), ('medium'), ('high'), ('critical')) s(severity) LEFT JOIN f ON f.doc_id = u.doc_id AND f.severity = s.severity GROUP BY u.doc_id, s.severity",
+    "error_envelopes": """WITH e AS (SELECT event_id AS doc_id, CASE event_type WHEN 'signup' THEN 413 WHEN 'view' THEN 415 WHEN 'click' THEN 422 ELSE 500 END AS status,
+  CASE event_type WHEN 'signup' THEN 'oversize' WHEN 'view' THEN 'encrypted' WHEN 'click' THEN 'corrupt' END AS open_status, CASE WHEN event_id % 3 > 0 THEN props END AS message FROM events WHERE event_type <> 'purchase')
+SELECT doc_id, status, CAST(to_json({'error': CASE WHEN open_status IS NULL THEN 'internal server error' ELSE coalesce(message, 'file is ' || open_status) END}) AS VARCHAR) AS json FROM e""",
     "threshold_gate": """WITH x AS (SELECT user_id AS doc_id, coalesce(max(CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 4 END), 0) AS w, count(*) FILTER (WHERE event_type = 'error') AS e FROM events GROUP BY user_id)
 SELECT doc_id, fail_on, fail_on_error, CASE WHEN w >= r THEN 2 WHEN fail_on_error AND e > 0 THEN 3 ELSE 0 END AS exit_code FROM x, (VALUES ('info', 1), ('low', 2), ('medium', 3), ('high', 4), ('critical', 5)) s(fail_on, r), (VALUES (true), (false)) b(fail_on_error)""",
     "evidence_snippets": f"""WITH x AS (SELECT conv_id, turn, text, trim(replace(text, chr(10), ' ⏎ '), {_TRIM}) AS s FROM conversations)
@@ -344,9 +361,9 @@ SELECT conv_id, turn, CASE WHEN text IS NULL OR text = '' THEN '—' WHEN length
 y AS (SELECT *, greatest(0::DOUBLE, ax1 - ax0) * greatest(0::DOUBLE, ay1 - ay0) AS area, greatest(0::DOUBLE, least(ax1, bx1) - greatest(ax0, bx0)) * greatest(0::DOUBLE, least(ay1, by1) - greatest(ay0, by0)) AS inter, (ax0 + ax1) / 2::DOUBLE AS cx, (ay0 + ay1) / 2::DOUBLE AS cy FROM x)
 SELECT l_orderkey, l_linenumber, area, CASE WHEN area <= 0 THEN CASE WHEN cx BETWEEN bx0 AND bx1 AND cy BETWEEN by0 AND by1 THEN 1::DOUBLE ELSE 0::DOUBLE END ELSE inter / area END AS overlap, cx BETWEEN bx0 - 1::DOUBLE AND bx1 + 1::DOUBLE AND cy BETWEEN by0 - 1::DOUBLE AND by1 + 1::DOUBLE AS inside,
   CASE n WHEN 1 THEN d WHEN 3 THEN (d + t + 0.5::DOUBLE) / 3::DOUBLE WHEN 4 THEN (1::DOUBLE - d) * 0.75::DOUBLE * 0.33::DOUBLE + (1::DOUBLE - t) * 0.75::DOUBLE * 0.33::DOUBLE + 0.5::DOUBLE * 0.75::DOUBLE * 0.34::DOUBLE END AS brightness FROM y""",
-    "only_filter": "SELECT * FROM (VALUES (0, 'covered_text'), (4, 'metadata')) t(ord, name)",
-    "unknown_vectors": "SELECT * FROM (VALUES ('ghosts'), ('colour')) t(name)",
-    "vector_registry": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{v}', '{DESCRIPTIONS[v]}')" for i, v in enumerate(VECTORS)) + ") t(ord, name, description)",
+    "only_filter": f"WITH {_CHOICES} SELECT event_id, array_to_string(known, ',') AS chosen FROM c",
+    "unknown_vectors": f"WITH {_CHOICES} SELECT event_id, unnest(strange) AS name FROM c",
+    "vector_registry": f"WITH {_CHOICES}, n AS (SELECT name, count(*) AS n FROM (SELECT unnest(known) AS name FROM c) GROUP BY name) SELECT v.ord, v.name, v.description, coalesce(n, 0) AS n_chosen FROM (VALUES " + ", ".join(f"({i}, '{v}', '{DESCRIPTIONS[v]}')" for i, v in enumerate(VECTORS)) + ") v(ord, name, description) LEFT JOIN n ON n.name = v.name",
     "page_sizes": """WITH x AS (SELECT page_id, html, CAST(strlen(html) * (page_id % 5000) AS BIGINT) AS n FROM pages)
 SELECT page_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 1024.0::DOUBLE * 10 + 0.5::DOUBLE) / 10) ELSE printf('%.1f MB', floor(n / 1048576.0::DOUBLE * 10 + 0.5::DOUBLE) / 10) END AS size,
   replace(replace(replace(left(html, 80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, CASE page_id % 4 WHEN 2 THEN strlen(html) * 9 <= 4608 WHEN 3 THEN strlen(html) <= 4608 ELSE true END AS allowed FROM x""",
@@ -387,6 +404,7 @@ x2 AS (SELECT x1.*, k.ord FROM x1 JOIN (VALUES ('title', 0), ('creator', 1), ('C
         _row("metadata", "severity", "'Document information, ' || CASE WHEN severity = 'medium' THEN 'identity or custom' ELSE 'software' END || ': ' || key", "NULL", "key || ' = ' || left(value, 200)", "Clear document properties before publishing.", "ord", "n"),
         _row("metadata", "severity", "'XMP field ' || name", "NULL", "'xmp:' || name || ' = ' || value", "Clear document properties before publishing.", "ord + 100000", "x2"),
         _row("metadata", "'info'", "'An XMP packet is present.'", "NULL", "'XMP packet' || size", "Clear document properties before publishing.", "10000000", "packets"),
+        _row("metadata", "'info'", "'The page has XMP of its own.'", "page", "'page-level XMP packet'", "Clear document properties before publishing.", "10000001", "(SELECT * FROM (SELECT doc_id, unnest(range(1, (length(text) + 3999) // 4000 + 1)) AS page FROM documents WHERE length(text) > 0) WHERE (doc_id + page) % 29 = 3)"),
     )),
     "findings_redact_annotations": f"WITH m AS ({ORACLE_SQL['redact_under_rect']}), n AS ({ORACLE_SQL['annotation_notes']}) " + " UNION ALL ".join((
         _row("redact_annotations", "'critical'", "'A redaction mark was placed but never applied.'", "page", "evidence", "Apply redactions, then save as a new file.", "0", "m"),

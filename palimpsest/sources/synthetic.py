@@ -2,7 +2,7 @@
 
 Numbers are integers or dyadic fractions, so any engine computes the same boxes. A page holds
 50 lines of 80 characters; some lines are shifted off the page, tiny or white, and every page
-has three small covers and a page-wide background.
+has three small covers and a page-wide background. One page in 29 has XMP of its own.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def layout(documents: DataFrame, only: DataFrame | None = None) -> DataFrame:
       'x0', l.shift + 6 * i, 'y0', l.y0, 'x1', l.shift + 6 * i + 6, 'y1', l.y1, 'size', l.size, 'brightness', l.brightness))))"""
     box = (F.lit(x).alias(name) for name, x in (("x0", 0.0), ("y0", 0.0), ("x1", 612.0), ("y1", 792.0)))
     pages = pages.repartition(2 * documents.sparkSession.sparkContext.defaultParallelism).withColumn("lines", F.expr(f"slice({lines}, 1, CAST((length(text) + 79) div 80 AS int))"))
-    return pages.select("doc_id", "page", *box, F.lit(False).alias("has_metadata"), F.expr(glyphs).alias("glyphs"), "covers")
+    return pages.select("doc_id", "page", *box, (F.pmod(F.col("doc_id") + F.col("page"), F.lit(29)) == 3).alias("has_metadata"), F.expr(glyphs).alias("glyphs"), "covers")
 
 
 def stream_ops(events: DataFrame, forms: bool = False) -> DataFrame:
@@ -124,6 +124,14 @@ def event_errors(events: DataFrame) -> DataFrame:
     return events.where("event_type = 'error'").select(F.col("user_id").alias("doc_id"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("detector"), F.col("props").alias("message"))
 
 
+def opened(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events as documents, most of which could not be opened, and their errors."""
+    status = F.expr("CASE event_type WHEN 'signup' THEN 'oversize' WHEN 'view' THEN 'encrypted' WHEN 'click' THEN 'corrupt' WHEN 'error' THEN 'unreadable' ELSE 'ok' END")
+    docs = events.select(F.col("event_id").alias("doc_id"), status.alias("open_status"))
+    errors = events.select(F.col("event_id").alias("doc_id"), F.when(F.col("event_type") == "purchase", "metadata").alias("detector"), F.when(F.col("event_id") % 3 > 0, F.col("props")).alias("message"))
+    return docs, errors
+
+
 def xmp(pages: DataFrame) -> DataFrame:
     return pages.where("page_id % 3 = 0").select(F.col("page_id").alias("doc_id"), F.when(F.col("page_id") % 2 == 0, F.octet_length("html").cast("long")).alias("bytes"))
 

@@ -184,7 +184,7 @@ def test_a_heavy_page_in_seconds(spark):
 # --- trees
 
 
-@pytest.mark.parametrize("forest", [True, False, None])
+@pytest.mark.parametrize("forest", [True, False])
 def test_a_chain_and_a_cycle(spark, forest):
     chain = [(1, f"c{k}", f"c{k + 1}") for k in range(60)]
     cycle = [(2, "c0", "c1"), (2, "c1", "c2"), (2, "c2", "c0")]

@@ -46,13 +46,24 @@ def test_what_comes_twice_is_scanned_once(spark, tmp_path):
     assert names(spark, to) == before and spark.read.parquet(f"{to}/reports").count() == 3
 
 
-def test_files_over_the_limit_stand_for_themselves(spark, tmp_path):
+def test_what_is_forgotten_and_what_is_too_large(spark, tmp_path):
+    """Files over the limit stand for themselves; after its time a content is scanned anew, and uploads keep the report of their time."""
     (tmp_path / "in").mkdir()
     for name in ("x.pdf", "y.pdf"):
         (tmp_path / "in" / name).write_bytes(FILES["clean"] + b"%" * 5000)
-    uploads.receive(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/cp", most=5000).awaitTermination()
-    rows = uploads.reports(spark, f"file://{tmp_path}/out").collect()
-    assert len(rows) == 2 and all(r.incomplete and "over the limit" in r.detector_errors["open"] for r in rows)
+
+    def receive():
+        uploads.receive(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/cp", most=5000, remembered=1).awaitTermination()
+        return {os.path.basename(r.path): r for r in uploads.reports(spark, f"file://{tmp_path}/out").collect()}
+
+    (tmp_path / "in/a.pdf").write_bytes(FILES["clean"])
+    first = receive()
+    assert set(first) == {"a.pdf", "x.pdf", "y.pdf"} and first["a.pdf"].clean
+    assert all(first[x].incomplete and "over the limit" in first[x].detector_errors["open"] for x in ("x.pdf", "y.pdf"))
+    (tmp_path / "in/b.pdf").write_bytes(FILES["clean"])
+    again = receive()
+    fresh = {os.path.basename(r.path): r.fresh for r in spark.read.parquet(f"file://{tmp_path}/out/uploads").collect()}
+    assert fresh == {"a.pdf": True, "b.pdf": True, "x.pdf": True, "y.pdf": True} and again["b.pdf"].clean and len(again) == 4
 
 
 def test_a_store_that_workers_cannot_open(spark):

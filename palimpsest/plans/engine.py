@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,9 +40,19 @@ class Tables:
     annots: DataFrame
     errors: DataFrame
 
-    def where(self, condition: Column) -> Tables:
+    def where(self, condition: Column) -> Some:
         """The rows of all tables for which the condition on doc_id holds."""
-        return replace(self, **{f.name: getattr(self, f.name).where(condition) for f in fields(self)})
+        return Some(self, condition)
+
+
+class Some:
+    """Tables with some of their documents; a table is cut when a detector asks for it."""
+
+    def __init__(self, tables: Tables, condition: Column):
+        self._tables, self._condition = tables, condition
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return getattr(self._tables, name).where(self._condition)
 
 
 #: A relational detector: tables to rows of the finding schema. Each finding of a document rests on that document's rows alone.
@@ -115,7 +125,7 @@ def isolated(detector: Detector, tables: Tables, to: str, tries: int = TRIES) ->
     """
     spark, docs = tables.docs.sparkSession, tables.docs.select("doc_id")
 
-    def planned(own: Tables) -> DataFrame:
+    def planned(own: Tables | Some) -> DataFrame:
         return detector.rows(own) if isinstance(detector, Opaque) else detector(own).select(*FINDING)
 
     def run(depth: int, k: int, rows: DataFrame) -> tuple[DataFrame | None, str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 
 from .functions import exprs as E
 from .operators import annotations, attachments, layout, metadata, parts, report, revisions, stream, trees
+from .operators.findings import finding
 from .plans import engine
 from .plans.opaque import Opaque
 from .schema import DESCRIPTIONS, VECTORS
-from .sources import synthetic
+from .sources import files, synthetic
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +93,28 @@ def opaque_detector(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "vector", "severity", "page", "evidence", "emit_ord", "message")
 
 
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{files.work_folder(spark)}/palimpsest-{name}-{uuid.uuid4().hex}"
+
+
+def isolated_failure(spark: SparkSession, d: str) -> DataFrame:
+    """Reports of a detector that one document makes fail while it runs: that document has an error, all others their finding."""
+    documents = _t(spark, d, "documents").select("doc_id", F.concat(F.lit("document-"), F.col("doc_id").cast("string")).alias("path"))
+    bad = F.when(F.col("doc_id") == 7, F.raise_error(F.lit("not this one")).cast("string")).otherwise(F.col("path"))
+    tables = synthetic.tables(spark, d)
+    tables.docs = documents
+    one = engine.Engine({"named": lambda t: finding(t.docs, "named", "low", F.lit("It has a name."), bad, "r")})
+    rows = one.reports(tables, to=_new_folder(spark, "isolated"))
+    return rows.select("doc_id", "finding_count", F.size("detector_errors").alias("n_errors"), F.get("findings.evidence", F.lit(0)).alias("evidence"), "stamp", "exit_code")
+
+
+def report_files(spark: SparkSession, d: str) -> DataFrame:
+    """Reports written as files by stamp, and read back."""
+    to = _new_folder(spark, "reports")
+    report.written_reports(_reports(spark, d), to)
+    return spark.read.schema("value string, stamp string").text(f"{to}/reports").select("stamp", F.col("value").alias("json"))
+
+
 def attachment_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return attachments.distinct_files(synthetic.filespecs(_t(spark, d, "pages"), _t(spark, d, "part")))
 
@@ -218,8 +242,8 @@ def _findings(detector: str) -> Callable[[SparkSession, str], DataFrame]:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        covered_text, cover_severity_counts, hidden_geometry, invisible_ops, invisible_ops_forms, revision_diff, revision_diff_as_of, revisions_as_of, linked_names, opaque_detector, revision_status, revision_tokens_except_all, attachment_dedupe, metadata_info, metadata_xmp_antijoin, redact_under_rect,
-        annotation_notes, report_rollup, report_order, report_counts, report_json, report_text, error_envelopes, threshold_gate, evidence_snippets, geometry, only_filter, unknown_vectors, vector_registry, finding_count_minimum, page_sizes,
+        covered_text, cover_severity_counts, hidden_geometry, invisible_ops, invisible_ops_forms, revision_diff, revision_diff_as_of, revisions_as_of, linked_names, opaque_detector, isolated_failure, revision_status, revision_tokens_except_all, attachment_dedupe, metadata_info, metadata_xmp_antijoin, redact_under_rect,
+        annotation_notes, report_rollup, report_order, report_counts, report_json, report_text, report_files, error_envelopes, threshold_gate, evidence_snippets, geometry, only_filter, unknown_vectors, vector_registry, finding_count_minimum, page_sizes,
     )
 } | {f"findings_{v}": _findings(v) for v in VECTORS}
 
@@ -349,6 +373,8 @@ u AS (SELECT DISTINCT user_id AS doc_id FROM events), x AS (SELECT u.doc_id, w,
 SELECT doc_id, 'user-' || doc_id AS path, s AS worst_severity, n AS finding_count, e AS n_errors, e > 0 AS incomplete, w IS NULL AND e = 0 AS clean, CASE WHEN w IS NOT NULL THEN upper(s) WHEN e > 0 THEN 'PARTIAL' ELSE 'CLEAN' END AS stamp, CASE WHEN coalesce(w, 0) >= 4 THEN 2 WHEN e > 0 THEN 3 ELSE 0 END AS exit_code FROM x""",
     "report_order": f"WITH {_FINDINGS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rank DESC, vector, coalesce(page, 0), emit_ord) AS ordinal, severity, vector, page, emit_ord FROM f",
     "report_counts": f"WITH {_FINDINGS} SELECT u.doc_id, s.severity, count(f.severity) AS n FROM (SELECT DISTINCT doc_id FROM f) u, (VALUES ('info'), ('low'), ('medium'), ('high'), ('critical')) s(severity) LEFT JOIN f ON f.doc_id = u.doc_id AND f.severity = s.severity GROUP BY u.doc_id, s.severity",
+    "isolated_failure": """SELECT doc_id, CASE doc_id WHEN 7 THEN 0 ELSE 1 END AS finding_count, CASE doc_id WHEN 7 THEN 1 ELSE 0 END AS n_errors, CASE doc_id WHEN 7 THEN NULL ELSE 'document-' || doc_id END AS evidence,
+  CASE doc_id WHEN 7 THEN 'PARTIAL' ELSE 'LOW' END AS stamp, CASE doc_id WHEN 7 THEN 3 ELSE 0 END AS exit_code FROM documents""",
     "error_envelopes": """WITH e AS (SELECT event_id AS doc_id, CASE event_type WHEN 'signup' THEN 413 WHEN 'view' THEN 415 WHEN 'click' THEN 422 ELSE 500 END AS status,
   CASE event_type WHEN 'signup' THEN 'oversize' WHEN 'view' THEN 'encrypted' WHEN 'click' THEN 'corrupt' END AS open_status, CASE WHEN event_id % 3 > 0 THEN props END AS message FROM events WHERE event_type <> 'purchase')
 SELECT doc_id, status, CAST(to_json({'error': CASE WHEN open_status IS NULL THEN 'internal server error' ELSE coalesce(message, 'file is ' || open_status) END}) AS VARCHAR) AS json FROM e""",
@@ -394,6 +420,7 @@ b AS (SELECT doc_id, max(n_revisions) AS n_revisions, count(*) AS n_earlier, cou
     )),
 }
 ORACLE_SQL |= {
+    "report_files": f"SELECT stamp, json FROM ({ORACLE_SQL['report_rollup']}) a JOIN ({ORACLE_SQL['report_json']}) b ON a.doc_id = b.doc_id",
     "findings_hidden_text": f"""WITH RECURSIVE {_OPS}, h AS ({ORACLE_SQL["hidden_geometry"]}) """ + " UNION ALL ".join((
         _row("hidden_text", "'critical'", "n_shows || ' pieces of text are drawn in an invisible mode.'", "1", f"nullif(left(trim(evidence, {_TRIM}), 400), '')", "Remove text drawn in render mode 3 or 7.", "0", "ops"),
         _row("hidden_text", "'critical'", "'Characters that nobody sees: ' || concat_ws('; ', CASE WHEN n_white > 0 THEN n_white || ' in white' END, CASE WHEN n_tiny > 0 THEN n_tiny || ' too small to see' END, CASE WHEN n_offpage > 0 THEN n_offpage || ' outside the page' END) || '.'", "page", "evidence", "Remove the hidden text from the content.", "1", "h"),

@@ -670,7 +670,7 @@ def test_quality_without_trusted_rows(spark, docs):
 # --- empty tables
 
 
-@pytest.mark.parametrize("name", [k for k in queries.QUERIES if k not in ("op2_chat", "op10_quality")])
+@pytest.mark.parametrize("name", [k for k in queries.QUERIES if k not in ("op2_chat", "op10_quality", "op13_search")])
 def test_empty_documents(spark, tmp_path, name):
     documents(spark, []).write.parquet(f"file://{tmp_path}/documents.parquet")
     assert queries.QUERIES[name](spark, f"file://{tmp_path}").count() == 0
@@ -680,5 +680,7 @@ def test_empty_others(spark, tmp_path):
     documents(spark, []).write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"file://{tmp_path}/conversations.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
     assert queries.QUERIES["op10_quality"](spark, f"file://{tmp_path}").count() == 0
+    assert queries.QUERIES["op13_search"](spark, f"file://{tmp_path}").count() == 0
     assert queries.QUERIES["op2_chat"](spark, f"file://{tmp_path}").count() == 1

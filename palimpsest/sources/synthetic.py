@@ -61,7 +61,9 @@ def revisions(conversations: DataFrame) -> DataFrame:
     """Turns of a conversation as revisions of a document's row, the last one the current."""
     turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
     ranked = F.transform(turns, lambda x, i: F.struct((i + 1).alias("rev_index"), x["text"].alias("text")))
-    return conversations.groupBy(F.col("conv_id").alias("doc_id")).agg(ranked.alias("revisions"))
+    # small as the rows are, what is done with them isn't: they are dealt to all cores
+    dealt = conversations.repartition(2 * conversations.sparkSession.sparkContext.defaultParallelism, "conv_id")
+    return dealt.groupBy(F.col("conv_id").alias("doc_id")).agg(ranked.alias("revisions"))
 
 
 def parts(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -33,18 +33,26 @@ _OFFSET = (np.arange(8, dtype=np.uint16) * 256)[None, :]
 _BIT = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Unsigned fingerprint: bit i is set if over half of the shingles' hashes have it; 0 without words."""
+def hashes(text: str | None, shingle: int = 3) -> np.ndarray:
+    """Hashes of all runs of ``shingle`` words, repeats included, A-Z in lower case; a shorter text is one run, one without words has none."""
     w = [x.lower() for x in words(text)]
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)))) if len(w) > shingle else [b" ".join(w)]
-    n = max(1, len(w) - shingle + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, n)
-    counts = np.bincount((hashes.view(np.uint8).reshape(n, 8) + _OFFSET).ravel(), minlength=2048).reshape(8, 256)
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, max(1, len(w) - shingle + 1))
+
+
+def majority(own: np.ndarray) -> int:
+    """Unsigned fingerprint: bit i is set if over half of the hashes have it; 0 for none."""
+    n = len(own)
+    counts = np.bincount((own.view(np.uint8).reshape(n, 8) + _OFFSET).ravel(), minlength=2048).reshape(8, 256)
     return int.from_bytes(np.packbits(2 * (counts @ _BIT) > n, axis=1, bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    return majority(hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(id, mark, fp) of every row, mark a hash of its text; A-Z are lower-cased, other characters stay."""
 
@@ -173,6 +181,13 @@ def links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     return pairs.union(star.where("a <> b"))
 
 
+def near(texts: DataFrame, max_bits: int = 2) -> DataFrame:
+    """(a, b), a before b, once each: texts (mark, fp) whose fingerprints are linked, each by way of the text that stands for its fingerprint."""
+    own = written(texts.groupBy("fp").agg(F.min("mark").alias("rep")), "distinct")
+    same = texts.join(own, "fp").selectExpr("rep AS a", "mark AS b")
+    return links(own, max_bits).union(same).where("a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
+
+
 def clusters(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """(id, mark, fp, component_id) of every row of ``docs`` (doc_id, text; others are ignored).
 

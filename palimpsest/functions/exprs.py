@@ -99,13 +99,29 @@ def info_severity(key: Column) -> Column:
 
 def in_reading_order(items: Column) -> Column:
     """Concatenates an array of structs (up, x0, glyph_id, ch), up being -y0: from top to bottom, left to right, ties as emitted."""
-    return F.array_join(F.transform(F.array_sort(items), lambda z: z["ch"]), "")
+    # sort_array compares as array_sort does, without a lambda for each comparison; no item is null
+    return F.array_join(F.transform(F.sort_array(items), lambda z: z["ch"]), "")
 
 
 def glyph_place(g) -> Column:
     return F.struct((-g["y0"]).alias("up"), g["x0"].alias("x0"), g["glyph_id"].alias("glyph_id"), g["ch"].alias("ch"))
 
 
+def run_box(r) -> dict[str, Column]:
+    """Box of a run: the glyphs of ``text``, from left to right on one line, each ``step`` wide, numbered from ``glyph_id``. Runs of a page do not overlap."""
+    return {"x0": r["x0"], "y0": r["y0"], "x1": r["x0"] + r["step"] * F.length(r["text"]), "y1": r["y1"]}
+
+
+def glyphs_of(runs: Column) -> Column:
+    """The glyphs of an array of runs, in order."""
+
+    def glyph(r: Column, ch: Column, i: Column) -> Column:
+        x = r["x0"] + r["step"] * i
+        return F.struct((r["glyph_id"] + i).alias("glyph_id"), ch.alias("ch"), x.alias("x0"), r["y0"].alias("y0"), (x + r["step"]).alias("x1"), r["y1"].alias("y1"), r["size"].alias("size"), r["brightness"].alias("brightness"))
+
+    return F.flatten(F.transform(runs, lambda r: F.transform(F.split(r["text"], ""), lambda ch, i: glyph(r, ch, i))))
+
+
 def xml_escape(text: Column) -> Column:
     """Text inside markup; empty for null."""
     out = F.coalesce(text, F.lit(""))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import exprs as E
 from ..plans.engine import Tables
 from ..schema import ERRORS
 
@@ -33,18 +34,17 @@ def page_texts(documents: DataFrame) -> DataFrame:
 
 
 def layout(documents: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """Page rows of :data:`palimpsest.schema.LAYOUT`; of the pages (doc_id, page) in ``only``, if given, before any glyph is made."""
+    """Page rows of :data:`palimpsest.schema.LAYOUT`, with the ``runs`` that their glyphs are made of; of the pages (doc_id, page) in ``only``, if given, before any glyph is made."""
     pages = page_texts(documents)
     if only is not None:
         pages = pages.join(only, ["doc_id", "page"], "left_semi")
-    # what all glyphs of a line have in common is worked out once for each line
-    lines = """transform(sequence(0, 49), k -> named_struct('shift', CASE WHEN pmod(doc_id + (page - 1) * 50 + k, 23) = 0 THEN 672D ELSE 72D END, 'y0', CAST(720 - 14 * k AS double), 'y1', CAST(732 - 14 * k AS double),
+    # a line is a run of glyphs; detectors make glyphs only of the runs they need
+    runs = f"""transform(sequence(0, CAST((length(text) + 79) div 80 AS int) - 1), k -> named_struct('glyph_id', (page - 1) * {PER_PAGE}L + 80 * k, 'text', substring(text, 80 * k + 1, 80),
+      'x0', CASE WHEN pmod(doc_id + (page - 1) * 50 + k, 23) = 0 THEN 672D ELSE 72D END, 'y0', CAST(720 - 14 * k AS double), 'step', 6D, 'y1', CAST(732 - 14 * k AS double),
       'size', CASE WHEN pmod(doc_id + (page - 1) * 50 + k, 17) = 0 THEN 0.25D ELSE 12D END, 'brightness', CASE WHEN pmod(doc_id + (page - 1) * 50 + k, 11) = 0 THEN 1D ELSE 0D END))"""
-    glyphs = f"""flatten(transform(lines, (l, k) -> transform(split(substring(text, 80 * k + 1, 80), ''), (ch, i) -> named_struct('glyph_id', (page - 1) * {PER_PAGE}L + 80 * k + i, 'ch', ch,
-      'x0', l.shift + 6 * i, 'y0', l.y0, 'x1', l.shift + 6 * i + 6, 'y1', l.y1, 'size', l.size, 'brightness', l.brightness))))"""
     box = (F.lit(x).alias(name) for name, x in (("x0", 0.0), ("y0", 0.0), ("x1", 612.0), ("y1", 792.0)))
-    pages = pages.repartition(2 * documents.sparkSession.sparkContext.defaultParallelism).withColumn("lines", F.expr(f"slice({lines}, 1, CAST((length(text) + 79) div 80 AS int))"))
-    return pages.select("doc_id", "page", *box, (F.pmod(F.col("doc_id") + F.col("page"), F.lit(29)) == 3).alias("has_metadata"), F.expr(glyphs).alias("glyphs"), "covers")
+    pages = pages.repartition(2 * documents.sparkSession.sparkContext.defaultParallelism, "doc_id", "page").withColumn("runs", F.expr(runs))
+    return pages.select("doc_id", "page", *box, (F.pmod(F.col("doc_id") + F.col("page"), F.lit(29)) == 3).alias("has_metadata"), E.glyphs_of(F.col("runs")).alias("glyphs"), "covers", "runs", F.length("text").cast("long").alias("n_glyphs"))
 
 
 def stream_ops(events: DataFrame, forms: bool = False) -> DataFrame:

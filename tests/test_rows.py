@@ -8,8 +8,10 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions import exprs
 from palimpsest.operators import layout, parts, revisions, stream, trees
 from palimpsest.schema import LAYOUT, REVISIONS, STREAM_OPS
+from palimpsest.sources import synthetic
 
 
 def rows(df):
@@ -205,3 +207,46 @@ def test_first_known_size_by_source(spark):
     held = [(1, "b", 2, 0, "f", 7), (1, "a", 1, 5, "f", -1), (1, "a", 1, 9, "f", 3), (1, "z", 1, 0, "f", 1), (1, "a", 1, 1, "g", -1)]
     entries = spark.createDataFrame(held, "doc_id long, node string, source_ord int, ord int, name string, size long")
     assert rows(trees.names_below(edges, roots, entries)) == rows(spark.createDataFrame([(1, "f", 3), (1, "g", -1)], "doc_id long, name string, size long"))
+
+
+# --- runs of glyphs
+
+
+def test_runs_give_the_rows_of_their_glyphs(spark):
+    """Runs on, partly on and off the page, tiny, white with and without a dark box behind, blank; a page beyond HEAVY too."""
+    rng = random.Random(8)
+    pages = []
+    for i in range(40):
+        runs = [(100 * k, "".join(rng.choice("ab  é😀") for _ in range(rng.randrange(1, 60))), rng.uniform(-60, 640), 820.0 - 14 * k, 6.0, 832.0 - 14 * k, rng.choice([12.0, 0.25, None]), rng.choice([0.0, 1.0, None])) for k in range(62)]
+        covers = [(k, rng.choice(["rect", "image"]), rng.choice([True, False]), x, y, x + rng.choice([4.0, 60.0]), y + 14.0, rng.choice([0.0, 0.6])) for k in range(30) for x, y in [(rng.uniform(-40, 700), rng.uniform(-40, 840))]]
+        pages.append((i, 1, 0.0, 0.0, 612.0, 792.0, covers, runs, sum(len(r[1]) for r in runs)))
+    covers = LAYOUT[LAYOUT.index("covers ") :]
+    df = spark.createDataFrame(pages, f"doc_id bigint, page int, x0 double, y0 double, x1 double, y1 double, {covers}, runs array<struct<glyph_id: bigint, text: string, x0: double, y0: double, step: double, y1: double, size: double, brightness: double>>, n_glyphs bigint")
+    plain = df.withColumn("glyphs", exprs.glyphs_of(F.col("runs"))).drop("runs", "n_glyphs").localCheckpoint()
+    want = rows(layout.covered_spans(plain))
+    assert want == rows(layout.covered_spans(df)) == rows(layout.covered_spans(df, 0)) == rows(layout.covered_spans(df, 30_000)) and len(want) > 100
+    hidden = layout.hidden_pages(plain).collect()
+    assert sorted(map(str, hidden)) == rows(layout.hidden_pages(df)) and all(sum(r[n] for r in hidden) > 100 for n in ("n_white", "n_tiny", "n_offpage"))
+    marks = spark.createDataFrame([(i, 1, k, [x, y, x + 80, y + 14]) for i in range(42) for k in range(3) for x, y in [(rng.uniform(0, 500), rng.uniform(0, 700))]], "doc_id long, page int, ord int, rect array<double>")
+    assert rows(layout.text_under(marks, plain)) == rows(layout.text_under(marks, df))
+
+
+def test_no_glyph_crosses_an_exchange(spark):
+    """Pages of the plain tables meet their marks as runs, and nothing makes glyphs ahead of the exchange that deals pages out."""
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    pages = synthetic.layout(documents)
+    marks = documents.selectExpr("doc_id", "1 AS page", "0 AS ord", "array(0D, 0D, 99D, 99D) AS rect")
+    for df in (layout.covered_spans(pages), layout.hidden_pages(pages), layout.text_under(marks, pages)):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        deals = [k for k, line in enumerate(plan) if "REPARTITION_BY_NUM" in line]
+        assert deals
+        for k in deals:
+            depth = plan[k].index("Exchange")
+            below = []
+            for line in plan[k + 1 :]:
+                if len(line) - len(line.lstrip(" :+-*")) <= depth:
+                    break
+                below.append(line)
+            assert not any("split(" in line for line in below)
+    joins = layout.text_under(marks, pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert "runs#" in joins and " glyphs#" not in joins

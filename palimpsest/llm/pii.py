@@ -15,9 +15,14 @@ public prefix that prefix; a secret of hexadecimal digits stays one, other secre
 
 from __future__ import annotations
 
+import datetime
+import functools
 import hashlib
+import operator
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
@@ -54,100 +59,185 @@ _DAYS, _DAY_FACTORS = 73_049, (17, 4297)
 _DATE_FORMATS = {"-": "yyyy-MM-dd", "/": "MM/dd/yyyy", ".": "dd.MM.yyyy"}
 
 
-def _sql(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Expressions have no local names; a one-element array gives one."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _luhn(digits: str) -> str:
+def _cases(*cases: tuple[Column, Column]) -> Column:
+    return functools.reduce(lambda out, case: out.when(*case), cases[1:], F.when(*cases[0]))
+
+
+def _sub(text: Column, start: Column | int, n: Column | int | None = None) -> Column:
+    return F.substr(text, *(x if isinstance(x, Column) else F.lit(x) for x in (start, n) if x is not None))
+
+
+def _left(text: Column, n: int) -> Column:
+    return F.left(text, F.lit(n))
+
+
+def _div(a: Column, b: Column | int) -> Column:
+    return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b))
+
+
+def _places(text: Column) -> Column:
+    return F.sequence(F.lit(1), F.length(text))
+
+
+def _padded(number: Column, n: int) -> Column:
+    return F.lpad(number.cast("string"), n, "0")
+
+
+def _luhn(digits: Column) -> Column:
     """Luhn sum of a string whose last digit counts once."""
-    return f"aggregate(sequence(1, length({digits})), 0, (s, i) -> s + CASE WHEN pmod(length({digits}) - i, 2) = 0 THEN CAST(substr({digits}, i, 1) AS int) ELSE CAST(substr({digits}, i, 1) AS int) * 2 - CASE WHEN substr({digits}, i, 1) > '4' THEN 9 ELSE 0 END END)"
 
+    def step(s, i):
+        c = _sub(digits, i, 1)
+        twice = c.cast("int") * 2 - F.when(c > "4", 9).otherwise(0)
+        return s + F.when(F.pmod(F.length(digits) - i, F.lit(2)) == 0, c.cast("int")).otherwise(twice)
+
+    return F.aggregate(_places(digits), F.lit(0), step)
 
-def _mod97(text: str) -> str:
+
+def _mod97(text: Column) -> Column:
     """Of a text of digits and capitals, letters read as 10 to 35."""
-    return f"aggregate(sequence(1, length({text})), 0, (s, i) -> CASE WHEN substr({text}, i, 1) <= '9' THEN (s * 10 + CAST(substr({text}, i, 1) AS int)) % 97 ELSE (s * 100 + ascii(substr({text}, i, 1)) - 55) % 97 END)"
 
+    def step(s, i):
+        c = _sub(text, i, 1)
+        return F.when(c <= "9", (s * 10 + c.cast("int")) % 97).otherwise((s * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(_places(text), F.lit(0), step)
 
-def _mac(key: bytes, message: str) -> str:
-    """SQL of HMAC-SHA256 as 64 hexadecimal digits; message: SQL of a string."""
+
+def _mac(key: bytes, *message: Column) -> Column:
+    """HMAC-SHA256 as 64 hexadecimal digits; message: what joins to a string."""
     own = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
-    inner, outer = (bytes(b ^ x for b in own).hex() for x in (0x36, 0x5C))
-    return f"sha2(concat(X'{outer}', unhex(sha2(concat(X'{inner}', CAST({message} AS binary)), 256))), 256)"
+    inner, outer = (F.lit(bytes(b ^ x for b in own)) for x in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.concat(*message).cast("binary")), 256))), 256)
 
 
-def _shifted(half: str, other: str, key: tuple[bytes, str], hexes: bool, r: str = "r") -> str:
+def _shifted(half: Column, other: Column, key: tuple[bytes, str], hexes: bool, r: Column) -> Column:
     """Every character of ``half`` moved within its class by a stream keyed with ``other``; a bijection of ``half`` for any ``other``."""
-    stream = _mac(key[0], f"concat('{key[1]}:', {r}, ':', {f'lower({other})' if hexes else other})")
-    one = "struct(substr(z.h, i, 1) AS c, CAST(conv(substr(z.d, pmod(2 * i, 62) + 1, 2), 16, 10) AS int) AS k)"
-    if hexes:  # 16 digits in either case
-        moved = _let("substr('0123456789abcdef', 1 + pmod(CAST(conv(y.c, 16, 10) AS int) + y.k, 16), 1)", "w", "CASE WHEN z.h = upper(z.h) THEN upper(w) ELSE w END")
-    else:
+    stream = _mac(key[0], F.lit(f"{key[1]}:"), r, F.lit(":"), F.lower(other) if hexes else other)
+
+    def moved(z, y):
+        c, k = y["c"], y["k"]
+        if hexes:  # 16 digits in either case
+            digit = _sub(F.lit("0123456789abcdef"), 1 + F.pmod(F.conv(c, 16, 10).cast("int") + k, F.lit(16)), 1)
+            return _let(digit, lambda w: F.when(z["h"] == F.upper(z["h"]), F.upper(w)).otherwise(w))
         classes = (("0", "9", 10), ("a", "z", 26), ("A", "Z", 26), ("à", "ö", 23), ("À", "Ö", 23))
-        moved = "CASE " + " ".join(f"WHEN y.c >= '{a}' AND y.c <= '{b}' THEN chr({ord(a)} + pmod(ascii(y.c) - {ord(a)} + y.k, {n}))" for a, b, n in classes) + " ELSE y.c END"
-    inside = f"array_join(transform(sequence(1, length(z.h)), i -> {_let(one, 'y', moved)}), '')"
-    return _let(f"struct({half} AS h, {stream} AS d)", "z", f"CASE WHEN z.h = '' THEN '' ELSE {inside} END")
+        return _cases(*(((c >= a) & (c <= b), F.char(ord(a) + F.pmod(F.ascii(c) - ord(a) + k, F.lit(n)))) for a, b, n in classes)).otherwise(c)
+
+    def inside(z):
+        one = lambda i: F.struct(_sub(z["h"], i, 1).alias("c"), F.conv(_sub(z["d"], F.pmod(2 * i, F.lit(62)) + 1, 2), 16, 10).cast("int").alias("k"))
+        each = F.transform(_places(z["h"]), lambda i: _let(one(i), lambda y: moved(z, y)))
+        return F.when(z["h"] == "", F.lit("")).otherwise(F.array_join(each, ""))
+
+    return _let(F.struct(half.alias("h"), stream.alias("d")), inside)
+
+
+def _rounds(start: Column, moved: Callable[[Column, Column, Column], Column], finish: Callable[[Column], Column]) -> Column:
+    """Alternating Feistel over a pair (a, b); moved: of the half that moves, the other, and the round."""
+
+    def step(f, r):
+        odd = r % 2 == 1
+        turned = lambda g: F.struct(F.when(odd, g).otherwise(f["a"]).alias("a"), F.when(odd, f["b"]).otherwise(g).alias("b"))
+        return _let(moved(F.when(odd, f["a"]).otherwise(f["b"]), F.when(odd, f["b"]).otherwise(f["a"]), r), turned)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, finish)
+
+
+def _text_feistel(value: Column, key: tuple[bytes, str], hexes: bool = False) -> Column:
+    """Over the halves of a string of two or more characters."""
+    middle = (F.length(value) / 2).cast("int")
+    start = F.struct(_sub(value, 1, middle).alias("a"), _sub(value, middle + 1).alias("b"))
+    return _rounds(start, lambda half, other, r: _shifted(half, other, key, hexes, r), lambda f: F.concat(f["a"], f["b"]))
+
 
+def _number_feistel(a: Column, b: Column, m: int, n: int, key: tuple[bytes, str], finish: Callable[[Column, Column], Column]) -> Column:
+    """Over a pair of numbers below m and n; ``finish`` makes a text or date of the two."""
 
-def _text_feistel(value: str, key: tuple[bytes, str], hexes: bool = False) -> str:
-    """Alternating Feistel over the halves of a string of two or more characters."""
-    start = f"struct(substr({value}, 1, CAST(length({value}) / 2 AS int)) AS a, substr({value}, CAST(length({value}) / 2 AS int) + 1) AS b)"
-    moved = _shifted("CASE WHEN r % 2 = 1 THEN f.a ELSE f.b END", "CASE WHEN r % 2 = 1 THEN f.b ELSE f.a END", key, hexes)
-    step = _let(moved, "g", "struct(CASE WHEN r % 2 = 1 THEN g ELSE f.a END AS a, CASE WHEN r % 2 = 1 THEN f.b ELSE g END AS b)")
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (f, r) -> {step}, f -> concat(f.a, f.b))"
+    def moved(half, other, r):
+        mac = _mac(key[0], F.lit(f"{key[1]}:"), r, F.lit(":"), other)
+        most = F.when(r % 2 == 1, F.lit(m).cast("long")).otherwise(F.lit(n).cast("long"))
+        return F.pmod(half + F.conv(_sub(mac, 1, 12), 16, 10).cast("long"), most)
 
+    return _rounds(F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), moved, lambda f: finish(f["a"], f["b"]))
 
-def _number_feistel(a: str, b: str, m: int, n: int, key: tuple[bytes, str], finish: str) -> str:
-    """Alternating Feistel over a pair of numbers below m and n; ``finish`` reads f.a and f.b."""
-    mac = _mac(key[0], f"concat('{key[1]}:', r, ':', CASE WHEN r % 2 = 1 THEN f.b ELSE f.a END)")
-    moved = f"pmod(CASE WHEN r % 2 = 1 THEN f.a ELSE f.b END + CAST(conv(substr({mac}, 1, 12), 16, 10) AS bigint), CASE WHEN r % 2 = 1 THEN {m}L ELSE {n}L END)"
-    step = _let(moved, "g", "struct(CASE WHEN r % 2 = 1 THEN g ELSE f.a END AS a, CASE WHEN r % 2 = 1 THEN f.b ELSE g END AS b)")
-    return f"aggregate(sequence(1, {ROUNDS}), struct(CAST({a} AS bigint) AS a, CAST({b} AS bigint) AS b), (f, r) -> {step}, f -> {finish})"
 
+def _into(value: Column, made: Column, replaced: Callable[[Column], Column]) -> Column:
+    """``value`` with the characters that are ``replaced`` taken in turn from ``made``, everything else kept."""
 
-def _let(value: str, name: str, body: str) -> str:
-    """SQL has no local names in expressions; a one-element array gives one."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    def step(z, i):
+        c = _sub(value, i, 1)
+        new = F.struct(F.concat(z["t"], _sub(made, z["k"], 1)).alias("t"), (z["k"] + 1).alias("k"))
+        return F.when(replaced(c), new).otherwise(F.struct(F.concat(z["t"], c).alias("t"), z["k"].alias("k")))
 
+    return F.aggregate(_places(value), F.struct(F.lit("").alias("t"), F.lit(1).alias("k")), step, lambda z: z["t"])
 
-def _into(value: str, digits: str) -> str:
-    """``value`` with its digits replaced in turn, everything else kept."""
-    return f"aggregate(sequence(1, length({value})), struct('' AS t, 1 AS k), (z, i) -> CASE WHEN substr({value}, i, 1) >= '0' AND substr({value}, i, 1) <= '9' THEN struct(concat(z.t, substr({digits}, z.k, 1)) AS t, z.k + 1 AS k) ELSE struct(concat(z.t, substr({value}, i, 1)) AS t, z.k AS k) END, z -> z.t)"
 
+def _digit(c: Column) -> Column:
+    return (c >= "0") & (c <= "9")
 
-_CARD = f"length(d) BETWEEN 13 AND 19 AND {_luhn('d')} % 10 = 0 AND regexp_like(d, '[^0]')"
 
+def _is_card(d: Column) -> Column:
+    return F.length(d).between(13, 19) & (_luhn(d) % 10 == 0) & F.regexp_like(d, F.lit("[^0]"))
 
-def _card_parts() -> str:
-    """SQL of ``v``, a run of numbers, as an array of texts that join to it; what is a valid card is a text of its own.
+
+def _card_parts(v: Column) -> Column:
+    """Of a run of numbers an array of texts that join to it; what is a valid card is a text of its own.
 
     From left to right a card begins at a number and ends at one: a printed form first, else the
     longest that is valid and that no printed form begins in. One pass with a bounded look ahead.
     """
-    run = "slice(g, i, n)"
-    valid = _let(f"array_join({run}, '')", "d", _CARD)
-    ends = "sequence(1, least(19, size(g) - i + 1))"
-    printed = f"coalesce(array_max(filter({ends}, n -> regexp_like(array_join({run}, ' '), {_sql(_PRINTED)}) AND {valid})), 0)"
-    longest = f"coalesce(array_max(filter({ends}, n -> {valid} AND NOT exists(slice(t, i, n), x -> x > 0))), 0)"
-    taken = f"CASE WHEN t[i - 1] > 0 THEN t[i - 1] ELSE {longest} END"
-    # (first number, how many) of each card
-    picks = f"aggregate(sequence(1, size(g)), struct(1 AS free, CAST(array() AS array<struct<i:int,n:int>>) AS x), (z, i) -> CASE WHEN i < z.free THEN z ELSE {_let(taken, 'n', 'CASE WHEN n > 0 THEN struct(i + n AS free, concat(z.x, array(struct(i AS i, n AS n))) AS x) ELSE z END')} END, z -> z.x)"
-    # p: numbers, each with the separator before it
-    text = lambda a, n: f"array_join(slice(p, {a}, {n}), '')"
-    before = "(CASE WHEN k = 0 THEN 1 ELSE c[k - 1].i + c[k - 1].n END)"
-    cut = f"array({text(before, f'e.i - {before}')}, left(p[e.i - 1], length(p[e.i - 1]) - length(g[e.i - 1])), concat(g[e.i - 1], {text('e.i + 1', 'e.n - 1')}))"
-    last = text("c[size(c) - 1].i + c[size(c) - 1].n", "size(p)")
-    body = _let(picks, "c", f"CASE WHEN size(c) = 0 THEN array(v) ELSE concat(flatten(transform(c, (e, k) -> {cut})), array({last})) END")
-    body = _let(f"transform(sequence(1, size(g)), i -> {printed})", "t", body)
-    return _let("regexp_extract_all(v, '[0-9]+', 0)", "g", _let("regexp_extract_all(v, '[ -]?[0-9]+', 0)", "p", body))
-
-
-def _rank(number: str, block: int) -> str:
+
+    def ends(g, i):
+        return F.sequence(F.lit(1), F.least(F.lit(19), F.size(g) - i + 1))
+
+    def valid(g, i, n):
+        return _let(F.array_join(F.slice(g, i, n), ""), _is_card)
+
+    def printed(g, i):
+        return F.coalesce(F.array_max(F.filter(ends(g, i), lambda n: F.regexp_like(F.array_join(F.slice(g, i, n), " "), F.lit(_PRINTED)) & valid(g, i, n))), F.lit(0))
+
+    def taken(g, t, i):
+        longest = F.array_max(F.filter(ends(g, i), lambda n: valid(g, i, n) & ~F.exists(F.slice(t, i, n), lambda x: x > 0)))
+        return F.when(t[i - 1] > 0, t[i - 1]).otherwise(F.coalesce(longest, F.lit(0)))
+
+    def picks(g, t):
+        """(first number, how many) of each card."""
+
+        def step(z, i):
+            more = lambda n: F.struct((i + n).alias("free"), F.concat(z["x"], F.array(F.struct(i.alias("i"), n.alias("n")))).alias("x"))
+            return F.when(i < z["free"], z).otherwise(_let(taken(g, t, i), lambda n: F.when(n > 0, more(n)).otherwise(z)))
+
+        none = F.array().cast("array<struct<i:int,n:int>>")
+        return F.aggregate(F.sequence(F.lit(1), F.size(g)), F.struct(F.lit(1).alias("free"), none.alias("x")), step, lambda z: z["x"])
+
+    def cut(g, p, c):  # p: numbers, each with the separator before it
+        text = lambda a, n: F.array_join(F.slice(p, a, n), "")
+
+        def one(e, k):
+            before, at = F.when(k == 0, 1).otherwise(c[k - 1]["i"] + c[k - 1]["n"]), e["i"] - 1
+            return F.array(text(before, e["i"] - before), F.left(p[at], F.length(p[at]) - F.length(g[at])), F.concat(g[at], text(e["i"] + 1, e["n"] - 1)))
+
+        end = c[F.size(c) - 1]
+        return F.when(F.size(c) == 0, F.array(v)).otherwise(F.concat(F.flatten(F.transform(c, one)), F.array(text(end["i"] + end["n"], F.size(p)))))
+
+    def body(g, p):
+        return _let(F.transform(F.sequence(F.lit(1), F.size(g)), lambda i: printed(g, i)), lambda t: _let(picks(g, t), lambda c: cut(g, p, c)))
+
+    found = lambda pattern: F.regexp_extract_all(v, F.lit(pattern), F.lit(0))
+    return _let(found("[0-9]+"), lambda g: _let(found("[ -]?[0-9]+"), lambda p: body(g, p)))
+
+
+def _rank(number: Column, block: int) -> Column:
     """Of a number of the plan (first digit 2 to 9, not ending in 11 within its block) its place among those."""
-    return f"(({number}) div 100 - 2) * {block - 1} + ({number}) % 100 - CASE WHEN ({number}) % 100 > 11 THEN 1 ELSE 0 END"
+    return (_div(number, 100) - 2) * (block - 1) + number % 100 - F.when(number % 100 > 11, 1).otherwise(0)
 
 
-def _ranked(place: str, block: int) -> str:
-    return f"(2 + ({place}) div {block - 1}) * 100 + ({place}) % {block - 1} + CASE WHEN ({place}) % {block - 1} >= 11 THEN 1 ELSE 0 END"
+def _ranked(place: Column, block: int) -> Column:
+    return (2 + _div(place, block - 1)) * 100 + place % (block - 1) + F.when(place % (block - 1) >= 11, 1).otherwise(0)
 
 
 #: Area codes and exchanges of the North American plan begin with 2 to 9 and don't end in 11; area codes have no 9 in the middle.
@@ -155,56 +245,108 @@ _PHONE = "^1?[2-9](?!11)[0-8][0-9][2-9](?!11)[0-9]{2}[0-9]{4}$"
 _AREAS, _EXCHANGES = 8 * 89, 8 * 99
 
 
-def _pseudonym(key: bytes) -> str:
-    """SQL of (t, n) of the candidate ``v``, which ends in the secret ``s``, if that isn't empty: its pseudonym, or ``v`` itself if it isn't valid, and how many values changed."""
+def _pseudonym(v: Column, s: Column, key: bytes) -> Column:
+    """(t, n) of the candidate ``v``, which ends in the secret ``s``, if that isn't empty: its pseudonym, or ``v`` itself if it isn't valid, and how many values changed.
+
+    Made of functions, not of SQL: as text it is 20 kB, and of that the parser kept 76 MB in the driver.
+    """
 
     def k(kind: str) -> tuple[bytes, str]:
         return key, kind
 
-    def number(text: str) -> str:
-        return f"CAST({text} AS int)"
-
-    digits = "regexp_replace(v, '[^0-9]', '')"
-    card = f"CASE WHEN {_CARD} THEN " + _let("concat(left(d, 1), " + _text_feistel("substr(d, 2, length(d) - 2)", k("card")) + ")", "q", _into("v", f"concat(q, pmod(10 - {_luhn('concat(q, chr(48))')}, 10))")) + " ELSE v END"
-    moved = _number_feistel(_rank(number("left(t, 3)"), 90), f"({_rank(number('substr(t, 4, 3)'), 100)}) * 10000L + {number('right(t, 4)')}", _AREAS, _EXCHANGES * 10000, k("phone"),
-        f"concat({_ranked('f.a', 90)}, {_ranked('f.b div 10000', 100)}, lpad(CAST(f.b % 10000 AS string), 4, '0'))")
-    phone = f"CASE WHEN regexp_like(d, '{_PHONE}') THEN " + _let(_let("right(d, 10)", "t", f"concat(left(d, length(d) - 10), {moved})"), "q", _into("v", "q")) + " ELSE v END"
-    area = number("left(d, 3)")
-    moved = _number_feistel(f"{area} - 1 - CASE WHEN {area} > 666 THEN 1 ELSE 0 END", f"({number('substr(d, 4, 2)')} - 1) * 9999L + {number('right(d, 4)')} - 1", 898, 99 * 9999, k("ssn"),
-        "concat(lpad(CAST(f.a + 1 + CASE WHEN f.a >= 665 THEN 1 ELSE 0 END AS string), 3, '0'), lpad(CAST(f.b div 9999 + 1 AS string), 2, '0'), lpad(CAST(f.b % 9999 + 1 AS string), 4, '0'))")
-    ssn = "CASE WHEN left(d, 3) NOT IN ('000', '666') AND left(d, 1) <> '9' AND substr(d, 4, 2) <> '00' AND right(d, 4) <> '0000' THEN " + _let(moved, "q", _into("v", "q")) + " ELSE v END"
-    octets = "transform(split(v, '[.]'), o -> CAST(o AS int))"
-    ip = _let(octets, "o", f"CASE WHEN forall(o, b -> b <= 255) THEN {_number_feistel('o[0] * 256 + o[1]', 'o[2] * 256 + o[3]', 65536, 65536, k('ip'), 'concat_ws(chr(46), f.a div 256, f.a % 256, f.b div 256, f.b % 256)')} ELSE v END")
-    # the layout by its separator; one permutation of days for all
-    form = "CASE " + " ".join(f"WHEN contains(v, '{mark}') THEN '{f}'" for mark, f in _DATE_FORMATS.items()) + " END"
-    a, b = _DAY_FACTORS
-    moved = _number_feistel(f"n div {b}", f"n % {b}", a, b, k("date"), f"date_add(DATE'1900-01-01', CAST(f.a * {b} + f.b AS int))")
-    date = _let(form, "l", _let("datediff(CAST(try_to_timestamp(v, l) AS date), DATE'1900-01-01')", "n", f"CASE WHEN n >= 0 AND n < {_DAYS} THEN date_format({moved}, l) ELSE v END"))
-    at = "instr(v, '@')"
-    email = f"CASE WHEN {at} > 2 THEN concat({_text_feistel(f'left(v, {at} - 1)', k('email'))}, substr(v, {at})) ELSE concat({_shifted(f'left(v, {at} - 1)', chr(39) * 2, k('email'), False, '0')}, substr(v, {at})) END"
-    plain = "replace(v, ' ', '')"
-    shorter = "filter(transform(sequence(0, size(split(v, ' ')) - 1), i -> array_join(slice(split(v, ' '), 1, size(split(v, ' ')) - i), ' ')), w -> length(replace(w, ' ', '')) BETWEEN 15 AND 34 AND " + _mod97("concat(substr(replace(w, ' ', ''), 5), left(replace(w, ' ', ''), 4))") + " = 1)"
-    iban = _let(plain, "p", f"CASE WHEN length(p) BETWEEN 15 AND 34 AND {_mod97('concat(substr(p, 5), left(p, 4))')} = 1 THEN " + _let(_text_feistel("substr(p, 5)", k("iban")), "q", _let(f"concat(left(p, 2), lpad(CAST(98 - {_mod97('concat(q, left(p, 2), chr(48), chr(48))')} AS string), 2, '0'), q)", "y", "aggregate(sequence(1, length(v)), struct('' AS t, 1 AS k), (z, i) -> CASE WHEN substr(v, i, 1) = ' ' THEN struct(concat(z.t, ' ') AS t, z.k AS k) ELSE struct(concat(z.t, substr(y, z.k, 1)) AS t, z.k + 1 AS k) END, z -> z.t)")) + " ELSE v END")
+    def number(text: Column) -> Column:
+        return text.cast("int")
+
+    def card(v, d):
+        body = F.concat(_left(d, 1), _text_feistel(_sub(d, 2, F.length(d) - 2), k("card")))
+        whole = lambda q: F.concat(q, F.pmod(10 - _luhn(F.concat(q, F.lit("0"))), F.lit(10)))
+        return F.when(_is_card(d), _let(body, lambda q: _into(v, whole(q), _digit))).otherwise(v)
+
+    def phone(d):
+        plan = lambda a, b: F.concat(_ranked(a, 90), _ranked(_div(b, 10000), 100), _padded(b % 10000, 4))
+        moved = lambda t: _number_feistel(_rank(number(_left(t, 3)), 90), _rank(number(_sub(t, 4, 3)), 100) * F.lit(10000).cast("long") + number(F.right(t, F.lit(4))), _AREAS, _EXCHANGES * 10000, k("phone"), plan)
+        new = _let(F.right(d, F.lit(10)), lambda t: F.concat(F.left(d, F.length(d) - 10), moved(t)))
+        return F.when(F.regexp_like(d, F.lit(_PHONE)), _let(new, lambda q: _into(v, q, _digit))).otherwise(v)
+
+    def ssn(d):
+        area, group, serial = _left(d, 3), _sub(d, 4, 2), F.right(d, F.lit(4))
+        a = number(area) - 1 - F.when(number(area) > 666, 1).otherwise(0)
+        b = (number(group) - 1) * F.lit(9999).cast("long") + number(serial) - 1
+        parts = lambda a, b: F.concat(_padded(a + 1 + F.when(a >= 665, 1).otherwise(0), 3), _padded(_div(b, 9999) + 1, 2), _padded(b % 9999 + 1, 4))
+        given = ~area.isin("000", "666") & (_left(d, 1) != "9") & (group != "00") & (serial != "0000")
+        return F.when(given, _let(_number_feistel(a, b, 898, 99 * 9999, k("ssn"), parts), lambda q: _into(v, q, _digit))).otherwise(v)
+
+    def ip(o):
+        dotted = lambda a, b: F.concat_ws(".", _div(a, 256), a % 256, _div(b, 256), b % 256)
+        moved = _number_feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, k("ip"), dotted)
+        return F.when(F.forall(o, lambda b: b <= 255), moved).otherwise(v)
+
+    def date(layout):  # one permutation of days for all
+        first, (m, n) = F.lit(datetime.date(1900, 1, 1)), _DAY_FACTORS
+        moved = lambda day: _number_feistel(_div(day, n), day % n, m, n, k("date"), lambda a, b: F.date_add(first, (a * n + b).cast("int")))
+        shown = lambda day: F.when((day >= 0) & (day < _DAYS), F.call_function("date_format", moved(day), layout)).otherwise(v)
+        return _let(F.datediff(F.try_to_timestamp(v, layout).cast("date"), first), shown)
+
+    layout = _cases(*((v.contains(mark), F.lit(form)) for mark, form in _DATE_FORMATS.items()))  # by the separator
+    at = F.instr(v, "@")
+    local, domain = F.left(v, at - 1), _sub(v, at)
+    email = F.when(at > 2, F.concat(_text_feistel(local, k("email")), domain)).otherwise(F.concat(_shifted(local, F.lit(""), k("email"), False, F.lit(0)), domain))
+
+    def plain(text):
+        return F.replace(text, F.lit(" "), F.lit(""))
+
+    def is_iban(p):
+        return F.length(p).between(15, 34) & (_mod97(F.concat(_sub(p, 5), _left(p, 4))) == 1)
+
+    def iban_of(v):
+        whole = lambda p, q: F.concat(_left(p, 2), _padded(98 - _mod97(F.concat(q, _left(p, 2), F.lit("0"), F.lit("0"))), 2), q)
+        made = lambda p: _let(_text_feistel(_sub(p, 5), k("iban")), lambda q: _let(whole(p, q), lambda y: _into(v, y, lambda c: c != " ")))
+        return _let(plain(v), lambda p: F.when(is_iban(p), made(p)).otherwise(v))
+
     # of a country that isn't known: the longest part up to a space that is valid
-    iban = _let(f"coalesce(get({shorter}, 0), '')", "u", "concat(" + _let("CASE WHEN u = '' THEN v ELSE u END", "v", iban) + ", CASE WHEN u = '' THEN '' ELSE substr(v, length(u) + 1) END)")
+    groups = F.split(v, " ")
+    parts = F.transform(F.sequence(F.lit(0), F.size(groups) - 1), lambda i: F.array_join(F.slice(groups, F.lit(1), F.size(groups) - i), " "))
+    shorter = F.coalesce(F.get(F.filter(parts, lambda w: is_iban(plain(w))), F.lit(0)), F.lit(""))
+    iban = _let(shorter, lambda u: F.concat(_let(F.when(u == "", v).otherwise(u), iban_of), F.when(u == "", F.lit("")).otherwise(_sub(v, F.length(u) + 1))))
+
     # a long secret goes part by part: each step looks at its text once for each character
-    cut = _let("CAST(length(s) AS bigint)", "m", _let(f"1 + (m - 1) div {_PART}", "parts", "transform(sequence(0, CAST(parts AS int) - 1), i -> substr(s, CAST(i * m div parts AS int) + 1, CAST((i + 1) * m div parts - i * m div parts AS int)))"))
-    whole = lambda hexes: f"array_join(transform({cut}, c -> {_text_feistel('c', k('secret'), hexes=hexes)}), '')"
-    secret = f"concat(left(v, length(v) - length(s)), CASE WHEN regexp_like(s, '^[0-9A-Fa-f]+$') AND (s = upper(s) OR s = lower(s)) THEN {whole(True)} ELSE {whole(False)} END)"
-    shapes = {
-        "secret": ("s <> ''", secret),
-        "email": ("contains(v, '@')", email),
-        "iban": ("regexp_like(v, '^[A-Z]')", iban),
-        "ip": ("regexp_like(v, '^[0-9]{1,3}([.][0-9]{1,3}){3}$')", ip),
-        "date": ("regexp_like(v, '^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}[.][0-9]{2}[.][0-9]{4})$')", date),
-        "ssn": ("regexp_like(v, '^[0-9]{3}-[0-9]{2}-[0-9]{4}$')", ssn),
-        "phone": (r"regexp_like(v, '^([+]?1[ .\\-]?)?([(][0-9]{3}[)] ?|[0-9]{3}[ .\\-])[0-9]{3}[ .\\-][0-9]{4}$')", phone),
-    }
-    cases = " ".join(f"WHEN {test} THEN {made}" for test, made in shapes.values())
-    cards = _let(_card_parts(), "x", _let(f"transform(x, v -> {_let(digits, 'd', card)})", "y", "struct(array_join(y, '') AS t, size(filter(zip_with(x, y, (a, b) -> a <> b), z -> z)) AS n)"))
-    tests = " OR ".join(test for test, _ in shapes.values())
-    other = _let(_let(digits, "d", f"CASE {cases} END"), "q", "struct(q AS t, CASE WHEN q <> v THEN 1 ELSE 0 END AS n)")
-    return f"CASE WHEN {tests} THEN {other} ELSE {cards} END"
+    def part(m, n, i):
+        start, end = _div(i * m, n), _div((i + 1) * m, n)
+        return _sub(s, start.cast("int") + 1, (end - start).cast("int"))
+
+    def whole(hexes):
+        cut = _let(F.length(s).cast("long"), lambda m: _let(1 + _div(m - 1, _PART), lambda n: F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: part(m, n, i))))
+        return F.array_join(F.transform(cut, lambda c: _text_feistel(c, k("secret"), hexes=hexes)), "")
+
+    hexes = F.regexp_like(s, F.lit("^[0-9A-Fa-f]+$")) & ((s == F.upper(s)) | (s == F.lower(s)))
+    secret = F.concat(F.left(v, F.length(v) - F.length(s)), F.when(hexes, whole(True)).otherwise(whole(False)))
+
+    def digits(text):
+        return F.regexp_replace(text, "[^0-9]", "")
+
+    def like(pattern):
+        return F.regexp_like(v, F.lit(pattern))
+
+    shapes = [
+        (s != "", lambda d: secret),
+        (v.contains("@"), lambda d: email),
+        (like("^[A-Z]"), lambda d: iban),
+        (like("^[0-9]{1,3}([.][0-9]{1,3}){3}$"), lambda d: _let(F.transform(F.split(v, "[.]"), number), ip)),
+        (like("^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}[.][0-9]{2}[.][0-9]{4})$"), lambda d: _let(layout, date)),
+        (like("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), ssn),
+        (like(r"^([+]?1[ .\-]?)?([(][0-9]{3}[)] ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}$"), phone),
+    ]
+    made = _let(digits(v), lambda d: _cases(*((test, made(d)) for test, made in shapes)))
+    other = _let(made, lambda q: F.struct(q.alias("t"), F.when(q != v, 1).otherwise(0).alias("n")))
+    joined = lambda x, y: F.struct(F.array_join(y, "").alias("t"), F.size(F.filter(F.zip_with(x, y, lambda a, b: a != b), lambda z: z)).alias("n"))
+    cards = _let(_card_parts(v), lambda x: _let(F.transform(x, lambda w: _let(digits(w), lambda d: card(w, d))), lambda y: joined(x, y)))
+    return F.when(functools.reduce(operator.or_, (test for test, _ in shapes)), other).otherwise(cards)
+
+
+@functools.lru_cache(maxsize=2)
+def _pseudonyms(context: SparkContext, key: bytes) -> Column:
+    """Of the candidates (v, s) in __k. Some thousand calls of functions, so it is made once for a context and key."""
+    return F.transform("__k", lambda e: _let(e["v"], lambda v: _let(e["s"], lambda s: _pseudonym(v, s, key))))
 
 
 def with_pseudonyms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -219,7 +361,7 @@ def with_pseudonyms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     out = docs.withColumn("__m", F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)))
     secrets = F.regexp_extract_all(text, F.lit(_ANY), F.lit(_SECRET))
     out = out.withColumn("__k", F.when(F.size("__m") > 0, F.arrays_zip(F.col("__m").alias("v"), secrets.alias("s"))))
-    out = out.withColumn("__q", F.expr(f"transform(__k, e -> {_let('e.v', 'v', _let('e.s', 's', _pseudonym(key.encode())))})"))
+    out = out.withColumn("__q", _pseudonyms(docs.sparkSession.sparkContext, key.encode()))
     pieces = F.split(F.col(text), _ANY, -1)
     joined = F.array_join(F.flatten(F.zip_with(pieces, "__q", lambda p, q: F.array(p, F.coalesce(q["t"], F.lit(""))))), "")
     changed = F.when(F.col("__q").isNotNull(), F.aggregate("__q", F.lit(0), lambda a, q: a + q["n"])).otherwise(0)

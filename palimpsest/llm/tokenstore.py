@@ -108,7 +108,7 @@ def _write_shards(path: str, end: int):
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                for i, ids in zip(batch.column("id").to_pylist(), encode(batch.column("text").to_pylist())):
+                for i, ids in zip(batch.column("id").to_pylist(), encode(batch.column("text"))):
                     keys.append(i)
                     parts.append(ids + stop)
                     size += len(ids)
